@@ -54,22 +54,36 @@ class Pieces:
                 self.text.append(piece.replace(MARK, " ").encode())
         self.unknown = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.score), default=1)
-        self._prefixes()
-        # A piece with a mark past its start is dropped if its own best segmentation without it scores higher.
-        late = [p for p in self.score if MARK in p[1:]]
-        for p in sorted(late, key=len):
-            s = self.score.pop(p)
-            if self._sum(p) <= s:
-                self.score[p] = s
-        self._prefixes()
-        self.alphabet = {c for p in self.score for c in p}
-        self.splits = not any(MARK in p[1:] for p in self.score) and "\n" not in self.alphabet
-
-    def _prefixes(self) -> None:
         self.prefix = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
-
-    def _sum(self, s: str) -> float:
-        return sum(self.score.get(s[a:b], self.unknown) for a, b in self.search(s))
+        self.known = {p: self.score.get(p) for p in self.prefix}  # None: the start of a piece only
+        self.alphabet = {c for p in self.score for c in p}
+        # Blanks end a stretch if no piece has a mark after another character.
+        self.splits = not any(MARK in p.lstrip(MARK) for p in self.score) and "\n" not in self.alphabet
+
+    def inside_window(self, s: str) -> list[tuple[int, int]]:
+        """The same for a stretch that fits in the window whole, so that its only commit is at its end."""
+        n, get, unknown, low = len(s), self.known.get, self.unknown, float("-inf")
+        best, back = [low] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            here = best[i]
+            if here == low:
+                continue
+            for j in range(i + 1, n + 1):
+                v = get(s[i:j], low)
+                if v is None:
+                    continue
+                if v == low:
+                    break
+                if here + v > best[j]:
+                    best[j], back[j] = here + v, i
+            if self.score.get(s[i]) is None and here + unknown > best[i + 1]:
+                best[i + 1], back[i + 1] = here + unknown, i
+        spans, at = [], n
+        while at:
+            spans.append((back[at], at))
+            at = back[at]
+        return spans[::-1]
 
     def search(self, s: str) -> list[tuple[int, int]]:
         """Spans of the chosen pieces, committed while the text streams by."""
@@ -130,7 +144,7 @@ class _Stretches(dict):
 
     def ids(self, s: str) -> list[int]:
         p, out = self.pieces, []
-        for a, b in p.search(s):
+        for a, b in p.inside_window(s) if len(s) <= 4 * p.longest else p.search(s):
             i = p.id.get(s[a:b]) if s[a:b] in p.score else None
             out.extend([i] if i is not None else [p.byte_id[x] for x in s[a:b].encode("utf-8", "surrogatepass")])
         return out
@@ -148,8 +162,8 @@ class _Stretches(dict):
         if not self.pieces.splits:
             parts = (MARK + text.replace(" ", MARK) if k == 0 else text.replace(" ", MARK) for k, text in enumerate(text.split(MARK)))
             return self.literal().join(np.array(self.ids(p), self.kind).tobytes() for p in parts)
-        if MARK in text or "\x1f" in text:
-            parts = re.findall(rf"{MARK}|\n| [^ \n{MARK}]*|[^ \n{MARK}]+", " " + text)
+        if MARK in text or "\x1f" in text or "  " in text or text[0] == " ":
+            parts = re.findall(rf"{MARK}|\n| +[^ \n{MARK}]*|[^ \n{MARK}]+", " " + text)
             out = b"".join(self.literal() if p == MARK else self[p.replace(" ", MARK)] for p in parts)
         else:
             marked = (MARK + text.replace(" ", f"\x1f{MARK}")).replace("\n", "\x1f\n\x1f")
