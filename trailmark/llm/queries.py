@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from .common import table
+from .op2_chat import conversation_replies, format_chats, read_masked, read_turns
 from .op3_sentencepiece import decode_ids, encode_ids
 from .op4_suffix_dedup import suffix_dedup
 from .op5_token_files import read_tokens, write_tokens
+from .op6_html import extract_text
 from .op7_jaccard import jaccard_components
+from .op8_ann import nearest
 from .op9_secrets import scan_secrets
 from .op10_decontaminate import contamination
 
@@ -21,6 +24,38 @@ WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one (-1) of control strings, with digests of what the formatted text reads back as."""
+    odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    chats = format_chats(conversation_replies(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").union(odd)))
+    read = chats.select("thread", "chat", read_turns(F.col("chat")).alias("turns"), read_masked(F.col("chat"), F.col("mask")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.expr("try_cast(thread as bigint)").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("chat").cast("long").alias("formatted_chars"),
+    )
+
+
+_OP2_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), pieces AS (
+  SELECT *, regexp_replace(replace(text, '\', '\\'), '([<\[])(/?s>|/?INST\]|</?SYS>>|/?SYS>>|\|[A-Za-z0-9_]+\|>|(?:start|end)_of_turn>)', '\1\\:\2', 'g') AS body FROM rows
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(role) + 1 + length(body) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM pieces GROUP BY conv_id
+""".replace("\\", "\")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """Ids of every whole text, and the text decoded from them again."""
     model = model or public_tokenizers.path(PIECE_MODEL)
@@ -46,11 +81,20 @@ def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
+def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
     said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -73,12 +117,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_format": op2_chat_format,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_files": op5_token_files,
+    "op6_html_extract": op6_html_extract,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_ann_search": op8_ann_search,
     "op9_secret_scan": op9_secret_scan,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_chat_format": _OP2_SQL}
