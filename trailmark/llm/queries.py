@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from .common import table
+from .op1_quality import classify, fit
 from .op2_chat import conversation_replies, format_chats, read_masked, read_turns
 from .op3_sentencepiece import decode_ids, encode_ids
 from .op4_suffix_dedup import suffix_dedup
@@ -24,6 +25,12 @@ WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
+    model = fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    return classify(docs, model).select("doc_id", "p_text", "p_meta", "p_quality", "p_toxic", "keep")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one (-1) of control strings, with digests of what the formatted text reads back as."""
     odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -117,6 +124,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_co_training": op1_co_training,
     "op2_chat_format": op2_chat_format,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_suffix_dedup": op4_suffix_dedup,
