@@ -23,10 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+def save(df: DataFrame, tag: str, done: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors.
+
+    done: the shuffle files behind df are large and not needed again; Spark's cleaner drops them as soon as the
+    driver's JVM has collected their owners, so ask for that now rather than at its next periodic collection.
+    """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if done:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

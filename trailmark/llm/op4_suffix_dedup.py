@@ -11,8 +11,9 @@ form one run. Order among the other suffixes is induced from the samples:
 2.  One external sort by (sample hash, run print, row, start), in Spark's spilling sorter: the first run of
     each print stays, later ones are repeats. A sample hash with several prints shares a prefix only in part;
     its first runs go on to step 3.
-3.  Those runs are cut into single windows, reduced in the task to the first of each, and sorted again; all but the
-    first window of each print are repeats.
+3.  Those runs carry their bytes and meet by sample hash, where prints of single windows tell all but the first of each.
+    A sample with more than HOT_RUNS such runs is dealt out by the windows' own prints instead, reduced in the
+    task to the first of each, so that a passage that many documents share does not meet in one task.
 4.  Repeats are united to spans per document, and the rest of the text is kept.
 
 Null or empty texts count as empty and keep nothing. Repeated or null ids are ordered null first, ties by
@@ -33,6 +34,7 @@ from .rolling import Poly, join_texts, mix, slices
 
 _GRAM, _RUN = Poly(41), Poly(42)
 _SLICE = 1_500_000
+HOT_RUNS = 200
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -156,25 +158,101 @@ def _sampled(length, gram):
     return make
 
 
+def _asked(batches, name):
+    """(row, text, hashes, starts, windows) for the list of runs in a column."""
+    for batch in batches:
+        rows = batch.column("row").to_pylist()
+        for i in range(batch.num_rows):
+            asked = batch.column(name)[i].values
+            if len(asked):
+                text = np.frombuffer(batch.column("text")[i].as_py().encode("utf-8", "surrogatepass"), np.uint8)
+                yield rows[i], text, *(asked.field(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+
+
+def _window_prints(text: np.ndarray, s: np.ndarray, c: np.ndarray, length: int):
+    """Starts and prints of the single windows of runs (start, windows)."""
+    start = np.repeat(s.astype(np.int64), c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+    pre = _RUN.prefix(_RUN.byte[text])
+    return start, _RUN.spans(pre, start, start + length)
+
+
 def _windows(length):
-    """Single windows of the runs that (text, list of runs) rows name."""
+    """Single windows of the asked runs."""
 
     def make(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                text = np.frombuffer(batch.column("text")[i].as_py().encode("utf-8", "surrogatepass"), np.uint8)
-                asked = batch.column("asked")[i].values
-                h, s, c = (asked.field(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
-                lo = int(s.min())
-                part = text[lo : int((s + c).max()) + length - 1]
-                start = np.repeat(s.astype(np.int64), c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-                pre = _RUN.prefix(_RUN.byte[part])
-                g = _RUN.spans(pre, start - lo, start - lo + length)
-                yield np.repeat(h, c).view(np.uint64), g, np.full(len(start), batch.column("row")[i].as_py(), np.int64), start, np.ones(len(start), np.int64)
+        for row, text, h, s, c in _asked(batches, "many"):
+            lo = int(s.min())
+            start, g = _window_prints(text[lo : int((s + c).max()) + length - 1], s - lo, c, length)
+            yield np.repeat(h, c).view(np.uint64), g, np.full(len(start), row, np.int64), start + lo, np.ones(len(start), np.int64)
 
     return make
 
 
+_ASKED_SQL = "h long, g long, row long, start int, size int, bytes binary"
+
+
+def _both(length):
+    """Asked runs with their bytes (column few), and reduced single windows without (column many)."""
+    schema = pa.schema([*_KEYED, ("bytes", pa.binary())])
+
+    def run(batches):
+        def passed():  # hands each batch on to the windows after its runs were taken
+            for batch in batches:
+                cols: list[list] = [[] for _ in range(5)]
+                for row, text, h, s, c in _asked([batch], "few"):
+                    parts = [text[a : a + n + length - 1].tobytes() for a, n in zip(s.tolist(), c.tolist())]
+                    for col, x in zip(cols, (h, np.full(len(h), row, np.int64), s, c)):
+                        col.append(x)
+                    cols[4] += parts
+                if cols[0]:
+                    h, row, s, c = map(np.concatenate, cols[:4])
+                    held.append(pa.record_batch([pa.array(h), pa.array(np.zeros(len(h), np.int64)), pa.array(row), pa.array(s), pa.array(c), pa.array(cols[4], pa.binary())], schema=schema))
+                yield batch
+
+        held: list = []
+        for done in _reduced(_windows(length), length)(passed()):
+            yield pa.record_batch([*done.columns, pa.nulls(done.num_rows, pa.binary())], schema=schema)
+            yield from held
+            held.clear()
+        yield from held
+
+    return run
+
+
+def _compare(length):
+    """Over asked runs sorted by (h, row, start): spans of windows met before under the same hash."""
+
+    def spans(h, row, start, size, parts):
+        raw, bounds = join_texts(parts)
+        at, g = _window_prints(raw, bounds[:-1], size, length)
+        shift = np.repeat(start - bounds[:-1], size)
+        h, row, at = np.repeat(h, size), np.repeat(row, size), at + shift
+        repeat = ~_first_of((h, g), row, at)
+        r, s, e = _spans(row[repeat], at[repeat], at[repeat] + length)
+        return pa.record_batch([pa.array(x.astype(t)) for x, t in zip((np.zeros(len(r)), r, r, s, e - s), (np.int32, np.int64, np.int64, np.int32, np.int32))], schema=_FOUND)
+
+    def run(batches):
+        held: list = []
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in ("h", "row", "start", "size")] + [np.array(batch.column("bytes").to_pylist() + [None], object)[:-1]]
+            if held:
+                cols = [np.concatenate((a, b)) for a, b in zip(held, cols)]
+            # Slices of whole groups; the last group may go on in the next batch.
+            cuts = np.flatnonzero(np.diff(cols[0])) + 1
+            last = int(cuts[-1]) if len(cuts) else 0
+            done = 0
+            for cut in [*cuts[20_000::20_000].tolist(), last]:
+                cut = min(cut, last)
+                if cut > done:
+                    yield spans(*(c[done:cut] for c in cols[:4]), list(cols[4][done:cut]))
+                    done = cut
+            held = [c[last:] for c in cols]
+        if held and len(held[0]):
+            yield spans(*held[:4], list(held[4]))
+
+    return run
+
+
 _FOUND = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
 _FOUND_SQL = "kind int, h long, row long, start int, size int"
 
@@ -247,11 +325,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def in_order(df: DataFrame) -> DataFrame:
         return df.repartition(F.col("h")).sortWithinPartitions("h", "g", "row", "start")
 
-    found = save(in_order(samples).mapInArrow(_repeats(length, True), _FOUND_SQL), "op4-found")
-    asked = found.where("kind = 1").groupBy("row").agg(F.collect_list(F.struct("h", "start", "size")).alias("asked"))
-    windows = slim.join(asked, "row").mapInArrow(_reduced(_windows(length), length), _KEYED_SQL)
+    found = save(in_order(samples).mapInArrow(_repeats(length, True), _FOUND_SQL), "op4-found", True)
+    runs_asked = found.where("kind = 1")
+    hot = runs_asked.groupBy("h").count().where(F.col("count") > HOT_RUNS).select("h", F.lit(True).alias("hot"))
+    runs_asked = runs_asked.join(hot, "h", "left").select("h", "row", "start", "size", F.coalesce("hot", F.lit(False)).alias("hot"))
+    per_row = runs_asked.groupBy("row").agg(*(F.collect_list(F.when(F.col("hot") == k, F.struct("h", "start", "size"))).alias(name) for k, name in ((False, "few"), (True, "many"))))
+    asked = save(slim.join(per_row, "row").mapInArrow(_both(length), _ASKED_SQL), "op4-asked", True)
+    few = asked.where("bytes is not null").select("h", "row", "start", "size", "bytes").repartition(F.col("h")).sortWithinPartitions("h", "row", "start")
     # A window's own print deals it out, so that a common sample does not meet in one task.
-    window_repeats = windows.withColumn("h", F.when(F.col("size") > 0, F.xxhash64("h", "g")).otherwise(F.col("h")))
-    more = save(in_order(window_repeats).mapInArrow(_repeats(length, False), _FOUND_SQL), "op4-windows")
+    many = asked.where("bytes is null").select(F.when(F.col("size") > 0, F.xxhash64("h", "g")).otherwise(F.col("h")).alias("h"), "g", "row", "start", "size")
+    more = save(few.mapInArrow(_compare(length), _FOUND_SQL).union(in_order(many).mapInArrow(_repeats(length, False), _FOUND_SQL)), "op4-windows", True)
     spans = found.where("kind = 0").union(more).groupBy("row").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias("spans"))
     return keyed.join(spans, "row", "left").mapInArrow(_kept, "row long, id long, n_bytes long, n_removed long, n_spans long, kept string, kept_sha256 string")
