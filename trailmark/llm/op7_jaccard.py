@@ -33,7 +33,6 @@ from .rolling import Poly, join_texts, mix, slices
 
 #: A token found in this many classes or more counts as common; doubled until the common tokens fit HOT_MAX.
 HOT_FROM, HOT_MAX = 48, 500_000
-BITMAP_BITS = 2048
 _WORD, _SHINGLE = Poly(71), Poly(72)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -191,16 +190,21 @@ def _shared(batches):
         yield pa.record_batch([pa.array(held[0][:1]), pa.array(held[1][:1])], names=["token", "row"])
 
 
+def _bitmap(h: np.ndarray) -> bytes:
+    """Parity bitmap of a set, four bits a token rounded up to a power of two: token h flips bit h mod its size."""
+    bits = 1 << max(8, int(4 * len(h) - 1).bit_length())
+    flips = np.bincount((mix(h) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _sketch(width):
-    """Parity bitmap of each text's set: token h flips bit h mod BITMAP_BITS."""
     schema = pa.schema([("row", pa.int64()), ("bits", pa.binary())])
 
     def run(batches):
         for rows, texts in _sliced(batches):
-            h, owner, n = shingles(texts, width)
-            flat = np.bincount(owner * BITMAP_BITS + (mix(h) % np.uint64(BITMAP_BITS)).astype(np.int64), minlength=len(rows) * BITMAP_BITS) if len(rows) * BITMAP_BITS < 1 << 26 else None
-            packed = np.packbits((flat & 1).astype(np.uint8).reshape(len(rows), -1), axis=1) if flat is not None else np.stack([np.packbits((np.bincount((mix(h[owner == i]) % np.uint64(BITMAP_BITS)).astype(np.int64), minlength=BITMAP_BITS) & 1).astype(np.uint8)) for i in range(len(rows))])
-            yield pa.record_batch([pa.array(np.array(rows, np.int64)), pa.array([x.tobytes() for x in packed], pa.binary())], schema=schema)
+            h, _, n = shingles(texts, width)
+            cut = np.concatenate(([0], np.cumsum(n)))
+            yield pa.record_batch([pa.array(np.array(rows, np.int64)), pa.array([_bitmap(h[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary())], schema=schema)
 
     return run
 
@@ -236,20 +240,30 @@ def _exact(num, den):
     return run
 
 
+def _apart(x: bytes, y: bytes) -> int:
+    """Differing bits of two bitmaps, the longer folded to the size of the other: at most the sets' difference."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+_OPEN = "a long, b long, ga long, gb long, apart long"
+
+
 def _within(num, den):
     """Keep pairs that sizes and bitmaps do not rule out."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "ga", "gb", "apart")])
 
     def run(batches):
         for batch in batches:
-            a, b, na, nb = (batch.column(c).to_numpy() for c in ("a", "b", "na", "nb"))
-            if not len(a):
-                continue
-            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(a), -1) for c in ("ba", "bb")]
-            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1).astype(np.int64)
+            a, b, ga, gb, na, nb = (batch.column(c).to_numpy() for c in ("a", "b", "ga", "gb", "na", "nb"))
+            apart = np.array([_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column("ba"), batch.column("bb"))], np.int64)
             most = (na + nb - np.maximum(apart, np.abs(na - nb))) // 2
             keep = den * most >= num * (na + nb - most)
-            yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], schema=schema)
+            yield pa.record_batch([pa.array(c[keep]) for c in (a, b, ga, gb, apart)], schema=schema)
 
     return run
 
@@ -298,22 +312,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pairs = pairs.join(value.select(F.col("row").alias(side), *(F.col(n).alias(n[0] + side) for n in names)), side)
         return pairs
 
-    def linked(pairs: DataFrame, tag: str) -> DataFrame:
-        """Exact links among candidate pairs of classes."""
+    def bounded(pairs: DataFrame, tag: str) -> DataFrame:
+        """Candidate pairs (a, b, ga, gb) that may still be links."""
         sizes = sides(pairs, own, "n").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
-        bounded = save(sides(sizes, sketches, "bits").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_within(num, den), "a long, b long"), f"{tag}-open")
-        sets = save(picked(save(wanted(bounded), f"{tag}-ids")).mapInArrow(_sets(width), "row long, tokens binary"), f"{tag}-sets")
-        return save(sides(bounded, sets, "tokens").select("a", "b", "ta", "tb").mapInArrow(_exact(num, den), "a long, b long"), f"{tag}-links")
+        return save(sides(sizes, sketches, "bits").select("a", "b", "ga", "gb", "na", "nb", "ba", "bb").mapInArrow(_within(num, den), _OPEN), tag, True)
+
+    def linked(pairs: DataFrame, tag: str) -> DataFrame:
+        """The links among pairs of classes, by comparing their sets."""
+        pairs = save(pairs.select("a", "b"), f"{tag}-pairs")
+        sets = save(picked(save(wanted(pairs), f"{tag}-ids")).mapInArrow(_sets(width), "row long, tokens binary"), f"{tag}-sets")
+        return save(sides(pairs, sets, "tokens").select("a", "b", "ta", "tb").mapInArrow(_exact(num, den), "a long, b long"), f"{tag}-links", True)
+
+    def nearest(pairs: DataFrame, *keys: str) -> DataFrame:
+        """Of each key the pair whose bitmaps differ least."""
+        return pairs.groupBy(*keys).agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b")
 
     posts = slim.mapInArrow(_postings(width, num, den, *hot), "token long, row long")
-    shared = save(posts.repartition(F.col("token")).sortWithinPartitions("token").mapInArrow(_shared, "token long, row long"), "op7-postings")
+    shared = save(posts.repartition(F.col("token")).sortWithinPartitions("token").mapInArrow(_shared, "token long, row long"), "op7-postings", True)
     cls_of = classes.select("row", "cls")
-    shared = shared.join(cls_of, "row").select("token", F.col("cls").alias("row")).distinct()
+    shared = save(shared.join(cls_of, "row").select("token", F.col("cls").alias("row")).distinct(), "op7-shared", True)
 
     star_pairs = save(star_pairs, "op7-stars")
     need = save(wanted(star_pairs).union(shared.select("row").distinct()).distinct(), "op7-need")
     sketches = save(picked(need).mapInArrow(_sketch(width), "row long, bits binary"), "op7-bitmaps")
-    star_links = linked(star_pairs, "op7-star")
+    starred = bounded(star_pairs.select("a", "b", F.col("a").alias("ga"), F.col("b").alias("gb")), "op7-star-open")
+    star_links = linked(nearest(starred, "b"), "op7-star")
 
     # Matrix of tokens and groups; rows of tokens with one group only are closed.
     group = components(star_links)
@@ -326,8 +349,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cells = matrix.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     asks = matrix.alias("q").join(cells.alias("g"), "token").where("q.grp < g.grp")
     asks = asks.where(f"{den} * q.n >= {num} * g.lo and {den} * g.hi >= {num} * q.n").select(F.col("q.row").alias("a"), F.col("q.grp").alias("ga"), F.col("g.grp").alias("gb"), "token")
-    opened = asks.join(matrix.select("token", F.col("grp").alias("gb"), F.col("row").alias("b")), ["token", "gb"]).select("a", "b").distinct()
-    cross = linked(opened, "op7-cross")
+    opened = asks.join(matrix.select("token", F.col("grp").alias("gb"), F.col("row").alias("b")), ["token", "gb"]).select("a", "b", "ga", "gb").distinct()
+    opened = bounded(opened, "op7-cross-open")
+    # One link is enough to join two groups: the likeliest pair first, the others where groups are still apart.
+    first_links = linked(nearest(opened, "ga", "gb"), "op7-cross")
+    met = opened.join(first_links, ["a", "b"]).select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    joined = components(met)
+    for g in ("ga", "gb"):
+        opened = opened.join(joined.select(F.col("row").alias(g), F.col("component").alias(f"{g}_now")), g, "left").withColumn(f"{g}_now", F.coalesce(f"{g}_now", g))
+    rest = opened.where("ga_now <> gb_now").select("a", "b")
+    cross = first_links.union(linked(rest, "op7-rest"))
 
     edges = copies.union(star_links).union(cross)
     comp = components(edges)
