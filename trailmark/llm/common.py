@@ -61,5 +61,18 @@ def row_keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return save(numbered, "rows"), False
 
 
+ROW = "_trailmark_row"
+
+
+def with_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with a unique long column ROW in the order of row_keyed: the id where ids are unique and not null."""
+    ids = docs.groupBy(F.col(id_col).cast("long").alias("id")).count()
+    odd = ids.agg(F.max(F.when(F.col("id").isNull() | (F.col("count") > 1), 1).otherwise(0))).first()[0]
+    if not odd:
+        return docs.withColumn(ROW, F.col(id_col).cast("long"))
+    order = docs.orderBy(F.col(id_col).cast("long").asc_nulls_first(), F.coalesce(F.col(text_col), F.lit("")))
+    return save(order.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

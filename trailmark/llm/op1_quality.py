@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import Poly, join_texts, mix, slices
+from .rolling import Poly, join_texts, mix, text_slices
 
 ROUNDS, SURE, ROUND_SHARE = 3, 0.97, 0.25
 WORDS = 1600  # words that a text model looks at
@@ -212,9 +212,8 @@ def _collected(docs: DataFrame, text_col: str) -> tuple:
 
     def run(batches):
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(text_col)]
-            for a, b in slices([len(t) for t in texts], 2_000_000):
-                words, owner, style = text_features(texts[a:b])
+            for a, b, texts in text_slices(batch.column(text_col), 1_000_000):
+                words, owner, style = text_features(texts)
                 meta = meta_features(*(batch.column(c).slice(a, b - a).to_pylist() for c in ("source", "lang", "n_chars")))
                 ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=b - a))))
                 yield pa.record_batch([batch.column("id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.view(np.int64))), pa.array(style.tolist(), pa.list_(pa.float64())), pa.array(meta.tolist(), pa.list_(pa.int64()))], schema=schema)
@@ -247,9 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lists = got.column("words").combine_chunks()
     owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy())) if len(ids) else np.zeros(0, np.int64)
     words = lists.values.to_numpy().view(np.uint64)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()] if len(ids) else np.zeros(0, np.uint64)
-    style = np.array(got.column("style").to_pylist(), float).reshape(len(ids), -1)
-    if not len(ids):
-        style = text_features([b""])[2]
+    style = np.array(got.column("style").to_pylist(), float) if len(ids) else text_features([b""])[2]
     cuts = np.quantile(style, np.linspace(0.1, 0.9, 9), axis=0).T
     by_id = wanted.set_index("id")
     y = {t: np.array([-1 if (v := by_id[t].get(int(i))) is None or v != v else int(v > 0) for i in ids], np.int64) for t in ("quality", "toxic")}
@@ -271,10 +268,9 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         m = shared.value
         n_bins = m.cuts.shape[1] + 1
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(text_col)]
             parts = []
-            for a, b in slices([len(t) for t in texts], 2_000_000):
-                words, owner, style = text_features(texts[a:b])
+            for a, b, texts in text_slices(batch.column(text_col), 1_000_000):
+                words, owner, style = text_features(texts)
                 meta = meta_features(*(batch.column(c).slice(a, b - a).to_pylist() for c in ("source", "lang", "n_chars")))
                 at = np.minimum(np.searchsorted(m.words, words), max(len(m.words) - 1, 0))
                 hit = m.words[at] == words if len(m.words) else np.zeros(len(words), bool)

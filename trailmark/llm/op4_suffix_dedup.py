@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_keyed, save
-from .rolling import Poly, join_texts, mix, slices
+from .rolling import Poly, join_texts, mix, text_slices
 
 _GRAM, _RUN = Poly(41), Poly(42)
-_SLICE = 1_500_000
+_SLICE = 1_000_000
 HOT_RUNS = 200
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -78,11 +78,12 @@ def _pieces(batches, length):
     """(rows, texts, offsets): long texts are cut so that pieces hold every window once."""
     for batch in batches:
         rows = batch.column("row").to_numpy(zero_copy_only=False)
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-        items = [(r, t if len(t) <= _SLICE else t[o : o + _SLICE + length - 1], o) for r, t in zip(rows, texts) for o in range(0, max(len(t), 1), _SLICE)]
-        for a, b in slices([len(t) for _, t, _ in items], _SLICE):
-            part = items[a:b]
-            yield np.array([x[0] for x in part], np.int64), [x[1] for x in part], np.array([x[2] for x in part], np.int64)
+        for a, b, texts in text_slices(batch.column("text"), _SLICE):
+            if b - a > 1 or len(texts[0]) <= _SLICE:
+                yield rows[a:b], texts, np.zeros(b - a, np.int64)
+            else:
+                for o in range(0, len(texts[0]), _SLICE):
+                    yield rows[a:b], [texts[0][o : o + _SLICE + length - 1]], np.array([o])
 
 
 def _first_of(keys: tuple, rows, starts):
@@ -130,7 +131,7 @@ def _emit(h, g, rows, starts, sizes, first, length):
     )
 
 
-def _reduced(make, length, held_most=600_000):
+def _reduced(make, length, held_most=300_000):
     """Gather (h, g, row, start, size) of a task up to a bound, then emit first ones and known repeats."""
 
     def run(batches):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import checked_broadcast, row_keyed, save
 from .graph import components
-from .rolling import Poly, join_texts, mix, slices
+from .rolling import Poly, join_texts, mix, text_slices
 
 #: A token found in this many classes or more counts as common; doubled until the common tokens fit HOT_MAX.
 HOT_FROM, HOT_MAX = 48, 500_000
@@ -38,7 +38,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_SLICE = 2_000_000
+_SLICE = 1_000_000
 
 
 def shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,16 +65,12 @@ def shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray
     return h, owner, np.bincount(owner, minlength=len(texts))
 
 
-def _texts(batch) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-
-
 def _sliced(batches):
     """(row ids, texts) in slices of bounded bytes."""
     for batch in batches:
-        rows, texts = batch.column("row").to_numpy(zero_copy_only=False), _texts(batch)
-        for a, b in slices([len(t) for t in texts], _SLICE):
-            yield rows[a:b], texts[a:b]
+        rows = batch.column("row").to_numpy(zero_copy_only=False)
+        for a, b, texts in text_slices(batch.column("text"), _SLICE):
+            yield rows[a:b], texts
 
 
 def _prints(h, owner, n):
@@ -105,7 +101,7 @@ def _profile(width: int):
 
         def counted(flush):
             nonlocal tokens, held
-            if tokens and (flush or held > 4_000_000):
+            if tokens and (flush or held > 2_000_000):
                 v, c = np.unique(np.concatenate(tokens), return_counts=True)
                 some = c >= 3
                 tokens, held = [], 0
@@ -121,7 +117,7 @@ def _profile(width: int):
                     at = seen.setdefault(key, int(rows[i]))
                     fresh[i] = at == rows[i]
                     lead[i] = at
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             tokens.append(h[fresh[owner]])
             held += len(tokens[-1])
@@ -147,7 +143,7 @@ def _postings(width, num, den, hot_token, hot_count):
                 if key[0] and key not in seen:
                     fresh[i] = True
                     seen.add(key)
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             keep = fresh[owner]
             h, owner = h[keep], owner[keep]

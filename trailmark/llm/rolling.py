@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _RNG = np.random.default_rng(20240611)
 _MASK = (1 << 64) - 1
@@ -67,3 +69,11 @@ def slices(sizes: list[int], limit: int):
         total += s
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def text_slices(column: pa.Array, limit: int):
+    """(first, end, texts as UTF-8 bytes) of a string column, in slices of about limit bytes; null is empty."""
+    raw = column.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(raw), 0).to_pylist()
+    for a, b in slices(sizes, limit):
+        yield a, b, [t or b"" for t in raw.slice(a, b - a).to_pylist()]
