@@ -1,35 +1,65 @@
-"""Order-dependent operators on bounded groups, as grouped pandas functions: suppression, components, homographies."""
+"""Order-dependent operators on bounded groups (an image, a mask, a pair): suppression, components, homographies.
+
+Rows are dealt by key and sorted inside tasks; a task walks through its groups batch by batch, so many small groups share
+one Arrow batch and only the group at hand is in memory.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def per_group(df: DataFrame, key: str, one: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
+    """Rows (key, ...) that `one` makes of each group's columns; null keys are one group."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def made(pdf: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        rows = [(cols[key][a], *r) for a, b in zip(cuts, cuts[1:]) for r in one({c: v[a:b] for c, v in cols.items()})]
+        return pd.DataFrame(rows, columns=[key, *names])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in frames:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            codes = pd.factorize(pdf[key], use_na_sentinel=False)[0]
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist()]
+            rest = pdf.iloc[cuts[-1] :]
+            if len(cuts) > 1:
+                yield made(pdf, cuts)
+        if rest is not None and len(rest):
+            yield made(rest, [0, len(rest)])
+
+    return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {schema}")
+
+
 def suppress(boxes: DataFrame, key: str, limit: float = 0.5) -> DataFrame:
     """Greedy non-maximum suppression of boxes (id, x0, y0, x1, y1, score) inside a key (one image and class)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-        x0, y0, x1, y1 = (pdf[c].to_numpy(float) for c in ("x0", "y0", "x1", "y1"))
-        area, alive, kept = (x1 - x0) * (y1 - y0), np.ones(len(pdf), bool), []
-        for i in range(len(pdf)):
+    def one(c: dict[str, np.ndarray]) -> list[tuple]:
+        order = np.lexsort((c["id"], -c["score"]))
+        x0, y0, x1, y1, ids = (c[n][order] for n in ("x0", "y0", "x1", "y1", "id"))
+        area, alive, kept = (x1 - x0) * (y1 - y0), np.ones(len(ids), bool), []
+        for i in range(len(ids)):
             if alive[i]:
-                kept.append(i)
+                kept.append((ids[i],))
                 shared = np.maximum(np.minimum(x1, x1[i]) - np.maximum(x0, x0[i]), 0) * np.maximum(np.minimum(y1, y1[i]) - np.maximum(y0, y0[i]), 0)
                 alive &= shared <= limit * (area + area[i] - shared)
-        return pdf.loc[kept, [key, "id"]]
+        return kept
 
-    return boxes.groupBy(key).applyInPandas(run, f"{key} {boxes.schema[key].dataType.simpleString()}, id long")
+    return per_group(boxes.select(key, "id", "x0", "y0", "x1", "y1", "score"), key, one, "id long")
 
 
 def components8(runs: DataFrame, key: str) -> DataFrame:
     """8-connected components of masks given as run-length rows (y, x0, x1): their number and the largest one's pixels."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["y", "x0"])[["y", "x0", "x1"]].to_numpy(np.int64)
-        root = np.arange(len(rows))
+    def one(c: dict[str, np.ndarray]) -> list[tuple]:
+        rows = sorted(zip(c["y"].tolist(), c["x0"].tolist(), c["x1"].tolist()))
+        root = list(range(len(rows)))
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -38,15 +68,17 @@ def components8(runs: DataFrame, key: str) -> DataFrame:
             return i
 
         by_y: dict[int, list[int]] = {}
-        for i, (y, a, b) in enumerate(rows.tolist()):
+        for i, (y, a, b) in enumerate(rows):
             for j in by_y.get(y - 1, []) + by_y.get(y, []):
-                if rows[j, 1] <= b and a <= rows[j, 2]:  # touching at a corner counts
+                if rows[j][1] <= b and a <= rows[j][2]:  # touching at a corner counts
                     root[find(i)] = find(j)
             by_y.setdefault(y, []).append(i)
-        size = pd.Series(rows[:, 2] - rows[:, 1]).groupby([find(i) for i in range(len(rows))]).sum()
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "components": [len(size)], "largest": [int(size.max())]})
+        size: dict[int, int] = {}
+        for i, (_, a, b) in enumerate(rows):
+            size[find(i)] = size.get(find(i), 0) + b - a
+        return [(len(size), max(size.values()))]
 
-    return runs.groupBy(key).applyInPandas(run, f"{key} {runs.schema[key].dataType.simpleString()}, components long, largest long")
+    return per_group(runs.select(key, "y", "x0", "x1"), key, one, "components long, largest long")
 
 
 def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
@@ -68,9 +100,9 @@ def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
 def homographies(matches: DataFrame, key: str, pixels: float = 3.0, rounds: int = 2000, confidence: float = 0.995) -> DataFrame:
     """RANSAC homography of each pair's matches (x0, y0, x1, y1): 9 numbers and the inliers; null with under 4 matches."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x0", "y0", "x1", "y1"])
-        a, b = pdf[["x0", "y0"]].to_numpy(float), pdf[["x1", "y1"]].to_numpy(float)
+    def one(c: dict[str, np.ndarray]) -> list[tuple]:
+        order = np.lexsort((c["y1"], c["x1"], c["y0"], c["x0"]))
+        a, b = np.column_stack((c["x0"], c["y0"])).astype(float)[order], np.column_stack((c["x1"], c["y1"])).astype(float)[order]
         rng, best, need, k = np.random.default_rng(0), np.zeros(len(a), bool), rounds, 0
 
         def inside(h):
@@ -87,6 +119,6 @@ def homographies(matches: DataFrame, key: str, pixels: float = 3.0, rounds: int
                 need = min(rounds, int(np.ceil(np.log(1 - confidence) / np.log(1 - w))) if w > 0 else rounds)
             k += 1
         h = _solve(a[best], b[best]) if best.sum() >= 4 else None
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "h": [None if h is None else h.ravel().tolist()], "matches": [len(a)], "inliers": [int(best.sum())]})
+        return [(None if h is None else h.ravel().tolist(), len(a), int(best.sum()))]
 
-    return matches.groupBy(key).applyInPandas(run, f"{key} {matches.schema[key].dataType.simpleString()}, h array<double>, matches long, inliers long")
+    return per_group(matches.select(key, "x0", "y0", "x1", "y1"), key, one, "h array<double>, matches long, inliers long")

@@ -51,9 +51,10 @@ def ratio_matches(a: DataFrame, b: DataFrame, key: str, limit: float = 0.75) ->
     """Two nearest neighbours inside a key; kept where the first is clearly nearer: d1 < limit * d2."""
     pairs = a.select(key, F.col("id").alias("a"), F.col("v").alias("va")).join(b.select(key, F.col("id").alias("b"), F.col("v").alias("vb")), key)
     d = pairs.select(key, "a", "b", F.sqrt(square_distance(F.col("va"), F.col("vb"))).alias("d"))
-    # min_by on a pair keeps the two smallest without sorting the pairs of a key.
-    near = d.groupBy(key, "a").agg(F.min(F.struct("d", "b")).alias("n1"), F.slice(F.array_sort(F.collect_list("d")), 2, 1).alias("rest"))
-    return near.where(F.col("n1.d") < limit * F.col("rest")[0]).select(key, "a", F.col("n1.b").alias("b"), F.col("n1.d").alias("d"))
+    # Ranks up to two are cut inside the tasks before the shuffle, and sorting spills: no list of a group is gathered.
+    two = d.withColumn("_r", F.row_number().over(Window.partitionBy(key, "a").orderBy("d", "b"))).where("_r <= 2")
+    near = two.groupBy(key, "a").agg(F.min(F.struct("_r", "b", "d")).alias("n1"), F.max(F.when(F.col("_r") == 2, F.col("d"))).alias("d2"))
+    return near.where(F.col("n1.d") < limit * F.col("d2")).select(key, "a", F.col("n1.b").alias("b"), F.col("n1.d").alias("d"))
 
 
 def mutual_matches(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -79,3 +80,13 @@ def resample(points: DataFrame, track: DataFrame, key: str, at: str, value: str)
     marks = marks.withColumn("_p", F.last(pair, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(pair, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (F.col(at) - F.col("_p.t")) / F.nullif(F.col("_n.t") - F.col("_p.t"), F.lit(0))
     return marks.where(F.col(value).isNull()).select(key, at, F.coalesce(line, F.col("_p.v"), F.col("_n.v")).alias("value"))
+
+
+def double_softmax(a: DataFrame, b: DataFrame, key: str, temperature: float, limit: float) -> DataFrame:
+    """The best b of each a by the product of the softmax shares of both directions, where it passes the limit."""
+    pairs = a.select(key, F.col("id").alias("a"), F.col("v").alias("va")).join(b.select(key, F.col("id").alias("b"), F.col("v").alias("vb")), key)
+    e = pairs.select(key, "a", "b", F.exp(dot(F.col("va"), F.col("vb")) / temperature).alias("e"))
+    rows, cols = e.groupBy(key, "a").agg(F.sum("e").alias("ra")), e.groupBy(key, "b").agg(F.sum("e").alias("rb"))
+    p = e.join(rows, [key, "a"]).join(cols, [key, "b"]).select(key, "a", "b", (F.col("e") / F.col("ra") * F.col("e") / F.col("rb")).alias("p"))
+    best = p.groupBy(key, "a").agg(F.max(F.struct("p", (-F.col("b")).alias("k"), "b")).alias("m"))
+    return best.where(F.col("m.p") > limit).select(key, "a", F.col("m.b").alias("b"), F.col("m.p").alias("p"))

@@ -58,8 +58,8 @@ def bad_image(df: DataFrame) -> DataFrame:
     """Adds risk_flags, risk_score and skip_recommendation to (route, weather, occlusion, text)."""
     low, route = F.lower("text"), F.col("route")
     placed, lit = route.isin("local", "dual"), route.isin("global", "dual")
-    any_of = lambda *terms: F.size(T.mentions(low, terms)) > 0
-    vehicle, person = F.size(T.mentions(low, T.VEHICLE_SURFACES)) > 0, F.size(T.mentions(low, T.PERSON_SURFACES)) > 0
+    any_of = lambda *terms: T.mentions_any(low, terms)
+    vehicle, person = T.mentions_any(low, T.VEHICLE_SURFACES), T.mentions_any(low, T.PERSON_SURFACES)
     found = flags(
         missing_occlusion=placed & F.col("occlusion").isNull(),
         missing_weather=lit & F.col("weather").isNull(),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.text import path_id, safe_id
@@ -24,8 +24,11 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
 
     Lines that are no objects are faults, as are repeated sample ids after sanitising; strict adds blank lines, repeated keys and NaN.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line", "raw"))
-    lines = whole.withColumn("line", F.col("line") + 1)
+    text = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_m"))
+    # Line numbers without reading a file in one task: lines of the blocks before, plus the place in the own block.
+    blocks = text.groupBy("_file", "_at").agg(F.count("*").alias("_n"), F.min("_m").alias("_m0"))
+    before = blocks.withColumn("_before", F.sum("_n").over(Window.partitionBy("_file").orderBy("_at")) - F.col("_n"))
+    lines = text.join(before, ["_file", "_at"]).select((F.col("_before") + F.col("_m") - F.col("_m0") + 1).alias("line"), "raw")
     keys = F.json_object_keys("raw")
     row = F.from_json("raw", schema, {"mode": "PERMISSIVE", "allowNonNumericNumbers": "false"})
     blank = F.trim("raw") == ""
@@ -34,9 +37,10 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
         reason = F.coalesce(reason, F.when(~blank & (F.size(keys) != F.size(F.array_distinct(keys))), "repeated key"), F.when(~blank & F.col("raw").rlike(r"\b(NaN|Infinity)\b"), "not a finite number"))
     read = lines.select("line", "raw", row.alias("row"), reason.alias("reason")).where(~blank | F.col("reason").isNotNull())
     rows = read.where("reason is null").select("line", "row.*").withColumn("sample_id", safe_id(F.col("sample_id")))
-    twice = rows.groupBy("sample_id").agg(F.min("line").alias("first"), F.count("*").alias("n"))
-    again = rows.join(twice, F.equal_null(rows["sample_id"], twice["sample_id"])).where((F.col("n") > 1) & (F.col("line") > F.col("first")) | rows["sample_id"].isNull())
-    faults = read.where("reason is not null").select("line", "reason").union(again.select("line", F.when(rows["sample_id"].isNull(), "empty sample_id").otherwise("repeated sample_id")))
+    twice = rows.groupBy("sample_id").agg(F.min("line").alias("_first"), F.count("*").alias("_copies"))
+    ids = rows.select("line", "sample_id")
+    again = ids.join(twice, "sample_id").where("_copies > 1 and line > _first").select("line", F.lit("repeated sample_id").alias("reason"))
+    faults = read.where("reason is not null").select("line", "reason").union(again).union(ids.where("sample_id is null").select("line", F.lit("empty sample_id")))
     return rows, faults
 
 
