@@ -7,7 +7,8 @@ Documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or
 2.  Groups of similar documents: each class is compared with the smallest class that shares one of its
     minimum hashes, so a group of n near copies costs n comparisons. Links found form the groups.
 3.  Token-group matrix: every class posts its prefix tokens; a prefix covers any partner at the threshold.
-    A token that meets one group only is closed. For the rest, (class, other group) pairs are bounded:
+    A token that meets one group only is closed. First each row meets one member of the other groups of its tokens, and groups
+    found to be linked become one. For the rest, (class, other group) pairs are bounded:
     by the sizes in the group and by a parity bitmap (difference of bitmaps <= difference of sets). Only
     pairs that may still reach the threshold are opened and compared exactly.
 
@@ -334,17 +335,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     starred = bounded(star_pairs.select("a", "b", F.col("a").alias("ga"), F.col("b").alias("gb")), "op7-star-open")
     star_links = linked(nearest(starred, "b"), "op7-star")
 
-    # Matrix of tokens and groups; rows of tokens with one group only are closed.
-    group = components(star_links)
-    members = own.select("row", "n").join(group, "row", "left").select("row", "n", F.coalesce("component", "row").alias("grp"))
-    members = save(members, "op7-members")
-    matrix = save(shared.join(members, "row").select("token", "row", "n", "grp"), "op7-matrix")
-    open_tokens = matrix.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    matrix = matrix.join(open_tokens, "token")
-    # Sizes in a token's group bound the overlap before the group is opened.
-    cells = matrix.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    asks = matrix.alias("q").join(cells.alias("g"), "token").where("q.grp < g.grp")
-    asks = asks.where(f"{den} * q.n >= {num} * g.lo and {den} * g.hi >= {num} * q.n").select(F.col("q.row").alias("a"), F.col("q.grp").alias("ga"), F.col("g.grp").alias("gb"), "token")
+    def grouped(links: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+        """Matrix of tokens and groups, tokens with one group only closed; and its (row, other group) cells that sizes allow."""
+        members = own.select("row", "n").join(components(links), "row", "left").select("row", "n", F.coalesce("component", "row").alias("grp"))
+        matrix = save(shared.join(save(members, f"{tag}-members"), "row").select("token", "row", "n", "grp"), f"{tag}-matrix", True)
+        matrix = matrix.join(matrix.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token"), "token")
+        # Sizes in a token's group bound the overlap before the group is opened.
+        cells = matrix.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("row").alias("first"))
+        asks = matrix.alias("q").join(cells.alias("g"), "token").where("q.grp < g.grp").where(f"{den} * q.n >= {num} * g.lo and {den} * g.hi >= {num} * q.n")
+        return matrix, asks.select(F.col("q.row").alias("a"), F.col("q.grp").alias("ga"), F.col("g.grp").alias("gb"), F.col("g.first").alias("first"), "token")
+
+    # Groups that belong together meet here through one member of each, so that the full opening below finds few pairs.
+    probes = bounded(grouped(star_links, "op7-probe")[1].select("a", F.col("first").alias("b"), "ga", "gb").distinct(), "op7-probe-open")
+    star_links = save(star_links.union(linked(nearest(probes, "ga", "gb"), "op7-probe")), "op7-star-links")
+    matrix, asks = grouped(star_links, "op7-cross")
     opened = asks.join(matrix.select("token", F.col("grp").alias("gb"), F.col("row").alias("b")), ["token", "gb"]).select("a", "b", "ga", "gb").distinct()
     opened = bounded(opened, "op7-cross-open")
     # One link is enough to join two groups: the likeliest pair first, the others where groups are still apart.
