@@ -7,9 +7,8 @@ Documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or
 2.  Groups of similar documents: each class is compared with the smallest class that shares one of its
     minimum hashes, so a group of n near copies costs n comparisons. Links found form the groups.
 3.  Token-group matrix: every class posts its prefix tokens; a prefix covers any partner at the threshold.
-    A token that meets one group only is closed. First each row meets one member of the other groups of its tokens, and groups
-    found to be linked become one. For the rest, (class, other group) pairs are bounded:
-    by the sizes in the group and by a parity bitmap (difference of bitmaps <= difference of sets). Only
+    A token that meets one group only is closed. For the rest, (class, other group) pairs are bounded:
+    by the sizes in the group, by the places of their first common token, and by a parity bitmap (difference of bitmaps <= difference of sets). Only
     pairs that may still reach the threshold are opened and compared exactly.
 
 Tokens common to many documents go last in the prefix order (counts are gathered from all documents), so
@@ -130,8 +129,8 @@ def _profile(width: int):
 
 
 def _postings(width, num, den, hot_token, hot_count):
-    """Prefix tokens of each text, once for each different set of a task; common tokens last."""
-    schema = pa.schema([("token", pa.int64()), ("row", pa.int64())])
+    """Prefix tokens of each text, once for each different set of a task; common tokens last. rem: tokens from this one on."""
+    schema = pa.schema([("token", pa.int64()), ("row", pa.int64()), ("rem", pa.int32())])
 
     def run(batches):
         seen: set = set()
@@ -158,7 +157,7 @@ def _postings(width, num, den, hot_token, hot_count):
             place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
             prefix = size - -(-size * num // den) + 1
             keep = place < prefix[owner]
-            yield pa.record_batch([pa.array(h[keep].view(np.int64)), pa.array(np.array(rows, np.int64)[owner[keep]])], schema=schema)
+            yield pa.record_batch([pa.array(h[keep].view(np.int64)), pa.array(np.array(rows, np.int64)[owner[keep]]), pa.array((size[owner] - place)[keep].astype(np.int32))], schema=schema)
 
     return run
 
@@ -167,24 +166,23 @@ def _shared(batches):
     """From postings sorted by token: those of tokens with two rows at least."""
     held = None
     for batch in batches:
-        t, r = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        t, r, m = (c.to_numpy() for c in batch.columns)
         if held is not None:
-            t, r = np.concatenate((held[0], t)), np.concatenate((held[1], r))
+            t, r, m = (np.concatenate(x) for x in zip(held, (t, r, m)))
         if not len(t):
             continue
         same = t[1:] == t[:-1]
         keep = np.zeros(len(t), bool)
         keep[1:] |= same
         keep[:-1] |= same
-        last = (t[-1:], r[-1:])
         known = keep[-1]
         keep[-1] = False
-        held = last if not known else (np.repeat(t[-1:], 2), np.repeat(r[-1:], 2))
-        yield pa.record_batch([pa.array(t[keep]), pa.array(r[keep])], schema=batch.schema)
+        held = tuple(np.repeat(x[-1:], 2 if known else 1) for x in (t, r, m))
+        yield pa.record_batch([pa.array(x[keep]) for x in (t, r, m)], schema=batch.schema)
         if known:  # two copies of the last row stay held: its token is known to be shared
             continue
     if held is not None and len(held[0]) > 1:
-        yield pa.record_batch([pa.array(held[0][:1]), pa.array(held[1][:1])], names=["token", "row"])
+        yield pa.record_batch([pa.array(x[:1]) for x in held], names=["token", "row", "rem"])
 
 
 def _bitmap(h: np.ndarray) -> bytes:
@@ -324,10 +322,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         """Of each key the pair whose bitmaps differ least."""
         return pairs.groupBy(*keys).agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b")
 
-    posts = slim.mapInArrow(_postings(width, num, den, *hot), "token long, row long")
-    shared = save(posts.repartition(F.col("token")).sortWithinPartitions("token").mapInArrow(_shared, "token long, row long"), "op7-postings", True)
+    posts = slim.mapInArrow(_postings(width, num, den, *hot), "token long, row long, rem int")
+    shared = save(posts.repartition(F.col("token")).sortWithinPartitions("token").mapInArrow(_shared, "token long, row long, rem int"), "op7-postings", True)
     cls_of = classes.select("row", "cls")
-    shared = save(shared.join(cls_of, "row").select("token", F.col("cls").alias("row")).distinct(), "op7-shared", True)
+    shared = save(shared.join(cls_of, "row").select("token", F.col("cls").alias("row"), "rem").distinct(), "op7-shared", True)
 
     star_pairs = save(star_pairs, "op7-stars")
     need = save(wanted(star_pairs).union(shared.select("row").distinct()).distinct(), "op7-need")
@@ -335,21 +333,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     starred = bounded(star_pairs.select("a", "b", F.col("a").alias("ga"), F.col("b").alias("gb")), "op7-star-open")
     star_links = linked(nearest(starred, "b"), "op7-star")
 
-    def grouped(links: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
-        """Matrix of tokens and groups, tokens with one group only closed; and its (row, other group) cells that sizes allow."""
-        members = own.select("row", "n").join(components(links), "row", "left").select("row", "n", F.coalesce("component", "row").alias("grp"))
-        matrix = save(shared.join(save(members, f"{tag}-members"), "row").select("token", "row", "n", "grp"), f"{tag}-matrix", True)
-        matrix = matrix.join(matrix.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token"), "token")
-        # Sizes in a token's group bound the overlap before the group is opened.
-        cells = matrix.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("row").alias("first"))
-        asks = matrix.alias("q").join(cells.alias("g"), "token").where("q.grp < g.grp").where(f"{den} * q.n >= {num} * g.lo and {den} * g.hi >= {num} * q.n")
-        return matrix, asks.select(F.col("q.row").alias("a"), F.col("q.grp").alias("ga"), F.col("g.grp").alias("gb"), F.col("g.first").alias("first"), "token")
-
-    # Groups that belong together meet here through one member of each, so that the full opening below finds few pairs.
-    probes = bounded(grouped(star_links, "op7-probe")[1].select("a", F.col("first").alias("b"), "ga", "gb").distinct(), "op7-probe-open")
-    star_links = save(star_links.union(linked(nearest(probes, "ga", "gb"), "op7-probe")), "op7-star-links")
-    matrix, asks = grouped(star_links, "op7-cross")
-    opened = asks.join(matrix.select("token", F.col("grp").alias("gb"), F.col("row").alias("b")), ["token", "gb"]).select("a", "b", "ga", "gb").distinct()
+    # Matrix of tokens and groups; rows of tokens with one group only are closed.
+    group = components(star_links)
+    members = own.select("row", "n").join(group, "row", "left").select("row", "n", F.coalesce("component", "row").alias("grp"))
+    members = save(members, "op7-members")
+    matrix = save(shared.join(members, "row").select("token", "row", "n", "grp", "rem"), "op7-matrix")
+    # At a pair's first common token the overlap is at most what is left of either set from there on: the position bound.
+    fits = lambda n, rem, least_n, most_rem: f"{num + den} * least({rem}, {most_rem}) >= {num} * ({n} + {least_n})"
+    of_token = matrix.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min("n").alias("least_n"), F.max("rem").alias("most_rem")).where("lo < hi").drop("lo", "hi")
+    matrix = matrix.join(of_token, "token").where(fits("n", "rem", "least_n", "most_rem")).drop("least_n", "most_rem")
+    # Sizes and positions in a token's group bound the overlap before the group is opened.
+    cells = matrix.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rem").alias("rem"))
+    asks = matrix.alias("q").join(cells.alias("g"), F.expr(f"q.token = g.token and q.grp < g.grp and {den} * q.n >= {num} * g.lo and {den} * g.hi >= {num} * q.n and {fits('q.n', 'q.rem', 'g.lo', 'g.rem')}"))
+    asks = asks.select(F.col("q.row").alias("a"), F.col("q.n").alias("na"), F.col("q.rem").alias("ra"), F.col("q.grp").alias("ga"), F.col("g.grp").alias("gb"), "q.token")
+    inside = matrix.select("token", F.col("grp").alias("gb"), F.col("row").alias("b"), F.col("n").alias("nb"), F.col("rem").alias("rb"))
+    near = f"{den} * least(na, nb) >= {num} * greatest(na, nb) and {fits('na', 'ra', 'nb', 'rb')}"
+    opened = asks.join(inside, ["token", "gb"]).where(near).select("a", "b", "ga", "gb").distinct()
     opened = bounded(opened, "op7-cross-open")
     # One link is enough to join two groups: the likeliest pair first, the others where groups are still apart.
     first_links = linked(nearest(opened, "ga", "gb"), "op7-cross")
