@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import checked_broadcast, lower_ascii, row_keyed, save
 
-#: Fixed value: a word, in lower-cased text.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, in lower-cased and in any text.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def _words(col):
-    return F.regexp_extract_all(lower_ascii(col), F.lit(WORD), 0)
+def _words(col, gap=GAP):
+    """Words of a text: splitting at the gaps is many times faster here than extracting all matches of a word pattern."""
+    return F.array_remove(F.split(lower_ascii(col) if gap == GAP else col, gap), "")
 
 
 def _windows(items: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
@@ -95,5 +96,5 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     per_row = matches.groupBy("row").agg(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("len")).cast("long").alias("end"))).alias("runs"), F.array_sort(F.collect_set("item")).alias("items"))
     hits = per_row.select("row", covered["hit"].alias("n_hit"), "items")
     near = proximity.groupBy("row").agg(F.count("*").alias("n_near"))
-    out = keyed.select("row", "id", F.regexp_count("text", F.lit(_ANY_CASE)).cast("long").alias("n_words")).join(hits, "row", "left").join(near, "row", "left")
+    out = keyed.select("row", "id", F.size(_words(F.col("text"), _GAP_ANY_CASE)).cast("long").alias("n_words")).join(hits, "row", "left").join(near, "row", "left")
     return out.select("row", "id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
