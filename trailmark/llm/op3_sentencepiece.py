@@ -17,6 +17,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -55,29 +56,36 @@ class Pieces:
         self.unknown = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.score), default=1)
         self.prefix = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
-        self.known = {p: self.score.get(p) for p in self.prefix}  # None: the start of a piece only
+        self.trie: dict = {}  # by character: (further characters, score of the piece that ends here or None)
+        nodes = {"": self.trie}
+        for p in sorted(self.prefix):
+            nodes[p] = {}
+            nodes[p[:-1]][p[-1]] = (nodes[p], self.score.get(p))
         self.alphabet = {c for p in self.score for c in p}
         # Blanks end a stretch if no piece has a mark after another character.
         self.splits = not any(MARK in p.lstrip(MARK) for p in self.score) and "\n" not in self.alphabet
 
     def inside_window(self, s: str) -> list[tuple[int, int]]:
         """The same for a stretch that fits in the window whole, so that its only commit is at its end."""
-        n, get, unknown, low = len(s), self.known.get, self.unknown, float("-inf")
+        n, root, unknown, low = len(s), self.trie, self.unknown, float("-inf")
         best, back = [low] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
         for i in range(n):
             here = best[i]
             if here == low:
                 continue
-            for j in range(i + 1, n + 1):
-                v = get(s[i:j], low)
-                if v is None:
-                    continue
-                if v == low:
+            node, single = root, False
+            for j in range(i, n):
+                found = node.get(s[j])
+                if found is None:
                     break
-                if here + v > best[j]:
-                    best[j], back[j] = here + v, i
-            if self.score.get(s[i]) is None and here + unknown > best[i + 1]:
+                node, v = found
+                if v is not None:
+                    if j == i:
+                        single = True
+                    if here + v > best[j + 1]:
+                        best[j + 1], back[j + 1] = here + v, i
+            if not single and here + unknown > best[i + 1]:
                 best[i + 1], back[i + 1] = here + unknown, i
         spans, at = [], n
         while at:
@@ -140,17 +148,21 @@ class _Stretches(dict):
     def __init__(self, path: str):
         super().__init__()
         self.pieces = Pieces(path)
-        self.kind = "<u2" if self.pieces.size <= 1 << 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if self.pieces.size <= 1 << 16 else ("<u4", "I")
 
     def ids(self, s: str) -> list[int]:
         p, out = self.pieces, []
+        known = p.id.get
         for a, b in p.inside_window(s) if len(s) <= 4 * p.longest else p.search(s):
-            i = p.id.get(s[a:b]) if s[a:b] in p.score else None
-            out.extend([i] if i is not None else [p.byte_id[x] for x in s[a:b].encode("utf-8", "surrogatepass")])
+            i = known(s[a:b])
+            if i is None:
+                out.extend(p.byte_id[x] for x in s[a:b].encode("utf-8", "surrogatepass"))
+            else:
+                out.append(i)
         return out
 
     def __missing__(self, s: str) -> bytes:
-        got = self[s] = np.array(self.ids(s), self.kind).tobytes() if s else b""
+        got = self[s] = array(self.code, self.ids(s)).tobytes() if s else b""
         return got
 
     def literal(self) -> bytes:
