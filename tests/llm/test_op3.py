@@ -77,3 +77,27 @@ def test_frames(spark):
     assert [r.decoded for r in out] == [r[1] or "" for r in rows]
     assert out[0].ids == out[1].ids and out[2].ids == []
     assert encode_ids(df.limit(0), PATH).count() == 0
+
+
+def test_ids_are_the_models_own(spark):
+    """Against the library with the model as shipped."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(100).collect() if MARK not in (r.text or "")]
+    texts += ["École 42\nnew line", "naïve  two   spaces ", " 世界 q", "aaaaaaa", "thequickbrownfoxandéthe世interestingly" * 400, "x" * 3000]
+    rows = encode_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
+    assert len(rows) == len(texts) > 90
+    for r in rows:
+        assert r.ids == library.encode(r.text or "")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"aabcdeth.É世", "ing", "the ", "er"]), max_size=80).map("".join))
+def test_merges_by_heap_equal_scans(text):
+    import trailmark.llm.op3_sentencepiece as op3
+
+    plain, limit = PIECES.merged(text), op3.SHORT_STRETCH
+    try:
+        op3.SHORT_STRETCH = 0 if len(text) <= limit else len(text)
+        assert PIECES.merged(text) == plain
+    finally:
+        op3.SHORT_STRETCH = limit

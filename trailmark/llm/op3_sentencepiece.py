@@ -1,14 +1,15 @@
-"""Operator 3, SentencePiece encoding and decoding by a streaming Viterbi search.
+"""Operator 3, SentencePiece encoding and decoding by the model's own search.
 
-Pieces and scores come from a public SentencePiece model file; the segmentation with the highest sum of scores
-is chosen, the longest last piece at equal sums. A space is the mark U+2581, one leads the text, and a character that no
-piece has becomes its UTF-8 bytes' pieces. A literal U+2581 in a text also takes byte pieces, so that decoding
-is an exact round trip.
+Pieces and scores come from a public SentencePiece model file, and the ids are those that the model itself gives: a BPE model
+(piece_bpe_32k.model is one) joins the neighbours of the highest score, the leftmost at equal scores, until none can be joined;
+a unigram model takes the segmentation with the highest sum of scores, the longest last piece at equal sums, by a streaming
+Viterbi search. A space is the mark U+2581, one leads the text, and a character that no piece has becomes its
+UTF-8 bytes' pieces. A literal U+2581 in a text also takes byte pieces, so that decoding is an exact round trip.
 
-The search keeps only the scores of the boundaries that a piece may still cross (the longest piece bounds them)
+The Viterbi search keeps only the scores of the boundaries that a piece may still cross (the longest piece bounds them)
 and commits ids as soon as all surviving backpointer paths meet in one boundary. Where no piece crosses
-the blank before a word or a character outside the alphabet, that boundary is always such a meeting point, so
-the stretches between them are searched once and remembered (bounded by CACHE_STRETCHES).
+the blank before a word or a character outside the alphabet, that boundary is always such a meeting point, and no merge
+crosses it either, so the stretches between them are searched once and remembered (bounded by CACHE_STRETCHES).
 
 Null or empty texts encode to no ids. Ids and other columns pass through unread; repeated rows are encoded alike.
 An empty table gives an empty result.
@@ -18,7 +19,8 @@ from __future__ import annotations
 
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 CACHE_STRETCHES = 500_000
 MARK = "▁"
+SHORT_STRETCH = 128  # characters up to which merges are found by plain scans
 #: Fixed value: what an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -36,8 +39,16 @@ class Pieces:
 
     def __init__(self, path: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        proto = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+        kinds = {p.type for p in proto.pieces}
+        self.merges = proto.trainer_spec.model_type == proto.trainer_spec.BPE
+        if not self.merges and proto.trainer_spec.model_type != proto.trainer_spec.UNIGRAM:
+            raise ValueError(f"{path} is neither a unigram nor a BPE model")
+        if self.merges and kinds & {proto.SentencePiece.USER_DEFINED, proto.SentencePiece.UNUSED}:
+            raise ValueError(f"{path} has user-defined or unused pieces, whose merges differ")
         self.size = model.get_piece_size()
         self.score, self.byte_id, self.text = {}, {}, []
         self.id = {}
@@ -55,16 +66,56 @@ class Pieces:
                 self.text.append(piece.replace(MARK, " ").encode())
         self.unknown = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.score), default=1)
-        self.prefix = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
-        self.trie: dict = {}  # by character: (further characters, score of the piece that ends here or None)
-        nodes = {"": self.trie}
-        for p in sorted(self.prefix):
-            nodes[p] = {}
-            nodes[p[:-1]][p[-1]] = (nodes[p], self.score.get(p))
         self.alphabet = {c for p in self.score for c in p}
         # Blanks end a stretch if no piece has a mark after another character.
         self.splits = not any(MARK in p.lstrip(MARK) for p in self.score) and "\n" not in self.alphabet
 
+    @cached_property
+    def prefix(self) -> set:
+        return {p[:k] for p in self.score for k in range(1, len(p) + 1)}
+
+    @cached_property
+    def trie(self) -> dict:
+        """By character: (further characters, score of the piece that ends here or None)."""
+        nodes: dict = {"": {}}
+        for p in sorted(self.prefix):
+            nodes[p] = {}
+            nodes[p[:-1]][p[-1]] = (nodes[p], self.score.get(p))
+        return nodes[""]
+
+    def merged(self, s: str) -> list[str]:
+        """Parts of a stretch after a BPE model's merges: the highest score first, then the leftmost."""
+        score, low = self.score.get, float("-inf")
+        parts = list(s)
+        if len(s) <= SHORT_STRETCH:
+            worth = [score(a + b, low) for a, b in zip(parts, parts[1:])]
+            while worth and (v := max(worth)) > low:
+                i = worth.index(v)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del worth[i]
+                if i:
+                    worth[i - 1] = score(parts[i - 1] + parts[i], low)
+                if i < len(worth):
+                    worth[i] = score(parts[i] + parts[i + 1], low)
+            return parts
+        n = len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))  # neighbours; a part that was joined to its left is empty
+        todo = [(-v, i, i + 1, parts[i] + parts[i + 1]) for i in range(n - 1) if (v := score(parts[i] + parts[i + 1])) is not None]
+        heapify(todo)
+        while todo:
+            _, i, j, both = heappop(todo)
+            if not parts[i] or not parts[j] or parts[i] + parts[j] != both:
+                continue  # one of them has grown or gone since
+            parts[i], parts[j], k = both, "", after[j]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if (v := score(both + parts[k])) is not None:
+                    heappush(todo, (-v, i, k, both + parts[k]))
+            if (h := before[i]) >= 0 and (v := score(parts[h] + both)) is not None:
+                heappush(todo, (-v, h, i, parts[h] + both))
+        return [p for p in parts if p]
+
     def inside_window(self, s: str) -> list[tuple[int, int]]:
         """The same for a stretch that fits in the window whole, so that its only commit is at its end."""
         n, root, unknown, low = len(s), self.trie, self.unknown, float("-inf")
@@ -145,18 +196,21 @@ class Pieces:
 
 
 class _Stretches(dict):
-    def __init__(self, path: str):
+    """Ids by stretch: by Viterbi, or by the model's own search (own), which are merges for a BPE model."""
+
+    def __init__(self, path: str, own: bool = False):
         super().__init__()
         self.pieces = Pieces(path)
+        self.merges = own and self.pieces.merges
         self.kind, self.code = ("<u2", "H") if self.pieces.size <= 1 << 16 else ("<u4", "I")
 
     def ids(self, s: str) -> list[int]:
         p, out = self.pieces, []
         known = p.id.get
-        for a, b in p.inside_window(s) if len(s) <= 4 * p.longest else p.search(s):
-            i = known(s[a:b])
+        for part in p.merged(s) if self.merges else (s[a:b] for a, b in (p.inside_window(s) if len(s) <= 4 * p.longest else p.search(s))):
+            i = known(part)
             if i is None:
-                out.extend(p.byte_id[x] for x in s[a:b].encode("utf-8", "surrogatepass"))
+                out.extend(p.byte_id[x] for x in part.encode("utf-8", "surrogatepass"))
             else:
                 out.append(i)
         return out
@@ -190,7 +244,7 @@ class _Stretches(dict):
 
 @lru_cache(maxsize=2)
 def _stretches(path: str) -> _Stretches:
-    return _Stretches(path)
+    return _Stretches(path, own=True)
 
 
 def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
