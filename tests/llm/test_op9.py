@@ -103,3 +103,20 @@ def test_frames(spark):
     assert [[tuple(s) for s in r.secrets] for r in got] == [[("assign", 0, 21)]] * 2 + [[], [], []]
     assert [r.text for r in redact(df).collect()] == ["[secret] x"] * 2 + [None, "", "clean " * 9000]
     assert scan_secrets(df.limit(0)).count() == 0 and not re.search("abc", redact(df).first().text)
+
+
+def test_every_run_is_decoded():
+    der, name = key_bytes(), b"ssh-ed25519"
+    ssh = len(name).to_bytes(4, "big") + name + (32).to_bytes(4, "big") + bytes(range(32))
+    b64 = lambda b: base64.b64encode(b).decode()
+    wrap = lambda s, n=64, by="\n": by.join(s[i : i + n] for i in range(0, len(s), n))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{wrap(b64(der))}\n-----END RSA PRIVATE KEY-----"
+    locked = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n{wrap(b64(bytes(range(200, 250)) * 2))}\n-----END RSA PRIVATE KEY-----"
+    headed = pem.replace("KEY-----\n", "KEY-----\nComment: a key\n\n", 1)
+    cases = [("pem", b64(pem.encode())), ("der", wrap(b64(der))), ("ssh", wrap(b64(ssh), 32)), ("ssh", ssh.hex()), ("ssh", wrap(ssh.hex(), 32)), ("der", wrap(b64(der), 64, "\r\n  "))]
+    cases += [("der", b64(b64(der).encode())), ("der", b64(der.hex().encode())), ("der", b64(der).encode().hex()), ("pem", pem), ("pem", locked), ("pem", headed), ("pem", locked.replace("\n", "\\n")), ("pem", wrap(b64(pem.encode()), 76))]
+    for kind, s in cases:
+        t = f"see: {s} end"
+        assert (5, KINDS.index(kind), 5 + len(s)) in find_secrets(t), (kind, s)
+    for s in ("Proc-Type: 4\n", wrap("A" * 200), wrap("word" * 40, 32), b64(b"some plain text that is long enough to be decoded"), "-----BEGIN X KEY-----\nA: b\n\nshort text\n-----END X KEY-----"):
+        assert not [x for x in find_secrets(s) if x[1] > 2], s

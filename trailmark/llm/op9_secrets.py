@@ -1,9 +1,11 @@
 """Operator 9, secret scans with structural confirmation.
 
-Base findings are pattern matches (assignments, access ids, hex runs). Candidates in base64 or hex are decoded and
-reported only when their structure holds: DER key encodings whose nested lengths add up and that
-hold an object id or a row of integers, length-prefixed SSH keys, PEM blocks around such a body, and signed tokens
-whose header is a JSON object that names an algorithm.
+Base findings are pattern matches (assignments, access ids, hex runs). Every base64 and hex run of sufficient length is
+decoded, also joined over line wraps, and once more where the result is itself PEM, base64 or hex. A run is
+reported only when its structure holds: DER key encodings whose nested lengths add up and that
+hold an object id or a row of integers, length-prefixed SSH keys, PEM blocks around such a body (with or without header lines;
+an encrypted body, told by its DEK-Info line, has no structure of its own), and signed tokens
+whose header is a JSON object that names an algorithm. An encoded run has the kind of what it holds.
 
 Null or empty texts have no findings; offsets count code points. Ids and other columns pass through; repeated
 rows are scanned alike; an empty table gives an empty result. Columns named secrets are replaced.
@@ -25,9 +27,14 @@ KINDS = ("assign", "access", "hex", "der", "ssh", "pem", "jwt")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a run that is shorter fails whole, so the bound may stand in the pattern
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|AAAA|b3Blb)[A-Za-z0-9+/_-]{20,}={0,2}")
-_HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{30,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----([A-Za-z0-9+/=\s\\]{20,}?)-----END \1-----")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{22,}={0,2}")
+_HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32,}(?![0-9A-Fa-f])")
+#: Runs over line wraps (real or written as \n): full lines of one alphabet, then a last one.
+_BREAK = r"(?:[\x20\t]*(?:\r?\n|\\r\\n|\\n)[\x20\t]*)"
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK}[A-Za-z0-9+/_-]+)+={{0,2}}")
+_WRAPPED_HEX = re.compile(rf"(?<![0-9A-Fa-f])[0-9A-Fa-f]{{16,}}(?:{_BREAK}[0-9A-Fa-f]+)+(?![0-9A-Fa-f])")
+_LINES = re.compile(_BREAK)
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----((?:(?:\s|\\r|\\n)*[A-Za-z][A-Za-z0-9-]*:\x20?[^\r\n\\]*(?:(?:\r?\n|\\r\\n|\\n)[\x20\t]+[^\r\n\\]+)*(?=[\r\n\\]))*)([A-Za-z0-9+/=\s\\]{20,}?)-----END \1-----")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
 
 
@@ -102,30 +109,82 @@ def _is_token_header(s: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
 
+def _is_pem(m: re.Match) -> bool:
+    data = _base64(re.sub(r"\\r|\\n|\s", "", m[3]))
+    return data is not None and (is_der_key(data) or is_ssh_key(data) or "DEK-Info:" in m[2] and len(data) >= 16)
+
+
+def _kind(data: bytes | None, again: bool = True) -> int | None:
+    """What decoded bytes hold: a place in KINDS, or None; again: look once into PEM, base64 or hex."""
+    if data is None or len(data) < 16:
+        return None
+    if is_der_key(data):
+        return 3
+    if is_ssh_key(data):
+        return 4
+    if not again or max(data[:16]) >= 128 or not data.isascii():
+        return None
+    inner = data.decode("ascii").strip()
+    if "-----BEGIN" in inner and any(_is_pem(m) for m in _PEM.finditer(inner)):
+        return 5
+    inner = _LINES.sub("", inner)
+    if _HEX_RUN.fullmatch(inner) and len(inner) % 2 == 0 and (kind := _kind(bytes.fromhex(inner), False)) is not None:
+        return kind
+    return _kind(_base64(inner), False) if _BASE64.fullmatch(inner) else None
+
+
+def _wrapped(text: str, pattern: re.Pattern, decode, chars: int, size: int) -> list[tuple[int, int, int]]:
+    """Findings in runs over several lines, all but the last equally long; chars characters make size bytes.
+
+    Any line may be the first, since a word of the text may stand above. The first bytes tell which line may be the last: a DER
+    value its length, so that long runs without a key are decoded about once.
+    """
+    out = []
+    for m in pattern.finditer(text):
+        ends = [x.span() for x in _LINES.finditer(text, m.start(), m.end())]
+        starts, stops = [m.start(), *(b for _, b in ends)], [*(a for a, _ in ends), m.end()]
+        parts = [text[a:b].rstrip("=") for a, b in zip(starts, stops)]
+        i, first, last = 0, 0, 0
+        while i < len(parts) - 1:
+            if i >= last:
+                first = last = i
+                while last + 1 < len(parts) and len(parts[last]) == len(parts[i]):
+                    last += 1
+            width = len(parts[i])
+            head = decode(parts[i][:16]) if width >= 16 and last > i else None
+            ways: list[int] = []
+            if head and head[0] == 0x30 and (whole := _length(head, 1)):
+                ways = [j for j in range(last, i, -1) if (width * (j - i) + len(parts[j])) * size // chars == sum(whole)]
+            elif head and (head.startswith(b"openssh-key") or head[:3] == b"\0\0\0" and re.match(rb"(ssh|ecdsa|sk)-", head[4:])):
+                ways = list(range(last, i, -1))
+            elif head and i <= first + 1:
+                ways = [j for j in (last, last - 1) if j > i]
+            found = next(((j, k) for j in ways if (k := _kind(decode("".join(parts[i : j + 1])))) is not None), None)
+            if found:
+                out.append((starts[i], found[1], stops[found[0]]))
+                i = last = found[0]
+            i += 1
+    return out
+
+
+def _hex(s: str) -> bytes | None:
+    return bytes.fromhex(s) if len(s) % 2 == 0 else None
+
+
 def find_secrets(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end), sorted; kind is a place in KINDS."""
     out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    for m in _BASE64.finditer(text):
-        data = _base64(m[0])
-        if data is not None:
-            if is_der_key(data):
-                out.append((m.start(), 3, m.end()))
-            elif is_ssh_key(data):
-                out.append((m.start(), 4, m.end()))
-    for m in _HEX_DER.finditer(text):
-        if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            out.append((m.start(), 3, m.end()))
+    out += [(m.start(), k, m.end()) for m in _BASE64.finditer(text) if (k := _kind(_base64(m[0]))) is not None]
+    out += [(m.start(), k, m.end()) for m in _HEX_RUN.finditer(text) if (k := _kind(_hex(m[0]))) is not None]
+    out += _wrapped(text, _WRAPPED, _base64, 4, 3) + _wrapped(text, _WRAPPED_HEX, _hex, 2, 1)
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            data = _base64(re.sub(r"\\n|\s", "", m[2]))
-            if data is not None and (is_der_key(data) or is_ssh_key(data)):
-                out.append((m.start(), 5, m.end()))
+        out += [(m.start(), 5, m.end()) for m in _PEM.finditer(text) if _is_pem(m)]
     if "eyJ" in text:
         out += [(m.start(), 6, m.end()) for m in _JWT.finditer(text) if _is_token_header(m[1])]
-    return sorted(out)
+    return sorted(set(out))
 
 
 _TYPE = "array<struct<kind:string,start:int,end:int>>"
