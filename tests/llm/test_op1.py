@@ -29,3 +29,12 @@ def test_odd_rows(spark):
         assert len(out) == 4 and all(0 <= r[c] <= 1 for r in out for c in ("p_text", "p_meta", "p_quality", "p_toxic"))
         assert out[1] == out[2]
     assert classify(docs.limit(0), fit(docs.limit(0), labels)).count() == 0
+
+
+def test_labels_of_absent_documents_take_no_places(spark):
+    docs = spark.createDataFrame([(i, ("fine words here" if i % 2 else "bad $$$ junk") + f" {i}", "en", "s", 15) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    own = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    absent = spark.createDataFrame([(i, i % 2, 0) for i in range(1000, 3000)], own.schema)
+    got, want = fit(docs, own.union(absent), labelled=40, pool=1), fit(docs, own, labelled=40, pool=1)
+    assert want.targets["quality"].text.any()
+    assert np.array_equal(got.words, want.words) and np.allclose(got.targets["quality"].text, want.targets["quality"].text)

@@ -230,8 +230,8 @@ def _slots(meta: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = 5000, pool: int = 2500) -> Model:
     order = F.xxhash64("id")
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    marked = marks.where("quality is not null or toxic is not null").orderBy(order, "id").limit(labelled)
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    marked = marks.where("quality is not null or toxic is not null").join(ids, "id", "left_semi").orderBy(order, "id").limit(labelled)
     free = ids.where("id is not null").distinct().join(marks.select("id"), "id", "left_anti").orderBy(order, "id").limit(pool)
     wanted = marked.union(free.select("id", F.lit(None).cast("int"), F.lit(None).cast("int"))).toPandas()
     spark = docs.sparkSession
