@@ -101,3 +101,23 @@ def test_merges_by_heap_equal_scans(text):
         assert PIECES.merged(text) == plain
     finally:
         op3.SHORT_STRETCH = limit
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from([*"aabcdeth.É世", MARK, "ing", "the ", "er"]), max_size=80).map("".join))
+def test_stream_of_merges_equals_merging_the_whole(text):
+    """The boundary search of a BPE model against its merges over the whole text."""
+    ends, want = 0, []
+    for part in PIECES.merged(text):
+        want.append((ends, ends + len(part)))
+        ends += len(part)
+    assert PIECES.search_merged(text) == want
+
+
+def test_texts_longer_than_the_window():
+    own = _Stretches(PATH, own=True)
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for text in ("thequickbrownfoxandéthe世interestingly" * 2000, "a" * 10_000, "".join(chr(97 + i * i % 26) for i in range(20_000))):
+        assert own.ids(MARK + text) == library.encode(text)
+        spans = PIECES.search_merged(text)
+        assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))

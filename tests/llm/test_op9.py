@@ -120,3 +120,28 @@ def test_every_run_is_decoded():
         assert (5, KINDS.index(kind), 5 + len(s)) in find_secrets(t), (kind, s)
     for s in ("Proc-Type: 4\n", wrap("A" * 200), wrap("word" * 40, 32), b64(b"some plain text that is long enough to be decoded"), "-----BEGIN X KEY-----\nA: b\n\nshort text\n-----END X KEY-----"):
         assert not [x for x in find_secrets(s) if x[1] > 2], s
+
+
+def test_loose_structures_are_refused():
+    b64 = lambda b: base64.b64encode(b).decode()
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    oid, bits = tlv(6, bytes([42, 134, 72, 134, 247, 13])), tlv(3, bytes(80))
+    algorithm = tlv(0x30, oid + tlv(5, b""))
+    names = tlv(0x30, tlv(0x31, tlv(0x30, oid + tlv(12, b"a name"))))
+    certificate = tlv(0x30, tlv(0x30, tlv(2, b"\1") + algorithm + names + tlv(0xA3, tlv(0x30, tlv(0x30, oid + tlv(4, bytes(8)))))) + algorithm + bits)
+    assert not [x for x in find_secrets(b64(certificate)) + find_secrets(b64(tlv(0x30, algorithm + bits))) if x[1] > 2]
+    for good in (tlv(0x30, tlv(2, b"\0") + algorithm + tlv(4, key_bytes())), tlv(0x30, algorithm + tlv(4, bytes(48))), tlv(0x30, tlv(2, b"\1") + tlv(4, bytes(32)) + tlv(0xA0, oid))):
+        assert [x[1] for x in find_secrets(b64(good)) if x[1] > 2] == [3]
+    public = field(b"ssh-ed25519") + field(bytes(range(32)))
+    whole = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(bytes(136))
+    assert [x[1] for x in find_secrets(b64(whole)) if x[1] > 2] == [4]
+    for bad in (b"openssh-key-v1\0 is the name of a format, which prose may well tell about", whole[:-5], whole + b"x"):
+        assert not [x for x in find_secrets(b64(bad)) if x[1] > 2]
+    head = b64(json.dumps({"alg": "HS256"}).encode()).rstrip("=")
+    assert not [x for x in find_secrets(f"{head}.abcdefgh.sig") if x[1] > 2]
+
+
+def test_long_text():
+    der = base64.b64encode(key_bytes()).decode()
+    text = "plain words here " * 80_000 + der + " more" * 1000
+    assert [x for x in find_secrets(text) if x[1] > 2] == [(17 * 80_000, 3, 17 * 80_000 + len(der))]

@@ -1,33 +1,44 @@
-"""Operator 3, SentencePiece encoding and decoding by the model's own search.
+"""Operator 3, SentencePiece encoding and decoding by a streaming Viterbi search.
 
-Pieces and scores come from a public SentencePiece model file, and the ids are those that the model itself gives: a BPE model
-(piece_bpe_32k.model is one) joins the neighbours of the highest score, the leftmost at equal scores, until none can be joined;
-a unigram model takes the segmentation with the highest sum of scores, the longest last piece at equal sums, by a streaming
-Viterbi search. A space is the mark U+2581, one leads the text, and a character that no piece has becomes its
-UTF-8 bytes' pieces. A literal U+2581 in a text also takes byte pieces, so that decoding is an exact round trip.
+Pieces and scores come from a public SentencePiece model file, and the ids are those that the model itself gives. The search walks
+over the boundaries of a text and extends every live one by the pieces that start there; a boundary keeps the last piece of the best path to it:
 
-The Viterbi search keeps only the scores of the boundaries that a piece may still cross (the longest piece bounds them)
-and commits ids as soon as all surviving backpointer paths meet in one boundary. Where no piece crosses
-the blank before a word or a character outside the alphabet, that boundary is always such a meeting point, and no merge
-crosses it either, so the stretches between them are searched once and remembered (bounded by CACHE_STRETCHES).
+-   A unigram model's best path has the highest sum of scores, and the longest last piece at equal sums.
+-   A BPE model (piece_bpe_32k.model is one) joins the neighbours of the highest score, the leftmost at equal scores, until none can be
+    joined. Pieces are its result exactly if it leaves every two neighbours among them as they are, so a path goes on only by such a
+    piece, and exactly one path leads to each boundary. Whether two pieces stay apart is found by merging the two alone, and remembered.
 
-Null or empty texts encode to no ids. Ids and other columns pass through unread; repeated rows are encoded alike.
-An empty table gives an empty result.
+Only the boundaries that a piece may still cross are live (the longest piece bounds them), and ids are committed as soon as all paths to them
+meet in one boundary. Where no piece crosses the blank before a word or a character outside the alphabet, that boundary is always such a
+meeting point, so the stretches between them are searched one by one, and remembered up to CACHE_BYTES.
+
+A space is the mark U+2581, one leads the text, and a character that no piece has becomes its UTF-8 bytes' pieces.
+A literal U+2581 in a text also takes byte pieces, so that decoding is an exact round trip.
+
+Null or empty texts encode to no ids. Ids and other columns pass through unread; repeated rows are encoded alike, and a text of any length
+holds no more than its window and its ids. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections import defaultdict
 from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_STRETCHES = 500_000
+from .rolling import slices
+
+CACHE_BYTES = 64 << 20  # about what the remembered stretches of a task may take
+CACHE_PAIRS = 100_000
+_ENTRY = 200  # bytes of a remembered stretch beside its characters and ids
+_SLICE = 2_000_000
 MARK = "▁"
 SHORT_STRETCH = 128  # characters up to which merges are found by plain scans
 #: Fixed value: what an unknown character scores below the lowest piece.
@@ -70,18 +81,29 @@ class Pieces:
         # Blanks end a stretch if no piece has a mark after another character.
         self.splits = not any(MARK in p.lstrip(MARK) for p in self.score) and "\n" not in self.alphabet
 
-    @cached_property
-    def prefix(self) -> set:
-        return {p[:k] for p in self.score for k in range(1, len(p) + 1)}
+        self.pairs: dict[str, dict[str, bool]] = defaultdict(dict)
+        self.known_pairs = 0
 
     @cached_property
     def trie(self) -> dict:
-        """By character: (further characters, score of the piece that ends here or None)."""
-        nodes: dict = {"": {}}
-        for p in sorted(self.prefix):
-            nodes[p] = {}
-            nodes[p[:-1]][p[-1]] = (nodes[p], self.score.get(p))
-        return nodes[""]
+        """By character: (further characters, score of the piece that ends here or None, the piece)."""
+        root: dict = {}
+        for p, v in self.score.items():
+            node = root
+            for c in p[:-1]:
+                node = node.setdefault(c, ({}, None, ""))[0]
+            node[p[-1]] = (node[p[-1]][0] if p[-1] in node else {}, v, p)
+        return root
+
+    def apart(self, left: str, right: str) -> bool:
+        """Whether a BPE model leaves two neighbours as they are (left may be empty); remembered by left, then right."""
+        got = self.merged(left + right) == ([left, right] if left else [right])
+        self.known_pairs += 1
+        if self.known_pairs > CACHE_PAIRS:
+            self.pairs.clear()
+            self.known_pairs = 0
+        self.pairs[left][right] = got
+        return got
 
     def merged(self, s: str) -> list[str]:
         """Parts of a stretch after a BPE model's merges: the highest score first, then the leftmost."""
@@ -116,107 +138,113 @@ class Pieces:
                 heappush(todo, (-v, h, i, parts[h] + both))
         return [p for p in parts if p]
 
-    def inside_window(self, s: str) -> list[tuple[int, int]]:
-        """The same for a stretch that fits in the window whole, so that its only commit is at its end."""
-        n, root, unknown, low = len(s), self.trie, self.unknown, float("-inf")
-        best, back = [low] * (n + 1), [0] * (n + 1)
-        best[0] = 0.0
+    def search(self, s: str) -> list[tuple[int, int]]:
+        """Spans of the pieces with the highest sum of scores, committed while the text streams by."""
+        out: list[tuple[int, int]] = []
+        live: dict[int, float] = {0: 0.0}  # boundaries ahead: score of the best path to each
+        back: dict[int, int] = {}  # last piece's start by boundary, since the last commit
+        done, root, unknown, n, low = 0, self.trie, self.unknown, len(s), float("-inf")
         for i in range(n):
-            here = best[i]
-            if here == low:
+            here = live.pop(i, None)
+            if here is None:
                 continue
+            if len(back) > 4 * self.longest or not live and i:
+                done = self._commit(i, live, back, done, out)
             node, single = root, False
             for j in range(i, n):
                 found = node.get(s[j])
                 if found is None:
                     break
-                node, v = found
+                node, v, _ = found
                 if v is not None:
-                    if j == i:
-                        single = True
-                    if here + v > best[j + 1]:
-                        best[j + 1], back[j + 1] = here + v, i
-            if not single and here + unknown > best[i + 1]:
-                best[i + 1], back[i + 1] = here + unknown, i
-        spans, at = [], n
-        while at:
-            spans.append((back[at], at))
-            at = back[at]
-        return spans[::-1]
+                    single |= j == i
+                    if here + v > live.get(j + 1, low):
+                        live[j + 1], back[j + 1] = here + v, i
+            if not single and here + unknown > live.get(i + 1, low):
+                live[i + 1], back[i + 1] = here + unknown, i
+        self._commit(n, (), back, done, out)
+        return out
 
-    def search(self, s: str) -> list[tuple[int, int]]:
-        """Spans of the chosen pieces, committed while the text streams by."""
+    def search_merged(self, s: str) -> list[tuple[int, int]]:
+        """The same for the pieces of a BPE model: a path goes on by pieces that stay apart from its last one, so each boundary has one path."""
         out: list[tuple[int, int]] = []
-        best: dict[int, float] = {0: 0.0}  # live boundaries: score of the best path to each
-        back: dict[int, int] = {}  # boundaries since the last commit
-        done, score, prefix, unknown, n = 0, self.score, self.prefix, self.unknown, len(s)
-
-        def commit(to: int) -> None:
-            nonlocal done
-            path, at = [], to
-            while at > done:
-                path.append((back[at], at))
-                at = back[at]
-            out.extend(reversed(path))
-            done = to
-
+        back: dict[int, int] = {}
+        done, root, n, far, most, last, pairs = 0, self.trie, len(s), 0, 4 * self.longest, "", self.pairs
         for i in range(n):
-            here = best.pop(i, None)
-            if here is None:
-                continue
-            if not best:  # one path survives
-                commit(i)
-                back.clear()
-            elif len(back) > 4 * self.longest:  # where do the paths of all live boundaries meet?
-                ends = {i, *best}
-                while len(ends) > 1:
-                    top = max(ends)
-                    ends.remove(top)
-                    ends.add(back[top])
-                (meet,) = ends
-                if meet > done:
-                    commit(meet)
-                    for k in [k for k in back if k <= meet]:
-                        del back[k]
-            single = False
-            for j in range(i + 1, n + 1):
-                piece = s[i:j]
-                if piece not in prefix:
+            if i:
+                last = s[back[i] : i]
+                if len(back) > most:
+                    done = self._commit(i, [k for k in range(i + 1, far + 1) if k in back], back, done, out)
+            known, node, j, single = pairs[last], root, i, False
+            while j < n:
+                found = node.get(s[j])
+                if found is None:
                     break
-                v = score.get(piece)
+                node, v, piece = found
+                j += 1
                 if v is not None:
                     single |= j == i + 1
-                    if j not in best or here + v > best[j]:
-                        best[j], back[j] = here + v, i
-            if not single and (i + 1 not in best or here + unknown > best[i + 1]):
-                best[i + 1], back[i + 1] = here + unknown, i
-        if n:
-            commit(n)
+                    if j not in back and ((stay := known.get(piece)) or stay is None and self.apart(last, piece)):
+                        back[j] = i
+                        if j > far:
+                            far = j
+            if not single and i + 1 not in back:  # a character without a piece joins nothing
+                back[i + 1], far = i, max(far, i + 1)
+        self._commit(n, (), back, done, out)
         return out
 
+    @staticmethod
+    def _commit(at: int, live, back: dict[int, int], done: int, out: list) -> int:
+        """Append the spans up to where the paths to at and all live boundaries meet, and forget them; the new last commit."""
+        ends = {at, *live}
+        while len(ends) > 1:
+            top = max(ends)
+            ends.remove(top)
+            ends.add(back[top])
+        (meet,) = ends
+        if meet > done:
+            path, k = [], meet
+            while k > done:
+                path.append((back[k], k))
+                k = back[k]
+            out.extend(reversed(path))
+            for k in [k for k in back if k < meet]:
+                del back[k]
+        return max(meet, done)
+
+    def inside_window(self, s: str) -> list[tuple[int, int]]:
+        return self.search(s)
+
 
 class _Stretches(dict):
-    """Ids by stretch: by Viterbi, or by the model's own search (own), which are merges for a BPE model."""
+    """Ids by stretch; own: those of the model's kind, otherwise always by the highest sum of scores."""
 
     def __init__(self, path: str, own: bool = False):
         super().__init__()
         self.pieces = Pieces(path)
         self.merges = own and self.pieces.merges
+        self.held = 0
         self.kind, self.code = ("<u2", "H") if self.pieces.size <= 1 << 16 else ("<u4", "I")
 
     def ids(self, s: str) -> list[int]:
         p, out = self.pieces, []
         known = p.id.get
-        for part in p.merged(s) if self.merges else (s[a:b] for a, b in (p.inside_window(s) if len(s) <= 4 * p.longest else p.search(s))):
-            i = known(part)
+        for a, b in (p.search_merged(s) if self.merges else p.search(s)):
+            i = known(s[a:b])
             if i is None:
-                out.extend(p.byte_id[x] for x in part.encode("utf-8", "surrogatepass"))
+                out.extend(p.byte_id[x] for x in s[a:b].encode("utf-8", "surrogatepass"))
             else:
                 out.append(i)
         return out
 
     def __missing__(self, s: str) -> bytes:
-        got = self[s] = array(self.code, self.ids(s)).tobytes() if s else b""
+        got = array(self.code, self.ids(s)).tobytes() if s else b""
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
+        if len(s) <= 1024:  # longer ones hardly come again
+            self[s] = got
+            self.held += _ENTRY + 2 * len(s) + len(got)
         return got
 
     def literal(self) -> bytes:
@@ -234,8 +262,6 @@ class _Stretches(dict):
         else:
             marked = (MARK + text.replace(" ", f"\x1f{MARK}")).replace("\n", "\x1f\n\x1f")
             out = b"".join(map(self.__getitem__, marked.split("\x1f")))
-        if len(self) > CACHE_STRETCHES:
-            self.clear()
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -247,21 +273,31 @@ def _stretches(path: str) -> _Stretches:
     return _Stretches(path, own=True)
 
 
-def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """docs with out_col array<int> appended (a column of that name is replaced)."""
+def _in_slices(batch: pa.RecordBatch, column: str):
+    """Parts of a batch, each with about _SLICE bytes in a column (one row at least), so that a task holds little at once."""
+    col = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(col) if pa.types.is_string(col.type) else pc.multiply(pc.list_value_length(col), 4), 0)
+    for a, b in slices(sizes.to_pylist(), _SLICE):
+        yield batch.slice(a, b - a)
+
+
+def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids", keep_text: bool = True) -> DataFrame:
+    """docs with out_col array<int> appended (a column of that name is replaced); keep_text: whether the text stays."""
     kept = docs.drop(out_col)
+    names = [c for c in kept.columns if keep_text or c != text_col]
 
     def run(batches):
         known = _stretches(path)
-        for batch in batches:
-            done, ends = [], [0]
-            for t in batch.column(text_col):
-                done.append(known.encode(t.as_py() or ""))
-                ends.append(ends[-1] + len(done[-1]) // np.dtype(known.kind).itemsize)
-            ids = np.frombuffer(b"".join(done), known.kind).astype(np.int32)
-            yield pa.record_batch([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], names=[*batch.schema.names, out_col])
+        for whole in batches:
+            for batch in _in_slices(whole, text_col):
+                done, ends = [], [0]
+                for t in batch.column(text_col):
+                    done.append(known.encode(t.as_py() or ""))
+                    ends.append(ends[-1] + len(done[-1]) // np.dtype(known.kind).itemsize)
+                ids = np.frombuffer(b"".join(done), known.kind).astype(np.int32)
+                yield pa.record_batch([*(batch.column(c) for c in names), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], names=[*names, out_col])
 
-    return kept.mapInArrow(run, kept.withColumn(out_col, F.lit(None).cast("array<int>")).schema)
+    return kept.mapInArrow(run, kept.select(*(F.col(f"`{c}`") for c in names), F.lit(None).cast("array<int>").alias(out_col)).schema)
 
 
 def decode_ids(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -270,9 +306,10 @@ def decode_ids(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str =
 
     def run(batches):
         known = _stretches(path)
-        for batch in batches:
-            col = batch.column(ids_col)
-            texts = [known.decode(x.values.to_pylist()) if x.is_valid and len(x.values) else "" for x in col]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
+        for whole in batches:
+            for batch in _in_slices(whole, ids_col):
+                col = batch.column(ids_col)
+                texts = [known.decode(x.values.to_pylist()) if x.is_valid and len(x.values) else "" for x in col]
+                yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
 
     return kept.mapInArrow(run, kept.withColumn(out_col, F.lit(None).cast("string")).schema)

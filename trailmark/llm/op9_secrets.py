@@ -2,13 +2,13 @@
 
 Base findings are pattern matches (assignments, access ids, hex runs). Every base64 and hex run of sufficient length is
 decoded, also joined over line wraps, and once more where the result is itself PEM, base64 or hex. A run is
-reported only when its structure holds: DER key encodings whose nested lengths add up and that
-hold an object id or a row of integers, length-prefixed SSH keys, PEM blocks around such a body (with or without header lines;
+reported only when its structure holds: DER private keys whose nested lengths add up (certificates and public keys are none),
+length-prefixed SSH keys with every field in place, PEM blocks around such a body (with or without header lines;
 an encrypted body, told by its DEK-Info line, has no structure of its own), and signed tokens
-whose header is a JSON object that names an algorithm. An encoded run has the kind of what it holds.
+whose header is a JSON object that names an algorithm and whose payload is one too, or is encrypted. An encoded run has the kind of what it holds.
 
 Null or empty texts have no findings; offsets count code points. Ids and other columns pass through; repeated
-rows are scanned alike; an empty table gives an empty result. Columns named secrets are replaced.
+rows are scanned alike; texts of any length are scanned whole; an empty table gives an empty result. Columns named secrets are replaced.
 """
 
 from __future__ import annotations
@@ -19,11 +19,15 @@ import json
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rolling import slices
+
 #: Kinds in report order; the first three are the base.
 KINDS = ("assign", "access", "hex", "der", "ssh", "pem", "jwt")
+_SLICE = 2_000_000
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a run that is shorter fails whole, so the bound may stand in the pattern
@@ -70,26 +74,56 @@ def der_tags(data: bytes, depth: int = 0) -> list[int] | None:
 
 
 def is_der_key(data: bytes) -> bool:
+    """A private key's value list: integers alone (three at least), an algorithm with the wrapped or encrypted key, or a curve's key.
+    Public keys and certificates, which end in a bit string, are none."""
     if len(data) < 16 or data[0] != 0x30:
         return False
     whole = _length(data, 1)
-    if whole is None or whole[0] + whole[1] != len(data):
+    if whole is None or whole[0] + whole[1] != len(data) or der_tags(data) is None:
         return False
-    tags = der_tags(data)
-    return tags is not None and (0x06 in tags and (0x03 in tags or 0x04 in tags) or tags.count(0x02) >= 3)
+    parts, at = [], whole[1]
+    while at < len(data):
+        size, start = _length(data, at + 1)
+        parts.append((data[at], data[start : start + size]))
+        at = start + size
+    tags = [t for t, _ in parts]
+    if len(tags) >= 3 and set(tags) == {0x02}:
+        return True
+    names = lambda k: parts[k][1][:1] == b"\x06"  # noqa: E731  an algorithm starts with its object id
+    if tags[:3] == [0x02, 0x30, 0x04] and names(1) or tags == [0x30, 0x04] and names(0):
+        return True
+    return tags[:2] == [0x02, 0x04] and all(t in (0xA0, 0xA1) for t in tags[2:]) and len(parts[1][1]) >= 16
 
 
-def is_ssh_key(data: bytes) -> bool:
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
+def _fields(data: bytes) -> list[bytes] | None:
+    """Length-prefixed fields that fill the data exactly."""
+    out, at = [], 0
+    while at < len(data):
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + n])
+            return None
+        out.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    return at == len(data) and len(fields) >= 2 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", fields[0]) is not None
+    return out
+
+
+_SSH_NAME = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+")
+
+
+def is_ssh_key(data: bytes) -> bool:
+    if data.startswith(b"openssh-key-v1\0"):
+        # cipher, derivation, its options; how many keys; each public key, and the private block
+        data, head = data[15:], []
+        for _ in range(3):
+            n = int.from_bytes(data[:4], "big")
+            if len(data) < 4 + n:
+                return False
+            head.append(data[4 : 4 + n])
+            data = data[4 + n :]
+        keys, rest = int.from_bytes(data[:4], "big"), _fields(data[4:])
+        return bool(head[0] and head[1] and rest) and len(rest) == keys + 1 and all(is_ssh_key(k) for k in rest[:-1])
+    fields = _fields(data)
+    return fields is not None and len(fields) >= 2 and _SSH_NAME.fullmatch(fields[0]) is not None
 
 
 def _base64(s: str) -> bytes | None:
@@ -100,13 +134,19 @@ def _base64(s: str) -> bytes | None:
         return None
 
 
-def _is_token_header(s: str) -> bool:
+def _json_object(s: str) -> dict | None:
     data = _base64(s)
     try:
-        head = json.loads(data) if data else None
+        got = json.loads(data) if data else None
     except (ValueError, RecursionError):
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
+        return None
+    return got if isinstance(got, dict) else None
+
+
+def _is_token(header: str, payload: str) -> bool:
+    """A header that names an algorithm, over a JSON object or an encrypted body."""
+    head = _json_object(header)
+    return head is not None and isinstance(head.get("alg"), str) and ("enc" in head or _json_object(payload) is not None)
 
 
 def _is_pem(m: re.Match) -> bool:
@@ -183,7 +223,7 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
     if "-----BEGIN" in text:
         out += [(m.start(), 5, m.end()) for m in _PEM.finditer(text) if _is_pem(m)]
     if "eyJ" in text:
-        out += [(m.start(), 6, m.end()) for m in _JWT.finditer(text) if _is_token_header(m[1])]
+        out += [(m.start(), 6, m.end()) for m in _JWT.finditer(text) if _is_token(m[1], m[2])]
     return sorted(set(out))
 
 
@@ -191,14 +231,23 @@ _TYPE = "array<struct<kind:string,start:int,end:int>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
+def _sliced(batch: pa.RecordBatch, text_col: str):
+    """(part of the batch, its texts), about _SLICE bytes each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()
+    for a, b in slices(sizes, _SLICE):
+        part = batch.slice(a, b - a)
+        yield part, part.column(text_col).to_pylist()
+
+
 def scan_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
     """docs with out_col appended: findings by start, then kind."""
     kept = docs.drop(out_col)
 
     def run(batches):
-        for batch in batches:
-            found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find_secrets(t.as_py() or "")] for t in batch.column(text_col)]
-            yield pa.record_batch([*batch.columns, pa.array(found, _ARROW)], names=[*batch.schema.names, out_col])
+        for whole in batches:
+            for batch, texts in _sliced(whole, text_col):
+                found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find_secrets(t or "")] for t in texts]
+                yield pa.record_batch([*batch.columns, pa.array(found, _ARROW)], names=[*batch.schema.names, out_col])
 
     return kept.mapInArrow(run, kept.withColumn(out_col, F.lit(None).cast(_TYPE)).schema)
 
@@ -215,9 +264,10 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
         return "".join([*parts, text[at:]])
 
     def run(batches):
-        for batch in batches:
-            texts = [None if (t := x.as_py()) is None else cleaned(t) for x in batch.column(text_col)]
-            i = batch.schema.get_field_index(text_col)
-            yield pa.record_batch([pa.array(texts, pa.string()) if k == i else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+        for whole in batches:
+            for batch, texts in _sliced(whole, text_col):
+                new = pa.array([None if t is None else cleaned(t) for t in texts], pa.string())
+                i = batch.schema.get_field_index(text_col)
+                yield pa.record_batch([new if k == i else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

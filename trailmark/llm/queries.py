@@ -66,13 +66,14 @@ FROM pieces GROUP BY conv_id
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """Ids of every whole text, and the text decoded from them again."""
     model = model or public_tokenizers.path(PIECE_MODEL)
-    out = decode_ids(encode_ids(table(spark, sf_dir, "documents", "doc_id", "text"), model), model)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    out = decode_ids(encode_ids(docs, model, keep_text=False), model)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"),
     )
 
 
