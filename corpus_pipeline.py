@@ -55,7 +55,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = encode_ids(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    texts = docs.select("doc_id", "lang", "source", "text")
+    out = encode_ids(texts, public_tokenizers.path("piece_bpe_32k.model"), keep_text=False)
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
