@@ -50,3 +50,28 @@ def test_scan_keeps_the_near():
     limit = np.sort(d)[10]
     kept = adaptive_scan(x, q, limit)
     assert len(kept) < 400 and len(set(np.flatnonzero(d <= limit)) - set(kept)) <= 1
+
+
+def test_every_query_gets_its_number(spark):
+    rng = np.random.default_rng(3)
+    for n in (7, 30, 600):
+        rows = [(i, rng.normal(size=24).tolist()) for i in range(n)]
+        got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=3).groupBy("query_id").count().collect()
+        assert len(got) == -(-n // 3) and {r["count"] for r in got} == {min(10, n - 1)}
+
+
+def test_blocks_of_large_lists(spark, monkeypatch):
+    """Lists that need several blocks, and blocks whose queries need several parts."""
+    import trailmark.llm.op8_ann as op8
+
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=16) * 0.01 + (i % 3 == 0)).tolist()) for i in range(900)]
+    monkeypatch.setattr(op8, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(op8, "QUERY_ROWS", 8)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, every=10, lists=4, probe=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = brute(dict(rows), 10, 10)
+    hit = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / (10 * len(want))
+    assert got.keys() == want.keys() and hit >= 0.99
