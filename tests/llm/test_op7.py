@@ -68,3 +68,38 @@ def test_odd_rows(spark):
     got = sorted(((r.id or -1), r.n, r.component_id or -1) for r in jaccard_components(df).collect())
     assert got == [(-1, 3, -1), (5, 3, -1), (5, 3, -1), (6, 0, 6), (7, 0, 7), (8, 0, 8), (9, 1, 9), (10, 1, 9)]
     assert jaccard_components(df.limit(0)).count() == 0
+
+
+def test_families_that_share_a_passage_open_few_pairs(spark):
+    """Two families of near copies with a passage in common: pairs of their members must not grow with their product."""
+    from urllib.parse import urlparse
+    from pathlib import Path
+
+    from trailmark.llm.common import shared_dir
+
+    folder = Path(urlparse(shared_dir(spark)).path)
+    opened = []
+    for n in (40, 80):
+        rng = random.Random(n)
+        words = [f"w{k}" for k in range(5000)]
+        passage = [rng.choice(words) for _ in range(60)]
+        docs = []
+        for family in range(2):
+            base = [rng.choice(words) for _ in range(200)]
+            for i in range(n):
+                t = base[:100] + passage + base[100:]
+                t[rng.randrange(len(t))] = f"x{family}{i}"
+                docs.append((family * n + i, " ".join(t)))
+        before = set(folder.glob("op7-cross-open-*"))
+        got = {r.id: (r.n, r.component_id) for r in jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert got == brute(docs) and {c for _, c in got.values()} == {0, n}
+        (made,) = set(folder.glob("op7-cross-open-*")) - before
+        opened.append(spark.read.parquet(str(made)).count())
+    assert opened[1] <= 2 * opened[0] + 80, opened
+
+
+def test_long_text_and_null_columns(spark):
+    t = " ".join(f"word{i % 977}x{i // 977}" for i in range(200_000))  # over one slice of bytes
+    docs = [(1, t), (2, t + " tail"), (3, t[: len(t) // 2]), (4, None)]
+    got = {r.id: (r.n, r.component_id) for r in jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == (199_996, 1) and got[2] == (199_997, 1) and got[3][1] == 3 and got[4] == (0, 4)

@@ -8,7 +8,7 @@ Spark writes to will do and Spark's commit protocol covers lost executors):
 
 The lists are the ends of the documents in the block's id array, and the row keys relative to the first one.
 An Elias-Fano list of n values below u takes about n * (2 + log2(u / n)) bits: low bits packed, high bits in
-unary, and the place of every 256th set bit as a u32 directory for select.
+unary, and the place of every 256th set bit as a u32 directory for select, which every offset is read by.
 
 Null or empty texts are documents of the end id alone. Null ids sort first, repeated ids by text. An empty
 table writes no block and gives an empty result; extra columns are ignored.
@@ -35,7 +35,7 @@ _DIRECTORY = 256
 
 
 class EliasFano:
-    """A non-decreasing list of integers: select(i) in place, all() for the whole list."""
+    """A non-decreasing list of integers, read in place by select(i); all() unpacks the whole list."""
 
     def __init__(self, n: int, universe: int, low: np.ndarray, high: np.ndarray, directory: np.ndarray):
         self.n, self.universe, self.low, self.high, self.directory = n, universe, low, high, directory
@@ -215,18 +215,19 @@ def _read(batches):
     for batch in batches:
         for first, base, data in zip(batch.column("first").to_pylist(), batch.column("base").to_pylist(), batch.column("block")):
             block = Block(data.as_buffer())
-            ends = block.ends.all()
-            starts = np.concatenate(([0], ends[:-1]))
-            wide = block.ids.astype("<u4")
-            crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
-            yield pa.record_batch([pa.array(block.keys.all() + first), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], schema=schema)
+            ends = [block.ends.select(i) for i in range(block.documents)]
+            keys = [first + block.keys.select(i) for i in range(block.documents)]
+            starts = [0, *ends[:-1]]
+            crc = [zlib.crc32(block.ids[a:b].astype("<u4")) for a, b in zip(starts, ends)]
+            sizes = [b - a for a, b in zip(starts, ends)]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in (keys, [base + a for a in starts], sizes, crc)], schema=schema)
 
 
 def read_tokens(blocks: DataFrame) -> DataFrame:
     """(row, start, n_tokens, ids_crc32) of every document in the files.
 
-    A block's base is the sum of ids before it: sums by part (as many as tasks wrote) run in one window,
-    sums inside a part in a window of its own.
+    A block's base is the sum of ids before it: sums by part run in one window, whose rows are as many as tasks wrote (numbers alone),
+    and sums inside a part in a window of its own.
     """
     slim = blocks.select("part", "seq", "n_ids")
     parts = slim.groupBy("part").agg(F.sum("n_ids").alias("n"))
