@@ -79,7 +79,7 @@ def test_families_that_share_a_passage_open_few_pairs(spark):
 
     folder = Path(urlparse(shared_dir(spark)).path)
     opened = []
-    for n in (40, 80):
+    for n in (80,):
         rng = random.Random(n)
         words = [f"w{k}" for k in range(5000)]
         passage = [rng.choice(words) for _ in range(60)]
@@ -95,7 +95,7 @@ def test_families_that_share_a_passage_open_few_pairs(spark):
         assert got == brute(docs) and {c for _, c in got.values()} == {0, n}
         (made,) = set(folder.glob("op7-cross-open-*")) - before
         opened.append(spark.read.parquet(str(made)).count())
-    assert opened[1] <= 2 * opened[0] + 80, opened
+    assert opened[0] <= 4 * 80, opened  # of 9,480 pairs
 
 
 def test_long_text_and_null_columns(spark):

@@ -5,7 +5,7 @@ Documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or
 1.  One scan hashes every text to its shingle set: size, an order-independent 128-bit set print and
     three minimum hashes. Equal sets collapse inside the task first, then across tasks, to classes.
 2.  Groups of similar documents: each class is compared with the smallest class that shares one of its
-    minimum hashes, so a group of n near copies costs n comparisons. A group is a first class and those linked to it directly.
+    minimum hashes (those left over again, up to STAR_ROUNDS times), so a group of n near copies costs n comparisons. A group is a first class and those linked to it directly.
 3.  Token-group matrix: every class posts its prefix tokens (a prefix covers any partner at the threshold), and a group keeps the
     union of its members' prefixes, with the bounds of sizes and places at each token. A token that meets one component only is closed.
     Groups meet over tokens that sizes and places leave open. A pair of groups is closed where the bitmaps of their first classes
@@ -250,6 +250,7 @@ def _apart(x: bytes, y: bytes) -> int:
 
 
 _OPEN = "a long, b long, ga long, gb long, apart long"
+STAR_ROUNDS = 3  # more rounds would only save comparisons of the matrix step
 SALTS = 16  # a common minimum hash is dealt over this many parts
 
 
@@ -309,13 +310,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hot = [spark.sparkContext.broadcast(x) for x in (token[order], got["n"].to_numpy(np.int64)[order])]
 
     # Groups of similar classes: each with the smallest class that has the same minimum hash.
-    stars = []
-    for m in ("m1", "m2", "m3"):
-        lead = own.groupBy(m).agg(F.min("row").alias("b"), F.count("*").alias("many")).where("many > 1").drop("many")
-        lead = lead.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = own.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-        stars.append(dealt.join(lead, [m, "salt"]).where("row <> b").select(F.col("b").alias("a"), F.col("row").alias("b")))
-    star_pairs = reduce(DataFrame.union, stars).distinct()
+    def with_first(free: DataFrame) -> DataFrame:
+        stars = []
+        for m in ("m1", "m2", "m3"):
+            lead = free.groupBy(m).agg(F.min("row").alias("b"), F.count("*").alias("many")).where("many > 1").drop("many")
+            lead = lead.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            dealt = free.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+            stars.append(dealt.join(lead, [m, "salt"]).where("row <> b").select(F.col("b").alias("a"), F.col("row").alias("b")))
+        return reduce(DataFrame.union, stars).distinct()
+
+    star_pairs = with_first(own)
     sketches = None
 
     def wanted(pairs: DataFrame) -> DataFrame:
@@ -351,8 +355,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star_pairs = save(star_pairs, "op7-stars")
     need = save(wanted(star_pairs).union(shared.select("row").distinct()).distinct(), "op7-need")
     sketches = save(picked(need).mapInArrow(_sketch(width), "row long, bits binary"), "op7-bitmaps")
-    starred = bounded(star_pairs.select("a", "b", F.col("a").alias("ga"), F.col("b").alias("gb")), "op7-star-open")
-    star_links = linked(nearest(starred, "b"), "op7-star")
+    # A first class may share no more than a passage with those under its hash; those left over look for another one among themselves.
+    star_links = None
+    for k in range(STAR_ROUNDS):
+        starred = bounded(star_pairs.select("a", "b", F.col("a").alias("ga"), F.col("b").alias("gb")), "op7-star-open")
+        new = linked(nearest(starred, "b"), "op7-star")
+        star_links = new if star_links is None else star_links.union(new)
+        if k + 1 == STAR_ROUNDS or new.isEmpty():
+            break
+        star_pairs = save(with_first(own.join(wanted(star_links), "row", "left_anti")).join(star_pairs, ["a", "b"], "left_anti"), "op7-stars")
+        if star_pairs.isEmpty():
+            break
 
     # Matrix of tokens and groups. A component may hold several groups (star): first classes with those linked to them directly.
     component = components(star_links)
