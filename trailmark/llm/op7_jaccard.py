@@ -5,15 +5,12 @@ Documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or
 1.  One scan hashes every text to its shingle set: size, an order-independent 128-bit set print and
     three minimum hashes. Equal sets collapse inside the task first, then across tasks, to classes.
 2.  Groups of similar documents: each class is compared with the smallest class that shares one of its
-    minimum hashes (those left over again, up to STAR_ROUNDS times), so a group of n near copies costs n comparisons. A group is a first class and those linked to it directly.
+    minimum hashes (those left over again, up to STAR_ROUNDS times), so a group of n near copies costs n comparisons. Links found form the groups.
 3.  Token-group matrix: every class posts its prefix tokens (a prefix covers any partner at the threshold), and a group keeps the
-    union of its members' prefixes, with the bounds of sizes and places at each token. A token that meets one component only is closed.
-    Groups meet over tokens that sizes and places leave open. A pair of groups is closed where the bitmaps of their first classes
-    are farther apart than the threshold and both radii allow (set distance is a metric, a radius is at most the threshold's).
-    For the rest the overlap of each class with the other group's union bounds its overlap with any member
-    (common prefix tokens, and what lies behind the longer prefix); only qualifying groups are opened.
-4.  Pairs in opened groups are bounded by the places of a common token and by a parity bitmap (difference of bitmaps <= difference
-    of sets); the rest are compared exactly, one pair of each two groups first, the others where their components are still apart.
+    union of its members' prefixes, with the bounds of sizes and places at each token. A token that meets one group only is closed.
+    For the rest a class opens a group only where these bounds leave room for an overlap that reaches the threshold.
+4.  Pairs in opened groups are bounded by the places of their first common token and by a parity bitmap (difference of bitmaps <=
+    difference of sets); the rest are compared exactly, one pair of each two groups first, the others where groups are still apart.
 
 Tokens common to many documents go last in the prefix order (counts are gathered from all documents), so
 shared passages do not make long lists; any order is exact, the counts only steer the cost.
@@ -254,21 +251,6 @@ STAR_ROUNDS = 3  # more rounds would only save comparisons of the matrix step
 SALTS = 16  # a common minimum hash is dealt over this many parts
 
 
-def _not_far(num, den):
-    """Keep pairs of groups whose first classes may be within the threshold and both radii (ra, rb: 1 where a group has other members)."""
-    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "ga", "gb")])
-
-    def run(batches):
-        for batch in batches:
-            a, b, ga, gb, na, nb, ra, rb = (batch.column(c).to_numpy() for c in ("a", "b", "ga", "gb", "na", "nb", "ra", "rb"))
-            apart = np.array([_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column("ba"), batch.column("bb"))], np.int64)
-            apart = np.maximum(apart, np.abs(na - nb))
-            keep = 2 * apart * den <= (1 + ra + rb) * (den - num) * (na + nb + apart)  # distance: 2 * apart / (na + nb + apart) at least
-            yield pa.record_batch([pa.array(c[keep]) for c in (a, b, ga, gb)], schema=schema)
-
-    return run
-
-
 def _within(num, den):
     """Keep pairs that sizes and bitmaps do not rule out."""
     schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "ga", "gb", "apart")])
@@ -367,36 +349,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if star_pairs.isEmpty():
             break
 
-    # Matrix of tokens and groups. A component may hold several groups (star): first classes with those linked to them directly.
-    component = components(star_links)
-    parent = star_links.select(F.col("b").alias("row"), F.col("a").alias("parent"))
-    above = parent.select(F.col("row").alias("parent"), F.lit(True).alias("has"))
-    star = parent.join(above, "parent", "left").select("row", F.when(F.col("has"), F.col("row")).otherwise(F.col("parent")).alias("star"))
-    members = own.select("row", "n").join(component, "row", "left").join(star, "row", "left").select("row", "n", F.coalesce("component", "row").alias("grp"), F.coalesce("star", "row").alias("star"))
+    # Matrix of tokens and groups; rows of tokens with one group only are closed.
+    group = components(star_links)
+    members = own.select("row", "n").join(group, "row", "left").select("row", "n", F.coalesce("component", "row").alias("grp"))
     members = save(members, "op7-members")
-    radius = members.where("row <> star").select(F.col("star").alias("row")).distinct().withColumn("r", F.lit(1))
-    matrix = save(shared.join(members, "row").select("token", "row", "n", "grp", "star", "rem"), "op7-matrix")
+    matrix = save(shared.join(members, "row").select("token", "row", "n", "grp", "rem"), "op7-matrix")
     # At a pair's first common token the overlap is at most what is left of either set from there on: the position bound.
     fits = lambda n, rem, least_n, most_rem: f"{num + den} * least({rem}, {most_rem}) >= {num} * ({n} + {least_n})"
     of_token = matrix.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min("n").alias("least_n"), F.max("rem").alias("most_rem")).where("lo < hi").drop("lo", "hi")
-    open_at = matrix.join(of_token, "token")
-    fitting = open_at.where(fits("n", "rem", "least_n", "most_rem")).drop("least_n", "most_rem")
-    cells = fitting.groupBy("token", "star", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rem").alias("rem"))
-    met = cells.alias("x").join(cells.alias("y"), F.expr(f"x.token = y.token and x.star < y.star and x.grp <> y.grp and {den} * x.hi >= {num} * y.lo and {den} * y.hi >= {num} * x.lo and {fits('x.lo', 'x.rem', 'y.lo', 'y.rem')}"))
-    met = save(met.select(F.col("x.star").alias("a"), F.col("y.star").alias("b"), F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb")).distinct(), "op7-met")
-    for side in "ab":
-        met = met.join(radius.select(F.col("row").alias(side), F.col("r").alias(f"r{side}")), side, "left")
-    met = sides(sides(met, own, "n"), sketches, "bits").select("a", "b", "ga", "gb", "na", "nb", "ba", "bb", *(F.coalesce(F.col(f"r{s}"), F.lit(0)).cast("long").alias(f"r{s}") for s in "ab"))
-    met = save(met.mapInArrow(_not_far(num, den), "a long, b long, ga long, gb long"), "op7-near-groups")
-    # Each class against the other group's union of prefix tokens.
-    union = matrix.groupBy("token", "star").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    asks = matrix.select("token", "row", "n", F.col("star").alias("a")).join(met, "a").join(union.withColumnRenamed("star", "b"), ["token", "b"])
-    asks = asks.groupBy("row", "n", "b", "ga", "gb").agg(F.count("*").alias("both"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    asks = asks.where(f"both - 1 + ceil({num} * greatest(n, hi) / {den}) >= ceil({num} * (n + lo) / {num + den})").select("row", "b", "ga", "gb")
-    left = fitting.join(asks, "row").select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("rem").alias("ra"), "ga", "gb", "b", "token")
-    inside = fitting.select("token", F.col("star").alias("b"), F.col("row").alias("r"), F.col("n").alias("nb"), F.col("rem").alias("rb"))
+    matrix = matrix.join(of_token, "token").where(fits("n", "rem", "least_n", "most_rem")).drop("least_n", "most_rem")
+    # Sizes and positions in a token's group bound the overlap before the group is opened.
+    cells = matrix.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rem").alias("rem"))
+    asks = matrix.alias("q").join(cells.alias("g"), F.expr(f"q.token = g.token and q.grp < g.grp and {den} * q.n >= {num} * g.lo and {den} * g.hi >= {num} * q.n and {fits('q.n', 'q.rem', 'g.lo', 'g.rem')}"))
+    asks = asks.select(F.col("q.row").alias("a"), F.col("q.n").alias("na"), F.col("q.rem").alias("ra"), F.col("q.grp").alias("ga"), F.col("g.grp").alias("gb"), "q.token")
+    inside = matrix.select("token", F.col("grp").alias("gb"), F.col("row").alias("b"), F.col("n").alias("nb"), F.col("rem").alias("rb"))
     near = f"{den} * least(na, nb) >= {num} * greatest(na, nb) and {fits('na', 'ra', 'nb', 'rb')}"
-    opened = left.join(inside, ["token", "b"]).where(near).select("a", F.col("r").alias("b"), "ga", "gb").distinct()
+    opened = asks.join(inside, ["token", "gb"]).where(near).select("a", "b", "ga", "gb").distinct()
     opened = bounded(opened, "op7-cross-open")
     # One link is enough to join two groups: the likeliest pair first, the others where groups are still apart.
     first_links = linked(nearest(opened, "ga", "gb"), "op7-cross")
