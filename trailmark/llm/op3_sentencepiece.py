@@ -29,11 +29,10 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import slices
+from .rolling import in_slices
 
 CACHE_BYTES = 64 << 20  # about what the remembered stretches of a task may take
 CACHE_PAIRS = 100_000
@@ -273,14 +272,6 @@ def _stretches(path: str) -> _Stretches:
     return _Stretches(path, own=True)
 
 
-def _in_slices(batch: pa.RecordBatch, column: str):
-    """Parts of a batch, each with about _SLICE bytes in a column (one row at least), so that a task holds little at once."""
-    col = batch.column(column)
-    sizes = pc.fill_null(pc.binary_length(col) if pa.types.is_string(col.type) else pc.multiply(pc.list_value_length(col), 4), 0)
-    for a, b in slices(sizes.to_pylist(), _SLICE):
-        yield batch.slice(a, b - a)
-
-
 def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids", keep_text: bool = True) -> DataFrame:
     """docs with out_col array<int> appended (a column of that name is replaced); keep_text: whether the text stays."""
     kept = docs.drop(out_col)
@@ -289,7 +280,7 @@ def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str
     def run(batches):
         known = _stretches(path)
         for whole in batches:
-            for batch in _in_slices(whole, text_col):
+            for batch in in_slices(whole, text_col, _SLICE):
                 done, ends = [], [0]
                 for t in batch.column(text_col):
                     done.append(known.encode(t.as_py() or ""))
@@ -307,7 +298,7 @@ def decode_ids(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str =
     def run(batches):
         known = _stretches(path)
         for whole in batches:
-            for batch in _in_slices(whole, ids_col):
+            for batch in in_slices(whole, ids_col, _SLICE):
                 col = batch.column(ids_col)
                 texts = [known.decode(x.values.to_pylist()) if x.is_valid and len(x.values) else "" for x in col]
                 yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])

@@ -19,11 +19,10 @@ import json
 import re
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import slices
+from .rolling import in_slices
 
 #: Kinds in report order; the first three are the base.
 KINDS = ("assign", "access", "hex", "der", "ssh", "pem", "jwt")
@@ -231,21 +230,14 @@ _TYPE = "array<struct<kind:string,start:int,end:int>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _sliced(batch: pa.RecordBatch, text_col: str):
-    """(part of the batch, its texts), about _SLICE bytes each."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()
-    for a, b in slices(sizes, _SLICE):
-        part = batch.slice(a, b - a)
-        yield part, part.column(text_col).to_pylist()
-
-
 def scan_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
     """docs with out_col appended: findings by start, then kind."""
     kept = docs.drop(out_col)
 
     def run(batches):
         for whole in batches:
-            for batch, texts in _sliced(whole, text_col):
+            for batch in in_slices(whole, text_col, _SLICE):
+                texts = batch.column(text_col).to_pylist()
                 found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find_secrets(t or "")] for t in texts]
                 yield pa.record_batch([*batch.columns, pa.array(found, _ARROW)], names=[*batch.schema.names, out_col])
 
@@ -265,7 +257,8 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
 
     def run(batches):
         for whole in batches:
-            for batch, texts in _sliced(whole, text_col):
+            for batch in in_slices(whole, text_col, _SLICE):
+                texts = batch.column(text_col).to_pylist()
                 new = pa.array([None if t is None else cleaned(t) for t in texts], pa.string())
                 i = batch.schema.get_field_index(text_col)
                 yield pa.record_batch([new if k == i else c for k, c in enumerate(batch.columns)], names=batch.schema.names)

@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_RNG = np.random.default_rng(20240611)
 _MASK = (1 << 64) - 1
 
 
@@ -77,3 +76,11 @@ def text_slices(column: pa.Array, limit: int):
     sizes = pc.fill_null(pc.binary_length(raw), 0).to_pylist()
     for a, b in slices(sizes, limit):
         yield a, b, [t or b"" for t in raw.slice(a, b - a).to_pylist()]
+
+
+def in_slices(batch: pa.RecordBatch, column: str, limit: int):
+    """Parts of a batch, each with about limit bytes in a column of texts or id lists (one row at least)."""
+    col = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(col) if pa.types.is_string(col.type) else pc.multiply(pc.list_value_length(col), 4), 0)
+    for a, b in slices(sizes.to_pylist(), limit):
+        yield batch.slice(a, b - a)
