@@ -9,8 +9,8 @@ over the boundaries of a text and extends every live one by the pieces that star
     piece, and exactly one path leads to each boundary. Whether two pieces stay apart is found by merging the two alone, and remembered.
 
 Only the boundaries that a piece may still cross are live (the longest piece bounds them), and ids are committed as soon as all paths to them
-meet in one boundary. Where no piece crosses the blank before a word or a character outside the alphabet, that boundary is always such a
-meeting point, so the stretches between them are searched one by one, and remembered up to CACHE_BYTES.
+meet in one boundary. Where no piece holds two neighbouring characters (a word's end and a blank or a full stop), the boundary between
+them is always such a meeting point, so the stretches between them are searched one by one, and remembered up to CACHE_BYTES.
 
 A space is the mark U+2581, one leads the text, and a character that no piece has becomes its UTF-8 bytes' pieces.
 A literal U+2581 in a text also takes byte pieces, so that decoding is an exact round trip.
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .rolling import in_slices
 
-CACHE_BYTES = 64 << 20  # about what the remembered stretches of a task may take
-CACHE_PAIRS = 100_000
+CACHE_BYTES = 96 << 20  # about what the remembered stretches of a task may take
+CACHE_PAIRS = 300_000
 _ENTRY = 200  # bytes of a remembered stretch beside its characters and ids
 _SLICE = 2_000_000
 MARK = "▁"
@@ -77,6 +77,7 @@ class Pieces:
         self.unknown = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.score), default=1)
         self.alphabet = {c for p in self.score for c in p}
+        self.inner = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}  # neighbours inside a piece; between all others a boundary lies
         # Blanks end a stretch if no piece has a mark after another character.
         self.splits = not any(MARK in p.lstrip(MARK) for p in self.score) and "\n" not in self.alphabet
 
@@ -85,12 +86,12 @@ class Pieces:
 
     @cached_property
     def trie(self) -> dict:
-        """By character: (further characters, score of the piece that ends here or None, the piece)."""
+        """By character: (further characters, score of the piece that ends here or None, the piece or None)."""
         root: dict = {}
         for p, v in self.score.items():
             node = root
             for c in p[:-1]:
-                node = node.setdefault(c, ({}, None, ""))[0]
+                node = node.setdefault(c, ({}, None, None))[0]
             node[p[-1]] = (node[p[-1]][0] if p[-1] in node else {}, v, p)
         return root
 
@@ -165,32 +166,59 @@ class Pieces:
         return out
 
     def search_merged(self, s: str) -> list[tuple[int, int]]:
-        """The same for the pieces of a BPE model: a path goes on by pieces that stay apart from its last one, so each boundary has one path."""
-        out: list[tuple[int, int]] = []
-        back: dict[int, int] = {}
-        done, root, n, far, most, last, pairs = 0, self.trie, len(s), 0, 4 * self.longest, "", self.pairs
-        for i in range(n):
+        """Spans of the pieces of a BPE model."""
+        ends = np.cumsum([0, *map(len, self.stream_merged(s))]).tolist()
+        return list(zip(ends[:-1], ends[1:]))
+
+    def stream_merged(self, s: str) -> list[str]:
+        """Pieces of a BPE model: a path goes on by pieces that stay apart from its last one, so each boundary has one path."""
+        out: list[str] = []
+        back: dict[int, str] = {}  # last piece of the path to a boundary
+        done, most, last, pairs, trie, alphabet = 0, 4 * self.longest, "", self.pairs, self.trie, self.score
+        for i in range(len(s)):
             if i:
-                last = s[back[i] : i]
+                last = back[i]
                 if len(back) > most:
-                    done = self._commit(i, [k for k in range(i + 1, far + 1) if k in back], back, done, out)
-            known, node, j, single = pairs[last], root, i, False
-            while j < n:
-                found = node.get(s[j])
+                    done = self._commit_pieces(i, back, done, out)
+            known, node, j = pairs[last], trie, i
+            for c in s[i : i + self.longest]:
+                found = node.get(c)
                 if found is None:
                     break
-                node, v, piece = found
+                node, _, piece = found
                 j += 1
-                if v is not None:
-                    single |= j == i + 1
-                    if j not in back and ((stay := known.get(piece)) or stay is None and self.apart(last, piece)):
-                        back[j] = i
-                        if j > far:
-                            far = j
-            if not single and i + 1 not in back:  # a character without a piece joins nothing
-                back[i + 1], far = i, max(far, i + 1)
-        self._commit(n, (), back, done, out)
-        return out
+                if piece is not None and j not in back:
+                    stay = known.get(piece)
+                    if stay is None:
+                        stay = self.apart(last, piece)
+                    if stay:
+                        back[j] = piece
+            if i + 1 not in back and s[i] not in alphabet:
+                back[i + 1] = s[i]  # a character without a piece joins nothing
+        path, k = [], len(s)
+        while k > done:
+            path.append(back[k])
+            k -= len(path[-1])
+        path.reverse()
+        return out + path if out else path
+
+    @staticmethod
+    def _commit_pieces(at: int, back: dict[int, str], done: int, out: list[str]) -> int:
+        """Append the pieces up to where the paths to all live boundaries (at and those reached beyond) meet, and forget them."""
+        ends = {k for k in back if k >= at}
+        while len(ends) > 1:
+            top = max(ends)
+            ends.remove(top)
+            ends.add(top - len(back[top]))
+        (meet,) = ends
+        path, k = [], meet
+        while k > done:
+            path.append(back[k])
+            k -= len(path[-1])
+        out.extend(reversed(path))
+        for k in [k for k in back if k < meet]:
+            del back[k]
+        return max(meet, done)
 
     @staticmethod
     def _commit(at: int, live, back: dict[int, int], done: int, out: list) -> int:
@@ -222,28 +250,36 @@ class _Stretches(dict):
         super().__init__()
         self.pieces = Pieces(path)
         self.merges = own and self.pieces.merges
-        self.held = 0
+        self.held, self.older = 0, {}  # bytes of the newer generation, and the older one
         self.kind, self.code = ("<u2", "H") if self.pieces.size <= 1 << 16 else ("<u4", "I")
 
     def ids(self, s: str) -> list[int]:
         p, out = self.pieces, []
         known = p.id.get
-        for a, b in (p.search_merged(s) if self.merges else p.search(s)):
-            i = known(s[a:b])
+        for part in p.stream_merged(s) if self.merges else (s[a:b] for a, b in p.search(s)):
+            i = known(part)
             if i is None:
-                out.extend(p.byte_id[x] for x in s[a:b].encode("utf-8", "surrogatepass"))
+                out.extend(p.byte_id[x] for x in part.encode("utf-8", "surrogatepass"))
             else:
                 out.append(i)
         return out
 
     def __missing__(self, s: str) -> bytes:
-        got = array(self.code, self.ids(s)).tobytes() if s else b""
-        if self.held > CACHE_BYTES:
+        got = self.older.pop(s, None)
+        if got is None:
+            inner = self.pieces.inner
+            cuts = [k for k in range(1, len(s)) if s[k - 1 : k + 1] not in inner]
+            if cuts:
+                return b"".join(self[s[a:b]] for a, b in zip([0, *cuts], [*cuts, len(s)]))
+            got = array(self.code, self.ids(s)).tobytes() if s else b""
+            if len(s) > 1024:  # hardly comes again
+                return got
+        self.held += _ENTRY + 2 * len(s) + len(got)
+        if self.held > CACHE_BYTES // 2:  # those not asked for since the last time go
+            self.older = dict(self)
             self.clear()
             self.held = 0
-        if len(s) <= 1024:  # longer ones hardly come again
-            self[s] = got
-            self.held += _ENTRY + 2 * len(s) + len(got)
+        self[s] = got
         return got
 
     def literal(self) -> bytes:
