@@ -38,3 +38,30 @@ def test_labels_of_absent_documents_take_no_places(spark):
     got, want = fit(docs, own.union(absent), labelled=40, pool=1), fit(docs, own, labelled=40, pool=1)
     assert want.targets["quality"].text.any()
     assert np.array_equal(got.words, want.words) and np.allclose(got.targets["quality"].text, want.targets["quality"].text)
+
+
+def test_exchange_takes_the_surest_of_all(spark):
+    """The marks of a round against sorting the scores of all documents."""
+    import trailmark.llm.op1_quality as op
+    from pyspark.sql import functions as F
+
+    docs, labels = spark.read.parquet(f"{D}/documents.parquet").where("doc_id < 3000"), spark.read.parquet(f"{D}/labels.parquet")
+    model = fit(docs, labels)
+    scored = classify(docs, model).withColumn("turn", F.xxhash64("doc_id")).toPandas()
+    free = docs.select(F.col("doc_id").alias("id"), "text", "source", "lang", "n_chars", F.xxhash64("doc_id").alias("turn")).repartition(7)
+    lists, taken = [("quality", 0, 1, 40), ("quality", 0, 0, 15), ("quality", 1, 1, 30)], {0: set(range(0, 3000, 2)), 1: set(), 2: set()}
+    got = {n: [] for n in range(3)}
+    for n, i in op._surest(free, model, "text", lists, taken):
+        got[n].append(i)
+    for n, (_, view, value, most) in enumerate(lists):
+        p = scored["p_text" if view == 0 else "p_meta"]
+        scored["sure"] = p if value else 1 - p
+        some = scored[(scored.sure >= op.SURE) & ~scored.doc_id.isin(taken[n])].sort_values(["sure", "turn"], ascending=[False, True])
+        assert got[n] == some.doc_id.tolist()[:most]
+    assert len(got[0]) == 40
+
+
+def test_long_text(spark):
+    docs = spark.createDataFrame([(1, "plain words " * 150_000, "en", "s", 1_800_000), (2, "x", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert classify(docs, fit(docs, labels)).count() == 2

@@ -1,13 +1,14 @@
 """Operator 1, quality classifier by co-training on two views of a document.
 
 The text view sees the words and the style of a text; the metadata view sees source, language and length. Each is
-a logistic regression. In every round each view marks the unlabelled documents it is most sure of (at least SURE after
-calibration, as many as ROUND_SHARE of the labelled ones) and the other view trains on those too. At the end both are
+a logistic regression. In every round both views score all unlabelled documents in one Spark job, each marks those it is most sure of
+(at least SURE after calibration, as many as ROUND_SHARE of the labelled ones), and the other view trains on those too. At the end both are
 calibrated on held-out labels, and a last regression on the two calibrated log-odds scores every document.
 Two targets are learned in this way: good quality, and toxicity. A document is kept if it is likely good and not likely toxic.
 
-Fitting uses bounded samples (parameters `labelled` and `pool`, by hash of the id; the features of a document there are its
-different words, so their number is bounded by its length); scoring reads every whole text of all documents.
+Labelled documents are a bounded sample (`labelled`, by hash of the id), which also gives the words and style cuts of the text view; of the
+unlabelled ones, all compete in every round, and at most `pool` are marked in all. Tasks keep no more than a round takes, so only
+marked documents reach the driver. Scoring reads every whole text of all documents, however long.
 
 Null or empty texts are scored by their style alone; null metadata are values of their own. Null labels and labels
 of missing documents are not used; of several labels of a document the largest counts. Repeated rows get equal scores. Without labels of both
@@ -21,12 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checked_broadcast
 from .rolling import Poly, join_texts, mix, text_slices
 
-ROUNDS, SURE, ROUND_SHARE = 3, 0.97, 0.25
+ROUNDS, SURE, ROUND_SHARE = 3, 0.97, 0.15
 WORDS = 1600  # words that a text model looks at
 META_SLOTS = 512
 _WORD, _VALUE = Poly(11), Poly(12)
@@ -173,37 +175,85 @@ def _telling(words, owner, y, count) -> np.ndarray:
     return kinds[best[chi[best] > 0]]
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray) -> Target:
-    """y: 1, 0, or -1 for documents without a label."""
-    labelled = np.flatnonzero(y >= 0)
-    held = labelled[np.arange(len(labelled)) % 4 == 3]  # the ids come in hash order
-    train = np.setdiff1d(labelled, held)
-    prior = float(np.clip(y[labelled].mean(), 1e-3, 1 - 1e-3)) if len(labelled) else 0.5
-    if min((y[train] == 1).sum(), (y[train] == 0).sum(), (y[held] == 1).sum(), (y[held] == 0).sum()) == 0:
-        return Target(np.zeros(xt.shape[1] + 1), np.zeros(xm.shape[1] + 1), np.zeros((2, 2)), np.array([0, 0, np.log(prior / (1 - prior))]))
-    views, marks = (xt, xm), [np.full(len(y), -1), np.full(len(y), -1)]  # what each view learns from the other
-
-    def fitted(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        use = np.concatenate((train, np.flatnonzero(marks[k] >= 0)))
-        label = np.where(y[use] >= 0, y[use], marks[k][use]).astype(float)
-        w = _fit(views[k][use], label, np.where(y[use] >= 0, 1.0, 0.3))
-        raw = views[k] @ w[:-1].astype(views[k].dtype) + w[-1]
-        scale = _fit(raw[held, None].astype(float), y[held].astype(float), np.ones(len(held)), l2=1e-3, rounds=300)
-        return w, raw, np.array([max(scale[0], 0.0), scale[1]])
-
-    for _ in range(ROUNDS):
-        got = [fitted(0), fitted(1)]
-        for k in (0, 1):
-            p = _sigmoid(got[k][2][0] * got[k][1] + got[k][2][1])
-            most = max(1, int(ROUND_SHARE * len(train)))
-            for value, sure in ((1, p), (0, 1 - p)):
-                free = np.flatnonzero((y < 0) & (marks[1 - k] < 0) & (sure >= SURE))
-                share = prior if value else 1 - prior
-                marks[1 - k][free[np.argsort(-sure[free], kind="stable")[: max(1, int(most * share))]]] = value
-    (wt, rt, st), (wm, rm, sm) = fitted(0), fitted(1)
-    both = np.column_stack((st[0] * rt + st[1], sm[0] * rm + sm[1]))
-    mixed = _fit(both[held], y[held].astype(float), np.ones(len(held)), l2=1e-3, rounds=300)
-    return Target(wt, wm, np.array([st, sm]), np.array([max(mixed[0], 0.0), max(mixed[1], 0.0), mixed[2]]))
+class _CoTraining:
+    """Fits of both views of one target, and the documents that each learns from the other."""
+
+    def __init__(self, y: np.ndarray):
+        """y: 1, 0, or -1 for documents without a label, in hash order of the ids."""
+        labelled = np.flatnonzero(y >= 0)
+        self.y = y
+        self.held = labelled[np.arange(len(labelled)) % 4 == 3]
+        self.train = np.setdiff1d(labelled, self.held)
+        self.prior = float(np.clip(y[labelled].mean(), 1e-3, 1 - 1e-3)) if len(labelled) else 0.5
+        self.learns = min((y[part] == v).sum() for part in (self.train, self.held) for v in (0, 1)) > 0
+        self.marks: tuple[dict[int, int], dict[int, int]] = ({}, {})  # place of a marked document, and its class, by learning view
+
+    def fitted(self, k: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and calibration of a view."""
+        marked = np.array(list(self.marks[k]), np.int64)
+        use = np.concatenate((self.train, marked))
+        label = np.concatenate((self.y[self.train], np.array(list(self.marks[k].values()), np.int64))).astype(float)
+        w = _fit(x[use], label, np.where(np.arange(len(use)) < len(self.train), 1.0, 0.3))
+        raw = x[self.held] @ w[:-1].astype(x.dtype) + w[-1]
+        scale = _fit(raw[:, None].astype(float), self.y[self.held].astype(float), np.ones(len(self.held)), l2=1e-3, rounds=300)
+        return w, np.array([max(scale[0], 0.0), scale[1]])
+
+    def target(self, x: tuple[np.ndarray, np.ndarray], last: bool) -> Target:
+        if not self.learns:
+            return Target(np.zeros(x[0].shape[1] + 1), np.zeros(x[1].shape[1] + 1), np.zeros((2, 2)), np.array([0, 0, np.log(self.prior / (1 - self.prior))]))
+        (wt, st), (wm, sm) = (self.fitted(k, x[k]) for k in (0, 1))
+        mixed = np.array([0.5, 0.5, 0.0])
+        if last:
+            both = np.column_stack([s[0] * (v[self.held] @ w[:-1].astype(v.dtype) + w[-1]) + s[1] for v, w, s in zip(x, (wt, wm), (st, sm))])
+            mixed = _fit(both, self.y[self.held].astype(float), np.ones(len(self.held)), l2=1e-3, rounds=300)
+        return Target(wt, wm, np.array([st, sm]), np.array([max(mixed[0], 0.0), max(mixed[1], 0.0), mixed[2]]))
+
+    def wanted(self, value: int) -> int:
+        return max(1, int(ROUND_SHARE * len(self.train) * (self.prior if value else 1 - self.prior)))
+
+
+def _view_scores(m: Model, batch: pa.RecordBatch, text_col: str):
+    """(first row, end, scores of both views and of both together by target) in slices of bounded bytes."""
+    n_bins = m.cuts.shape[1] + 1
+    for a, b, texts in text_slices(batch.column(text_col), 1_000_000):
+        words, owner, style = text_features(texts)
+        meta = meta_features(*(batch.column(c).slice(a, b - a).to_pylist() for c in ("source", "lang", "n_chars")))
+        at = np.minimum(np.searchsorted(m.words, words), max(len(m.words) - 1, 0))
+        hit = m.words[at] == words if len(m.words) else np.zeros(len(words), bool)
+        bins, out = _binned(style, m.cuts), {}
+        for name, t in m.targets.items():
+            w = t.text[: len(m.words)]
+            raw = np.bincount(owner[hit], weights=w[at[hit]], minlength=b - a) + t.text[len(m.words) : len(m.words) + n_bins * len(m.cuts)][bins].sum(1) + t.text[-1]
+            out[name] = t.scores(raw, t.meta[:-1][meta].sum(1) + t.meta[-1])
+        yield a, b, out
+
+
+def _surest(docs: DataFrame, model: Model, text_col: str, lists: list[tuple[str, int, int, int]], taken: dict[int, set]) -> list[tuple[int, int]]:
+    """(list, id) of the unlabelled documents that a view is most sure of; lists: target, marking view, class, how many."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, lists, {n: np.array(sorted(ids), np.int64) for n, ids in taken.items()}))
+    schema = pa.schema([("list", pa.int32()), ("sure", pa.float64()), ("turn", pa.int64()), ("id", pa.int64())])
+
+    def run(batches):
+        m, wanted, taken = shared.value
+        best = {n: tuple(np.zeros(0, t) for t in (float, np.int64, np.int64)) for n in range(len(wanted))}
+        for batch in batches:
+            ids, turn = batch.column("id").to_numpy(), batch.column("turn").to_numpy()
+            for a, b, scores in _view_scores(m, batch, text_col):
+                for n, (target, view, value, most) in enumerate(wanted):
+                    p = scores[target][view]
+                    sure = p if value else 1 - p
+                    new = (sure >= SURE) & ~np.isin(ids[a:b], taken[n])
+                    if new.any():
+                        s, t, i = (np.concatenate(x) for x in zip(best[n], (sure[new], turn[a:b][new], ids[a:b][new])))
+                        order = np.lexsort((i, t, -s))[: 2 * most]  # an id may come twice
+                        best[n] = s[order], t[order], i[order]
+        for n, (s, t, i) in best.items():
+            yield pa.record_batch([pa.array(np.full(len(s), n, np.int32)), pa.array(s), pa.array(t), pa.array(i)], schema=schema)
+
+    found = docs.mapInArrow(run, "list int, sure double, turn long, id long").groupBy("list", "id").agg(F.max("sure").alias("sure"), F.min("turn").alias("turn"))
+    limits = docs.sparkSession.createDataFrame([(n, most) for n, (_, _, _, most) in enumerate(lists)], "list int, most int")
+    place = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("sure"), "turn", "id"))
+    return [(r["list"], r["id"]) for r in found.withColumn("place", place).join(F.broadcast(limits), "list").where("place <= most").orderBy("list", "place").select("list", "id").collect()]
 
 
 def _collected(docs: DataFrame, text_col: str) -> tuple:
@@ -227,33 +277,56 @@ def _slots(meta: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = 5000, pool: int = 2500) -> Model:
-    order = F.xxhash64("id")
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = 5000, pool: int = 5000) -> Model:
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    marked = marks.where("quality is not null or toxic is not null").join(ids, "id", "left_semi").orderBy(order, "id").limit(labelled)
-    free = ids.where("id is not null").distinct().join(marks.select("id"), "id", "left_anti").orderBy(order, "id").limit(pool)
-    wanted = marked.union(free.select("id", F.lit(None).cast("int"), F.lit(None).cast("int"))).toPandas()
-    spark = docs.sparkSession
-    some = spark.createDataFrame([(int(i),) for i in wanted["id"]], "id long")  # at most labelled + pool ids
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text_col, *(F.col(c) for c in ("source", "lang", "n_chars")))
-    got = _collected(plain.join(F.broadcast(some), "id", "left_semi"), text_col)
-    ids = got.column("id").to_numpy()
-    _, first = np.unique(ids, return_index=True)
-    place = {int(i): k for k, i in enumerate(wanted["id"])}
-    first = np.array(sorted(first, key=lambda k: place[int(ids[k])]), np.int64)
-    got, ids = got.take(pa.array(first)), ids[first]
-    lists = got.column("words").combine_chunks()
-    owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy())) if len(ids) else np.zeros(0, np.int64)
-    words = lists.values.to_numpy().view(np.uint64)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()] if len(ids) else np.zeros(0, np.uint64)
-    style = np.array(got.column("style").to_pylist(), float) if len(ids) else text_features([b""])[2]
-    cuts = np.quantile(style, np.linspace(0.1, 0.9, 9), axis=0).T
-    by_id = wanted.set_index("id")
+    marked = marks.where("quality is not null or toxic is not null").join(plain.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(labelled).toPandas()
+    spark = docs.sparkSession
+
+    def features(wanted: list[int]) -> tuple:
+        """(ids in the wanted order, words, owner, style, meta) of documents; the first row of a repeated id."""
+        some = spark.createDataFrame([(int(i),) for i in wanted], "id long")  # at most labelled or pool ids
+        got = _collected(plain.join(F.broadcast(some), "id", "left_semi"), text_col)
+        ids = got.column("id").to_numpy()
+        place = {int(i): k for k, i in enumerate(wanted)}
+        first = np.array(sorted(np.unique(ids, return_index=True)[1], key=lambda k: place[int(ids[k])]), np.int64)
+        got, ids = got.take(pa.array(first)), ids[first]
+        if not len(ids):
+            return ids, np.zeros(0, np.uint64), np.zeros(0, np.int64), text_features([b""])[2][:0], np.zeros((0, 3), np.int64)
+        lists = got.column("words").combine_chunks()
+        owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+        words = lists.values.to_numpy().view(np.uint64)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+        return ids, words, owner, np.array(got.column("style").to_pylist(), float), np.array(got.column("meta").to_pylist(), np.int64).reshape(-1, 3)
+
+    ids, words, owner, style, meta = features(marked["id"].tolist())
+    cuts = np.quantile(style if len(style) else text_features([b""])[2], np.linspace(0.1, 0.9, 9), axis=0).T
+    by_id = marked.set_index("id")
     y = {t: np.array([-1 if (v := by_id[t].get(int(i))) is None or v != v else int(v > 0) for i in ids], np.int64) for t in ("quality", "toxic")}
     known = np.unique(np.concatenate([_telling(words, owner, v, WORDS // 2) for v in y.values()])) if len(ids) else words
-    xt = _matrix(words, owner, style[: len(ids)], known, cuts, len(ids))
-    xm = _slots(np.array(got.column("meta").to_pylist(), np.int64).reshape(-1, 3))
-    return Model(known, cuts, {t: co_train(xt, xm, v) for t, v in y.items()})
+    x = (_matrix(words, owner, style, known, cuts, len(ids)), _slots(meta))
+    place, learners = {int(i): k for k, i in enumerate(ids)}, {t: _CoTraining(v) for t, v in y.items()}
+    model = lambda last: Model(known, cuts, {t: c.target(x, last) for t, c in learners.items()})
+    n_marks = marks.count()
+    free = plain.where("id is not null").join(checked_broadcast(marks.select("id"), n_marks), "id", "left_anti").withColumn("turn", F.xxhash64("id"))
+    lists = [(t, k, v, c.wanted(v)) for t, c in learners.items() if c.learns for k in (0, 1) for v in (1, 0)]
+    left = pool
+    for _ in range(ROUNDS if lists else 0):
+        at = dict((k, i) for i, k in place.items())
+        taken = {n: {at[k] for k in learners[t].marks[1 - view]} for n, (t, view, _, _) in enumerate(lists)}
+        found = _surest(free, model(False), text_col, lists, taken)
+        fresh = list(dict.fromkeys(i for _, i in found if i not in place))[:left]
+        left -= len(fresh)
+        if fresh:
+            new, words, owner, style, meta = features(fresh)
+            x = tuple(np.concatenate(both) for both in zip(x, (_matrix(words, owner, style, known, cuts, len(new)), _slots(meta))))
+            place |= {int(i): len(place) + k for k, i in enumerate(new)}
+        for n, i in found:
+            t, view, value, _ = lists[n]
+            if i in place:
+                learners[t].marks[1 - view].setdefault(place[i], value)
+        if not fresh:
+            break
+    return model(True)
 
 
 _ADDED = ("p_text", "p_meta", "p_quality", "p_toxic", "keep")
@@ -266,21 +339,8 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches):
         m = shared.value
-        n_bins = m.cuts.shape[1] + 1
         for batch in batches:
-            parts = []
-            for a, b, texts in text_slices(batch.column(text_col), 1_000_000):
-                words, owner, style = text_features(texts)
-                meta = meta_features(*(batch.column(c).slice(a, b - a).to_pylist() for c in ("source", "lang", "n_chars")))
-                at = np.minimum(np.searchsorted(m.words, words), max(len(m.words) - 1, 0))
-                hit = m.words[at] == words if len(m.words) else np.zeros(len(words), bool)
-                bins = _binned(style, m.cuts)
-                out = {}
-                for name, t in m.targets.items():
-                    w = t.text[: len(m.words)]
-                    raw = np.bincount(owner[hit], weights=w[at[hit]], minlength=b - a) + t.text[len(m.words) : len(m.words) + n_bins * len(m.cuts)][bins].sum(1) + t.text[-1]
-                    out[name] = t.scores(raw, t.meta[:-1][meta].sum(1) + t.meta[-1])
-                parts.append(np.column_stack([*out["quality"], out["toxic"][2]]))
+            parts = [np.column_stack([*out["quality"], out["toxic"][2]]) for _, _, out in _view_scores(m, batch, text_col)]
             p = np.concatenate(parts) if parts else np.zeros((0, 4))
             keep = (p[:, 2] >= 0.5) & (p[:, 3] < 0.5)
             yield pa.record_batch([*batch.columns, *(pa.array(p[:, k]) for k in range(4)), pa.array(keep)], names=[*batch.schema.names, *_ADDED])
