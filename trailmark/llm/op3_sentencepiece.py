@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .rolling import in_slices
 
-CACHE_BYTES = 96 << 20  # about what the remembered stretches of a task may take
+CACHE_BYTES = 160 << 20  # about what the remembered stretches of a task may take
 CACHE_PAIRS = 300_000
 _ENTRY = 200  # bytes of a remembered stretch beside its characters and ids
 _SLICE = 2_000_000
