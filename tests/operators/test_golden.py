@@ -125,3 +125,21 @@ def test_request_stream_drops_repeats(spark, tmp_path):
     q = streams.once(src, "room", "ts", "1 minute", known).writeStream.format("memory").queryName("requests").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.room for r in spark.table("requests").collect()) == [1, 2]
+
+
+def test_rules_of_skipped_and_rejected_rows(spark):
+    """Literal cases: skipped routes never pass, rainy nights are relaxed, rejected rows place nothing, crowding is local, service errors."""
+    from trailmark.functions import text as T
+    from trailmark.operators import rules
+
+    rows = [(1, "skip", "rain", "vehicle", 0.99, 0.99), (2, "dual", "rainy-night", "vehicle", 0.80, 0.13), (3, "dual", "rainy-night", "person", 0.80, 0.13), (4, "odd", "fog", None, 0.80, 0.25)]
+    got = {r.k: (r.skipped, r.passed) for r in rules.verify(spark.createDataFrame(rows, "k int, route string, weather string, occlusion string, s_geo double, s_div double")).collect()}
+    assert got == {1: (True, False), 2: (False, True), 3: (False, False), 4: (False, True)}
+    bad = spark.createDataFrame([(True, "sky", "none", "sign", "a sign", 0.9)], "editable boolean, region_type string, support_surface string, occluder_family string, object_name string, confidence double")
+    r = rules.hard_rules(bad).first()
+    assert (r.editable, r.accepted, r.occluder_family, r.object_name) == (False, False, "none", "none")
+    crowd = spark.createDataFrame([(1, "local", "vehicle"), (2, "dual", "vehicle"), (3, "local", "person"), (4, None, None)], "k int, route string, occlusion string").withColumn("text", F.lit("A Traffic Jam ahead"))
+    assert {r.k: (r.crowded, r.reasons) for r in T.crowding(crowd).collect()} == {1: (True, ["traffic jam"]), 2: (False, []), 3: (False, []), 4: (False, [])}
+    errors = spark.createDataFrame([("Timed out",), ("HTTP Error code: 502",), ("Connection error",), ("Insufficient_Quota",), (None,)], "e string")
+    assert [r.s for r in errors.select(T.systemic_error(F.col("e")).alias("s")).collect()] == [False, True, False, True, False]
+    assert [r.s for r in spark.createDataFrame([("skip",), ("",), ("weather",)], "e string").select(T.judged_route(F.col("e")).alias("s")).collect()] == ["pass", "dual", "global"]

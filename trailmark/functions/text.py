@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the planner's vocabulary.
@@ -63,6 +63,12 @@ def route(col: Column, default: str = "skip") -> Column:
     return F.when(known.isin(*ROUTES), known).otherwise(default)
 
 
+def judged_route(col: Column) -> Column:
+    """The judge's reading: dual where none is named, and pass for rows that are left alone."""
+    known = route(col, "dual")
+    return F.when(known == "skip", "pass").otherwise(known)
+
+
 def weather(col: Column) -> Column:
     raw = F.trim(F.lower(F.coalesce(col, F.lit(""))))
     known = F.coalesce(lookup(raw, WEATHER_ALIASES), raw)
@@ -85,11 +91,30 @@ def occlusion(text: Column, requested: Column) -> Column:
     return F.when(vehicle, "vehicle").when(person, "person")
 
 
-def crowding(text: Column) -> Column:
-    """struct<crowded, reasons>: one strong phrase or two weak ones."""
-    low = F.lower(text)
-    strong, weak = F.array_sort(mentions(low, CROWDING_STRONG)), F.array_sort(mentions(low, CROWDING_WEAK))
-    return F.struct(((F.size(strong) > 0) | (F.size(weak) >= 2)).alias("crowded"), F.when(F.size(strong) > 0, strong).otherwise(weak).alias("reasons"))
+def crowding(df: DataFrame, text: str = "text") -> DataFrame:
+    """df (route, occlusion, text) with crowded and reasons: one strong phrase or two weak ones, where a vehicle is to be placed locally.
+
+    The text is lowered once, and phrases are looked for once, in projections of their own.
+    """
+    asked = (F.col("route") == "local") & (F.col("occlusion") == "vehicle")
+    low = df.withColumn("_low", F.when(asked, F.lower(text)))
+    found = low.withColumn("_strong", F.array_sort(mentions(F.col("_low"), CROWDING_STRONG))).withColumn("_weak", F.array_sort(mentions(F.col("_low"), CROWDING_WEAK)))
+    none = F.array().cast("array<string>")
+    out = found.withColumn("crowded", F.coalesce(asked & ((F.size("_strong") > 0) | (F.size("_weak") >= 2)), F.lit(False)))
+    out = out.withColumn("reasons", F.when(~F.coalesce(asked, F.lit(False)), none).when(F.size("_strong") > 0, F.col("_strong")).otherwise(F.col("_weak")))
+    return out.drop("_low", "_strong", "_weak")
+
+
+#: What tells an error of the service from one of the request.
+SYSTEMIC_ERRORS = (
+    "quota is not enough", "insufficient_quota", "arrearage", "overdue-payment", "access denied", "account is in good standing",
+    "internalservererror", "error code: 502", "bad gateway", "service unavailable", "upstream",
+)
+
+
+def systemic_error(col: Column) -> Column:
+    """Whether an error text means that the service fails as a whole."""
+    return F.coalesce(mentions_any(F.lower(col), SYSTEMIC_ERRORS), F.lit(False))
 
 
 def json_part(col: Column) -> Column:

@@ -56,10 +56,12 @@ def _pairs(table: dict[str, tuple[str, ...]], key: Column, value: Column) -> Col
 
 def bad_image(df: DataFrame) -> DataFrame:
     """Adds risk_flags, risk_score and skip_recommendation to (route, weather, occlusion, text)."""
-    low, route = F.lower("text"), F.col("route")
+    # Projections of their own: the text is lowered once, and surfaces are looked for once.
+    seen = df.withColumn("_low", F.lower("text"))
+    seen = seen.withColumn("_vehicle", T.mentions_any(F.col("_low"), T.VEHICLE_SURFACES)).withColumn("_person", T.mentions_any(F.col("_low"), T.PERSON_SURFACES))
+    low, route, vehicle, person = F.col("_low"), F.col("route"), F.col("_vehicle"), F.col("_person")
     placed, lit = route.isin("local", "dual"), route.isin("global", "dual")
     any_of = lambda *terms: T.mentions_any(low, terms)
-    vehicle, person = T.mentions_any(low, T.VEHICLE_SURFACES), T.mentions_any(low, T.PERSON_SURFACES)
     found = flags(
         missing_occlusion=placed & F.col("occlusion").isNull(),
         missing_weather=lit & F.col("weather").isNull(),
@@ -71,7 +73,7 @@ def bad_image(df: DataFrame) -> DataFrame:
         foreground_foliage_may_confuse_occluder=placed & any_of("dense green tree"),
         night_vehicle_high_hallucination_risk=(route == "dual") & (F.col("occlusion") == "vehicle") & (F.col("weather") == "night"),
     )
-    out = df.withColumn("risk_flags", found).withColumn("risk_score", F.least(F.lit(10), F.size("risk_flags") * 3))
+    out = seen.withColumn("risk_flags", found).drop("_low", "_vehicle", "_person").withColumn("risk_score", F.least(F.lit(10), F.size("risk_flags") * 3))
     return out.withColumn("skip_recommendation", F.col("risk_score") >= 6)
 
 
@@ -93,12 +95,13 @@ def scene_risk(df: DataFrame) -> DataFrame:
 
 
 def verify(df: DataFrame) -> DataFrame:
-    """Adds geo_ok, div_ok and passed by the thresholds of the route (dual where the route has none)."""
+    """Adds skipped, geo_ok, div_ok and passed by the thresholds of the route (dual where the route has none); skip routes are not scored."""
     table = df.sparkSession.createDataFrame([(r, *t) for r, t in GATES.items()], "route string, tau_geo double, tau_div double")
     out = df.join(F.broadcast(table), "route", "left").fillna({"tau_geo": GATES["dual"][0], "tau_div": GATES["dual"][1]})
-    wet = (F.col("route") == "dual") & (F.col("weather") == "rain") & (F.col("occlusion") == "vehicle")
+    out = out.withColumn("skipped", F.coalesce(F.col("route").isin("skip", "pass"), F.lit(False)))
+    wet = (F.col("route") == "dual") & T.weather(F.col("weather")).isin("rain", "rainy_night") & (F.lower("occlusion") == "vehicle")
     out = out.withColumn("tau_div", F.when(wet, DUAL_RAIN_VEHICLE_DIV).otherwise(F.col("tau_div")))
-    sound = lambda s: ~F.isnan(s) & F.col(s).isNotNull()
+    sound = lambda s: ~F.col("skipped") & ~F.isnan(s) & F.col(s).isNotNull()
     out = out.withColumn("geo_ok", sound("s_geo") & (F.col("s_geo") >= F.col("tau_geo"))).withColumn("div_ok", sound("s_div") & (F.col("s_div") >= F.col("tau_div")))
     return out.withColumn("passed", F.col("geo_ok") & F.col("div_ok"))
 
@@ -115,7 +118,12 @@ def hard_rules(df: DataFrame, least: float = 0.70) -> DataFrame:
         family_region_incompatible=F.col("editable") & ~_pairs(ALLOWED_REGIONS, family, region),
         support_incompatible=F.col("editable") & ~(_pairs(ALLOWED_SUPPORTS, family, support) & _pairs(REGION_SUPPORTS, region, support)),
     )
-    return df.withColumn("reject_reasons", found).withColumn("accepted", F.size("reject_reasons") == 0)
+    out = df.withColumn("reject_reasons", found).withColumn("accepted", F.size("reject_reasons") == 0)
+    out = out.withColumn("editable", F.col("editable") & F.col("accepted"))
+    for name in ("occluder_family", "object_name"):  # a rejected row places nothing
+        if name in df.columns:
+            out = out.withColumn(name, F.when(F.col("accepted"), F.col(name)).otherwise("none"))
+    return out
 
 
 def thresholds(df: DataFrame, taus: tuple[float, ...] = (0.3, 0.5, 0.7), precision: float = 0.7) -> DataFrame:

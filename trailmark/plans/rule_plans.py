@@ -31,19 +31,19 @@ def sql_pick(values: tuple[str, ...], at: str) -> str:
 _SQL_ROUTE = "CASE trim(lower({0})) WHEN 'weather' THEN 'global' WHEN 'weather_only' THEN 'global' WHEN 'occlusion' THEN 'local' WHEN 'occlusion_only' THEN 'local' WHEN 'both' THEN 'dual' WHEN 'weather_and_occlusion' THEN 'dual' WHEN 'pass' THEN 'skip' WHEN 'global' THEN 'global' WHEN 'local' THEN 'local' WHEN 'dual' THEN 'dual' WHEN 'skip' THEN 'skip' ELSE '{1}' END"
 _SCENES = f"""
 scenes AS (
-  SELECT d.doc_id, ['local', 'global', 'dual'][CAST(d.doc_id % 3 + 1 AS INT)] AS route, ['rain', 'snow', 'fog'][CAST(d.doc_id // 3 % 3 + 1 AS INT)] AS weather,
-    ['vehicle', 'person'][CAST(d.doc_id // 9 % 2 + 1 AS INT)] AS occlusion, d.doc_id * 37 % 100 / 100.0 AS s_geo, d.doc_id * 53 % 40 / 100.0 AS s_div
+  SELECT d.doc_id, ['local', 'global', 'dual', 'skip'][CAST(d.doc_id % 4 + 1 AS INT)] AS route, ['rain', 'snow', 'Rainy-Night', 'fog'][CAST(d.doc_id // 4 % 4 + 1 AS INT)] AS weather,
+    ['vehicle', 'person'][CAST(d.doc_id // 16 % 2 + 1 AS INT)] AS occlusion, d.doc_id * 37 % 100 / 100.0 AS s_geo, d.doc_id * 53 % 40 / 100.0 AS s_div
   FROM documents d
 ), gated AS (
-  SELECT *, s_geo >= CASE route WHEN 'local' THEN 0.82 WHEN 'global' THEN 0.78 ELSE 0.72 END AS geo_ok,
-    s_div >= CASE WHEN route = 'dual' AND weather = 'rain' AND occlusion = 'vehicle' THEN 0.12 WHEN route = 'local' THEN 0.09 WHEN route = 'global' THEN 0.15 ELSE 0.20 END AS div_ok
+  SELECT *, route = 'skip' AS skipped, route <> 'skip' AND s_geo >= CASE route WHEN 'local' THEN 0.82 WHEN 'global' THEN 0.78 ELSE 0.72 END AS geo_ok,
+    route <> 'skip' AND s_div >= CASE WHEN route = 'dual' AND weather IN ('rain', 'Rainy-Night') AND occlusion = 'vehicle' THEN 0.12 WHEN route = 'local' THEN 0.09 WHEN route = 'global' THEN 0.15 ELSE 0.20 END AS div_ok
   FROM scenes
 )"""
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents", "doc_id", "doc_id * 37 % 100 / 100.0D AS s_geo", "doc_id * 53 % 40 / 100.0D AS s_div")
-    return d.select("*", pick(("local", "global", "dual"), "doc_id").alias("route"), pick(("rain", "snow", "fog"), "doc_id div 3").alias("weather"), pick(("vehicle", "person"), "doc_id div 9").alias("occlusion"))
+    return d.select("*", pick(("local", "global", "dual", "skip"), "doc_id").alias("route"), pick(("rain", "snow", "Rainy-Night", "fog"), "doc_id div 4").alias("weather"), pick(("vehicle", "person"), "doc_id div 16").alias("occlusion"))
 
 
 @query(
@@ -61,9 +61,9 @@ def summary_by_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(rows, "route", ("global", "local", "dual", "skip"), "passed")
 
 
-@query("pf20_verification_gate", f"WITH {_SCENES} SELECT doc_id, route, geo_ok, div_ok, geo_ok AND div_ok AS passed FROM gated")
+@query("pf20_verification_gate", f"WITH {_SCENES} SELECT doc_id, route, skipped, geo_ok, div_ok, geo_ok AND div_ok AS passed FROM gated")
 def verification_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.verify(scenes(spark, sf_dir)).select("doc_id", "route", "geo_ok", "div_ok", "passed")
+    return rules.verify(scenes(spark, sf_dir)).select("doc_id", "route", "skipped", "geo_ok", "div_ok", "passed")
 
 
 @query("pf1_safe_ids", r"""SELECT page_id, nullif(regexp_replace(regexp_replace(trim(url), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), '') AS sample_id,
@@ -73,11 +73,12 @@ def safe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", T.safe_id(F.col("url")).alias("sample_id"), T.path_id(F.regexp_replace("url", "^[a-z]+://", "")).alias("path_id"))
 
 
-@query("pf2_routes", f"SELECT doc_id, {_SQL_ROUTE.format(sql_pick(ROUTE_WORDS, 'doc_id'), 'skip')} AS route, {_SQL_ROUTE.format(sql_pick(ROUTE_WORDS, 'doc_id'), 'dual')} AS judged_route FROM documents")
+@query("pf2_routes", f"""WITH r AS (SELECT doc_id, {_SQL_ROUTE.format(sql_pick(ROUTE_WORDS, 'doc_id'), 'skip')} AS route, {_SQL_ROUTE.format(sql_pick(ROUTE_WORDS, 'doc_id'), 'dual')} AS judged FROM documents)
+SELECT doc_id, route, CASE judged WHEN 'skip' THEN 'pass' ELSE judged END AS judged_route FROM r""")
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Route aliases with the planner's and the judge's default (PF2, PF3)."""
     raw = pick(ROUTE_WORDS, "doc_id")
-    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", T.route(raw).alias("route"), T.route(raw, "dual").alias("judged_route"))
+    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", T.route(raw).alias("route"), T.judged_route(raw).alias("judged_route"))
 
 
 @query(
@@ -130,12 +131,14 @@ def _found(words: tuple[str, ...], text: str = "low") -> str:
     "pf13_surfaces",
     f"""WITH t AS (SELECT doc_id, lower({_SQL_TEXT}) AS low FROM documents),
 f AS (SELECT doc_id, len({_found(T.VEHICLE_SURFACES)}) AS v, len({_found(T.PERSON_SURFACES)}) AS p, list_sort({_found(T.CROWDING_STRONG)}) AS strong, list_sort({_found(T.CROWDING_WEAK)}) AS weak FROM t)
-SELECT doc_id, CASE WHEN v > 0 THEN 'vehicle' WHEN p > 0 THEN 'person' END AS occlusion, len(strong) > 0 OR len(weak) >= 2 AS crowded, array_to_string(CASE WHEN len(strong) > 0 THEN strong ELSE weak END, '|') AS reasons FROM f""",
+SELECT doc_id, CASE WHEN v > 0 THEN 'vehicle' WHEN p > 0 THEN 'person' END AS occlusion, doc_id % 3 > 0 AND v > 0 AND (len(strong) > 0 OR len(weak) >= 2) AS crowded,
+  CASE WHEN doc_id % 3 > 0 AND v > 0 THEN array_to_string(CASE WHEN len(strong) > 0 THEN strong ELSE weak END, '|') ELSE '' END AS reasons FROM f""",
 )
 def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places for vehicles and persons in whole texts, and crowding (PF13, PF14, PF16)."""
-    c = T.crowding(F.col("text"))
-    return placed(spark, sf_dir).select("doc_id", T.occlusion(F.col("text"), F.lit(None)).alias("occlusion"), c["crowded"].alias("crowded"), F.array_join(c["reasons"], "|").alias("reasons"))
+    low = placed(spark, sf_dir).select("doc_id", F.lower("text").alias("text"), F.when(F.col("doc_id") % 3 > 0, "local").otherwise("dual").alias("route"))
+    rows = low.withColumn("occlusion", T.occlusion(F.col("text"), F.lit(None)))
+    return T.crowding(rows).select("doc_id", "occlusion", "crowded", F.array_join("reasons", "|").alias("reasons"))
 
 
 @query(
@@ -189,15 +192,15 @@ def _in(table_: dict, a: str, b: str) -> str:
 @query(
     "pf24_hard_rules",
     f"""WITH d AS (SELECT doc_id, doc_id % 11 > 0 AS editable, {sql_pick(_REGIONS, 'doc_id')} AS region, {sql_pick(_SUPPORTS, 'doc_id // 9')} AS support, {sql_pick(_FAMILIES, 'doc_id // 5')} AS family, doc_id * 29 % 100 / 100.0 AS confidence FROM documents),
-r AS (SELECT doc_id, list_filter([CASE WHEN NOT editable THEN 'vlm_rejected' END, CASE WHEN region = 'sky' THEN 'sky_not_editable' END, CASE WHEN confidence < 0.7 THEN 'low_confidence' END, CASE WHEN region = 'unknown' THEN 'unknown_region_not_supported' END,
+r AS (SELECT doc_id, editable, family, list_filter([CASE WHEN NOT editable THEN 'vlm_rejected' END, CASE WHEN region = 'sky' THEN 'sky_not_editable' END, CASE WHEN confidence < 0.7 THEN 'low_confidence' END, CASE WHEN region = 'unknown' THEN 'unknown_region_not_supported' END,
   CASE WHEN support IN ('none', 'unknown') THEN 'no_visible_support' END, CASE WHEN editable AND NOT {_in(rules.ALLOWED_REGIONS, 'family', 'region')} THEN 'family_region_incompatible' END,
   CASE WHEN editable AND NOT ({_in(rules.ALLOWED_SUPPORTS, 'family', 'support')} AND {_in(rules.REGION_SUPPORTS, 'region', 'support')}) THEN 'support_incompatible' END], lambda x: x IS NOT NULL) AS reasons FROM d)
-SELECT doc_id, array_to_string(reasons, '|') AS reasons, len(reasons) = 0 AS accepted FROM r""",
+SELECT doc_id, array_to_string(reasons, '|') AS reasons, len(reasons) = 0 AS accepted, editable AND len(reasons) = 0 AS editable, CASE WHEN len(reasons) = 0 THEN family ELSE 'none' END AS occluder_family FROM r""",
 )
 def hard_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents", "doc_id", "doc_id % 11 > 0 AS editable", "doc_id * 29 % 100 / 100.0D AS confidence")
     d = d.select("*", pick(_REGIONS, "doc_id").alias("region_type"), pick(_SUPPORTS, "doc_id div 9").alias("support_surface"), pick(_FAMILIES, "doc_id div 5").alias("occluder_family"))
-    return rules.hard_rules(d).select("doc_id", F.array_join("reject_reasons", "|").alias("reasons"), "accepted")
+    return rules.hard_rules(d).select("doc_id", F.array_join("reject_reasons", "|").alias("reasons"), "accepted", "editable", "occluder_family")
 
 
 _CANDIDATES = """c AS (SELECT l_orderkey, l_linenumber, l_orderkey * 8 + l_linenumber AS candidate_id, ['sign', 'cones', 'tarp'][CAST(l_linenumber % 3 + 1 AS INT)] AS family,
@@ -225,12 +228,13 @@ def threshold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("family", F.col("tau").cast("double").alias("tau")).agg(*aggs)
 
 
-ERRORS = ("insufficient_quota", "connection error", "timed out", "fine", "rate limit", "parse failed")
+ERRORS = ("insufficient_quota", "connection error", "Error code: 502 - bad gateway", "timed out", "fine", "Access Denied", "rate limit", "InternalServerError: overload", "parse failed")
 
 
-@query("pf11_system_errors", f"SELECT event_id, coalesce(regexp_matches(lower({sql_pick(ERRORS, 'event_id')}), 'quota|connection|timed out|rate limit|unauthorized'), false) AS systemic FROM events")
+@query("pf11_system_errors", f"SELECT event_id, len({_found(T.SYSTEMIC_ERRORS, 'lower(' + sql_pick(ERRORS, 'event_id') + ')')}) > 0 AS systemic FROM events")
 def system_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events", "event_id").select("event_id", F.lower(pick(ERRORS, "event_id")).rlike("quota|connection|timed out|rate limit|unauthorized").alias("systemic"))
+    """Errors of the service as a whole (PF11)."""
+    return table(spark, sf_dir, "events", "event_id").select("event_id", T.systemic_error(pick(ERRORS, "event_id")).alias("systemic"))
 
 
 @query("fn_seeds", "SELECT page_id, 1 + CAST('0x' || substr(sha256('7|' || page_id || '|' || url), 1, 8) AS BIGINT) % 2000000000 AS seed, sha256(url) AS digest FROM pages")
