@@ -215,7 +215,7 @@ class _CoTraining:
 def _view_scores(m: Model, batch: pa.RecordBatch, text_col: str):
     """(first row, end, scores of both views and of both together by target) in slices of bounded bytes."""
     n_bins = m.cuts.shape[1] + 1
-    for a, b, texts in text_slices(batch.column(text_col), 1_000_000):
+    for a, b, texts in text_slices(batch.column(text_col), 300_000):
         words, owner, style = text_features(texts)
         meta = meta_features(*(batch.column(c).slice(a, b - a).to_pylist() for c in ("source", "lang", "n_chars")))
         at = np.minimum(np.searchsorted(m.words, words), max(len(m.words) - 1, 0))
@@ -262,7 +262,7 @@ def _collected(docs: DataFrame, text_col: str) -> tuple:
 
     def run(batches):
         for batch in batches:
-            for a, b, texts in text_slices(batch.column(text_col), 1_000_000):
+            for a, b, texts in text_slices(batch.column(text_col), 300_000):
                 words, owner, style = text_features(texts)
                 meta = meta_features(*(batch.column(c).slice(a, b - a).to_pylist() for c in ("source", "lang", "n_chars")))
                 ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=b - a))))

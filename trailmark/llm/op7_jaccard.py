@@ -39,7 +39,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_SLICE = 1_000_000
+_SLICE = 300_000
 
 
 def shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +102,7 @@ def _profile(width: int):
 
         def counted(flush):
             nonlocal tokens, held
-            if tokens and (flush or held > 2_000_000):
+            if tokens and (flush or held > 800_000):
                 v, c = np.unique(np.concatenate(tokens), return_counts=True)
                 some = c >= 3
                 tokens, held = [], 0
@@ -118,7 +118,7 @@ def _profile(width: int):
                     at = seen.setdefault(key, int(rows[i]))
                     fresh[i] = at == rows[i]
                     lead[i] = at
-            if len(seen) > 200_000:
+            if len(seen) > 80_000:
                 seen.clear()
             tokens.append(h[fresh[owner]])
             held += len(tokens[-1])
@@ -144,7 +144,7 @@ def _postings(width, num, den, hot_token, hot_count):
                 if key[0] and key not in seen:
                     fresh[i] = True
                     seen.add(key)
-            if len(seen) > 200_000:
+            if len(seen) > 80_000:
                 seen.clear()
             keep = fresh[owner]
             h, owner = h[keep], owner[keep]
