@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Largest row count of a side that may be broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch between the JVM and Python where the session sets no bound; of Spark's own 64 MB every task holds several copies.
+ARROW_BYTES = "2m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,12 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded bytes for the session, so that a task's memory does not follow the length of the texts; a bound of the user's own stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def save(df: DataFrame, tag: str, done: bool = False) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors.
 
     done: the shuffle files behind df are large and not needed again; Spark's cleaner drops them as soon as the
     driver's JVM has collected their owners, so ask for that now rather than at its next periodic collection.
     """
+    bound_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if done:
@@ -39,6 +48,7 @@ def save(df: DataFrame, tag: str, done: bool = False) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    bound_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*cols) if cols else df
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast
+from .common import bound_batches, checked_broadcast
 from .rolling import Poly, join_texts, mix, text_slices
 
 ROUNDS, SURE, ROUND_SHARE = 3, 0.97, 0.15
@@ -282,6 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text_col, *(F.col(c) for c in ("source", "lang", "n_chars")))
     marked = marks.where("quality is not null or toxic is not null").join(plain.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(labelled).toPandas()
     spark = docs.sparkSession
+    bound_batches(spark)
 
     def features(wanted: list[int]) -> tuple:
         """(ids in the wanted order, words, owner, style, meta) of documents; the first row of a repeated id."""
@@ -334,6 +335,7 @@ _ADDED = ("p_text", "p_meta", "p_quality", "p_toxic", "keep")
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with p_text, p_meta and p_quality (of good quality), p_toxic and keep appended."""
+    bound_batches(docs.sparkSession)
     kept = docs.drop(*_ADDED)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

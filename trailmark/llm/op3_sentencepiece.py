@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .rolling import in_slices
 
 CACHE_BYTES = 160 << 20  # about what the remembered stretches of a task may take
@@ -310,6 +311,7 @@ def _stretches(path: str) -> _Stretches:
 
 def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids", keep_text: bool = True) -> DataFrame:
     """docs with out_col array<int> appended (a column of that name is replaced); keep_text: whether the text stays."""
+    bound_batches(docs.sparkSession)
     kept = docs.drop(out_col)
     names = [c for c in kept.columns if keep_text or c != text_col]
 
@@ -329,6 +331,7 @@ def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str
 
 def decode_ids(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """docs with out_col string appended; null ids decode to the empty text."""
+    bound_batches(docs.sparkSession)
     kept = docs.drop(out_col)
 
     def run(batches):

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .rolling import in_slices
 
 #: Kinds in report order; the first three are the base.
@@ -232,6 +233,7 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
     """docs with out_col appended: findings by start, then kind."""
+    bound_batches(docs.sparkSession)
     kept = docs.drop(out_col)
 
     def run(batches):
@@ -246,6 +248,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secret
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with every finding in the text replaced by a mark (overlapping findings by one)."""
+    bound_batches(docs.sparkSession)
 
     def cleaned(text: str) -> str:
         parts, at = [], 0
