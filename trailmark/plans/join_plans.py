@@ -84,14 +84,21 @@ def nearest_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j17_nearest_in_window",
-    """WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, value AS clarity FROM events), t AS (SELECT user_id, idx * 10 AS target FROM e WHERE idx * 10 <= 60)
-SELECT t.user_id, t.target, arg_max(e.idx, (e.clarity, -e.idx)) FILTER (abs(e.idx - t.target) <= 3) AS clearest FROM t JOIN e ON e.user_id = t.user_id AND abs(e.idx - t.target) <= 3 GROUP BY t.user_id, t.target""",
+    """WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, value AS clarity FROM events), t AS (SELECT user_id, idx * 10 AS target FROM e)
+SELECT t.user_id, t.target, coalesce(arg_max(e.idx, (e.clarity, -e.idx)) FILTER (abs(e.idx - t.target) <= 3), arg_min(e.idx, (abs(e.idx - t.target), e.idx))) AS clearest FROM t JOIN e ON e.user_id IS NOT DISTINCT FROM t.user_id GROUP BY t.user_id, t.target""",
 )
 def nearest_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clearest frame within three of each target (J17): targets spread over their seven frames, an equi-join."""
-    e = table(spark, sf_dir, "events", "event_id", "user_id", "value").withColumn("idx", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint") - 1)
-    targets = e.where("idx * 10 <= 60").selectExpr("user_id", "idx * 10 AS target").select("*", F.explode(F.sequence(F.col("target") - 3, F.col("target") + 3)).alias("idx"))
-    return targets.join(e.select("user_id", "idx", "value"), ["user_id", "idx"]).groupBy("user_id", "target").agg(F.max_by("idx", F.struct("value", -F.col("idx"))).alias("clearest"))
+    """The clearest frame within three of each target, else the nearest frame (J17): targets spread over their seven frames, an equi-join.
+
+    Frames are numbered from 0 without gaps, so the nearest frame of a target beyond the track is its last one.
+    """
+    track = Window.partitionBy("user_id")
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "value").withColumn("idx", F.row_number().over(track.orderBy("event_id")).cast("bigint") - 1)
+    targets = e.select("user_id", (F.col("idx") * 10).alias("target"), F.max("idx").over(track).alias("last"))
+    near = targets.select("*", F.explode(F.sequence(F.col("target") - 3, F.col("target") + 3)).alias("idx")).alias("n")
+    found = near.join(e.select("user_id", "idx", "value").alias("e"), F.expr("n.user_id <=> e.user_id and n.idx = e.idx"), "left").select("n.user_id", "target", "last", "e.idx", "value")
+    best = F.max_by("idx", F.when(F.col("idx").isNotNull(), F.struct("value", -F.col("idx"))))
+    return found.groupBy("user_id", "target").agg(F.coalesce(best, F.max("last")).alias("clearest"))
 
 
 @query(

@@ -187,12 +187,14 @@ def label_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "t15_best_mask",
-    """WITH e AS (SELECT label, event_id % 4 AS mask, avg((CAST(embedding[1] AS DOUBLE) - value / 500) * (CAST(embedding[1] AS DOUBLE) - value / 500)) AS mse FROM embeddings JOIN events ON event_id % 500 = vec_id GROUP BY 1, 2)
+    """WITH e AS (SELECT label, event_id % 4 AS mask, avg((CAST(embedding[1] AS DOUBLE) - value / 500) * (CAST(embedding[1] AS DOUBLE) - value / 500)) AS mse FROM embeddings JOIN events ON event_id % (SELECT max(vec_id) + 1 FROM embeddings) = vec_id GROUP BY 1, 2)
 SELECT label, arg_min(mask, (round(mse, 9), mask)) AS mask FROM e GROUP BY label""",
 )
 def best_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mask with the smaller squared error by head."""
-    e = table(spark, sf_dir, "events", "event_id % 4 AS mask", "event_id % 500 AS vec_id", "value / 500 AS y").join(table(spark, sf_dir, "embeddings", "vec_id", "label", "CAST(embedding[0] AS DOUBLE) AS x"), "vec_id")
+    many = F.broadcast(table(spark, sf_dir, "embeddings", "vec_id").agg((F.max("vec_id") + 1).alias("many")))  # one row
+    events = table(spark, sf_dir, "events", "event_id", "value").crossJoin(many).selectExpr("event_id % 4 AS mask", "event_id % many AS vec_id", "value / 500 AS y")
+    e = events.join(table(spark, sf_dir, "embeddings", "vec_id", "label", "CAST(embedding[0] AS DOUBLE) AS x"), "vec_id")
     mse = e.groupBy("label", "mask").agg(F.round(F.avg((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))), 9).alias("mse"))
     return mse.groupBy("label").agg(F.min_by("mask", F.struct("mse", "mask")).alias("mask"))
 
