@@ -10,7 +10,7 @@ over the boundaries of a text and extends every live one by the pieces that star
 
 Only the boundaries that a piece may still cross are live (the longest piece bounds them), and ids are committed as soon as all paths to them
 meet in one boundary. Where no piece holds two neighbouring characters (a word's end and a blank or a full stop), the boundary between
-them is always such a meeting point, so the stretches between them are searched one by one, and remembered up to CACHE_BYTES.
+them is always such a meeting point, so the stretches between them are searched one by one, and remembered up to a bound of bytes.
 
 A space is the mark U+2581, one leads the text, and a character that no piece has becomes its UTF-8 bytes' pieces.
 A literal U+2581 in a text also takes byte pieces, so that decoding is an exact round trip.
@@ -247,8 +247,9 @@ class Pieces:
 class _Stretches(dict):
     """Ids by stretch; own: those of the model's kind, otherwise always by the highest sum of scores."""
 
-    def __init__(self, path: str, own: bool = False):
+    def __init__(self, path: str, own: bool = False, limit: int = CACHE_BYTES):
         super().__init__()
+        self.limit = limit
         self.pieces = Pieces(path)
         self.merges = own and self.pieces.merges
         self.held, self.older = 0, {}  # bytes of the newer generation, and the older one
@@ -276,7 +277,7 @@ class _Stretches(dict):
             if len(s) > 1024:  # hardly comes again
                 return got
         self.held += _ENTRY + 2 * len(s) + len(got)
-        if self.held > CACHE_BYTES // 2:  # those not asked for since the last time go
+        if self.held > self.limit // 2:  # those not asked for since the last time go
             self.older = dict(self)
             self.clear()
             self.held = 0
@@ -305,18 +306,21 @@ class _Stretches(dict):
 
 
 @lru_cache(maxsize=2)
-def _stretches(path: str) -> _Stretches:
-    return _Stretches(path, own=True)
+def _stretches(path: str, limit: int = CACHE_BYTES) -> _Stretches:
+    return _Stretches(path, own=True, limit=limit)
 
 
-def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids", keep_text: bool = True) -> DataFrame:
-    """docs with out_col array<int> appended (a column of that name is replaced); keep_text: whether the text stays."""
+def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids", keep_text: bool = True, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """docs with out_col array<int> appended (a column of that name is replaced); keep_text: whether the text stays.
+
+    cache_bytes bounds the stretches that a task remembers: fewer cost time, never ids.
+    """
     bound_batches(docs.sparkSession)
     kept = docs.drop(out_col)
     names = [c for c in kept.columns if keep_text or c != text_col]
 
     def run(batches):
-        known = _stretches(path)
+        known = _stretches(path, cache_bytes)
         for whole in batches:
             for batch in in_slices(whole, text_col, _SLICE):
                 done, ends = [], [0]
