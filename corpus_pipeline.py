@@ -26,6 +26,9 @@ from trailmark.llm.op7_jaccard import jaccard_components
 from trailmark.llm.op9_secrets import redact
 from trailmark.llm.op10_decontaminate import contamination
 
+#: Bytes of stretches that a task of the last stage remembers: its Python workers still hold what earlier stages left in them.
+TOKEN_CACHE = 48 << 20
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
@@ -56,7 +59,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts = docs.select("doc_id", "lang", "source", "text")
-    out = encode_ids(texts, public_tokenizers.path("piece_bpe_32k.model"), keep_text=False)
+    out = encode_ids(texts, public_tokenizers.path("piece_bpe_32k.model"), keep_text=False, cache_bytes=TOKEN_CACHE)
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
