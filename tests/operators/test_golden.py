@@ -143,3 +143,18 @@ def test_rules_of_skipped_and_rejected_rows(spark):
     errors = spark.createDataFrame([("Timed out",), ("HTTP Error code: 502",), ("Connection error",), ("Insufficient_Quota",), (None,)], "e string")
     assert [r.s for r in errors.select(T.systemic_error(F.col("e")).alias("s")).collect()] == [False, True, False, True, False]
     assert [r.s for r in spark.createDataFrame([("skip",), ("",), ("weather",)], "e string").select(T.judged_route(F.col("e")).alias("s")).collect()] == ["pass", "dual", "global"]
+
+
+def test_schedule_counts_after_policies(spark):
+    rows = spark.createDataFrame([("a", i, 0.9, 0.9, False, "global", "skip", "dual") for i in range(6)], "run string, ord long, w double, o double, bad boolean, after_global string, after_local string, after_dual string")
+    # A local row that a policy skips is not counted as local, so local still lacks rows and is asked for again.
+    assert [r.route for r in schedule(rows).orderBy("ord").collect()] == ["global", "skip", "skip", "skip", "skip", "skip"]
+
+
+def test_weather_by_quota(spark):
+    cols = "run string, ord long, w double, o double, bad boolean, restricted boolean, safe array<string>, tie long, passed boolean"
+    row = lambda i, restricted=False, safe=None, tie=0, passed=True, run="a": (run, i, 0.9, 0.0, False, restricted, safe, tie, passed)
+    rows = [row(0), row(1), row(2, True), row(3, False, ["snow", "hail"]), row(4, False, ["hail"], 1), row(0, run="b", passed=False, tie=3), row(1, run="b", tie=3)]
+    got = [(r.run, r.weather) for r in schedule(spark.createDataFrame(rows, cols)).orderBy("run", "ord").collect()]
+    # The second row can't take overcast again (all made so far); a failed snow leaves the passed counts as they were, but stays made.
+    assert got == [("a", "overcast"), ("a", "fog"), ("a", "overcast"), ("a", "snow"), ("a", "night"), ("b", "snow"), ("b", "night")]

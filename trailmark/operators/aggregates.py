@@ -48,7 +48,7 @@ def token_coverage(cells: DataFrame, grid: DataFrame, key: str) -> DataFrame:
     cells: (key, token, pixels, overlap); grid: (token, weight, cell_area), as many rows as tokens.
     """
     total = grid.agg(F.sum("weight").alias("total"))
-    got = cells.join(F.broadcast(grid), "token").groupBy(key).agg(F.sum(F.col("pixels") / F.col("cell_area") * F.col("weight")).alias("captured"), F.sum("pixels").alias("area"), F.sum("overlap").alias("overlap"))
+    got = cells.join(grid, "token").groupBy(key).agg(F.sum(F.col("pixels") / F.col("cell_area") * F.col("weight")).alias("captured"), F.sum("pixels").alias("area"), F.sum("overlap").alias("overlap"))
     out = got.crossJoin(F.broadcast(total))  # a single row
     return out.select(key, "area", F.when(F.col("total") > 0, F.col("captured") / F.col("total")).alias("weighted_coverage"), F.when(F.col("area") > 0, F.col("overlap") / F.col("area")).otherwise(0.0).alias("precision"))
 

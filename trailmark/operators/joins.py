@@ -77,7 +77,9 @@ def resample(points: DataFrame, track: DataFrame, key: str, at: str, value: str)
     marks = points.select(key, at, F.lit(None).cast("double").alias(value)).union(track.select(key, at, F.col(value).cast("double")))
     w = Window.partitionBy(key).orderBy(at, F.col(value).isNull())
     pair = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("t"), F.col(value).alias("v")))
-    marks = marks.withColumn("_p", F.last(pair, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(pair, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(key).orderBy(F.col(at).desc(), F.col(value).isNull().desc())  # the same order backwards: both frames only grow
+    seen = (Window.unboundedPreceding, Window.currentRow)
+    marks = marks.withColumn("_p", F.last(pair, ignorenulls=True).over(w.rowsBetween(*seen))).withColumn("_n", F.last(pair, ignorenulls=True).over(back.rowsBetween(*seen)))
     line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (F.col(at) - F.col("_p.t")) / F.nullif(F.col("_n.t") - F.col("_p.t"), F.lit(0))
     return marks.where(F.col(value).isNull()).select(key, at, F.coalesce(line, F.col("_p.v"), F.col("_n.v")).alias("value"))
 

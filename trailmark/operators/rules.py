@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.functions import numbers as N
 from trailmark.functions import text as T
 
 # Fixed values.
@@ -77,6 +78,11 @@ def bad_image(df: DataFrame) -> DataFrame:
     return out.withColumn("skip_recommendation", F.col("risk_score") >= 6)
 
 
+def bad_scene(bad_image: Column, street_scene_quality: Column) -> Column:
+    """Whether a row is skipped before any quota: the planner calls the image or the street scene bad."""
+    return N.boolish(bad_image) | F.coalesce(F.lower(street_scene_quality) == "bad", F.lit(False))
+
+
 def bad_image_policy(df: DataFrame) -> DataFrame:
     """Adds final_route: risky local and dual rows are skipped, or become global where weather editing is feasible."""
     risky = F.col("skip_recommendation") & F.col("route").isin("local", "dual")

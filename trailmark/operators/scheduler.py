@@ -1,57 +1,115 @@
-"""The online quota scheduler as a fold: each row's route depends on the routes before it.
+"""Order-dependent rules as folds: each row's decision depends on the decisions before it.
 
-A run's rows are folded in order with built-in expressions; runs (cities) are independent and spread over tasks. The sequence of a
-single run is serial by its meaning, so a run's rows must fit one task.
+Rows are dealt by run and sorted inside tasks; a task streams through them batch by batch with only the counters of the run at hand in
+memory, so a run may be of any length. Runs (cities, tracks) spread over tasks; the sequence of one run is serial by its meaning.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
 LEAST_WEATHER, LEAST_OCCLUSION, TARGET, MOST, LEAST_SHARE, CAPABILITY = 0.55, 0.58, 0.25, 0.30, 0.20, 0.25
 ORDER = ("global", "local", "dual")
+WEATHER_ORDER, SAFE_WEATHERS, WEATHER_SHARE, MOST_WEATHER = ("overcast", "fog", "rain", "snow", "night"), ("overcast", "fog"), 0.20, 0.50
+
+
+def fold_rows(df: DataFrame, key: str, order: str, start: Callable[[], Any], step: Callable[[Any, Any], tuple | None], schema: str) -> DataFrame:
+    """The rows that step(state, row) makes of each key's rows in order; state is made anew by start() for each key (null is a key of its own)."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, at = None, None
+        for pdf in frames:
+            out = []
+            for row in pdf.itertuples(index=False):
+                k = getattr(row, key)
+                if state is None or k != at and (k == k or at == at):
+                    state, at = start(), k
+                got = step(state, row)
+                if got is not None:
+                    out.append(got)
+            yield pd.DataFrame(out, columns=names)
+
+    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
 
 
-def _choice(n: Column, w: Column, o: Column) -> Column:
+def _choice(n: dict[str, int], w: float, o: float) -> str:
     """The route with the highest score among those under the cap (all eligible ones if none is)."""
-    total = (n["skip"] + n["global"] + n["local"] + n["dual"] + 1).cast("double")
+    total = float(sum(n.values()) + 1)
+    worth = {"global": w, "local": o, "dual": min(w, o)}
     fit = {"global": w >= LEAST_WEATHER, "local": o >= LEAST_OCCLUSION}
-    fit["dual"] = fit["global"] & fit["local"]
-    worth = {"global": w, "local": o, "dual": F.least(w, o)}
+    fit["dual"] = fit["global"] and fit["local"]
     rows = []
     for place, r in enumerate(ORDER):
-        share = n[r] / total
-        lack = TARGET * total - n[r]
-        value = F.when(share < LEAST_SHARE, 2 * lack).otherwise(lack) + CAPABILITY * worth[r]
-        rows.append(F.when(fit[r], F.struct((share <= MOST).alias("under"), value.alias("score"), F.lit(-place).alias("place"), F.lit(r).alias("route"))))
-    best = F.array_max(F.filter(F.array(*rows), lambda x: x.isNotNull()))
-    return F.coalesce(best["route"], F.lit("skip"))
+        if fit[r]:
+            share, lack = n[r] / total, TARGET * total - n[r]
+            rows.append((share <= MOST, (2 * lack if share < LEAST_SHARE else lack) + CAPABILITY * worth[r], -place, r))
+    return max(rows)[3] if rows else "skip"
+
+
+def _weather(row, made: dict[str, int], passed: dict[str, int]) -> str:
+    """The weather that lacks most passed images, among those that the scene allows and that are not over the cap; ties by the row's tie number."""
+    pool = [x for x in WEATHER_ORDER if not row.restricted or x in SAFE_WEATHERS]
+    pool = [x for x in pool if x in row.safe] or pool
+    n = sum(made.values())
+    pool = [x for x in pool if not n or made[x] / n <= MOST_WEATHER] or pool
+    planned = sum(passed.values()) + 1
+    lack = {x: WEATHER_SHARE * planned - passed[x] for x in pool}
+    best = [x for x in pool if lack[x] == max(lack.values())]
+    return best[int(row.tie) % len(best)]
 
 
 def schedule(df: DataFrame, run: str = "run", order: str = "ord") -> DataFrame:
-    """(run, ord, route) of rows (run, ord, w, o, bad): bad rows are skipped unscored."""
-    zero = F.struct(*(F.lit(0).alias(k) for k in ("skip", *ORDER)))
-    state = F.struct(zero.alias("n"), F.array().cast(f"array<struct<{order}:bigint,route:string>>").alias("out"))
+    """(run, ord, route, weather) of rows (run, ord, w, o, bad): bad rows are skipped unscored, null scores count as 0.
+
+    Optional columns: after_global, after_local, after_dual (what the policies make of a row that is given this route; counters follow the
+    route after them), and restricted, safe, tie, passed, with which every global row also gets its weather by quota
+    (passed: whether the image passes once it is made, which the next rows' quota sees). Without them weather is null.
+    """
+    names = set(df.columns)
+    kinds = df.schema
+    after = {r: f"after_{r}" for r in ORDER if f"after_{r}" in names}
+    weathers = {"restricted", "safe", "tie", "passed"} <= names
+    clean = df.withColumns({"w": F.coalesce(F.col("w").cast("double"), F.lit(0.0)), "o": F.coalesce(F.col("o").cast("double"), F.lit(0.0)), "bad": F.coalesce("bad", F.lit(False))})
+    if weathers:
+        clean = clean.withColumns({"safe": F.coalesce("safe", F.array().cast("array<string>")), "restricted": F.coalesce("restricted", F.lit(False)), "passed": F.coalesce("passed", F.lit(False)), "tie": F.coalesce("tie", F.lit(0))})
+    used = [run, order, "w", "o", "bad", *after.values(), *(("restricted", "safe", "tie", "passed") if weathers else ())]
+
+    def start() -> tuple[dict, dict, dict]:
+        return dict.fromkeys(("skip", *ORDER), 0), dict.fromkeys(WEATHER_ORDER, 0), dict.fromkeys(WEATHER_ORDER, 0)
 
-    def step(acc: Column, x: Column) -> Column:
-        route = F.when(x["bad"], F.lit("skip")).otherwise(_choice(acc["n"], x["w"], x["o"]))
-        counts = F.struct(*((acc["n"][k] + (route == k).cast("int")).alias(k) for k in ("skip", *ORDER)))
-        return F.struct(counts.alias("n"), F.concat(acc["out"], F.array(F.struct(x[order].cast("bigint").alias(order), route.alias("route")))).alias("out"))
+    def step(state, row) -> tuple:
+        n, made, passed = state
+        route = "skip" if row.bad else _choice(n, row.w, row.o)
+        route = getattr(row, after[route]) if route in after else route
+        weather = None
+        if weathers and route == "global":
+            weather = _weather(row, made, passed)
+            made[weather] += 1
+            passed[weather] += bool(row.passed)
+        n[route] += 1
+        return getattr(row, run), getattr(row, order), route, weather
 
-    rows = df.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(order, "w", "o", "bad"))).alias("rows"))
-    return rows.select(run, F.explode(F.aggregate("rows", state, step)["out"]).alias("x")).select(run, f"x.{order}", "x.route")
+    kind = lambda c: kinds[c].dataType.simpleString()
+    return fold_rows(clean.select(*used), run, order, start, step, f"{run} {kind(run)}, {order} {kind(order)}, route string, weather string")
 
 
 def accumulate_select(df: DataFrame, key: str, order: str, amount: str, limit: float) -> DataFrame:
-    """Rows at which the running amount since the last chosen row reaches the limit (the first row of a key is chosen)."""
-    state = F.struct(F.lit(None).cast("double").alias("sum"), F.array().cast("array<bigint>").alias("out"))
+    """Rows at which the running amount since the last chosen row reaches the limit (the first row of a key is chosen); null amounts count as 0."""
 
-    def step(acc: Column, x: Column) -> Column:
-        total = F.coalesce(acc["sum"] + x[amount], F.lit(float("inf")))
-        take = total >= limit
-        return F.struct(F.when(take, F.lit(0.0)).otherwise(total).alias("sum"), F.when(take, F.concat(acc["out"], F.array(x[order].cast("bigint")))).otherwise(acc["out"]).alias("out"))
+    def step(state: list, row) -> tuple | None:
+        state[0] = state[0] + getattr(row, amount)
+        if state[0] < limit:
+            return None
+        state[0] = 0.0
+        return getattr(row, key), getattr(row, order)
 
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, amount))).alias("rows"))
-    return rows.select(key, F.explode(F.aggregate("rows", state, step)["out"]).alias(order))
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    rows = df.select(key, order, F.coalesce(F.col(amount).cast("double"), F.lit(0.0)).alias(amount))
+    return fold_rows(rows, key, order, lambda: [float("inf")], step, f"{key} {kind(key)}, {order} {kind(order)}")

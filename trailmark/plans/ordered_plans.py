@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.operators import ordered as O
-from trailmark.operators.scheduler import accumulate_select, schedule
-from trailmark.plans.registry import query, table
+from trailmark.operators import rules
+from trailmark.operators.scheduler import WEATHER_ORDER, accumulate_select, schedule
+from trailmark.plans.registry import query, sql_list, table
 from trailmark.streaming.streams import segments, tumbling
 
 EPOCH = "CAST(epoch_us(ts) AS BIGINT) // 1000000"
@@ -36,8 +37,44 @@ f AS (
 ) SELECT run, ord, route FROM f WHERE ord > 0""",
 )
 def quota_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The online quota scheduler (W1, W3), one run by source."""
+    """The online quota scheduler without policies (W1), one run by source."""
     d = table(spark, sf_dir, "documents", "source AS run", "doc_id", "doc_id * 37 % 100 / 100D AS w", "doc_id * 53 % 100 / 100D AS o", "doc_id % 13 = 0 AS bad")
+    return schedule(d.withColumn("ord", F.row_number().over(Window.partitionBy("run").orderBy("doc_id")).cast("bigint"))).drop("weather")
+
+
+_LISTED = sql_list(WEATHER_ORDER)
+
+
+@query(
+    "w2_weather_quota",
+    f"""WITH RECURSIVE d AS (SELECT source AS run, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord, doc_id * 37 % 100 / 100 AS w, doc_id * 53 % 100 / 100 AS o, doc_id % 13 = 0 OR doc_id % 19 = 0 AS bad,
+  CASE WHEN doc_id % 17 = 0 THEN 'skip' ELSE 'global' END AS ag, CASE WHEN doc_id % 7 = 0 THEN 'skip' WHEN doc_id % 11 = 0 THEN 'global' ELSE 'local' END AS al, CASE WHEN doc_id % 5 = 0 THEN 'global' ELSE 'dual' END AS ad,
+  list_filter(CASE WHEN doc_id % 6 = 0 THEN [1, 2] ELSE [1, 2, 3, 4, 5] END, lambda i: CASE WHEN doc_id % 4 = 0 THEN i <= 2 ELSE true END) AS pool, doc_id AS tie, doc_id % 3 > 0 AS good FROM documents),
+f AS (
+  SELECT run, CAST(0 AS BIGINT) AS ord, 0 AS skip, 0 AS global, 0 AS local, 0 AS dual, [0, 0, 0, 0, 0] AS made, [0, 0, 0, 0, 0] AS passed, '' AS route, CAST(NULL AS INT) AS chosen FROM (SELECT DISTINCT source AS run FROM documents)
+  UNION ALL
+  SELECT run, ord, skip + CAST(route = 'skip' AS INT), global + CAST(route = 'global' AS INT), local + CAST(route = 'local' AS INT), dual + CAST(route = 'dual' AS INT),
+    list_transform([1, 2, 3, 4, 5], lambda i: made[i] + CASE WHEN i = chosen THEN 1 ELSE 0 END), list_transform([1, 2, 3, 4, 5], lambda i: passed[i] + CASE WHEN i = chosen AND good THEN 1 ELSE 0 END), route, chosen FROM (
+    SELECT *, CASE WHEN route = 'global' THEN best[CAST(tie % len(best) + 1 AS INT)] END AS chosen FROM (
+    SELECT *, list_filter(open, lambda i: passed[i] = list_min(list_transform(open, lambda j: passed[j]))) AS best FROM (
+    SELECT *, CASE asked WHEN 'global' THEN ag WHEN 'local' THEN al WHEN 'dual' THEN ad ELSE 'skip' END AS route, CASE WHEN len(capped) > 0 THEN capped ELSE pool END AS open FROM (
+    SELECT d.*, f.skip, f.global, f.local, f.dual, f.made, f.passed, list_filter(d.pool, lambda i: list_sum(f.made) = 0 OR f.made[i] / list_sum(f.made) <= 0.5) AS capped,
+      CASE WHEN d.bad THEN 'skip' ELSE coalesce(list_reverse_sort(list_filter([
+      CASE WHEN d.w >= 0.55 THEN {{'u': f.global / n <= 0.30, 's': CASE WHEN f.global / n < 0.20 THEN 2 * (0.25 * n - f.global) ELSE 0.25 * n - f.global END + 0.25 * d.w, 'p': 0, 'r': 'global'}} END,
+      CASE WHEN d.o >= 0.58 THEN {{'u': f.local / n <= 0.30, 's': CASE WHEN f.local / n < 0.20 THEN 2 * (0.25 * n - f.local) ELSE 0.25 * n - f.local END + 0.25 * d.o, 'p': -1, 'r': 'local'}} END,
+      CASE WHEN d.w >= 0.55 AND d.o >= 0.58 THEN {{'u': f.dual / n <= 0.30, 's': CASE WHEN f.dual / n < 0.20 THEN 2 * (0.25 * n - f.dual) ELSE 0.25 * n - f.dual END + 0.25 * least(d.w, d.o), 'p': -2, 'r': 'dual'}} END
+    ], lambda x: x IS NOT NULL))[1].r, 'skip') END AS asked
+    FROM (SELECT *, CAST(skip + global + local + dual + 1 AS DOUBLE) AS n FROM f) f JOIN d ON d.run = f.run AND d.ord = f.ord + 1))))
+) SELECT run, ord, route, {_LISTED}[chosen] AS weather FROM f WHERE ord > 0""",
+)
+def weather_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quota, bad rows, what the policies make of a route, counters after them, and the weather of global rows (W1 to W3, PF17); one run by source."""
+    d = table(
+        spark, sf_dir, "documents", "source AS run", "doc_id", "doc_id * 37 % 100 / 100D AS w", "doc_id * 53 % 100 / 100D AS o", "doc_id % 13 = 0 AS bad_image", "CASE WHEN doc_id % 19 = 0 THEN 'Bad' ELSE 'good' END AS street_scene_quality",
+        "CASE WHEN doc_id % 17 = 0 THEN 'skip' ELSE 'global' END AS after_global", "CASE WHEN doc_id % 7 = 0 THEN 'skip' WHEN doc_id % 11 = 0 THEN 'global' ELSE 'local' END AS after_local", "CASE WHEN doc_id % 5 = 0 THEN 'global' ELSE 'dual' END AS after_dual",
+        "doc_id % 6 = 0 AS restricted", "CASE WHEN doc_id % 4 = 0 THEN array('overcast', 'fog') WHEN doc_id % 9 = 0 THEN array('hail') END AS safe", "doc_id AS tie", "doc_id % 3 > 0 AS passed",
+    )
+    d = d.withColumn("bad", rules.bad_scene(F.col("bad_image"), F.col("street_scene_quality")))
     return schedule(d.withColumn("ord", F.row_number().over(Window.partitionBy("run").orderBy("doc_id")).cast("bigint")))
 
 
@@ -182,7 +219,7 @@ def label_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings", "label", "vec_id")
     n = e.groupBy("label").agg(F.count("*").alias("n"))
     starts = n.select("label", (F.sum("n").over(Window.orderBy("label")) - F.col("n")).alias("start"))  # a row by label
-    return e.join(F.broadcast(starts), "label").select("label", "vec_id", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1 + F.col("start")).alias("place"))
+    return e.join(starts, "label").select("label", "vec_id", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1 + F.col("start")).alias("place"))
 
 
 @query(
