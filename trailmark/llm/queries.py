@@ -99,6 +99,18 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
+#: All pairs of texts that share a shingle, and every text that links reach: right, but only for small tables.
+_OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) c USING (doc_id)
+"""
+
+
 def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -124,6 +136,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS term, generate_subscripts(ws, 1) - 1 AS pos FROM d),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda k: array_to_string(ws[k:k + 9], ' '))) AS phrase FROM i WHERE len(ws) > 0),
+ph AS (SELECT DISTINCT phrase, string_split(phrase, ' ') AS ps FROM win),
+terms AS (SELECT phrase, len(ps) AS n, unnest(ps) AS term, generate_subscripts(ps, 1) - 1 AS off FROM ph),
+counts AS (SELECT term, count(*) AS many FROM t GROUP BY term),
+ranked AS (SELECT phrase, n, term, off, row_number() OVER (PARTITION BY phrase ORDER BY coalesce(many, 0), off) AS k FROM terms LEFT JOIN counts USING (term)),
+met AS (SELECT phrase, n, k, doc_id, pos - off AS start FROM ranked JOIN t USING (term) WHERE k <= 2),
+said AS (SELECT m.doc_id, m.phrase, m.start, m.n FROM met m JOIN d USING (doc_id) WHERE m.k = 1 AND m.start >= 0 AND array_to_string(d.ws[m.start + 1:m.start + m.n], ' ') = m.phrase),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(start, start + n)) AS pos FROM said) GROUP BY doc_id),
+of_item AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM said JOIN win USING (phrase) GROUP BY doc_id),
+near AS (SELECT a.doc_id, count(DISTINCT item) AS n_near FROM met a JOIN met b ON a.phrase = b.phrase AND a.doc_id = b.doc_id AND a.k = 1 AND b.k = 2 AND a.start <> b.start AND abs(a.start - b.start) <= 3 JOIN win w ON w.phrase = a.phrase GROUP BY a.doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN of_item USING (doc_id) LEFT JOIN near USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_co_training": op1_co_training,
     "op2_chat_format": op2_chat_format,
@@ -137,4 +168,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {"op2_chat_format": _OP2_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": _OP2_SQL, "op7_ngram_jaccard": _OP7_SQL, "op10_decontaminate": _OP10_SQL}
