@@ -15,6 +15,7 @@ COLUMNS = {
     "op8_ann_search": "query_id rank vec_id score",
     "op9_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op10_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op11_collocations": "lang rank phrase a l r n score",
 }
 
 
@@ -23,7 +24,8 @@ def test_contract_columns(spark, name):
     df = QUERIES[name](spark, D)
     types = dict(df.dtypes)
     assert set(COLUMNS[name].split()) <= types.keys()
-    assert all(types[c] == ("int" if c == "rank" else "double" if c == "score" else "boolean" if c == "contaminated" else "string" if c in ("url", "text", "spans") or c.endswith("sha256") else "bigint") for c in COLUMNS[name].split())
+    words = name == "op11_collocations"
+    assert all(types[c] == ("int" if c == "rank" and not words else "double" if c == "score" and not words else "boolean" if c in ("contaminated", "held_out") else "string" if c in ("url", "text", "spans", "lang", "phrase", "lang_pred") or c.endswith("sha256") else "bigint") for c in COLUMNS[name].split())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -20,6 +20,7 @@ from .op7_jaccard import jaccard_components
 from .op8_ann import nearest
 from .op9_secrets import scan_secrets
 from .op10_decontaminate import contamination
+from .op11_phrases import collocations
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -155,6 +156,27 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN of_item USING (doc_id) LEFT JOIN n
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+_OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) AS r(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+parts AS (SELECT lang, phrase, a, cut, array_to_string(ws[:cut], ' ') AS lp, array_to_string(ws[cut + 1:], ' ') AS rp FROM c, range(1, 4) AS r(cut) WHERE cut < k),
+cuts AS (SELECT p.lang, p.phrase, p.a, cut, x.a AS l, y.a AS r, CAST(2000000 * CAST(p.a AS HUGEINT) // (x.a + y.a) AS BIGINT) AS score FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = lp JOIN f y ON y.lang = p.lang AND y.phrase = rp),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, a, array_to_string(ws[i:i + n - 1], ' ') AS phrase FROM c, range(2, 4) AS s(n), range(1, 4) AS q(i) WHERE n < k AND i + n - 1 <= k),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY lang, phrase),
+kept AS (SELECT low.* FROM low LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN t USING (lang) QUALIFY rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_co_training": op1_co_training,
     "op2_chat_format": op2_chat_format,
@@ -166,6 +188,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann_search": op8_ann_search,
     "op9_secret_scan": op9_secret_scan,
     "op10_decontaminate": op10_decontaminate,
+    "op11_collocations": op11_collocations,
 }
 
-ORACLES: dict[str, str] = {"op2_chat_format": _OP2_SQL, "op7_ngram_jaccard": _OP7_SQL, "op10_decontaminate": _OP10_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": _OP2_SQL, "op7_ngram_jaccard": _OP7_SQL, "op10_decontaminate": _OP10_SQL, "op11_collocations": _OP11_SQL}
