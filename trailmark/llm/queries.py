@@ -21,9 +21,11 @@ from .op8_ann import nearest
 from .op9_secrets import scan_secrets
 from .op10_decontaminate import contamination
 from .op11_phrases import collocations
+from .op13_alignment import align
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,6 +179,11 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 """
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_MODEL))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_co_training": op1_co_training,
     "op2_chat_format": op2_chat_format,
@@ -189,6 +196,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_decontaminate": op10_decontaminate,
     "op11_collocations": op11_collocations,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {"op2_chat_format": _OP2_SQL, "op7_ngram_jaccard": _OP7_SQL, "op10_decontaminate": _OP10_SQL, "op11_collocations": _OP11_SQL}
