@@ -16,6 +16,7 @@ COLUMNS = {
     "op9_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op10_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op11_collocations": "lang rank phrase a l r n score",
+    "op12_language_id": "doc_id held_out lang_pred score",
     "op13_token_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
 

@@ -21,6 +21,7 @@ from .op8_ann import nearest
 from .op9_secrets import scan_secrets
 from .op10_decontaminate import contamination
 from .op11_phrases import collocations
+from .op12_language import identify
 from .op13_alignment import align
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -179,6 +180,10 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 """
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).withColumnRenamed("id", "doc_id")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = align(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_MODEL))
     return out.withColumnRenamed("id", "doc_id")
@@ -196,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_decontaminate": op10_decontaminate,
     "op11_collocations": op11_collocations,
+    "op12_language_id": op12_language_id,
     "op13_token_alignment": op13_token_alignment,
 }
 
