@@ -30,8 +30,8 @@ from .common import checked_broadcast, save
 from .rolling import Poly, mix, text_slices
 
 MAX_BITS = 1 << 29  # of the bitmap of frequent pairs, 64 MB
-HELD_ROWS = 2_000_000  # counts or projections that a task holds before it passes them on
-_SLICE = 4_000_000
+HELD_ROWS = 800_000  # counts or projections that a task holds before it passes them on
+_SLICE = 1_500_000
 _SALTS = 64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -210,7 +210,7 @@ def _grower(min_count: int, longest: int):
         for batch in batches:
             rest.append(batch)
             rows += batch.num_rows
-            if rows < HELD_ROWS // 4:
+            if rows < HELD_ROWS // 2:
                 continue
             t = pa.Table.from_batches(rest)
             last = np.flatnonzero(np.logical_or.reduce([t.column(c).to_numpy()[1:] != t.column(c).to_numpy()[:-1] for c in cols[:3]]))
