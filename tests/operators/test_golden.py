@@ -158,3 +158,14 @@ def test_weather_by_quota(spark):
     got = [(r.run, r.weather) for r in schedule(spark.createDataFrame(rows, cols)).orderBy("run", "ord").collect()]
     # The second row can't take overcast again (all made so far); a failed snow leaves the passed counts as they were, but stays made.
     assert got == [("a", "overcast"), ("a", "fog"), ("a", "overcast"), ("a", "snow"), ("a", "night"), ("b", "snow"), ("b", "night")]
+
+
+def test_long_keys_beside_a_null_stay_whole(spark):
+    from trailmark.operators.scheduler import accumulate_select
+
+    keys = [None, 9007199254740993, 9007199254740995, 9007199254740996]
+    df = spark.createDataFrame([(k, i, 1.0) for k in keys for i in range(3)], "k long, ord long, gap double").repartition(1)
+    got = accumulate_select(df, "k", "ord", "gap", 2.0).collect()
+    assert sorted((r.k or 0, r.ord) for r in got) == sorted((k or 0, i) for k in keys for i in (0, 2))
+    runs = spark.createDataFrame([(k, 0, 0, 2) for k in keys], "k long, y long, x0 long, x1 long").repartition(1)
+    assert {r.k for r in components8(runs, "k").collect()} == set(keys)

@@ -9,32 +9,42 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def per_group(df: DataFrame, key: str, one: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
-    """Rows (key, ...) that `one` makes of each group's columns; null keys are one group."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def made(pdf: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
-        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
-        rows = [(cols[key][a], *r) for a, b in zip(cuts, cuts[1:]) for r in one({c: v[a:b] for c, v in cols.items()})]
-        return pd.DataFrame(rows, columns=[key, *names])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for pdf in frames:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            codes = pd.factorize(pdf[key], use_na_sentinel=False)[0]
+    """Rows (key, ...) that `one` makes of each group's columns; null keys are one group. Keys stay Arrow values, whatever their type."""
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, {schema}"
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def made(t: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+        cols = {c: t.column(c).to_numpy() for c in t.column_names if c != key}
+        rows, of = [], []
+        for a, b in zip(cuts, cuts[1:]):
+            got = one({c: v[a:b] for c, v in cols.items()})
+            rows += got
+            of += [a] * len(got)
+        keys = t.column(key).take(pa.array(of, pa.int64())).combine_chunks()
+        return pa.record_batch([keys, *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(kinds)[1:]))], names=kinds.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            t = pa.Table.from_batches([*rest, batch])
+            codes = t.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
             cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist()]
-            rest = pdf.iloc[cuts[-1] :]
+            rest = t.slice(cuts[-1]).to_batches()
             if len(cuts) > 1:
-                yield made(pdf, cuts)
-        if rest is not None and len(rest):
-            yield made(rest, [0, len(rest)])
+                yield made(t, cuts)
+        if rest:
+            t = pa.Table.from_batches(rest)
+            yield made(t, [0, t.num_rows])
 
-    return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {schema}")
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 def suppress(boxes: DataFrame, key: str, limit: float = 0.5) -> DataFrame:
@@ -54,8 +64,8 @@ def suppress(boxes: DataFrame, key: str, limit: float = 0.5) -> DataFrame:
     return per_group(boxes.select(key, "id", "x0", "y0", "x1", "y1", "score"), key, one, "id long")
 
 
-def components8(runs: DataFrame, key: str) -> DataFrame:
-    """8-connected components of masks given as run-length rows (y, x0, x1): their number and the largest one's pixels."""
+def component_rows(runs: DataFrame, key: str) -> DataFrame:
+    """(key, n, cx, cy) of the 8-connected components of masks given as run-length rows (y, x0, x1): pixels and centroid of each."""
 
     def one(c: dict[str, np.ndarray]) -> list[tuple]:
         rows = sorted(zip(c["y"].tolist(), c["x0"].tolist(), c["x1"].tolist()))
@@ -67,18 +77,29 @@ def components8(runs: DataFrame, key: str) -> DataFrame:
                 i = root[i]
             return i
 
-        by_y: dict[int, list[int]] = {}
+        above: list[int] = []  # runs of the row before, and of this one
+        same: list[int] = []
         for i, (y, a, b) in enumerate(rows):
-            for j in by_y.get(y - 1, []) + by_y.get(y, []):
+            if same and rows[same[0]][0] != y:
+                above, same = (same if rows[same[0]][0] == y - 1 else []), []
+            for j in above + same:
                 if rows[j][1] <= b and a <= rows[j][2]:  # touching at a corner counts
                     root[find(i)] = find(j)
-            by_y.setdefault(y, []).append(i)
-        size: dict[int, int] = {}
-        for i, (_, a, b) in enumerate(rows):
-            size[find(i)] = size.get(find(i), 0) + b - a
-        return [(len(size), max(size.values()))]
+            same.append(i)
+        size: dict[int, list[int]] = {}
+        for i, (y, a, b) in enumerate(rows):
+            s = size.setdefault(find(i), [0, 0, 0])
+            s[0] += b - a
+            s[1] += (a + b - 1) * (b - a) // 2
+            s[2] += y * (b - a)
+        return [(n, sx / n + 0.5, sy / n + 0.5) for n, sx, sy in size.values()]
+
+    return per_group(runs.select(key, "y", "x0", "x1"), key, one, "n long, cx double, cy double")
 
-    return per_group(runs.select(key, "y", "x0", "x1"), key, one, "components long, largest long")
+
+def components8(runs: DataFrame, key: str) -> DataFrame:
+    """The number of 8-connected components of each mask and the largest one's pixels."""
+    return component_rows(runs, key).groupBy(key).agg(F.count("*").alias("components"), F.max("n").alias("largest"))
 
 
 def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:

@@ -6,12 +6,15 @@ memory, so a run may be of any length. Runs (cities, tracks) spread over tasks;
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Fixed values.
 LEAST_WEATHER, LEAST_OCCLUSION, TARGET, MOST, LEAST_SHARE, CAPABILITY = 0.55, 0.58, 0.25, 0.30, 0.20, 0.25
@@ -21,22 +24,22 @@ WEATHER_ORDER, SAFE_WEATHERS, WEATHER_SHARE, MOST_WEATHER = ("overcast", "fog",
 
 def fold_rows(df: DataFrame, key: str, order: str, start: Callable[[], Any], step: Callable[[Any, Any], tuple | None], schema: str) -> DataFrame:
     """The rows that step(state, row) makes of each key's rows in order; state is made anew by start() for each key (null is a key of its own)."""
-    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, at = None, None
-        for pdf in frames:
-            out = []
-            for row in pdf.itertuples(index=False):
+        for batch in batches:
+            out, row_of = [], namedtuple("Row", batch.schema.names)  # values as they are: pandas would turn long keys beside a null into doubles
+            for row in map(row_of._make, zip(*(c.to_pylist() for c in batch.columns))):
                 k = getattr(row, key)
                 if state is None or k != at and (k == k or at == at):
                     state, at = start(), k
                 got = step(state, row)
                 if got is not None:
                     out.append(got)
-            yield pd.DataFrame(out, columns=names)
+            yield pa.record_batch([pa.array([r[k] for r in out], f.type) for k, f in enumerate(kinds)], names=kinds.names)
 
-    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
 def _choice(n: dict[str, int], w: float, o: float) -> str:
