@@ -1,0 +1,68 @@
+"""Cameras and what they see: actions between poses, points from depth, the earlier frame that sees most of a view."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from trailmark.functions import poses as P
+
+# Fixed values.
+NEAR, FAR, WIDTH, HEIGHT, VIEW_DEGREES, SIDE = 0.1, 30.0, 1280, 720, 90.0, 10
+
+
+def pose_actions(frames: DataFrame, key: str, order: str, pose: str = "pose", move: float = 0.1, turn: float = 0.05) -> DataFrame:
+    """frames with the code of the change since the frame before of the same key (0 for the first)."""
+    before = F.lag(pose).over(Window.partitionBy(key).orderBy(order))
+    return frames.withColumn("_before", before).withColumn("action", P.action(F.col("_before"), F.col(pose), move, turn)).drop("_before")
+
+
+def depth_points(depths: DataFrame, cameras: DataFrame, least: float = 1e-8) -> DataFrame:
+    """(frame, row, col, x, y, z) in the world of every depth over least.
+
+    depths: (frame, row, depth: a row of the image as an array); cameras: (frame, pose: world to camera, fx, fy, cx, cy), a row per frame.
+    """
+    pixels = depths.select("frame", "row", F.posexplode("depth").alias("col", "d")).where(F.col("d") > least)
+    d = F.col("d").cast("double")
+    seen = pixels.join(cameras.withColumn("to_world", P.inverse(F.col("pose"))), "frame")
+    x, y = (F.col("col") - F.col("cx")) * d / F.col("fx"), (F.col("row") - F.col("cy")) * d / F.col("fy")
+    return seen.select("frame", "row", "col", *(c.alias(n) for c, n in zip(P.moved(F.col("to_world"), x, y, d), "xyz")))
+
+
+def best_overlaps(frames: DataFrame, bases: DataFrame, side: int = SIDE, near: float = NEAR, far: float = FAR, width: int = WIDTH, height: int = HEIGHT, degrees: float = VIEW_DEGREES) -> DataFrame:
+    """(track, idx, best, ratio): for each base the frame from 1 to before - 1 of its track that sees most of the base's view.
+
+    frames: (track, idx, pose: camera to world); bases: (track, idx, before). A view is side ** 3 points of its frustum. Points meet the frames whose frustum
+    reaches their cell of the world, so frames elsewhere cost nothing. Equal shares go to the smaller idx; where no frame
+    sees a point the first one is named with 0, and without earlier frames it is 0 with 0. Null poses see nothing.
+    """
+    half = math.tan(math.radians(degrees) / 2)
+    fx, fy = width / (2 * half), height / (2 * half)
+    even = lambda a, b: [a + (b - a) * k / (side - 1) for k in range(side)] if side > 1 else [a]
+    point = lambda x, y, z: F.struct(F.lit(x * z * (width / (2 * fx))).alias("x"), F.lit(y * z * (height / (2 * fy))).alias("y"), F.lit(z).alias("z"))
+    lattice = F.array(*(point(x, y, z) for x in even(-1.0, 1.0) for y in even(-1.0, 1.0) for z in even(near, far)))
+    place = lambda c: F.floor(c / far).cast("int")
+    named = lambda m, p: F.struct(*(c.alias(n) for c, n in zip(P.moved(m, p["x"], p["y"], p["z"]), "xyz")))
+
+    views = bases.join(frames.where("pose IS NOT NULL"), ["track", "idx"]).where("before > 1")
+    views = views.select("track", "idx", "before", F.explode(F.transform(lattice, lambda p: named(F.col("pose"), p))).alias("p"))
+    views = views.groupBy("track", "idx", "before", *(place(F.col(f"p.{c}")).alias(f"c{c}") for c in "xyz")).agg(F.collect_list("p").alias("points"))  # side ** 3 at most
+
+    corners = F.array(*(point(x, y, z) for x in (-1.0, 1.0) for y in (-1.0, 1.0) for z in (near, far)))
+    others = frames.where("pose IS NOT NULL AND idx >= 1").select("track", F.col("idx").alias("other"), P.inverse(F.col("pose")).alias("back"), F.transform(corners, lambda p: named(F.col("pose"), p)).alias("box"))
+    for c in "xyz":
+        line = F.transform("box", lambda b: b[c])  # noqa: B023
+        others = others.withColumn(f"c{c}", F.explode(F.sequence(place(F.array_min(line) - 1e-6), place(F.array_max(line) + 1e-6))))
+
+    def inside(p):
+        x, y, z = P.moved(F.col("back"), p["x"], p["y"], p["z"])
+        u, v = x * fx / F.greatest(z, F.lit(1e-6)) + width / 2, y * fy / F.greatest(z, F.lit(1e-6)) + height / 2
+        return (z > near) & (z < far) & (u >= 0) & (u <= width) & (v >= 0) & (v <= height)
+
+    met = views.join(others.drop("box"), ["track", "cx", "cy", "cz"]).where(F.col("other") < F.col("before"))
+    met = met.select("track", "idx", "other", F.size(F.filter("points", inside)).alias("n")).groupBy("track", "idx", "other").agg(F.sum("n").alias("n"))
+    best = met.where("n > 0").groupBy("track", "idx").agg(F.max_by(F.struct("other", "n"), F.struct(F.col("n"), -F.col("other"))).alias("b"))
+    nothing = F.when(F.col("before") > 1, 1).otherwise(0).cast("long")
+    return bases.join(best, ["track", "idx"], "left").select("track", "idx", F.coalesce(F.col("b.other").cast("long"), nothing).alias("best"), (F.coalesce(F.col("b.n"), F.lit(0)) / float(side**3)).alias("ratio"))

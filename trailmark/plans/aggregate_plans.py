@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.operators import aggregates as A
+from trailmark.operators import clustering as C
 from trailmark.operators.grouped import components8, homographies, suppress
 from trailmark.plans.registry import query, table
 from trailmark.sources import sinks
@@ -150,6 +151,37 @@ def binned_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("label", F.expr("CAST(least(31, greatest(0, floor((v + 0.5) * 32))) AS INT)").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def _lloyd_sql(rounds: int) -> str:
+    """Lloyd rounds one after the other: assignments a1, a2, ... and centroids c1, c2, ..., the last assignment to the centroids before the last move."""
+    steps = []
+    for k in range(1, rounds + 1):
+        steps.append(f"a{k} AS (SELECT p.grp, id, v, arg_min(cluster, (list_distance(v, c), cluster)) AS cluster FROM p JOIN c{k - 1} USING (grp) GROUP BY p.grp, id, v)")
+        mean = f"SELECT grp, cluster, list(m ORDER BY i) AS m FROM (SELECT grp, cluster, i, avg(v[i]) AS m FROM a{k}, range(1, 65) AS r(i) GROUP BY ALL) GROUP BY ALL"
+        steps.append(f"c{k} AS (SELECT c.grp, c.cluster, coalesce(m, c) AS c FROM c{k - 1} c LEFT JOIN ({mean}) USING (grp, cluster))")
+    return ", ".join(steps)
+
+
+@query(
+    "ag21_kmeans",
+    f"""WITH p AS (SELECT label % 2 AS grp, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c0 AS (SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY id) - 1 AS cluster, v AS c FROM p QUALIFY cluster < 4), {_lloyd_sql(3)}
+SELECT CAST(grp AS BIGINT) AS grp, cluster, count(*) AS size, CAST(min(id) AS BIGINT) AS first_id, CAST(sum(id) AS BIGINT) AS ids FROM a3 GROUP BY ALL""",
+)
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three Lloyd rounds by label parity from the first four vectors of each (AG21)."""
+    p = table(spark, sf_dir, "embeddings", "CAST(label % 2 AS BIGINT) AS grp", "vec_id AS id", "embedding AS v")
+    place = F.row_number().over(Window.partitionBy("grp").orderBy("id")).cast("long") - 1
+    start = p.withColumn("cluster", place).where("cluster < 4").select("grp", "cluster", F.col("v").alias("c"))
+    assigned, _, _ = C.kmeans(p, start, rounds=3, bound=0.0)
+    return assigned.groupBy("grp", "cluster").agg(F.count("*").alias("size"), F.min("id").alias("first_id"), F.sum("id").alias("ids"))
+
+
+@query("ag30_codebook")
+def codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight levels for each label's values from their histogram (AG30); rounds until they rest, so SQL can't state it (tests hold it against a plain loop)."""
+    counts = table(spark, sf_dir, "embeddings", "label AS grp", "explode(embedding) AS v").groupBy("grp", F.expr("CAST(least(255, greatest(0, floor((CAST(v AS DOUBLE) + 1) * 128))) AS INT)").alias("bin")).agg(F.count("*").alias("n"))
+    return C.codebook(counts, 256, 8)
+
+
 _RUNS = "SELECT l_orderkey AS mask, l_linenumber AS y, CAST(l_suppkey % 40 AS BIGINT) AS x0, CAST(l_suppkey % 40 + l_quantity AS BIGINT) AS x1 FROM lineitem"
 
 

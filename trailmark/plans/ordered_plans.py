@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trailmark.functions import poses as P
 from trailmark.operators import ordered as O
 from trailmark.operators import rules
+from trailmark.operators import views as V
 from trailmark.operators.scheduler import WEATHER_ORDER, accumulate_select, schedule
 from trailmark.plans.registry import query, sql_list, table
 from trailmark.streaming.streams import segments, tumbling
@@ -168,14 +170,52 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "w7_pose_actions",
-    f"""WITH d AS (SELECT user_id, event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS dx, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS dy FROM events)
-SELECT user_id, event_id, CASE WHEN dx > 5 THEN 2 WHEN dx < -5 THEN 1 ELSE 0 END * 3 + CASE WHEN dy > 150 THEN 2 WHEN dy < 50 THEN 1 ELSE 0 END AS action FROM d""",
+    """WITH p AS (SELECT user_id, event_id, ts, value / 10 AS a, value / 20 AS x, (event_id % 7) / 10 AS y, (event_id % 90) / 30 AS z FROM events),
+d AS (SELECT *, lag(a) OVER w AS a0, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, z - lag(z) OVER w AS dz FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, cos(a0) * dx - sin(a0) * dz AS fx, sin(a0) * dx + cos(a0) * dz AS fz, atan2(sin(a - a0), cos(a - a0)) AS yaw FROM d)
+SELECT user_id, event_id, CASE WHEN a0 IS NULL THEN 0 ELSE CASE WHEN fz > 0.5 THEN 2 WHEN fz < -0.5 THEN 0 ELSE 1 END * 27 + CASE WHEN fx > 0.5 THEN 2 WHEN fx < -0.5 THEN 0 ELSE 1 END * 9
+  + CASE WHEN dy > 0.5 THEN 2 WHEN dy < -0.5 THEN 0 ELSE 1 END * 3 + CASE WHEN yaw > 0.5 THEN 2 WHEN yaw < -0.5 THEN 0 ELSE 1 END END AS action FROM r""",
 )
 def pose_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base-3 codes of the change since the previous pose."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    d = table(spark, sf_dir, "events", "user_id", "event_id", "value").withColumns({"dx": F.col("value") - F.lag("value").over(w), "dy": F.col("event_id") - F.lag("event_id").over(w)})
-    return d.select("user_id", "event_id", F.expr("CASE WHEN dx > 5 THEN 2 WHEN dx < -5 THEN 1 ELSE 0 END * 3 + CASE WHEN dy > 150 THEN 2 WHEN dy < 50 THEN 1 ELSE 0 END").alias("action"))
+    """Base-3 codes of the change since the pose before, by rigid transforms (W7); a user is a track."""
+    return V.pose_actions(_poses(spark, sf_dir), "user_id", "event_id", move=0.5, turn=0.5).select("user_id", "event_id", "action")
+
+
+def _poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events", "user_id", "event_id", "value / 10 AS a", "value / 20 AS x", "(event_id % 7) / 10 AS y", "(event_id % 90) / 30 AS z")
+    return e.select("user_id", "event_id", P.yaw_pose(F.col("a"), [F.col("x"), F.col("y"), F.col("z")]).alias("pose"))
+
+
+@query(
+    "geo_depth_points",
+    """WITH p AS (SELECT vec_id AS frame, k // 8 AS row, k % 8 AS col, CAST(v AS DOUBLE) AS d FROM (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding) AS v FROM embeddings) WHERE v > 1e-8),
+c AS (SELECT *, (col - 3.5::DOUBLE) * d / 6 AS px, (row - 3.5::DOUBLE) * d / 5 AS py, (frame % 31) / 10 AS a, frame % 5 - d * 0 AS tx, 1.5::DOUBLE AS ty, frame % 3 + d * 0 AS tz FROM p)
+SELECT frame, row, col, round(cos(a) * (px - tx) - sin(a) * (d - tz), 6) AS x, round(py - ty, 6) AS y, round(sin(a) * (px - tx) + cos(a) * (d - tz), 6) AS z FROM c""",
+)
+def depth_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the world from depth rows and cameras (AG20's input, FN-depth)."""
+    e = table(spark, sf_dir, "embeddings", "vec_id AS frame", "embedding")
+    depths = e.select("frame", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("row"), "embedding").select("frame", F.col("row").cast("long").alias("row"), F.slice("embedding", F.col("row") * 8 + 1, 8).alias("depth"))
+    pose = P.yaw_pose((F.col("frame") % 31) / 10, [F.col("frame") % 5, F.lit(1.5), F.col("frame") % 3])
+    cameras = e.select("frame", pose.alias("pose"), F.lit(6.0).alias("fx"), F.lit(5.0).alias("fy"), F.lit(3.5).alias("cx"), F.lit(3.5).alias("cy"))
+    out = V.depth_points(depths, cameras)
+    return out.select("frame", "row", F.col("col").cast("long").alias("col"), *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
+@query(
+    "j18_view_overlap",
+    f"""WITH f AS (SELECT user_id AS track, pos AS idx, value / 10 AS a, event_id % 50 AS x, event_id % 3 AS y, event_id % 90 AS z FROM ({_PLACES})),
+l AS (SELECT -1 + 2 * i / 3 AS gx, -1 + 2 * j / 3 AS gy, 0.1::DOUBLE + 29.9::DOUBLE * k / 3 AS gz FROM range(4) AS p(i), range(4) AS q(j), range(4) AS r(k)),
+b AS (SELECT track, idx, idx AS before, cos(a) * gx * gz + sin(a) * gz + x AS px, gy * gz + y AS py, -sin(a) * gx * gz + cos(a) * gz + z AS pz FROM f, l WHERE idx % 10 = 5),
+s AS (SELECT b.track, b.idx, o.idx AS other, cos(o.a) * (px - o.x) - sin(o.a) * (pz - o.z) AS vx, py - o.y AS vy, sin(o.a) * (px - o.x) + cos(o.a) * (pz - o.z) AS vz FROM b JOIN f o ON o.track = b.track AND o.idx BETWEEN 1 AND b.before - 1),
+n AS (SELECT track, idx, other, count(*) FILTER (vz > 0.1 AND vz < 30 AND vx * 640 / greatest(vz, 1e-6) + 640 BETWEEN 0 AND 1280 AND vy * 360 / greatest(vz, 1e-6) + 360 BETWEEN 0 AND 720) AS n FROM s GROUP BY ALL)
+SELECT track, idx, arg_max(other, (n, -other)) AS best, max(n) / 64 AS ratio FROM n GROUP BY track, idx""",
+)
+def view_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier frame that sees most of a view."""
+    p = places(spark, sf_dir, "value AS turn")
+    frames = p.select(F.col("user_id").alias("track"), F.col("pos").alias("idx"), P.yaw_pose(F.col("turn") / 10, [F.col("event_id") % 50, F.col("event_id") % 3, F.col("event_id") % 90]).alias("pose"))
+    return V.best_overlaps(frames, frames.where("idx % 10 = 5").select("track", "idx", F.col("idx").alias("before")), side=4)
 
 
 @query(

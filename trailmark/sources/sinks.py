@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; where it is unset and Spark is local, a fresh one of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='trailmark-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df as written to the shared folder: rounds of a loop neither grow the plan nor are lost with an executor."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def upsert(records: DataFrame, errors: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
     """The latest record of each key, and the errors of keys without a record."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
