@@ -35,8 +35,8 @@ from .rolling import slices
 
 MAX_PAIRS = 4_000_000  # counted pairs that go to every task, 17 bytes each
 HELD_PAIRS = 1_000_000  # counts that a task holds before it passes them on
-HELD_STRETCHES = 300_000  # remembered by a task, about 300 bytes each
-_SLICE = 2_000_000
+HELD_STRETCHES = 800_000  # remembered by a task, about 300 bytes each
+_SLICE = 3_000_000
 _JOINED = 20_000  # characters that are encoded at once; more take longer
 _PAIR_BITS = 40  # of the number of a pair of ids; what is left of 63 bits numbers the texts of a slice
 MARK = "▁"
