@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of the planner's vocabulary.
 WEATHERS = ("rain", "snow", "night", "overcast", "fog", "rainy_night")
@@ -123,6 +125,31 @@ def json_part(col: Column) -> Column:
     return F.when(F.json_object_keys(whole).isNotNull(), whole).otherwise(F.nullif(F.regexp_extract(whole, r"(?s)\{.*\}", 0), F.lit("")))
 
 
+def canonical_json(col: Column) -> Column:
+    """A JSON text with sorted keys, tight separators and Python's number text; null if it does not parse or holds NaN or Infinity.
+
+    Numbers need Python: Java writes some doubles with another digit, so an expression of Spark's own can't give the same digest.
+    Of repeated keys the last counts. Arrow batches, one short call a row.
+    """
+    return _canonical(col)
+
+
+@F.pandas_udf(StringType())
+def _canonical(texts: pd.Series) -> pd.Series:
+    import json
+
+    def refuse(constant: str) -> None:
+        raise ValueError(constant)
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text, parse_constant=refuse), ensure_ascii=False, allow_nan=False, sort_keys=True, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    return texts.map(one)
+
+
 def shorten(col: Column, most: int = 140) -> Column:
     """White space to single spaces, cut at the last space within the limit."""
     flat = F.trim(F.regexp_replace(col, r"\s+", " "))

@@ -66,12 +66,6 @@ def mutual_matches(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return up.join(down, [key, "a", "b"])
 
 
-def band_pairs(n: int, band: int, spark) -> DataFrame:
-    """Pairs (i, j), 0 <= j <= i < n, with j in the first column or at most `band` apart: made per row, no cross join."""
-    near = F.sequence(F.greatest(F.lit(0), F.col("i") - band), F.col("i"))
-    return spark.range(n).select(F.col("id").alias("i")).select("i", F.explode(F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint")), near))).alias("j"))
-
-
 def resample(points: DataFrame, track: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """Linear interpolation of a track at given places, clamped at its ends."""
     marks = points.select(key, at, F.lit(None).cast("double").alias(value)).union(track.select(key, at, F.col(value).cast("double")))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.functions import numbers as N
+
 from .grouped import component_rows
 
 # Fixed values.
@@ -199,7 +201,7 @@ def candidate_centres(samples: DataFrame, offsets: tuple[float, ...], anchors: i
     })
     steps = F.array(*map(F.lit, map(float, offsets)))
     point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    frame = F.flatten(F.transform(steps, lambda oy: F.transform(steps, lambda ox: point(F.round(F.col("cx") + ox * (F.col("x1") - F.col("x0")), 6), F.round(F.col("cy") + oy * (F.col("y1") - F.col("y0")), 6)))))
+    frame = F.flatten(F.transform(steps, lambda oy: F.transform(steps, lambda ox: point(N.round_even(F.col("cx") + ox * (F.col("x1") - F.col("x0")), 6), N.round_even(F.col("cy") + oy * (F.col("y1") - F.col("y0")), 6)))))
     middle = F.array(point((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2))
     heavy = F.transform(spread_anchors(F.col("cells"), anchors, apart), lambda a: point((edge(a["x"], "width") + edge(a["x"] + 1, "width")) / 2, (edge(a["y"], "height") + edge(a["y"] + 1, "height")) / 2))
     out = s.select("sample", "height", "width", F.explode(F.array_distinct(F.concat(frame, middle, heavy))).alias("c")).select("sample", "height", "width", "c.x", "c.y")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,18 @@ REGION_SUPPORTS = {
 }
 
 
+HIGH_SKIP_REASONS = {
+    "occlusion_implausible": "no_valid_street_surface_for_occlusion",
+    "foreground_foliage_may_confuse_occluder": "occlusion_would_be_unreliable_or_edge_artifact",
+    "night_vehicle_high_hallucination_risk": "vehicle_occlusion_high_hallucination_risk_and_weather_not_feasible",
+}
+SCENE_TEXT = ("city", "position", "prompt", "reason", "skip_reason", "street_scene_quality", "weather_feasibility")
+VEGETATION_TERMS = ("tree", "trees", "vegetation", "foliage", "bush", "bushes", "park", "greenery", "roadside scene dominated by vegetation", "dense green")
+BILLBOARD_TERMS = ("billboard", "advertisement", "advertising", "signboard", "roadside sign")
+DENSE_FACADE_TERMS = ("dense facade", "repetitive facade", "high-density facade", "storefront row", "narrow building facade", "close facade", "building fills", "facade-dominated")
+WEAK_ROAD_TERMS = ("weak road", "limited road", "peripheral road", "partial road", "no clear road", "road barely visible", "road is partly visible")
+
+
 def flags(**rules: Column) -> Column:
     """Names of the rules that hold, in the given order."""
     return F.filter(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())), lambda f: f.isNotNull())
@@ -90,14 +104,82 @@ def bad_image_policy(df: DataFrame) -> DataFrame:
     return df.withColumn("final_route", F.when(risky & hard, "skip").when(risky, "global").otherwise(F.col("route")))
 
 
+def enforce_bad_image_policy(df: DataFrame) -> DataFrame:
+    """Rows (route, weather, occlusion, text, weather_feasibility, bad_image, street_scene_quality, skip_reason) rewritten by the policies.
+
+    A bad image or scene is skipped before its risk is looked at. A risky local or dual row is skipped, or becomes global with the asked weather
+    (rain if it names none). Rewritten rows keep their original_route; skipped ones lose weather and occlusion and
+    say why, downgraded ones lose the occlusion. Others keep what they have, and original_route is null.
+    """
+    bad = bad_scene(F.col("bad_image"), F.col("street_scene_quality"))
+    out = bad_image_policy(bad_image(df)).withColumn("_bad", bad)
+    skip, down = (F.col("_bad") | ((F.col("final_route") == "skip") & (F.col("route") != "skip"))), (~F.col("_bad") & (F.col("final_route") == "global") & (F.col("route") != "global"))
+    given = F.nullif(F.trim(F.coalesce("skip_reason", F.lit(""))), F.lit(""))
+    risk = F.coalesce(*(F.when(F.array_contains("risk_flags", flag), reason) for flag, reason in HIGH_SKIP_REASONS.items()), F.lit("local_or_dual_risk_too_high"))
+    new = {
+        "original_route": F.when(skip | down, F.col("route")),
+        "skip_reason": F.when(F.col("_bad"), F.coalesce(given, F.lit("bad_image_requires_direct_skip"))).when(skip, risk).otherwise(F.col("skip_reason")),
+        "downgrade_reason": F.when(down, "lightx2v_risk_high_weather_feasible"),
+        "weather": F.when(down, F.coalesce(T.weather(F.col("weather")), F.lit("rain"))).when(~skip, F.col("weather")),
+        "occlusion": F.when(~skip & ~down, F.col("occlusion")),
+        "bad_image": F.col("_bad"),
+        "route": F.when(skip, "skip").otherwise(F.col("final_route")),
+    }
+    return out.withColumns(new).drop("_bad", "final_route")
+
+
+def _says(low: Column, terms: tuple[str, ...]) -> Column:
+    """Whether a lowered text holds one of the terms: those of one word as whole words, others as they are."""
+    words = [t for t in terms if " " not in t and "-" not in t]
+    parts = [F.contains(low, F.lit(t)) for t in terms if t not in words]
+    if words:
+        parts.append(low.rlike(rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(words)})($|[^\p{{L}}\p{{N}}_])"))
+    return reduce(lambda a, b: a | b, parts)
+
+
 def scene_risk(df: DataFrame) -> DataFrame:
-    """Adds scene_risk (high, medium, low) from the levels a planner reports."""
+    """Adds scene_risk (high, medium, low) and scene_reasons from the levels a planner reports and from what its texts say (absent texts say nothing)."""
     c = lambda name: F.lower(F.coalesce(F.col(name), F.lit("")))
-    green, facade = c("vegetation_level") == "high", (c("facade_density") == "high") | c("close_building").isin("yes", "true", "1")
-    road = c("road_visibility").isin("partial", "none", "low")
-    high = (c("global_weather_risk") == "high") | (green & road) | (facade & road) | ((c("distant_landmarks_readable") == "low") & road)
-    medium = (c("global_weather_risk") == "medium") | green | facade | road | (c("sky_visibility") == "none")
-    return df.withColumn("scene_risk", F.when(high, "high").when(medium, "medium").otherwise("low"))
+    said = [F.coalesce(F.col(name), F.lit("")) for name in SCENE_TEXT if name in df.columns]
+    out = df.withColumn("_low", F.lower(F.concat_ws(" ", *said)) if said else F.lit(""))  # a projection of its own: the text is lowered once
+    low, asked = F.col("_low"), c("global_weather_risk")
+    out = out.withColumns({
+        "_green": (c("vegetation_level") == "high") | _says(low, VEGETATION_TERMS + BILLBOARD_TERMS),
+        "_facade": (c("facade_density") == "high") | c("close_building").isin("yes", "true", "1") | _says(low, DENSE_FACADE_TERMS),
+        "_road": c("road_visibility").isin("partial", "none", "low") | _says(low, WEAK_ROAD_TERMS),
+    })
+    green, facade, road = F.col("_green"), F.col("_facade"), F.col("_road")
+    landmark, no_sky = (c("distant_landmarks_readable") == "low") & road, c("sky_visibility") == "none"
+    high, medium = (asked == "high") | (green & road) | (facade & road) | landmark, (asked == "medium") | green | facade | road | no_sky
+    named = F.when(asked.isin("medium", "high"), F.concat(F.lit("global_weather_risk="), asked))
+    found = flags(vegetation_or_billboard_risk=green, dense_or_close_facade_risk=facade, weak_road_visibility=road, weak_landmark_with_weak_road=landmark, no_sky_visibility=no_sky)
+    reasons = F.concat(F.array_compact(F.array(named)), found)
+    return out.withColumns({"scene_risk": F.when(high, "high").when(medium, "medium").otherwise("low"), "scene_reasons": reasons}).drop("_low", "_green", "_facade", "_road")
+
+
+def scene_policy(df: DataFrame, safe_pool: tuple[str, ...], whole_pool: tuple[str, ...]) -> DataFrame:
+    """Global rows rewritten by their scene: at high risk without a visible road they are skipped, else they get the weathers to choose from.
+
+    Adds scene_risk, scene_reasons, scene_restricted and weather_pool (null for other routes and skipped rows): the safe weathers at high risk, of these the
+    row's own safe_global_weathers where any is left. The choice itself follows the quota (`scheduler.schedule`).
+    """
+    asked = F.col("route") == "global"
+    out = scene_risk(df)
+    skip = F.coalesce(asked & (F.col("scene_risk") == "high") & (F.lower("road_visibility") == "none"), F.lit(False))
+    pool = F.when(F.col("scene_risk") == "high", F.array(*map(F.lit, safe_pool))).otherwise(F.array(*map(F.lit, whole_pool)))
+    own = F.transform(F.coalesce("safe_global_weathers", F.array().cast("array<string>")), lambda w: F.trim(F.lower(w)))
+    kept = F.filter(pool, lambda w: F.array_contains(own, w))
+    live = asked & ~skip
+    had = F.col("original_route") if "original_route" in df.columns else F.lit(None).cast("string")
+    return out.withColumns({
+        "original_route": F.when(skip, F.coalesce(had, F.col("route"))).otherwise(had),
+        "weather_pool": F.when(live, F.when(F.size(kept) > 0, kept).otherwise(pool)),
+        "scene_restricted": F.when(live, F.col("scene_risk") == "high"),
+        "skip_reason": F.when(skip, "scene_aware_global_skip: high-risk global scene with no clear road geometry").otherwise(F.col("skip_reason")),
+        "weather": F.when(~skip, F.col("weather")), "occlusion": F.when(~asked, F.col("occlusion")),
+        "scene_risk": F.when(asked, F.col("scene_risk")), "scene_reasons": F.when(asked, F.col("scene_reasons")),
+        "route": F.when(skip, "skip").otherwise(F.col("route")),
+    })
 
 
 def verify(df: DataFrame) -> DataFrame:

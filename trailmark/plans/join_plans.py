@@ -155,23 +155,6 @@ def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.resample(e.where("t % 4 <> 0").select("user_id", "t"), e.where("t % 4 = 0").select("user_id", "t", "value"), "user_id", "t", "value").withColumn("value", F.round("value", 6))
 
 
-@query("j24_band_pairs", "SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j FROM range(200) a(i), range(200) b(j) WHERE j <= i AND (j = 0 OR i - j <= 5)")
-def band_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.band_pairs(200, 5, spark)
-
-
-@query(
-    "j25_decay_band",
-    """WITH p AS (SELECT i, j, CASE WHEN i = j THEN 0 ELSE 1 + CAST(floor(log2(i - j)) AS INT) END AS w FROM range(128) a(i), range(128) b(j) WHERE j <= i)
-SELECT w, count(*) AS pairs, CAST(sum(i - j) AS BIGINT) AS reach FROM p GROUP BY w""",
-)
-def decay_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks by the bit length of their distance (J25); pairs are made by row."""
-    p = spark.range(128).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("id"))).alias("j"))
-    w = F.when(F.col("i") == F.col("j"), 0).otherwise(1 + F.floor(F.log2(F.col("i") - F.col("j"))).cast("int"))
-    return p.groupBy(w.alias("w")).agg(F.count("*").alias("pairs"), F.sum(F.col("i") - F.col("j")).alias("reach"))
-
-
 _SIDES = """a AS (SELECT label, vec_id AS a, CAST(embedding AS DOUBLE[]) AS va FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT label, vec_id AS b, CAST(embedding AS DOUBLE[]) AS vb FROM embeddings WHERE vec_id % 2 = 1),
 d AS (SELECT label, a, b, sqrt(list_sum(list_transform(list_zip(va, vb), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d, list_sum(list_transform(list_zip(va, vb), lambda z: z[1] * z[2])) AS s FROM a JOIN b USING (label))"""
 
