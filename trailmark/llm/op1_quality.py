@@ -97,23 +97,24 @@ def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
 def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 2.0, rounds: int = 80) -> np.ndarray:
     """Logistic regression by accelerated gradient steps; the last coefficient is the constant."""
     d = x.shape[1]
-    # Columns are scaled to equal weight, so that rare words learn as fast as common ones.
-    size = np.sqrt(np.maximum((x * x).mean(axis=0), 1e-4)).astype(x.dtype)
-    x = x / size
-    w, look = np.zeros(d + 1), np.zeros(d + 1)
-    total, flipped = weight.sum(), np.ascontiguousarray(x.T)
+    # Columns count as if scaled to equal weight, so that rare words learn as fast as common ones; the matrix itself is neither copied nor turned.
+    size = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x), 1e-4)).astype(x.dtype)
     small = lambda v: v.astype(x.dtype)  # noqa: E731  products stay in the matrix's own precision
+    ahead = lambda v: x @ small(v / size)
+    back = lambda v: (x.T @ small(v)) / size
+    w, look = np.zeros(d + 1), np.zeros(d + 1)
+    total = weight.sum()
     # The step is safe for the largest eigenvalue, which power steps bound.
     v = np.ones(d) / np.sqrt(d)
     for _ in range(6):
-        v = flipped @ small(weight * (x @ small(v)))
+        v = back(weight * ahead(v))
         v /= max(np.linalg.norm(v), 1e-12)
-    top = float(np.linalg.norm(np.sqrt(weight) * (x @ small(v))) ** 2) / total + 1.0
+    top = float(np.linalg.norm(np.sqrt(weight) * ahead(v)) ** 2) / total + 1.0
     step, t = 1.0 / (0.3 * top + l2 / total), 1.0
     for _ in range(rounds):
-        p = _sigmoid(x @ small(look[:-1]) + look[-1])
+        p = _sigmoid(ahead(look[:-1]) + look[-1])
         r = weight * (p - y) / total
-        g = np.append(flipped @ small(r) + l2 / total * look[:-1], r.sum())
+        g = np.append(back(r) + l2 / total * look[:-1], r.sum())
         new = look - step * g
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look, w, t = new + (t - 1) / t_new * (new - w), new, t_new
