@@ -46,7 +46,7 @@ def test_mask_geometry_equals_pixels(spark):
     got = mask_geometry(spark.createDataFrame(runs, "k string, y long, x0 long, x1 long"), "k").first()
     inertia = ((px - px.mean(0)) ** 2).sum()
     assert (got.area, got.cx, got.cy) == (len(px), pytest.approx(px[:, 0].mean()), pytest.approx(px[:, 1].mean()))
-    assert got.compactness == pytest.approx(len(px) ** 2 / (2 * np.pi * inertia))
+    assert got.compactness == pytest.approx(len(px) ** 2 / (2 * np.pi * (inertia + len(px) / 6)))  # a pixel is a unit square
 
 
 def test_components_touch_at_corners(spark):

@@ -38,8 +38,9 @@ def mask_geometry(runs: DataFrame, key: str) -> DataFrame:
     y = F.col("y") + 0.5
     out = runs.groupBy(key).agg(F.sum(n).alias("area"), F.sum(first).alias("sx"), F.sum(y * n).alias("sy"), F.sum(square).alias("sxx"), F.sum(y * y * n).alias("syy"))
     a = F.col("area")
-    inertia = F.col("sxx") + F.col("syy") - (F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")) / a
-    return out.select(key, "area", (F.col("sx") / a).alias("cx"), (F.col("sy") / a).alias("cy"), F.when(inertia > 0, a * a / (2 * F.lit(3.141592653589793) * inertia)).alias("compactness"))
+    # Every pixel is a unit square with a moment of its own, 1/6.
+    inertia = F.col("sxx") + F.col("syy") - (F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")) / a + a / 6
+    return out.select(key, "area", (F.col("sx") / a).alias("cx"), (F.col("sy") / a).alias("cy"), F.least(F.lit(1.0), a * a / (2 * F.lit(3.141592653589793) * inertia)).alias("compactness"))
 
 
 def token_coverage(cells: DataFrame, grid: DataFrame, key: str) -> DataFrame:
@@ -85,3 +86,36 @@ def latency(df: DataFrame, stamps: list[str], key: str) -> DataFrame:
     for c in names:
         known = known & F.col(c).isNotNull()
     return out.withColumn("total", F.when(known, sum((F.col(c) for c in names), F.lit(0.0))))
+
+
+#: Queues whose work has not begun, by service; names that begin so count too.
+BEFORE_WORK = {"encoder": (("req_queue", "exec_queue"), None), "transformer": (("req_queue", "waiting_queue", "exec_queue"), "phase1_"), "decoder": (("req_queue", "waiting_queue", "exec_queue"), "transfer_")}
+
+
+def precompute_pending(service: Column, sizes: Column) -> Column:
+    """Work that waits before a service's own step, from its queue sizes (map of name to size); negative sizes count as none, other services are -1."""
+    entries = F.map_entries(sizes)
+    rows = F.lit(-1).cast("long")
+    for name, (keys, prefix) in reversed(BEFORE_WORK.items()):
+        counts = lambda e: e["key"].isin(*keys) | (e["key"].startswith(prefix) if prefix else F.lit(False))  # noqa: B023, E731
+        total = F.aggregate(F.filter(entries, counts), F.lit(0).cast("long"), lambda s, e: s + F.greatest(e["value"].cast("long"), F.lit(0).cast("long")))
+        rows = F.when(service == name, total).otherwise(rows)
+    return F.when(sizes.isNull(), F.lit(-1).cast("long")).otherwise(rows)
+
+
+def service_load(metrics: DataFrame, transfer: DataFrame, utilisation: float, most_pending: int) -> DataFrame:
+    """Load and scores of every service from its instances' metrics (service, instance, gpu, pending, precompute), and whether it should grow.
+
+    transfer: (service, waiting), a row per service. Null pending counts as none in the mean and as -1 in the maximum; negative precompute is unknown and
+    leaves the score to what waits in transfer.
+    """
+    known = F.when(F.col("precompute") >= 0, F.col("precompute"))
+    got = metrics.groupBy("service").agg(
+        F.avg("gpu").alias("avg_gpu"), F.avg(F.coalesce("pending", F.lit(0))).alias("avg_pending"), F.max(F.coalesce("pending", F.lit(-1))).alias("max_pending"), F.avg(known).alias("avg_precompute"),
+        F.min_by("instance", F.struct("gpu", "instance")).alias("least_used"),
+    )
+    out = got.join(transfer.select("service", F.col("waiting").alias("_w")), "service", "left").withColumn("waiting", F.coalesce("_w", F.lit(0))).drop("_w")
+    return out.withColumns({
+        "queue_score": F.col("waiting") + F.col("avg_pending"), "precompute_score": F.col("waiting") + F.coalesce("avg_precompute", F.lit(0.0)),
+        "grow": (F.col("avg_gpu") > utilisation) | (F.col("max_pending") > most_pending),
+    })

@@ -86,3 +86,19 @@ def double_softmax(a: DataFrame, b: DataFrame, key: str, temperature: float, lim
     p = e.join(rows, [key, "a"]).join(cols, [key, "b"]).select(key, "a", "b", (F.col("e") / F.col("ra") * F.col("e") / F.col("rb")).alias("p"))
     best = p.groupBy(key, "a").agg(F.max(F.struct("p", (-F.col("b")).alias("k"), "b")).alias("m"))
     return best.where(F.col("m.p") > limit).select(key, "a", F.col("m.b").alias("b"), F.col("m.p").alias("p"))
+
+
+def adapter_faults(lora: DataFrame, base: DataFrame) -> DataFrame:
+    """(key, fault) of adapter tensors (key, shape) that do not pair up: every up needs its down and a base weight of the product's shape.
+
+    unmatched: an up without down or base; shape: sizes that do not multiply to the base's; unused: a key that no up takes in. No rows: all is consumed.
+    """
+    kind = F.regexp_extract("key", r"\.(lora_up\.weight|lora_down\.weight|alpha)$", 1)
+    parts = lora.select("key", "shape", kind.alias("part")).withColumn("stem", F.when(F.col("part") != "", F.expr("substring(key, 1, length(key) - length(part) - 1)")))
+    by_stem = parts.where("stem IS NOT NULL").groupBy("stem").agg(*(F.max(F.when(F.col("part") == p, F.struct("shape", "key"))).alias(n) for n, p in (("up", "lora_up.weight"), ("down", "lora_down.weight"), ("alpha", "alpha"))))
+    met = by_stem.join(base.select(F.expr("substring(key, 1, length(key) - 7)").alias("stem"), F.col("shape").alias("base")).where(F.col("stem").isNotNull()), "stem", "left")
+    up, down = F.col("up.shape"), F.col("down.shape")
+    fits = (F.size(up) == 2) & (F.size(down) == 2) & F.coalesce(F.get(up, F.lit(1)) == F.get(down, F.lit(0)), F.lit(False)) & (F.col("base") == F.array(F.get(up, F.lit(0)), F.get(down, F.lit(1))))
+    faults = met.where("up IS NOT NULL").select(F.col("up.key").alias("key"), F.when(F.col("down").isNull() | F.col("base").isNull(), "unmatched").when(~F.coalesce(fits, F.lit(False)), "shape").alias("fault")).where("fault IS NOT NULL")
+    lone = met.where("up IS NULL").select(F.explode(F.array_compact(F.array(F.col("down.key"), F.col("alpha.key")))).alias("key"), F.lit("unused").alias("fault"))
+    return faults.unionByName(lone).unionByName(parts.where("stem IS NULL").select("key", F.lit("unused").alias("fault")))

@@ -72,3 +72,20 @@ def retention(df: DataFrame, key: str, finished: Column, when: str, tie: str, mo
 
 def round_robin(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return df.withColumn("slot", ((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) % n).cast("int"))
+
+
+def memory_frames(cur: Column, total: Column, memory: int = 20, recent: int = 12, clip: int = 4) -> Column:
+    """Frames to remember before frame cur of total: the recent ones, the first clip, and clips of the history between at even steps, as many as fit.
+
+    All frames before cur while they fit into memory; the first ones where cur lies beyond the track or in its first three frames.
+    """
+    none = F.array().cast("array<bigint>")
+    span = lambda a, b: F.when(b > a, F.sequence(a.cast("long"), (b - 1).cast("long"))).otherwise(none)
+    first = F.when(cur > clip, clip).otherwise(0)
+    past = F.greatest(F.ceil((cur - recent - clip) / clip), F.lit(0))  # clips of the history
+    slots = F.lit(memory - recent) - first
+    step = F.greatest(F.lit(1), F.floor(past / (F.floor(slots / clip) + 1)))
+    clips = F.when(slots > 0, F.least(F.ceil(past / step), F.ceil(slots / clip))).otherwise(0)
+    history = F.flatten(F.transform(span(F.lit(0), clips), lambda k: span(clip + clip * k * step, F.least(2 * clip + clip * k * step, cur))))
+    chosen = F.array_sort(F.array_distinct(F.concat(span(F.lit(0), first), history, span(F.greatest(F.lit(0), cur - recent), cur))))
+    return F.when(cur <= memory, span(F.lit(0), cur)).when((cur >= total) | (cur < 3), span(F.lit(0), F.least(cur, F.lit(memory)))).otherwise(chosen)

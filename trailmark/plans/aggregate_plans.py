@@ -58,14 +58,35 @@ def utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sample", *(F.format_string("%.3f", F.floor(F.col(c) * 1000 + 0.5) / 1000).alias(c) for c in ("util", "mem")))
 
 
+_SERVICE = "['encoder', 'transformer', 'decoder', 'other'][CAST(user_id % 4 + 1 AS INT)]"
+
+
+@query("ag17_precompute_pending", f"""WITH e AS (SELECT event_id, {_SERVICE} AS service, event_id % 5 AS req, event_id % 3 - 1 AS waiting, event_id % 4 AS execs, event_id % 7 - 2 AS p1, event_id % 6 - 1 AS tr FROM events)
+SELECT event_id, service, CAST(CASE service WHEN 'encoder' THEN req + execs WHEN 'transformer' THEN req + greatest(waiting, 0) + execs + greatest(p1, 0) WHEN 'decoder' THEN req + greatest(waiting, 0) + execs + greatest(tr, 0) ELSE -1 END AS BIGINT) AS pending FROM e""")
+def precompute_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work that waits before a service's own step, by the names of its queues (AG17)."""
+    return _instances(spark, sf_dir).select("event_id", "service", A.precompute_pending(F.col("service"), F.col("sizes")).alias("pending"))
+
+
+def _instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "value", "element_at(array('encoder', 'transformer', 'decoder', 'other'), CAST(user_id % 4 + 1 AS INT)) AS service")
+    return e.withColumn("sizes", F.expr("map('req_queue', event_id % 5, 'waiting_queue', event_id % 3 - 1, 'exec_queue', event_id % 4, 'phase1_in', event_id % 7 - 2, 'phase2_out', 9L, 'transfer_in', event_id % 6 - 1)"))
+
+
 @query(
     "ag15_service_load",
-    """SELECT event_type, round(avg(value), 6) AS avg_util, max(value) AS max_util, arg_min(user_id, (value, event_id)) AS least_user, round(avg(value) / 100 + max(CAST(json_extract(props, '$.k') AS BIGINT)) / 10, 6) AS score FROM events GROUP BY event_type""",
+    f"""WITH m AS (SELECT {_SERVICE} AS service, event_id, value AS gpu, CASE WHEN event_id % 11 > 0 THEN event_id % 13 END AS pending, CASE WHEN user_id % 4 < 2 THEN event_id % 5 ELSE -1 END AS pre FROM events),
+w AS (SELECT {_SERVICE} AS service, count(*) AS waiting FROM events WHERE event_type = 'error' AND user_id % 4 > 0 GROUP BY 1)
+SELECT service, round(avg(gpu), 6) AS avg_gpu, CAST(max(coalesce(pending, -1)) AS BIGINT) AS max_pending, arg_min(event_id, (gpu, event_id)) AS least_used, round(coalesce(any_value(waiting), 0) + avg(coalesce(pending, 0)), 6) AS queue_score, round(coalesce(any_value(waiting), 0) + coalesce(avg(pre) FILTER (pre >= 0), 0), 6) AS precompute_score,
+  avg(gpu) > 50 OR max(coalesce(pending, -1)) > 11 AS grow FROM m LEFT JOIN w USING (service) GROUP BY service""",
 )
 def service_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load by service with the least utilised instance and a scale score (AG15, AG17)."""
-    e = table(spark, sf_dir, "events", "event_id", "event_type", "user_id", "value", "from_json(props, 'k BIGINT').k AS k")
-    return e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("avg_util"), F.max("value").alias("max_util"), F.min_by("user_id", F.struct("value", "event_id")).alias("least_user"), F.round(F.avg("value") / 100 + F.max("k") / 10, 6).alias("score"))
+    """Load by service with its scores, the least used instance and whether it should grow (AG15)."""
+    i = _instances(spark, sf_dir)
+    m = i.selectExpr("service", "event_id AS instance", "value AS gpu", "CASE WHEN event_id % 11 > 0 THEN event_id % 13 END AS pending", "CASE WHEN user_id % 4 < 2 THEN event_id % 5 ELSE -1 END AS precompute")
+    waiting = table(spark, sf_dir, "events", "user_id", "event_type", "element_at(array('encoder', 'transformer', 'decoder', 'other'), CAST(user_id % 4 + 1 AS INT)) AS service").where("event_type = 'error' AND user_id % 4 > 0").groupBy("service").agg(F.count("*").alias("waiting"))
+    out = A.service_load(m, waiting, 50.0, 11)
+    return out.select("service", F.round("avg_gpu", 6).alias("avg_gpu"), "max_pending", "least_used", F.round("queue_score", 6).alias("queue_score"), F.round("precompute_score", 6).alias("precompute_score"), "grow")
 
 
 _STAGES = "CAST(max(CASE WHEN l_linenumber = {0} THEN l_quantity END) AS DOUBLE) AS s{0}"
@@ -123,7 +144,7 @@ def repeat_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT user_id, CASE WHEN count(*) > 60 THEN quantile_cont(value, 0.05) ELSE min(value) END AS low, CASE WHEN count(*) > 60 THEN quantile_cont(value, 0.95) ELSE max(value) END AS high FROM events GROUP BY user_id""",
 )
 def percentile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile bounds for large groups, extremes for small ones (AG25, PF29, PF30)."""
+    """Percentile bounds for large groups, extremes for small ones (AG25)."""
     many = F.count("*") > 60
     return table(spark, sf_dir, "events", "user_id", "value").groupBy("user_id").agg(F.when(many, F.percentile("value", F.lit(0.05))).otherwise(F.min("value")).alias("low"), F.when(many, F.percentile("value", F.lit(0.95))).otherwise(F.max("value")).alias("high"))
 
@@ -140,7 +161,7 @@ def ordered_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ag29_block_bytes", "SELECT CAST(regexp_extract(c_name, '#0*(\\d+)\\d\\d$', 1) AS BIGINT) AS block, count(*) AS tensors, CAST(sum(length(c_mktsegment)) AS BIGINT) AS bytes FROM customer GROUP BY 1")
 def block_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes by a block number in the key (AG29, SK14)."""
+    """Sizes by a block number in the key (AG29)."""
     block = F.regexp_extract("c_name", r"#0*(\d+)\d\d$", 1).cast("bigint")
     return table(spark, sf_dir, "customer", "c_name", "c_mktsegment").groupBy(block.alias("block")).agg(F.count("*").alias("tensors"), F.sum(F.length("c_mktsegment")).alias("bytes"))
 
@@ -193,11 +214,11 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "ag7_mask_geometry",
     f"""WITH p AS (SELECT mask, y + 0.5 AS y, unnest(range(x0, x1)) + 0.5 AS x FROM ({_RUNS}))
-SELECT mask, count(*) AS area, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM p GROUP BY mask""",
+SELECT mask, count(*) AS area, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(least(1.0, count(*) * count(*) / (2 * pi() * (sum(x * x + y * y) - (sum(x) * sum(x) + sum(y) * sum(y)) / count(*) + count(*) / 6))), 6) AS compactness FROM p GROUP BY mask""",
 )
 def mask_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area and centroid in closed form by run, no pixel rows (AG7)."""
-    return A.mask_geometry(runs(spark, sf_dir), "mask").select("mask", "area", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
+    """Area, centroid and compactness in closed form by run, no pixel rows (AG7)."""
+    return A.mask_geometry(runs(spark, sf_dir), "mask").select("mask", "area", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "compactness")))
 
 
 @query(
@@ -237,7 +258,7 @@ def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sk2_record_upsert", "WITH r AS (SELECT o_custkey AS k, max(o_orderkey) AS rec FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1), e AS (SELECT o_custkey AS k, max(o_orderkey) AS err FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) SELECT k, 'record' AS kind, rec AS o_orderkey FROM r UNION ALL SELECT k, 'error', err FROM e WHERE k NOT IN (SELECT k FROM r)")
 def record_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest records by key; errors of keys without one (SK2, SK3, SK7)."""
+    """Latest records by key; errors of keys without one (SK2)."""
     o = table(spark, sf_dir, "orders", "o_custkey AS k", "o_orderkey", "o_orderstatus")
     errors = o.where("o_orderstatus = 'P'").groupBy("k").agg(F.max("o_orderkey").alias("o_orderkey"))
     records, left = sinks.upsert(o.where("o_orderstatus <> 'P'").select("k", "o_orderkey"), errors, "k", "o_orderkey")

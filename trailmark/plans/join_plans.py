@@ -197,16 +197,24 @@ def pair_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("vec_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - N.cosine(F.col("x"), F.col("y")))), 6).alias("s_div"))
 
 
+_LORA = """l AS (SELECT p_partkey AS k, 'b' || p_partkey || '.lora_up.weight' AS key, [8, 4 + CAST(p_partkey % 7 = 3 AS INT)] AS shape FROM part UNION ALL SELECT p_partkey, 'b' || p_partkey || '.lora_down.weight', [4, 16] FROM part WHERE p_partkey % 11 <> 2
+  UNION ALL SELECT p_partkey, 'b' || p_partkey || '.alpha', [] FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'b' || p_partkey || '.dora_scale', [8] FROM part WHERE p_partkey % 13 = 5), w AS (SELECT 'b' || p_partkey || '.weight' AS key, [8, 16 + CAST(p_partkey % 17 = 4 AS INT)] AS shape FROM part WHERE p_partkey % 19 <> 6)"""
+
+
 @query(
     "j20_pairing_residue",
-    """WITH u AS (SELECT l_orderkey AS k, count(*) AS up FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), d AS (SELECT l_orderkey AS k, count(*) AS down FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
-SELECT coalesce(u.k, d.k) AS k, CASE WHEN up IS NULL THEN 'no up' WHEN down IS NULL THEN 'no down' ELSE 'uneven' END AS fault FROM u FULL JOIN d ON u.k = d.k WHERE up IS DISTINCT FROM down""",
+    f"""WITH {_LORA}, s AS (SELECT l.*, regexp_replace(key, '\.(lora_up\.weight|lora_down\.weight|alpha)$', '') AS stem, regexp_extract(key, '\.(lora_up\.weight|lora_down\.weight|alpha)$', 1) AS part FROM l),
+u AS (SELECT u.stem, u.key, u.shape AS up, d.shape AS down, w.shape AS base FROM s u LEFT JOIN s d ON d.stem = u.stem AND d.part = 'lora_down.weight' LEFT JOIN w ON w.key = u.stem || '.weight' WHERE u.part = 'lora_up.weight')
+SELECT key, CASE WHEN down IS NULL OR base IS NULL THEN 'unmatched' ELSE 'shape' END AS fault FROM u WHERE down IS NULL OR base IS NULL OR up[2] <> down[1] OR base <> [up[1], down[2]]
+UNION ALL SELECT key, 'unused' FROM s WHERE part = '' OR (part <> 'lora_up.weight' AND stem NOT IN (SELECT stem FROM u))""",
 )
 def pairing_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys left over when two sides must pair up entirely."""
-    li = table(spark, sf_dir, "lineitem", "l_orderkey AS k", "l_returnflag")
-    n = li.groupBy("k").agg(F.count_if(F.col("l_returnflag") == "A").alias("up"), F.count_if(F.col("l_returnflag") == "R").alias("down"))
-    return n.where("up <> down").select("k", F.when(F.col("up") == 0, "no up").when(F.col("down") == 0, "no down").otherwise("uneven").alias("fault"))
+    """Adapter keys that do not pair up with each other and with a base weight."""
+    p = table(spark, sf_dir, "part", "p_partkey AS k")
+    rows = "array(named_struct('n', '.lora_up.weight', 's', array(8, 4 + int(k % 7 = 3))), CASE WHEN k % 11 <> 2 THEN named_struct('n', '.lora_down.weight', 's', array(4, 16)) END, CASE WHEN k % 3 = 0 THEN named_struct('n', '.alpha', 's', CAST(array() AS array<int>)) END, CASE WHEN k % 13 = 5 THEN named_struct('n', '.dora_scale', 's', array(8)) END)"
+    lora = p.selectExpr("k", f"explode(array_compact({rows})) AS r").selectExpr("concat('b', k, r.n) AS key", "r.s AS shape")
+    base = p.where("k % 19 <> 6").selectExpr("concat('b', k, '.weight') AS key", "array(8, 16 + int(k % 17 = 4)) AS shape")
+    return J.adapter_faults(lora, base)
 
 
 @query(

@@ -147,11 +147,16 @@ def rolling_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.sink_window(table(spark, sf_dir, "events", "user_id", "event_id"), "user_id", "event_id", 4, 10).withColumn("slot", F.col("slot").cast("bigint"))
 
 
-@query("w15_memory_frames", f"WITH p AS (SELECT *, max(pos) OVER (PARTITION BY user_id) AS last FROM ({_PLACES})) SELECT user_id, event_id FROM p WHERE pos < 4 OR pos > last - 8 OR pos % 5 = 0")
+@query(
+    "w15_memory_frames",
+    f"""WITH p AS (SELECT user_id, pos AS cur, max(pos) OVER (PARTITION BY user_id) + 1 AS total FROM ({_PLACES})), q AS (SELECT *, len(range(4, greatest(cur - 12, 4), 4)) AS clips FROM p WHERE cur % 9 = 4 OR cur = total - 1)
+SELECT user_id, cur, unnest(CASE WHEN cur <= 20 THEN range(cur) ELSE list_sort(list_distinct(list_concat(range(4), list_filter(flatten(list_transform(range(least(CAST(ceil(clips / greatest(1, clips // 2)) AS BIGINT), 1)), lambda k: range(4 + 4 * k * greatest(1, clips // 2), 8 + 4 * k * greatest(1, clips // 2)))), lambda f: f < cur), range(cur - 12, cur)))) END) AS frame FROM q""",
+)
 def memory_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four, the most recent eight and every fifth frame."""
-    p = places(spark, sf_dir).withColumn("last", F.max("pos").over(Window.partitionBy("user_id")))
-    return p.where("pos < 4 OR pos > last - 8 OR pos % 5 = 0").select("user_id", "event_id")
+    """Frames to remember at every ninth frame and the last."""
+    p = places(spark, sf_dir).withColumn("total", F.max("pos").over(Window.partitionBy("user_id")) + 1)
+    asked = p.where("pos % 9 = 4 OR pos = total - 1").select("user_id", F.col("pos").alias("cur"), "total")
+    return asked.select("user_id", "cur", F.explode(O.memory_frames(F.col("cur"), F.col("total"))).alias("frame"))
 
 
 @query("w16_next_task", "SELECT o_orderpriority, min(o_orderkey) FILTER (o_orderstatus = 'P') AS next_task FROM orders GROUP BY o_orderpriority")
@@ -288,7 +293,7 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, segment, count(*) AS n, round(sum(value), 2) AS total FROM k GROUP BY user_id, segment HAVING count(*) = 16""",
 )
 def overlapping_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping segments of a sample stream, full ones only (ST1, ST3)."""
+    """Overlapping segments of a sample stream, full ones only (ST1); the live form is streams.live_segments."""
     return segments(places(spark, sf_dir, "value"), "user_id", "pos", "value", 16, 5).withColumn("total", F.round("total", 2))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,63 @@ def segments(samples: DataFrame, key: str, pos: str, value: str, length: int, ov
     return rows.groupBy(key, "segment").agg(F.count("*").alias("n"), F.sum(value).alias("total")).where(F.col("n") == length)
 
 
+def live_segments(chunks: DataFrame, key: str, order: str, samples: str, length: int, overlap: int) -> DataFrame:
+    """(key, segment, samples) of a live stream of ragged chunks: the first segment is all new, later ones begin with the last overlap samples before.
+
+    What does not fill a segment stays as the key's state (fewer than length samples) until the next micro-batch, so segments do not depend on how the stream
+    is cut into chunks or batches. Chunks of a batch are taken by order, batches as they come; null chunks are empty.
+    """
+    if not 0 <= overlap < length:
+        raise ValueError("the overlap must be shorter than a segment")
+
+    def cut(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rest, segment = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        rows = pd.concat(list(frames)).sort_values(order)
+        made = []
+        for chunk in rows[samples]:
+            rest.extend(() if chunk is None else np.asarray(chunk).tolist())  # the state takes plain values only
+            while len(rest) >= length:
+                made.append((k[0], segment, rest[:length]))
+                rest, segment = rest[length - overlap :], segment + 1
+        state.update((rest, segment))
+        yield pd.DataFrame(made, columns=[key, "segment", samples])
+
+    kind = lambda c: chunks.schema[c].dataType.simpleString()
+    return chunks.select(key, order, samples).groupBy(key).applyInPandasWithState(cut, f"{key} {kind(key)}, segment long, {samples} {kind(samples)}", f"rest {kind(samples)}, segment long", "append", GroupStateTimeout.NoTimeout)
+
+
+METRICS = "map<string, map<string, double>>"
+
+
+def results_with_metrics(messages: DataFrame, key: str, order: str, known: DataFrame | None = None) -> DataFrame:
+    """(key, message, metrics) of the first result of every request, with the metrics of its stages so far.
+
+    messages: (key, order, kind: stage_metrics or result, message, metrics: {METRICS}). Metrics of a later message win field by field inside a stage, and
+    those of a result count too. Repeated results go, and results of requests that known lacks; messages without a key go. A result waits for nothing: metrics that come after it
+    are kept but change nothing.
+    """
+
+    def gather(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        stored, done = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, False)
+        made = []
+        for row in pd.concat(list(frames)).sort_values(order).itertuples():
+            if done and row.kind == "result":
+                continue
+            for stage, fields in dict(row.metrics or {}).items():  # maps come as dicts or as lists of pairs
+                stored.setdefault(stage, {}).update({f: float(v) for f, v in dict(fields or {}).items() if v is not None})
+            if row.kind == "result":
+                made.append((k[0], row.message, {s: dict(f) for s, f in stored.items()}))
+                done = True
+        state.update((json.dumps(stored), done))
+        yield pd.DataFrame(made, columns=[key, "message", "metrics"])
+
+    asked = messages.where(F.col(key).isNotNull())
+    if known is not None:
+        asked = asked.join(known, key, "left_semi")
+    kind = messages.schema[key].dataType.simpleString()
+    return asked.select(key, order, "kind", "message", F.col("metrics").cast(METRICS)).groupBy(key).applyInPandasWithState(gather, f"{key} {kind}, message string, metrics {METRICS}", "stored string, done boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def tumbling(pos: Column, first: int, rest: int) -> Column:
     """Index of the tumbling window when the first one has another length."""
     return F.when(pos < first, 0).otherwise(1 + F.floor((pos - first) / rest)).cast("long")
