@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from trailmark.plans import aggregate_plans, contract_plans, decision_plans, join_plans, mask_plans, ordered_plans, rule_plans  # noqa: F401
+from trailmark.plans import aggregate_plans, contract_plans, decision_plans, join_plans, mask_plans, ordered_plans, rule_plans, source_plans  # noqa: F401
 from trailmark.plans.registry import ORACLES, QUERIES
 
 D = "/root/testdata/sf0.001"

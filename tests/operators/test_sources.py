@@ -194,3 +194,45 @@ def test_adapter_pairs(spark):
     got = {r.key: r.fault for r in adapter_faults(t(*lora), base).collect()}
     assert got == {"b.lora_up.weight": "unmatched", "c.lora_up.weight": "shape", "e.lora_up.weight": "unmatched", "f.alpha": "unused", "f.lora_down.weight": "unused", "g.bias": "unused"}
     assert adapter_faults(t(("a.lora_up.weight", [8, 4]), ("a.lora_down.weight", [4, 16])), base).count() == 0
+
+
+def test_pairs_and_lines(spark):
+    from trailmark.sources import readers
+
+    files = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    got = lambda *p: sorted(map(tuple, readers.image_pairs(files(*p), "/r/").collect()), key=repr)
+    assert got("/r/b.jpg", "/r/a.jpg") == [(None, "/r/a.jpg", "/r/b.jpg", None)]
+    assert got("/r/x/2", "/r/x/1", "/r/y/1", "/r/z/1", "/r/z/2", "/r/z/3", "/r/loose", "/other/a") == [("x", "/r/x/1", "/r/x/2", None), ("y", None, None, "not a pair of files"), ("z", None, None, "not a pair of files"), (None, None, None, "files beside folders")]
+    lines = spark.createDataFrame([(1, "a b"), (2, " a  b "), (3, "a"), (4, ""), (5, None)], "line int, raw string")
+    assert [(r.path0, r.path1, r.fault is None) for r in readers.pair_lines(lines).orderBy("line").collect()] == [("a", "b", True)] + [(None, None, False)] * 4
+
+
+def test_sheets_and_cases(spark, tmp_path):
+    from trailmark.sources import sinks
+
+    df = spark.createDataFrame([(1, ["a", "b"], "x"), (2, [], None)], "id int, families array<string>, note string")
+    sinks.write_review(df, str(tmp_path / "csv"), ("families",), ("human_notes",))
+    got = spark.read.csv(str(tmp_path / "csv"), header=True)
+    assert got.columns == ["id", "families", "note", "human_notes"] and sorted((r.id, r.families or "", r.human_notes) for r in got.collect()) == [("1", "a|b", None), ("2", "", None)]
+    for _ in range(2):
+        sinks.append_cases(df, str(tmp_path / "bad"))
+    assert spark.read.json(str(tmp_path / "bad")).count() == 4
+
+
+def test_ratios_and_corners(spark):
+    from pyspark.sql import functions as F
+
+    from trailmark.functions import geometry as G
+
+    base = {"global": 0.5, "local": 0.25, "dual": 0.25}
+    cases = {"": base, "x:1": base, "global:1": {"global": 1 / 1.5, "local": 0.25 / 1.5, "dual": 0.25 / 1.5}, " Local : 3 ,dual:-1,global:nan_": {"global": 0.5 / 3.5, "local": 3 / 3.5, "dual": 0.0}, "global:0,local:0,dual:0": base, "global:1,global:2:3,local": {"global": 1 / 1.5, "local": 0.25 / 1.5, "dual": 0.25 / 1.5}}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    for r in df.select("t", G.ratios(F.col("t"), base).alias("m")).collect():
+        assert r.m == pytest.approx(cases[r.t]), r.t
+    h = [[1.0, 0, 0, 0, 1, 0, 0, 0, 1], None, [1.0, 0, 0, 0, 1, 0, -1 / 640, 0, 1]]
+    true = F.array(*map(F.lit, (0.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 1.0)))
+    d = spark.createDataFrame([(x and [float(v) for v in x],) for x in h], "h array<double>")
+    w, t = F.lit(640.0), F.lit(480.0)
+    assert [r.e for r in d.select(G.corner_error(F.col("h"), true, w, t, w, t).alias("e")).collect()] == [0.0, float("inf"), float("inf")]
+    x, y = G.to_pixels(*G.to_normalized(F.lit(10), F.lit(24), t, w), t, w)
+    assert tuple(d.select(x, y).first()) == (10.0, 24.0)

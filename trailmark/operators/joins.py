@@ -47,18 +47,38 @@ def nearest_bucket(df: DataFrame, value: Column, buckets: list[float], one_sided
     return F.array_min(F.filter(F.array(*rows), lambda x: x.isNotNull()))["k"]
 
 
-def ratio_matches(a: DataFrame, b: DataFrame, key: str, limit: float = 0.75) -> DataFrame:
-    """Two nearest neighbours inside a key; kept where the first is clearly nearer: d1 < limit * d2."""
+def _distance(a: Column, b: Column, metric: str) -> Column:
+    """l2 of number arrays, or hamming: bits that differ in arrays of longs."""
+    if metric == "hamming":
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.cast("long").bitwiseXOR(y.cast("long")))), F.lit(0), lambda s, n: s + n).cast("double")
+    if metric != "l2":
+        raise ValueError(f"no such metric: {metric}")
+    return F.sqrt(square_distance(a, b))
+
+
+def _nearest_two(a: DataFrame, b: DataFrame, key: str, metric: str) -> DataFrame:
+    """(key, a, b, d, d2): the nearest of each a inside a key, and the distance of the second (null if there is none).
+
+    All pairs of a key are made: a key is one pair of images, whose descriptors are bounded; keys spread over tasks.
+    """
     pairs = a.select(key, F.col("id").alias("a"), F.col("v").alias("va")).join(b.select(key, F.col("id").alias("b"), F.col("v").alias("vb")), key)
-    d = pairs.select(key, "a", "b", F.sqrt(square_distance(F.col("va"), F.col("vb"))).alias("d"))
+    d = pairs.select(key, "a", "b", _distance(F.col("va"), F.col("vb"), metric).alias("d"))
     # Ranks up to two are cut inside the tasks before the shuffle, and sorting spills: no list of a group is gathered.
     two = d.withColumn("_r", F.row_number().over(Window.partitionBy(key, "a").orderBy("d", "b"))).where("_r <= 2")
     near = two.groupBy(key, "a").agg(F.min(F.struct("_r", "b", "d")).alias("n1"), F.max(F.when(F.col("_r") == 2, F.col("d"))).alias("d2"))
-    return near.where(F.col("n1.d") < limit * F.col("d2")).select(key, "a", F.col("n1.b").alias("b"), F.col("n1.d").alias("d"))
+    return near.select(key, "a", F.col("n1.b").alias("b"), F.col("n1.d").alias("d"), "d2")
+
+
+def ratio_matches(a: DataFrame, b: DataFrame, key: str, limit: float = 0.75, metric: str = "l2") -> DataFrame:
+    """Nearest neighbours inside a key, kept where the first is clearly nearer: d1 < limit * d2."""
+    return _nearest_two(a, b, key, metric).where(F.col("d") < limit * F.col("d2")).select(key, "a", "b", "d")
 
 
-def mutual_matches(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Pairs inside a key that are each other's most similar by dot product."""
+def mutual_matches(a: DataFrame, b: DataFrame, key: str, ratio: float | None = None) -> DataFrame:
+    """Pairs inside a key that are each other's most similar by dot product; with a ratio, each other's nearest that both pass the ratio test."""
+    if ratio is not None:
+        up, down = (_nearest_two(x, y, key, "l2").where(F.col("d") < ratio * F.col("d2")) for x, y in ((a, b), (b, a)))
+        return up.select(key, "a", "b", (-F.col("d")).alias("s")).join(down.select(key, F.col("b").alias("a"), F.col("a").alias("b")), [key, "a", "b"])
     pairs = a.select(key, F.col("id").alias("a"), F.col("v").alias("va")).join(b.select(key, F.col("id").alias("b"), F.col("v").alias("vb")), key)
     s = pairs.select(key, "a", "b", dot(F.col("va"), F.col("vb")).alias("s"))
     up = s.groupBy(key, "a").agg(F.max(F.struct("s", (-F.col("b")).alias("k"), "b")).alias("m")).select(key, "a", F.col("m.b").alias("b"), F.col("m.s").alias("s"))

@@ -60,6 +60,54 @@ def source_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(many, "source_id").select("city", "source_id", "gsvcities_path", reasons.alias("reasons"))
 
 
+def resolve_sources(entries: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """entries (sample_id, city, source_id) with path: an absolute source_id that exists, else root/city/source_id, else root/source_id; fault where none does.
+
+    files: (path); repeated paths count once. Blank cities are passed over; without a source_id nothing is tried.
+    """
+    known = files.select("path").distinct()
+    city, source = F.nullif(F.trim(F.coalesce("city", F.lit(""))), F.lit("")), F.nullif(F.trim(F.coalesce("source_id", F.lit(""))), F.lit(""))
+    base = root.rstrip("/")
+    asked = entries.withColumns({"_p0": F.when(source.startswith("/"), source), "_p1": F.when(city.isNotNull(), F.concat(F.lit(f"{base}/"), city, F.lit("/"), source)), "_p2": F.concat(F.lit(f"{base}/"), source)})
+    for k in range(3):
+        asked = asked.join(known.select(F.col("path").alias(f"_f{k}")), F.col(f"_p{k}") == F.col(f"_f{k}"), "left")
+    path = F.coalesce("_f0", "_f1", "_f2")
+    fault = F.when(source.isNull(), "missing source_id").when(path.isNull(), F.concat(F.lit("source image not found; tried "), F.concat_ws(", ", "_p1", "_p2")))
+    return asked.select(*entries.columns, path.alias("path"), fault.alias("fault"))
+
+
+def image_pairs(files: DataFrame, root: str) -> DataFrame:
+    """(folder, path0, path1, fault) of the pairs below root: root itself where it holds just two files, else every folder in it, sorted by path.
+
+    files: (path) of all files below root. A folder with another number of files, or a file beside the folders, is a fault.
+    """
+    base = root.rstrip("/")
+    inner = files.where(F.startswith("path", F.lit(f"{base}/"))).select("path", F.expr(f"substring(path, {len(base) + 2})").alias("_rest")).withColumn("folder", F.when(F.contains("_rest", F.lit("/")), F.substring_index("_rest", "/", 1)))
+    by = inner.groupBy("folder").agg(F.slice(F.array_sort(F.collect_set("path")), 1, 3).alias("paths"), F.countDistinct("path").alias("n"))  # folders of a pair; a crowded one is cut to three
+    shape = by.agg(F.count("*").alias("folders"), F.max(F.when(F.col("folder").isNull(), F.col("n"))).alias("loose"))
+    by = by.join(F.broadcast(shape))  # a single row
+    whole = (F.col("folders") == 1) & (F.col("loose") == 2)
+    pair = (F.col("n") == 2) & (F.col("folder").isNotNull() | whole)
+    fault = F.when(~pair, F.when(F.col("folder").isNull(), "files beside folders").otherwise("not a pair of files"))
+    return by.select("folder", F.when(pair, F.get("paths", F.lit(0))).alias("path0"), F.when(pair, F.get("paths", F.lit(1))).alias("path1"), fault.alias("fault"))
+
+
+def pair_lines(lines: DataFrame) -> DataFrame:
+    """(line, path0, path1, fault) of texts (line, raw) of two paths each, parted by one blank."""
+    parts = F.split(F.trim("raw"), " ")
+    good = (F.size(parts) == 2) & (F.trim("raw") != "")
+    return lines.select("line", *(F.when(good, F.get(parts, F.lit(k))).alias(f"path{k}") for k in (0, 1)), F.when(~F.coalesce(good, F.lit(False)), "not a pair of paths").alias("fault"))
+
+
+def training_records(lines: DataFrame, folder: str) -> DataFrame:
+    """(line, target_image, prompt, source_images, fault) of metadata lines (line, raw); paths are taken from the folder of the list, blank lines are passed over."""
+    row = F.from_json("raw", "prompt string, target_image string, source_images array<string>")
+    resolve = lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit(f"{folder.rstrip('/')}/"), p))
+    read = lines.where(~F.coalesce(F.trim("raw") == "", F.lit(True))).withColumns({"_r": row, "_keys": F.json_object_keys("raw")})
+    fault = F.when(F.col("_keys").isNull(), "not an object").when(F.col("_r.prompt").isNull(), "no prompt")
+    return read.select("line", resolve(F.col("_r.target_image")).alias("target_image"), F.trim("_r.prompt").alias("prompt"), F.transform(F.coalesce("_r.source_images", F.array().cast("array<string>")), resolve).alias("source_images"), fault.alias("fault"))
+
+
 def merged_settings(*layers: dict) -> dict:
     """Layers merged in order; later values win, nested tables merge."""
     out: dict = {}

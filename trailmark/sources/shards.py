@@ -7,6 +7,7 @@ import json
 import struct
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -68,6 +69,28 @@ def shard_bytes(tensors: list[tuple[str, str, list[int], bytes]]) -> bytes:
     return struct.pack("<Q", len(text)) + text + b"".join(d for *_, d in tensors)
 
 
+def write_shards(tensors: DataFrame, folder: str, prefix: str = "part") -> DataFrame:
+    """(file, tensors, bytes) of files written to a folder that all executors reach, one for each shard of (shard, key, dtype, shape, data), in key order.
+
+    A file is named by its shard and written whole, so a task that runs again writes the same file. A shard is held by one task, as `pack` bounds it.
+    """
+    root = folder if "://" in folder else f"file://{folder}"
+
+    def write(t: pa.Table) -> pa.Table:
+        from pyarrow import fs
+
+        rows = sorted(t.to_pylist(), key=lambda r: r["key"].encode())
+        uri = f"{root}/{prefix}_{rows[0]['shard']}.safetensors"
+        system, path = fs.FileSystem.from_uri(uri)
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        data = shard_bytes([(r["key"], r["dtype"], r["shape"], r["data"]) for r in rows])
+        with system.open_output_stream(path) as out:
+            out.write(data)
+        return pa.table({"file": [uri], "tensors": pa.array([len(rows)], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
+
+    return tensors.select("shard", "key", "dtype", F.col("shape").cast("array<long>").alias("shape"), F.col("data").cast("binary").alias("data")).groupBy("shard").applyInArrow(write, "file string, tensors long, bytes long")
+
+
 class _File(InputPartition):
     def __init__(self, uris: list[str]):
         self.uris = uris

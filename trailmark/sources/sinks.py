@@ -55,3 +55,17 @@ def prefix_faults(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
     value = lambda d, name: d.select(order, F.to_json(F.struct(*sorted(c for c in d.columns if c != order))).alias(name))
     both = value(existing, "old").join(value(new, "new"), order, "left")
     return both.where(~F.equal_null("old", "new")).select(order, F.when(F.col("new").isNull(), "not in the new list").otherwise("changed").alias("reason"))
+
+
+def append_cases(df: DataFrame, path: str) -> None:
+    """JSON lines added to what is there; each write is a set of files of its own, so writers do not meet."""
+    df.write.mode("append").option("ignoreNullFields", False).json(path)
+
+
+def review_rows(df: DataFrame, lists: tuple[str, ...], blanks: tuple[str, ...]) -> DataFrame:
+    """df as a sheet for reviewers: lists as texts with bars between, and empty columns to fill in."""
+    return df.withColumns({c: F.array_join(c, "|") for c in lists} | {c: F.lit(None).cast("string") for c in blanks})
+
+
+def write_review(df: DataFrame, path: str, lists: tuple[str, ...], blanks: tuple[str, ...]) -> None:
+    review_rows(df, lists, blanks).write.mode("error").csv(path, header=True, emptyValue="", nullValue="")
