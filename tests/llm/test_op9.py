@@ -14,7 +14,16 @@ def tlv(tag, body):
 
 def key_bytes():
     number = lambda n: tlv(2, bytes([1] * n))
-    return tlv(0x30, number(1) + number(64) + number(3) + number(64))
+    return tlv(0x30, tlv(2, b"\0") + number(64) + number(3) + number(64) + number(32) * 5)
+
+
+def field(b):
+    return len(b).to_bytes(4, "big") + b
+
+
+def ssh_bytes():
+    public = field(b"ssh-ed25519") + field(bytes(range(32)))
+    return b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(bytes(136))
 
 
 def slow_base(text):
@@ -84,8 +93,7 @@ def test_base_against_slow_scan():
 def test_structures():
     der = base64.b64encode(key_bytes()).decode()
     head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()).decode().rstrip("=")
-    name = b"ssh-ed25519"
-    ssh = base64.b64encode(len(name).to_bytes(4, "big") + name + (32).to_bytes(4, "big") + bytes(range(32))).decode()
+    ssh = base64.b64encode(ssh_bytes()).decode()
     pem = f"-----BEGIN RSA PRIVATE KEY-----\n{der[:64]}\n{der[64:]}\n-----END RSA PRIVATE KEY-----"
     for kind, s in (("der", der), ("der", key_bytes().hex().upper()), ("jwt", f"{head}.e30.abc"), ("ssh", ssh), ("pem", pem)):
         t = f"é see {s} end"
@@ -106,8 +114,7 @@ def test_frames(spark):
 
 
 def test_every_run_is_decoded():
-    der, name = key_bytes(), b"ssh-ed25519"
-    ssh = len(name).to_bytes(4, "big") + name + (32).to_bytes(4, "big") + bytes(range(32))
+    der, ssh = key_bytes(), ssh_bytes()
     b64 = lambda b: base64.b64encode(b).decode()
     wrap = lambda s, n=64, by="\n": by.join(s[i : i + n] for i in range(0, len(s), n))
     pem = f"-----BEGIN RSA PRIVATE KEY-----\n{wrap(b64(der))}\n-----END RSA PRIVATE KEY-----"
@@ -124,7 +131,6 @@ def test_every_run_is_decoded():
 
 def test_loose_structures_are_refused():
     b64 = lambda b: base64.b64encode(b).decode()
-    field = lambda b: len(b).to_bytes(4, "big") + b
     oid, bits = tlv(6, bytes([42, 134, 72, 134, 247, 13])), tlv(3, bytes(80))
     algorithm = tlv(0x30, oid + tlv(5, b""))
     names = tlv(0x30, tlv(0x31, tlv(0x30, oid + tlv(12, b"a name"))))
@@ -132,8 +138,7 @@ def test_loose_structures_are_refused():
     assert not [x for x in find_secrets(b64(certificate)) + find_secrets(b64(tlv(0x30, algorithm + bits))) if x[1] > 2]
     for good in (tlv(0x30, tlv(2, b"\0") + algorithm + tlv(4, key_bytes())), tlv(0x30, algorithm + tlv(4, bytes(48))), tlv(0x30, tlv(2, b"\1") + tlv(4, bytes(32)) + tlv(0xA0, oid))):
         assert [x[1] for x in find_secrets(b64(good)) if x[1] > 2] == [3]
-    public = field(b"ssh-ed25519") + field(bytes(range(32)))
-    whole = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(bytes(136))
+    whole = ssh_bytes()
     assert [x[1] for x in find_secrets(b64(whole)) if x[1] > 2] == [4]
     for bad in (b"openssh-key-v1\0 is the name of a format, which prose may well tell about", whole[:-5], whole + b"x"):
         assert not [x for x in find_secrets(b64(bad)) if x[1] > 2]
@@ -141,6 +146,23 @@ def test_loose_structures_are_refused():
     assert not [x for x in find_secrets(f"{head}.abcdefgh.sig") if x[1] > 2]
 
 
+def test_public_keys_and_parameters_stay(spark):
+    b64 = lambda b: base64.b64encode(b).decode()
+    number = lambda n: tlv(2, bytes([1] * n))
+    rsa, ed = field(b"ssh-rsa") + field(b"\1\0\1") + field(bytes([1] * 257)), field(b"ssh-ed25519") + field(bytes(range(32)))
+    dsa = tlv(0x30, number(64) + number(20) + number(64))  # parameters p, q, g
+    pair = tlv(0x30, number(64) + number(3))  # a public key of its own
+    lists = [tlv(0x30, b"".join(tlv(2, bytes([n, n, n])) for n in range(1, k))) for k in (4, 7, 10)]
+    texts = [f"ssh-rsa {b64(rsa)} me@host", f"ssh-ed25519 {b64(ed)}", f"{ed.hex()} in hex", b64(rsa)[:64] + "\n" + b64(rsa)[64:128] + "\n" + b64(rsa)[128:], *map(b64, (dsa, pair, *lists)), f"-----BEGIN PUBLIC KEY-----\n{b64(pair)}\n-----END PUBLIC KEY-----"]
+    for t in texts:
+        assert not [x for x in find_secrets(t) if x[1] > 2], t
+    kept = [t for t in texts if not find_secrets(t)]
+    df = spark.createDataFrame([(t,) for t in kept], "text string")
+    assert sorted(r.text for r in redact(df).collect()) == sorted(kept) and len(kept) >= len(texts) - 1
+    private = tlv(0x30, tlv(2, b"\0") + number(64) + number(20) + number(64) + number(64) + number(20))  # a DSA key
+    assert [x[1] for x in find_secrets(b64(private)) if x[1] > 2] == [3]
+
+
 def test_long_text():
     der = base64.b64encode(key_bytes()).decode()
     text = "plain words here " * 80_000 + der + " more" * 1000

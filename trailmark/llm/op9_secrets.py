@@ -74,8 +74,8 @@ def der_tags(data: bytes, depth: int = 0) -> list[int] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private key's value list: integers alone (three at least), an algorithm with the wrapped or encrypted key, or a curve's key.
-    Public keys and certificates, which end in a bit string, are none."""
+    """A private key's value list: version 0 and the eight numbers of an RSA key (or the five of a DSA key), an algorithm with the wrapped or
+    encrypted key, or a curve's key. Public keys, parameters, other lists of integers, and certificates are none."""
     if len(data) < 16 or data[0] != 0x30:
         return False
     whole = _length(data, 1)
@@ -87,8 +87,8 @@ def is_der_key(data: bytes) -> bool:
         parts.append((data[at], data[start : start + size]))
         at = start + size
     tags = [t for t, _ in parts]
-    if len(tags) >= 3 and set(tags) == {0x02}:
-        return True
+    if set(tags) == {0x02}:
+        return len(tags) in (6, 9) and parts[0][1] == b"\0" and all(len(v) > 1 for _, v in parts[1:2])
     names = lambda k: parts[k][1][:1] == b"\x06"  # noqa: E731  an algorithm starts with its object id
     if tags[:3] == [0x02, 0x30, 0x04] and names(1) or tags == [0x30, 0x04] and names(0):
         return True
@@ -110,22 +110,26 @@ def _fields(data: bytes) -> list[bytes] | None:
 _SSH_NAME = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+")
 
 
-def is_ssh_key(data: bytes) -> bool:
-    if data.startswith(b"openssh-key-v1\0"):
-        # cipher, derivation, its options; how many keys; each public key, and the private block
-        data, head = data[15:], []
-        for _ in range(3):
-            n = int.from_bytes(data[:4], "big")
-            if len(data) < 4 + n:
-                return False
-            head.append(data[4 : 4 + n])
-            data = data[4 + n :]
-        keys, rest = int.from_bytes(data[:4], "big"), _fields(data[4:])
-        return bool(head[0] and head[1] and rest) and len(rest) == keys + 1 and all(is_ssh_key(k) for k in rest[:-1])
+def _is_ssh_public(data: bytes) -> bool:
     fields = _fields(data)
     return fields is not None and len(fields) >= 2 and _SSH_NAME.fullmatch(fields[0]) is not None
 
 
+def is_ssh_key(data: bytes) -> bool:
+    """The container of private keys: cipher, derivation and its options; how many keys; each public key, and the private block. A public key alone is none."""
+    if not data.startswith(b"openssh-key-v1\0"):
+        return False
+    data, head = data[15:], []
+    for _ in range(3):
+        n = int.from_bytes(data[:4], "big")
+        if len(data) < 4 + n:
+            return False
+        head.append(data[4 : 4 + n])
+        data = data[4 + n :]
+    keys, rest = int.from_bytes(data[:4], "big"), _fields(data[4:])
+    return bool(head[0] and head[1] and rest) and len(rest) == keys + 1 and all(map(_is_ssh_public, rest[:-1])) and len(rest[-1]) >= 16
+
+
 def _base64(s: str) -> bytes | None:
     s = s.rstrip("=").replace("-", "+").replace("_", "/")
     try:
@@ -195,7 +199,7 @@ def _wrapped(text: str, pattern: re.Pattern, decode, chars: int, size: int) -> l
             ways: list[int] = []
             if head and head[0] == 0x30 and (whole := _length(head, 1)):
                 ways = [j for j in range(last, i, -1) if (width * (j - i) + len(parts[j])) * size // chars == sum(whole)]
-            elif head and (head.startswith(b"openssh-key") or head[:3] == b"\0\0\0" and re.match(rb"(ssh|ecdsa|sk)-", head[4:])):
+            elif head and head.startswith(b"openssh-key"):
                 ways = list(range(last, i, -1))
             elif head and i <= first + 1:
                 ways = [j for j in (last, last - 1) if j > i]
