@@ -1,3 +1,5 @@
+import pytest
+
 from trailmark.llm.op6_html import extract_text, scan
 
 
@@ -58,11 +60,16 @@ def test_runs_of_all_pages(spark):
     assert got[9:] == [(30 + i, f"{body(i)}\n{foot if i < 2 else i}") for i in range(5)]
 
 
-def test_against_plain_counts(spark):
-    """Every run of every page counted by a dictionary."""
+@pytest.mark.parametrize("shard_bytes, rows_sent", [(4 << 20, 1_000_000), (700, 1_000_000), (700, -1)])
+def test_against_plain_counts(spark, monkeypatch, shard_bytes, rows_sent):
+    """Every run of every page counted by a dictionary, whatever the shards of its host."""
     import collections
     import random
 
+    import trailmark.llm.op6_html as op
+
+    monkeypatch.setattr(op, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(op, "BROADCAST_ROWS", rows_sent)
     rng, run, rows = random.Random(6), 8, []
     for i in range(120):
         words = [rng.choice("abc") for _ in range(rng.randint(0, 40))]
@@ -122,3 +129,29 @@ def test_many_shards_and_no_broadcast(spark, monkeypatch):
     assert sorted(tuple(r) for r in extract_text(df).collect()) == want
     monkeypatch.setattr(op, "BROADCAST_ROWS", -1)
     assert sorted(tuple(r) for r in extract_text(df).collect()) == want
+
+
+def test_the_answer_does_not_depend_on_the_size_of_the_host(spark):
+    """A line in 55 % of a host's articles goes from short and from long ones."""
+    line = "this line stands in most articles of the host and is no text"
+    for words in (50, 12_000):
+        rows = [(i, "http://one.example/", f"<article><p>{' '.join(f'w{i}x{k}' for k in range(words))}</p>{f'<p>{line}</p>' if i < 33 else ''}</article>") for i in range(60)]
+        got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6))
+        assert [r.page_id for r in got.collect() if line in r.text] == []
+
+
+def test_names_alone_delete_no_prose():
+    body = "".join(f"<p>Sentence {i} of the story has a good number of words in it.</p>" for i in range(12))
+    all_ = "\n".join(f"Sentence {i} of the story has a good number of words in it." for i in range(12))
+    said = lambda page: "\n".join(t for _, t in scan(page))
+    assert said(f'<body><form id="aspnetForm"><nav><a>Home</a></nav><article>{body}</article></form></body>') == all_
+    assert said(f'<body><form id="aspnetForm"><nav><a>Home</a></nav><div>{body}</div><form><p>Mail us</p></form></form></body>') == all_
+    assert said(f'<body><div class="ad-free-story">{body}</div><div class="ad-slot">Buy now</div></body>') == all_
+    assert said(f'<body><section class="comment-analysis">{body}</section></body>') == all_
+    assert said(f'<article><h2 class="menu">What is on the table</h2>{body}</article>') == "What is on the table\n" + all_
+    assert said(f"<body><nav><a>Home</a><div>{body}</div></body>").endswith(all_)
+    assert said(f"<body><nav><a>Home</a></nav><div>{body}</div></body>") == all_
+    # Furniture as meant stays furniture, however long it is.
+    assert said(f"<body><p>Short.</p><nav>{body}</nav></body>") == "Short."
+    assert said(f'<body><p>Short.</p><div class="comments">{body}</div><aside>{body}</aside></body>') == "Short."
+    assert said(f'<body><p>{"Long enough. " * 60}</p><div class="ad-slot">{body[:60]}</p></div></body>') == ("Long enough. " * 60).strip()

@@ -7,10 +7,9 @@
 3.  A shard's streams are concatenated and their suffixes sorted (prefix doubling, which also gives the common prefixes of neighbours).
     Neighbours with a common prefix of `run` tokens share a substring; it is counted by different contents, and unique ones stay.
 4.  Counts of shards are added up by host. Structure decides which repeated runs go: outside articles those of two contents; inside an
-    article only those of most contents of the host (MOST_LEAST at least; shards count where more than half have it), since pages
-    of one host may quote the same passage, which is text. Overlapping runs go as one, of any length.
-
-In a host of several shards an occurrence inside an article adds to the counts of outside ones only where its own shard has two.
+    article only those of most contents of the host (MOST_LEAST at least), since pages of one host may quote the same passage,
+    which is text. What the shards of a large host can't settle alone is counted again over all of its contents, so
+    the answer is that of one shard, whatever the size of the host. Overlapping runs go as one, of any length.
 
 Null or empty html gives an empty text. Repeated ids and urls are pages of their own, as is a page with a null id or url (host: empty).
 Html of any length is read whole. An empty table gives an empty result; extra columns are ignored.
@@ -36,6 +35,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 SKIP = frozenset("script style textarea title xmp iframe noembed noframes head noscript template svg math canvas object audio video select option button datalist".split())
 FURNITURE = frozenset("nav aside footer form menu dialog".split())
+CLOSED = FURNITURE - {"form"} | {"header"}
+HEADS = frozenset("html body h1 h2 h3 h4 h5 h6".split())  # never furniture by a name of their own
 MAIN = frozenset("article main".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NAMED = frozenset(
@@ -46,40 +47,54 @@ COMMENTS = frozenset("comment comments comment-list comments-area respond disqus
 _PARTS = frozenset(NAMED - {"search", "login", "notice", "alert", "social", "related", "menu", "share"})
 
 
-def _named(attributes: str) -> frozenset:
+def _named(attributes: str) -> tuple[frozenset, bool]:
+    """(names of page furniture in the attributes, whether one of them is a whole name and not just a part of a longer one)."""
     if "=" not in attributes:
-        return frozenset()
+        return frozenset(), False
     words = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower().split()
-    out = set()
+    out, whole = set(), False
     for w in words:
         if w in NAMED:
             out.add(w)
+            whole = True
         else:
             ends = re.split(r"[-_]", w)
             if ends[0] not in ("no", "has", "with", "is"):
                 out.update(x for x in (ends[0], ends[-1]) if x in _PARTS)
-    return frozenset(out)
+    return frozenset(out), whole
+
+
+class _Region:
+    """An element that looks like page furniture: its words, and whether nothing can save it."""
+
+    def __init__(self, sure: bool):
+        self.sure, self.words = sure, 0
 
 
 def scan(page: str) -> list[tuple[bool, str]]:
-    """(inside an article, text) of the blocks outside page furniture, in page order."""
-    out: list[tuple[bool, str]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, main, furniture, comments
+    """(inside an article, text) of the blocks outside page furniture, in page order.
+
+    Furniture by element goes if its end tag closes it, by a whole name always. A form, an element that has only part of a furniture name, and one
+    that nothing closes go too, unless more than half of the page's words (those outside sure furniture) stand in it: then it wraps the page.
+    """
+    found: list[tuple[bool, str, tuple[_Region, ...]]] = []
+    stack: list[tuple[str, bool, bool, tuple[_Region, ...], bool]] = []  # element, main, surely away, doubtful regions, comments
     main = away = False
+    doubts: tuple[_Region, ...] = ()
     parts: list[str] = []
-    where = False
+    where: tuple[bool, tuple[_Region, ...]] = (False, ())
 
     def flush() -> None:
         nonlocal parts
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                out.append((where, text))
+                found.append((where[0], text, where[1]))
             parts = []
 
     def state() -> None:
-        nonlocal main, away
-        main, away = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        nonlocal main, away, doubts
+        main, away, doubts = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (False, False, ())
 
     at, n, raw = 0, len(page), ""
     while at < n:
@@ -91,9 +106,9 @@ def scan(page: str) -> list[tuple[bool, str]]:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else n]
         if text and not away:
-            if parts and where != main:
+            if parts and where != (main, doubts):
                 flush()
-            where = main
+            where = (main, doubts)
             parts.append(text)
         if m is None:
             break
@@ -108,6 +123,8 @@ def scan(page: str) -> list[tuple[bool, str]]:
         if m[1] or m[4]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
+                    if tag in CLOSED and stack[k][3] and (k == 0 or len(stack[k][3]) > len(stack[k - 1][3])):
+                        stack[k][3][-1].sure = True  # its own end tag: furniture as meant
                     del stack[k:]
                     state()
                     break
@@ -126,18 +143,31 @@ def scan(page: str) -> list[tuple[bool, str]]:
                     break
                 if stack[k][0] in BLOCK:
                     break
-        names = _named(attributes) if tag not in ("html", "body") else frozenset()
-        talk = (stack[-1][3] if stack else False) or bool(names & COMMENTS)
+        names, whole = _named(attributes) if tag not in HEADS else (frozenset(), False)
+        talk = (stack[-1][4] if stack else False) or whole and bool(names & COMMENTS)
+        inside = doubts
         if tag in MAIN and not talk and not names & NAMED:
-            here, gone = True, False
+            here, gone, inside = True, False, ()
         else:
             here = main
-            gone = away or tag in SKIP or tag in FURNITURE or bool(names) or (tag == "header" and not main) or talk
+            gone = away or tag in SKIP or whole or talk
+            if not gone and (tag in FURNITURE or names or tag == "header" and not main):
+                inside = (*doubts, _Region(False))
         if not attributes.endswith("/"):
-            stack.append((tag, here, gone, talk))
-            main, away = here, gone
+            stack.append((tag, here, gone, inside, talk))
+            main, away, doubts = here, gone, inside
     flush()
-    return out
+    if not any(regions for _, _, regions in found):
+        return [(m, t) for m, t, _ in found]
+    total = 0
+    for _, text, regions in found:
+        if any(r.sure for r in regions):
+            continue
+        words = text.count(" ") + 1
+        total += words
+        for r in regions:
+            r.words += words
+    return [(m, t) for m, t, regions in found if all(not r.sure and 2 * r.words > total for r in regions)]
 
 
 _TOKEN, _SUFFIX, _PAGE = Poly(61), Poly(62), Poly(64)
@@ -220,6 +250,50 @@ def _streams(batches):
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
 
+def _hits(run, shared):
+    """(host, content, print) of the asked runs (all of them where none are named) in every page."""
+
+    def go(batches):
+        asked = shared and shared.value
+        for whole in batches:
+            for batch in in_slices(whole, "html", _SLICE):
+                texts = ["\n".join(t for _, t in scan(html or "")) for html in batch.column("html").to_pylist()]
+                hosts = batch.column("host").to_numpy()
+                prints, counts = _prints(texts)
+                ends = np.cumsum(counts)
+                content = mix(_PAGE.spans(_PAGE.prefix(prints), ends - counts, ends) ^ hosts.view(np.uint64)).view(np.int64)
+                owner = np.repeat(np.arange(len(texts)), counts)
+                at, names = _runs(prints, owner, hosts, run)
+                if asked is not None and len(asked):
+                    hit = asked[np.minimum(np.searchsorted(asked, names), len(asked) - 1)] == names
+                    at, names = at[hit], names[hit]
+                rows = np.unique(np.column_stack((hosts[owner[at]], content[owner[at]], names)), axis=0) if len(at) else np.zeros((0, 3), np.int64)
+                yield pa.record_batch([pa.array(rows[:, k]) for k in range(3)], names=["host", "content", "print"])
+
+    return go
+
+
+def _exact(pages: DataFrame, sizes: DataFrame, counted: DataFrame, run: int) -> DataFrame:
+    """(print, exact): contents of the runs of large hosts whose shards can't settle them alone.
+
+    A run on more than half of a host's contents is on more than half of a shard's, in one shard at least; and one that a shard has once outside articles
+    may be on contents of other shards. Both kinds are counted again over all contents of their hosts.
+    """
+    n_sizes = sizes.count()
+    large = counted.where("print is not null").join(checked_broadcast(sizes.select("host"), n_sizes), "host", "left_semi")
+    doubtful = save(large.groupBy("print").agg(F.sum("n").alias("n"), F.max(F.col("major").cast("int")).alias("major")).where("major = 1 or n = 1").select("print"), "op6-doubtful")
+    n = doubtful.count() if n_sizes else 0
+    asked = pages.join(checked_broadcast(sizes.select("host"), n_sizes), "host", "left_semi").select("host", "html")
+    if not n:
+        return doubtful.select("print", F.lit(0).cast("long").alias("exact")).limit(0)
+    few = n <= BROADCAST_ROWS
+    shared = pages.sparkSession.sparkContext.broadcast(doubtful.orderBy("print").toArrow().column("print").to_numpy()) if few else None
+    hits = asked.mapInArrow(_hits(run, shared), "host long, content long, print long")
+    if not few:
+        hits = hits.join(doubtful, "print", "left_semi")
+    return hits.distinct().groupBy("print").agg(F.count("*").alias("exact"))
+
+
 _COUNTED = "host long, print long, n long, major boolean"
 
 
@@ -361,6 +435,7 @@ def extract_text(pages: DataFrame, run: int = 8) -> DataFrame:
     counted = save(streams.mapInArrow(_shards(run), _COUNTED), "op6-runs", True)
     totals = counted.where("print is null").groupBy("host").agg(F.sum("n").alias("total"))
     runs = counted.where("print is not null").groupBy("print").agg(F.min("host").alias("host"), F.sum("n").alias("many"), F.sum(F.when(F.col("major"), F.col("n")).otherwise(0)).alias("major"))
+    runs = runs.join(_exact(pages, sizes, counted, run), "print", "left").select("print", "host", F.coalesce("exact", "many").alias("many"), F.coalesce("exact", "major").alias("major"))
     gone = runs.where("many >= 2").join(totals, "host").select("host", "print", F.expr(f"major >= {MOST_LEAST} and 2 * major > total").alias("most"))
     gone = save(gone, "op6-gone")
     if gone.count() <= BROADCAST_ROWS:
