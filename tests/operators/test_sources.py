@@ -236,3 +236,51 @@ def test_ratios_and_corners(spark):
     assert [r.e for r in d.select(G.corner_error(F.col("h"), true, w, t, w, t).alias("e")).collect()] == [0.0, float("inf"), float("inf")]
     x, y = G.to_pixels(*G.to_normalized(F.lit(10), F.lit(24), t, w), t, w)
     assert tuple(d.select(x, y).first()) == (10.0, 24.0)
+
+
+def test_states_of_a_hot_task_spread(spark):
+    rng = random.Random(9)
+    actions = ["submit", "start", "finish", "fail", "cancel", "other", None]
+    rows = [("hot", i, rng.choice(actions)) for i in range(3000)] + [(f"t{k}", i, rng.choice(actions)) for k in range(40) for i in range(rng.randint(1, 6))] + [(None, 1, "submit")]
+    df = spark.createDataFrame(rows, "task string, seq long, action string").repartition(5)
+    want = {}
+    for k, i, a in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        want.setdefault(k, []).append(a)
+    assert {r.task: r.state for r in streams.fold_table(df, "task", "seq", "action").collect()} == {k: streams.fold_states(v) for k, v in want.items()}
+
+
+def test_sessions_run_as_a_stream(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    events = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:50"), ("a", "2024-01-01 00:05:00"), ("b", "2024-01-01 00:00:30"), ("z", "2024-01-02 00:00:00")]
+    (folder / "1.json").write_text("".join(json.dumps({"key": k, "ts": t}) + "\n" for k, t in events))
+    src = spark.readStream.schema("key string, ts timestamp").json(str(folder))
+    run(streams.sessions(src, "key", "ts", "1 minute", "10 seconds"), "sessions", tmp_path)
+    assert sorted((r.key, (r.end - r.start).seconds, r.n) for r in spark.table("sessions").collect()) == [("a", 60, 1), ("a", 110, 2), ("b", 60, 1)]
+
+
+def test_images_and_source_table(spark, tmp_path):
+    from trailmark.sources import readers
+
+    for name in ("a/x.JPG", "a/b/y.png", "z.webp", "notes.txt", "a/x.jpg.bak"):
+        (tmp_path / "img" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "img" / name).write_bytes(b"12345")
+    got = readers.images(spark, str(tmp_path / "img")).collect()
+    assert sorted((r.sample_id, r.length) for r in got) == [("a__b__y", 5), ("a__x", 5), ("z", 5)]
+    (tmp_path / "t.csv").write_text("city,source_id,gsvcities_path\nparis,p1.jpg,paris/p1.jpg\nrome,r1.jpg,/abs/r1.jpg\nrome,r2.jpg,../r2.jpg\nrome,r3.jpg,rome/other.jpg\nrome,r4.jpg,rome/r4.jpg\nrome,r4.jpg,rome/r4.jpg\n")
+    rows = {(r.source_id, tuple(r.reasons)) for r in readers.source_table(spark, str(tmp_path / "t.csv")).collect()}
+    assert rows == {("p1.jpg", ()), ("r1.jpg", ("path leaves the root",)), ("r2.jpg", ("path leaves the root",)), ("r3.jpg", ("path names another source",)), ("r4.jpg", ("repeated source_id",))}
+
+
+def test_selections(spark):
+    from trailmark.operators import masks, selection
+
+    df = spark.range(500).selectExpr("id", "id % 5 AS g", "CAST(id AS double) AS v").repartition(7)
+    one, two = ({r.id for r in selection.sample_exact(d, "id", 40, 3).collect()} for d in (df, df.repartition(2)))
+    assert one == two and len(one) == 40 and one != {r.id for r in selection.sample_exact(df, "id", 40, 4).collect()}
+    assert {r.v for r in selection.within_quantile(df, "v", 0.5).collect()} == set(map(float, range(250)))
+    levels = spark.createDataFrame([("L", 2, 2, {0: 1, 1: 3}), ("1", 2, 2, {0: 4, 255: 0}), ("L", 2, 2, {0: 1, 7: 3}), ("RGB", 2, 2, {0: 4}), ("L", 3, 2, {0: 6}), ("L", 2, 2, {255: 4})], "mode string, width int, height int, levels map<int, bigint>")
+    from pyspark.sql import functions as F
+
+    got = masks.canonical_levels(levels.withColumn("want_width", F.lit(2)).withColumn("want_height", F.lit(2)))
+    assert [(r.foreground, r.fault) for r in got.collect()] == [(3, None), (0, None), (None, "not binary"), (None, "not a single channel"), (None, "size differs from the image"), (4, None)]

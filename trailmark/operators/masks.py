@@ -325,3 +325,49 @@ def candidates(samples: DataFrame, families: DataFrame, search: dict, render: di
         "cx": F.when(area > 0, F.col("s.sx") / area + 0.5), "cy": F.when(area > 0, F.col("s.sy") / area + 0.5), "render_area": _sums(F.col("render"))["n"],
     })
     return d.drop("s", "t", "weights", "in_roi", "cells", "tokens", "phase", "height", "width").withColumnRenamed("x", "center_x").withColumnRenamed("y", "center_y")
+
+
+def _facade_angle(height: int, width: int, values: list[float]) -> tuple[float, str, float]:
+    """Angle of the strongest orthogonal frame of an image's edges, how it was found, and the share of edge strength near it."""
+    gy, gx = np.gradient(np.array(values, float).reshape(height, width))
+    strength = np.hypot(gx, gy)
+    edges = (strength >= np.quantile(strength, 0.85)) & (strength > 0)
+    if edges.sum() < 16:
+        return 0.0, "image_axis_fallback", 0.0
+    turn, weight = np.mod(np.degrees(np.arctan2(gy[edges], gx[edges])) + 135, 90) - 45, strength[edges]  # the tangent, modulo a right angle
+    bins = np.bincount(np.minimum(np.floor(turn + 45.5).astype(int), 90), weight, 91)
+    run = np.concatenate(([0.0, 0.0, 0.0], np.cumsum(bins), np.full(2, bins.sum())))
+    axis = int(np.argmax(np.round(run[5:] - run[:-5], 9))) - 45
+    near = np.abs(turn - axis) <= 2.5
+    share = float(weight[near].sum() / weight.sum())
+    if share < 0.15 or abs(axis) > 30:
+        return 0.0, "image_axis_fallback", share
+    return float((turn[near] * weight[near]).sum() / weight[near].sum()), "local_gradient_orthogonal_frame", share
+
+
+def facade_angles(images: DataFrame) -> DataFrame:
+    """(image, angle_degrees, method, evidence_fraction) of grey images (image, height, width, values by rows), two pixels a side at least.
+
+    Edges over the 85th percentile of strength vote for their direction modulo 90 degrees in bins of one degree, summed over five neighbours; the
+    angle is the mean of those within 2.5 degrees of the best. Too few edges, votes or too steep an axis give 0 by the image's own axis.
+    """
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [_facade_angle(r["height"], r["width"], r["values"]) for r in batch.to_pylist()]
+            yield pa.record_batch([batch.column("image"), *(pa.array([g[k] for g in got], t) for k, t in enumerate((pa.float64(), pa.string(), pa.float64())))], names=["image", "angle_degrees", "method", "evidence_fraction"])
+
+    kind = images.schema["image"].dataType.simpleString()
+    return images.select("image", "height", "width", "values").mapInArrow(turn, f"image {kind}, angle_degrees double, method string, evidence_fraction double")
+
+
+def canonical_levels(masks: DataFrame) -> DataFrame:
+    """masks (mode, width, height, want_width, want_height, levels: pixels by value) with foreground (pixels over 0) and fault, null where the mask may be used.
+
+    Single-channel masks of the wanted size with the values 0 and 1, or 0 and 255, are accepted as they are; nothing is resized or thresholded.
+    """
+    held = F.map_keys(F.map_filter("levels", lambda k, n: n > 0))
+    only = lambda *v: F.size(F.array_except(held, F.array(*map(F.lit, v)))) == 0
+    fault = F.when(~F.coalesce(F.col("mode").isin("1", "L"), F.lit(False)), "not a single channel").when((F.col("width") != F.col("want_width")) | (F.col("height") != F.col("want_height")), "size differs from the image").when(~(only(0, 1) | only(0, 255)), "not binary")
+    front = F.aggregate(F.map_entries("levels"), F.lit(0).cast("long"), lambda s, e: s + F.when(e["key"] > 0, e["value"].cast("long")).otherwise(0))
+    return masks.withColumns({"foreground": F.when(fault.isNull(), front), "fault": fault})

@@ -214,17 +214,32 @@ def hard_rules(df: DataFrame, least: float = 0.70) -> DataFrame:
     return out
 
 
-def thresholds(df: DataFrame, taus: tuple[float, ...] = (0.3, 0.5, 0.7), precision: float = 0.7) -> DataFrame:
-    """One row per candidate and coverage threshold: passes and reasons."""
-    coverage = F.col("weighted_coverage")
-    shape = flags(
+def _shape_faults(precision: float) -> Column:
+    return flags(
         actual_core_area_outside_family_range=~F.col("area_fraction").between(F.col("area_low"), F.col("area_high")),
         core_footprint_clipped_at_image_boundary=F.col("clipped_pixels") > 0,
         core_not_one_8_connected_component=F.col("num_components") != 1,
         target_precision_below_threshold=F.col("target_precision") < precision,
-        zero_total_weight_coverage_undefined=coverage.isNull(),
+        zero_total_weight_coverage_undefined=F.col("weighted_coverage").isNull(),
     )
-    out = df.withColumn("shape", shape).withColumn("tau", F.explode(F.array(*map(F.lit, taus))))
-    short = F.when(coverage < F.col("tau"), F.array(F.lit("weighted_coverage_below_threshold"))).otherwise(F.array().cast("array<string>"))
+
+
+def thresholds(df: DataFrame, taus: tuple[float, ...] = (0.3, 0.5, 0.7), precision: float = 0.7) -> DataFrame:
+    """One row per candidate and coverage threshold: passes and reasons."""
+    out = df.withColumn("shape", _shape_faults(precision)).withColumn("tau", F.explode(F.array(*map(F.lit, taus))))
+    short = F.when(F.col("weighted_coverage") < F.col("tau"), F.array(F.lit("weighted_coverage_below_threshold"))).otherwise(F.array().cast("array<string>"))
     out = out.withColumn("reasons", F.concat("shape", short))
     return out.withColumn("passes", F.size("reasons") == 0).drop("shape")
+
+
+def threshold_summary(df: DataFrame, family: str, sample: str, taus: tuple[float, ...] = (0.3, 0.5, 0.7), precision: float = 0.7) -> DataFrame:
+    """(family, tau, candidates, passes, samples, undefined): counts by threshold, and samples with a candidate that passes.
+
+    Counted by family and sample first, as a count for each threshold, so that neither candidates nor samples meet more than once.
+    """
+    sound = df.withColumn("_ok", F.size(_shape_faults(precision)) == 0)
+    passes = [F.count_if(F.col("_ok") & ~F.coalesce(F.col("weighted_coverage") < t, F.lit(False))).alias(f"_p{k}") for k, t in enumerate(taus)]
+    by = sound.groupBy(family, sample).agg(F.count("*").alias("_n"), F.count_if(F.col("weighted_coverage").isNull()).alias("_u"), *passes)
+    sums = by.groupBy(family).agg(F.sum("_n").alias("candidates"), F.sum("_u").alias("undefined"), *(x for k in range(len(taus)) for x in (F.sum(f"_p{k}").alias(f"_p{k}"), F.count_if((F.col(f"_p{k}") > 0) & F.col(sample).isNotNull()).alias(f"_s{k}"))))
+    rows = F.array(*(F.struct(F.lit(float(t)).alias("tau"), F.col(f"_p{k}").alias("passes"), F.col(f"_s{k}").alias("samples")) for k, t in enumerate(taus)))
+    return sums.select(family, "candidates", "undefined", F.explode(rows).alias("r")).select(family, "r.tau", "candidates", "r.passes", "r.samples", "undefined")

@@ -80,11 +80,33 @@ def random_window(df: DataFrame, key: str, order: str, length: int, seed: int =
     return out.where((F.col("_at") >= start) & (F.col("_at") < start + length)).drop("_n", "_at")
 
 
-def same_keys(a: Column, b: Column) -> Column:
-    """Whether two lists hold the same keys."""
-    return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
-
-
 def ordered_union(*lists: Column) -> Column:
     """All values of the lists once, in ascending order."""
     return F.array_sort(F.array_distinct(F.concat(*lists)))
+
+
+def _draw(seed: int, *keys: str) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(str(seed)), *keys), 256)
+
+
+def sample_exact(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows without replacement, the same in any partitioning: the first by a seeded digest of their key (unique), cut inside the tasks."""
+    return df.withColumn("_draw", _draw(seed, key)).orderBy("_draw").limit(n).drop("_draw")
+
+
+def best_mask(errors: DataFrame, head: str, mask: str, row: str, error: str, rows: int, seed: int = 0) -> DataFrame:
+    """(head, mask, mse): the mask with the smallest mean error over `rows` sampled rows of each head, ties to the smaller mask.
+
+    The same rows are looked at for every mask of a head: the first by a seeded digest of head and row.
+    """
+    drawn = errors.select(head, row).distinct().withColumn("_k", F.row_number().over(Window.partitionBy(head).orderBy(_draw(seed, head, row), row))).where(F.col("_k") <= rows).drop("_k")
+    mse = errors.join(drawn, [head, row], "left_semi").groupBy(head, mask).agg(F.round(F.avg(error), 9).alias("mse"))
+    return mse.groupBy(head).agg(F.min(F.struct("mse", mask)).alias("_m")).select(head, f"_m.{mask}", "_m.mse")
+
+
+def within_quantile(df: DataFrame, value: str, share: float, group: str | None = None) -> DataFrame:
+    """Rows at or under the interpolated quantile of a value, over all rows or by group; null values go."""
+    keys = [group] if group else []
+    limit = df.groupBy(*keys).agg(F.percentile(value, F.lit(share)).alias("_limit"))
+    joined = df.join(limit, group) if group else df.join(F.broadcast(limit))  # a single row without groups
+    return joined.where(F.col(value) <= F.col("_limit")).drop("_limit")

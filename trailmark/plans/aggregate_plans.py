@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.operators import aggregates as A
 from trailmark.operators import clustering as C
+from trailmark.operators import masks as M
 from trailmark.operators.grouped import components8, homographies, suppress
 from trailmark.plans.registry import query, table
 from trailmark.sources import sinks
@@ -310,13 +311,20 @@ def pair_homographies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ag26_orientation",
-    """WITH e AS (SELECT vec_id, i, v - lag(v) OVER (PARTITION BY vec_id ORDER BY i) AS dx, v AS dy FROM (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)),
-b AS (SELECT vec_id, CAST(floor((atan2(dy, dx) + pi()) / (2 * pi()) * 17.999999) AS INT) AS bin, sqrt(dx * dx + dy * dy) AS w FROM e WHERE dx IS NOT NULL), s AS (SELECT vec_id, bin, round(sum(w), 8) AS w FROM b GROUP BY 1, 2)
-SELECT vec_id, arg_max(bin, (w, -bin)) AS bin FROM s GROUP BY vec_id""",
+    """WITH px AS (SELECT vec_id // 4 AS image, vec_id % 4 * 4 + k // 16 AS y, k % 16 AS x, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding) AS v FROM embeddings)),
+n AS (SELECT *, lag(v) OVER r AS l, lead(v) OVER r AS rr, lag(v) OVER c AS u, lead(v) OVER c AS d FROM px WINDOW r AS (PARTITION BY image, y ORDER BY x), c AS (PARTITION BY image, x ORDER BY y)),
+g AS (SELECT image, CASE WHEN l IS NULL THEN rr - v WHEN rr IS NULL THEN v - l ELSE (rr - l) / 2 END AS gx, CASE WHEN u IS NULL THEN d - v WHEN d IS NULL THEN v - u ELSE (d - u) / 2 END AS gy FROM n),
+m AS (SELECT *, sqrt(gx * gx + gy * gy) AS w FROM g), e AS (SELECT *, degrees(atan2(gy, gx)) + 135 AS a FROM m QUALIFY w >= quantile_cont(w, 0.85) OVER (PARTITION BY image) AND w > 0),
+t AS (SELECT image, w, a - 90 * floor(a / 90) - 45 AS turn FROM e), b AS (SELECT image, least(CAST(floor(turn + 45.5) AS INT), 90) AS bin, sum(w) AS w FROM t GROUP BY ALL),
+f AS (SELECT i.image, r.bin, sum(coalesce(w, 0)) OVER (PARTITION BY i.image ORDER BY r.bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM (SELECT DISTINCT image FROM t) i CROSS JOIN range(91) r(bin) LEFT JOIN b ON b.image = i.image AND b.bin = r.bin),
+a AS (SELECT image, arg_max(bin, (round(s, 9), -bin)) - 45 AS axis FROM f GROUP BY image),
+o AS (SELECT image, any_value(axis) AS axis, count(*) AS n, sum(w) FILTER (abs(turn - axis) <= 2.5) / sum(w) AS share, sum(turn * w) FILTER (abs(turn - axis) <= 2.5) / sum(w) FILTER (abs(turn - axis) <= 2.5) AS mean FROM t JOIN a USING (image) GROUP BY image)
+SELECT image, n >= 16 AND share >= 0.15 AND abs(axis) <= 30 AS found, round(CASE WHEN n >= 16 AND share >= 0.15 AND abs(axis) <= 30 THEN mean ELSE 0 END, 6) AS angle, round(CASE WHEN n >= 16 THEN share ELSE 0 END, 6) AS share FROM o""",
 )
 def orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The heaviest orientation bin of a gradient field (AG26, without smoothing)."""
-    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    e = e.withColumn("dx", F.col("v") - F.lag("v").over(Window.partitionBy("vec_id").orderBy("i"))).where("dx IS NOT NULL")
-    binned = e.select("vec_id", F.expr("CAST(floor((atan2(v, dx) + pi()) / (2 * pi()) * 17.999999D) AS INT)").alias("bin"), F.expr("sqrt(dx * dx + v * v)").alias("w"))
-    return binned.groupBy("vec_id", "bin").agg(F.round(F.sum("w"), 8).alias("w")).groupBy("vec_id").agg(F.max_by("bin", F.struct("w", -F.col("bin"))).alias("bin"))
+    """The strongest edge direction of images of 16 x 16 pixels, four vectors each (AG26)."""
+    e = table(spark, sf_dir, "embeddings", "vec_id", "vec_id div 4 AS image", "CAST(embedding AS array<double>) AS v")
+    whole = e.groupBy("image").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "v"))), lambda r: r["v"])).alias("values"))  # four rows
+    images = whole.select("image", (F.size("values") / 16).cast("int").alias("height"), F.lit(16).alias("width"), "values")
+    return M.facade_angles(images).select("image", (F.col("method") != "image_axis_fallback").alias("found"), F.round("angle_degrees", 6).alias("angle"), F.round("evidence_fraction", 6).alias("share"))
+

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import poses as P
+from trailmark.functions.text import lookup
 from trailmark.operators import ordered as O
 from trailmark.operators import rules
+from trailmark.operators import selection as S
 from trailmark.operators import views as V
 from trailmark.operators.scheduler import WEATHER_ORDER, accumulate_select, schedule
 from trailmark.plans.registry import query, sql_list, table
-from trailmark.streaming.streams import segments, tumbling
+from trailmark.streaming.streams import fold_table, segments, tumbling
 
 EPOCH = "CAST(epoch_us(ts) AS BIGINT) // 1000000"
 _PLACES = "SELECT event_id, user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events"
@@ -287,6 +289,30 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id").where("CAST(conv(substring(sha2(concat('42|', doc_id), 256), 1, 8), 16, 10) AS BIGINT) % 10 < 3")
 
 
+@query("t11_exact_sample", "SELECT doc_id FROM documents ORDER BY sha256('42|' || doc_id) LIMIT 150")
+def exact_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """150 documents without replacement by a seeded digest."""
+    return S.sample_exact(table(spark, sf_dir, "documents", "doc_id"), "doc_id", 150, 42)
+
+
+@query(
+    "t15_sampled_mask",
+    """WITH e AS (SELECT user_id AS head, event_id // 4 AS row, event_id % 4 AS mask, (value - 50) * (value - 50) AS err FROM events),
+d AS (SELECT head, row FROM (SELECT DISTINCT head, row FROM e) QUALIFY row_number() OVER (PARTITION BY head ORDER BY sha256('7|' || head || '|' || row), row) <= 16),
+m AS (SELECT head, mask, round(avg(err), 9) AS mse FROM e JOIN d USING (head, row) GROUP BY ALL) SELECT head, arg_min(mask, (mse, mask)) AS mask, round(min(mse), 6) AS mse FROM m GROUP BY head""",
+)
+def sampled_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mask with the smallest error over sampled rows of each head."""
+    e = table(spark, sf_dir, "events", "user_id AS head", "event_id div 4 AS row", "event_id % 4 AS mask", "(value - 50) * (value - 50) AS err")
+    return S.best_mask(e, "head", "mask", "row", "err", 16, 7).withColumn("mse", F.round("mse", 6))
+
+
+@query("pf30_within_quantile", "WITH l AS (SELECT event_type, quantile_cont(value, 0.9) AS most FROM events GROUP BY 1) SELECT event_id FROM events JOIN l USING (event_type) WHERE value <= most")
+def within_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows under a quantile of their group (PF30)."""
+    return S.within_quantile(table(spark, sf_dir, "events", "event_id", "event_type", "value"), "value", 0.9, "event_type").select("event_id")
+
+
 @query(
     "st1_segments",
     f"""WITH p AS ({_PLACES}), k AS (SELECT user_id, pos, value, unnest(generate_series(CAST(greatest(0, ceil((pos - 15) / 11)) AS BIGINT), pos // 11)) AS segment FROM p)
@@ -323,10 +349,10 @@ _MOVES = "CASE WHEN f.state = '' AND p.event_type = 'signup' THEN 'PENDING' WHEN
 SELECT user_id, arg_max(state, pos) AS state FROM f GROUP BY user_id""",
 )
 def task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Task state machine as a fold over a task's ordered events (ST9); the stream form is streams.task_states."""
-    e = table(spark, sf_dir, "events", "user_id", "event_id", "event_type AS a").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "a"))).alias("xs"))
-    step = "CASE WHEN s = '' AND x.a = 'signup' THEN 'PENDING' WHEN s = 'PENDING' AND x.a = 'view' THEN 'PROCESSING' WHEN s = 'PROCESSING' AND x.a = 'purchase' THEN 'COMPLETED' WHEN s = 'PROCESSING' AND x.a = 'error' THEN 'FAILED' ELSE s END"
-    return e.select("user_id", F.expr(f"aggregate(xs, '', (s, x) -> {step})").alias("state"))
+    """Task state machine over a table, as maps of states by range of events (ST9); the stream form is streams.task_states."""
+    e = table(spark, sf_dir, "events", "user_id", "event_id", "event_type")
+    said = F.coalesce(lookup(F.col("event_type"), {"signup": "submit", "view": "start", "purchase": "finish", "error": "fail"}), F.lit(""))
+    return fold_table(e.select("user_id", "event_id", said.alias("action")), "user_id", "event_id", "action")
 
 
 @query(

@@ -223,9 +223,7 @@ SELECT family, CAST(tau AS DOUBLE) AS tau, count(*) AS candidates, count(*) FILT
 )
 def threshold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons by threshold, counted by family (PF27, AG5)."""
-    t = rules.thresholds(candidates(spark, sf_dir).withColumn("clipped_pixels", F.col("clipped_pixels").cast("int")))
-    aggs = F.count("*").alias("candidates"), F.count_if("passes").alias("passes"), F.countDistinct(F.when(F.col("passes"), F.col("l_orderkey"))).alias("samples"), F.count_if(F.array_contains("reasons", "zero_total_weight_coverage_undefined")).alias("undefined")
-    return t.groupBy("family", F.col("tau").cast("double").alias("tau")).agg(*aggs)
+    return rules.threshold_summary(candidates(spark, sf_dir).withColumn("clipped_pixels", F.col("clipped_pixels").cast("int")), "family", "l_orderkey")
 
 
 ERRORS = ("insufficient_quota", "connection error", "Error code: 502 - bad gateway", "timed out", "fine", "Access Denied", "rate limit", "InternalServerError: overload", "parse failed")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -104,6 +105,42 @@ def fold_states(actions: list[str], state: str = "") -> str:
     return state
 
 
+def fold_table(events: DataFrame, key: str, order: str, action: str) -> DataFrame:
+    """(key, state) of every task after all its actions in a table.
+
+    Rows are dealt by ranges of (key, order), so that a task's actions may spread over tasks of the cluster. Each sorted part becomes one map from
+    the state before it to the state after it; maps of a key's parts, as few as its ranges, are applied in order.
+    """
+    states = sorted({"", *MOVES.values()})
+    at = {s: k for k, s in enumerate(states)}
+    moves = {a: [at[MOVES.get((s, a), s)] for s in states] for a in {a for _, a in MOVES}}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None  # key, first order, map
+
+        def told() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([held[0]], kinds[0]), pa.array([held[1]], kinds[1]), pa.array([held[2]], pa.list_(pa.int32()))], names=[key, "_from", "_map"])
+
+        kinds: list = []
+        for batch in batches:
+            kinds = kinds or [batch.schema.field(c).type for c in (key, order)]
+            for k, o, a in zip(*(batch.column(c).to_pylist() for c in (key, order, action))):
+                if held is None or held[0] != k:
+                    if held is not None:
+                        yield told()
+                    held = [k, o, list(range(len(states)))]
+                if (move := moves.get(a)) is not None:
+                    held[2] = [move[s] for s in held[2]]
+        if held is not None:
+            yield told()
+
+    kind = lambda c: events.schema[c].dataType.simpleString()
+    parts = events.select(key, order, action).repartitionByRange(key, order).sortWithinPartitions(key, order).mapInArrow(fold, f"{key} {kind(key)}, _from {kind(order)}, _map array<int>")
+    steps = F.array_sort(F.collect_list(F.struct("_from", "_map")))
+    last = F.aggregate(steps, F.lit(at[""]), lambda s, p: F.element_at(p["_map"], s + 1))
+    return parts.groupBy(key).agg(F.element_at(F.array(*map(F.lit, states)), last + 1).alias("state"))
+
+
 def task_states(events: DataFrame, key: str, order: str, action: str) -> DataFrame:
     """The state of every task after each batch, from a stream of actions; moves that a state does not allow are ignored."""
 
