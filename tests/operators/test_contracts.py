@@ -166,3 +166,69 @@ def test_scene_policy(spark):
     assert got[5].scene_risk == "low" and got[5].weather_pool == ["night"]  # parking and treeline are not
     assert (got[6].route, got[6].occlusion, got[6].scene_risk, got[6].weather_pool) == ("local", "person", None, None)
     assert got[7].scene_reasons == ["global_weather_risk=medium", "weak_road_visibility", "weak_landmark_with_weak_road"] and got[7].weather_pool == ["overcast", "fog"] and got[7].occlusion is None
+
+
+def test_results_of_matchers(spark):
+    p = [[1.0, 2.0], [3.0, 4.0]]
+    rows = [(0, p, p, p, p, [[1.0]] * 2, [], [0.5, 0.5]), (1, p, p[:1], p, p, [], [], None), (2, [[1.0]], p[:1], p, p, [[1.0], []], [[1.0]], [0.5, 0.5]), (3, None, p, p, p, [], [], None)]
+    got = {r.id: r.faults for r in C.result_faults(spark.createDataFrame(rows, "id int, matched0 array<array<double>>, matched1 array<array<double>>, all0 array<array<double>>, all1 array<array<double>>, desc0 array<array<double>>, desc1 array<array<double>>, confidences array<double>")).collect()}
+    assert got == {0: [], 1: ["matches_differ_in_number"], 2: ["matched0_not_pairs", "desc0_uneven", "desc1_differ_from_points", "confidences_differ_from_matches"], 3: ["matched0_missing"]}
+    assert C.declared(spark.createDataFrame([(1, 2)], "a int, x int"), ("b", "a")).columns == ["b", "a"]
+
+
+def test_keys_and_rounds(spark):
+    from trailmark.operators.joins import missing_keys
+    from trailmark.operators.ordered import attempt_faults
+
+    t = lambda *k: spark.createDataFrame([(x,) for x in k], "k int")
+    assert {r.k for r in missing_keys(t(1, 2, None, 2, 5), t(1, 1, None, 9), "k").collect()} == {2, 5, None}
+    rounds = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 1), ("c", 2), ("d", 1), ("d", 3)], "k string, r int")
+    assert {tuple(r) for r in attempt_faults(rounds, "k", "r").collect()} == {("b", 1, "duplicate round"), ("c", 2, "round after a gap"), ("d", 3, "round after a gap")}
+
+
+def test_configuration(spark):
+    import copy
+
+    from trailmark.operators.masks import FAMILY_SHAPES, configuration_faults
+
+    aspect = {"horizontal_compact": 2.0, "vertical_rectangle": 0.8, "cone_triangle": 0.7}
+    good = {
+        "schema_version": 1, "weight_map": "fused_map", "weighted_coverage_scope": "full_map", "tau_target_precision": 0.7, "weighted_coverage_thresholds": [0.3, 0.5, 0.7],
+        "families": {f: {"shape": s, "area_range": [0.02, 0.1], "area_samples": 3, "aspect_ratios": [aspect.get(s, 1.5)], "angle_offsets_degrees": [0]} for f, s in FAMILY_SHAPES.items()},
+        "search": {"center_offsets": [-0.25, 0, 0.25], "roi_anchors": 3, "anchor_separation_tokens": 2},
+        "render": {"radius_fraction_of_short_side": 0.02, "max_added_area_ratio": 0.3, "max_image_area_fraction": 0.25, "max_radius_pixels": 12},
+    }
+    assert configuration_faults(good) == []
+    for path, value, fault in (("weighted_coverage_thresholds", [0.5], None), ("weighted_coverage_scope", "roi", None), ("weight_map", "arbitrary", None), ("tau_target_precision", float("nan"), None), ("search.roi_anchors", 33, "roi_anchors"), ("search.center_offsets", [0, 0], "center_offsets"), ("families.traffic_cones.aspect_ratios", [1.2], "traffic_cones.aspect_ratios"), ("families.parked_vehicle.area_range", [0.2, 0.1], "parked_vehicle.area_range"), ("render.max_radius_pixels", 2.0, "max_radius_pixels"), ("families.vegetation.shape", "circle", "vegetation.shape")):
+        bad = copy.deepcopy(good)
+        at = bad
+        *parents, last = path.split(".")
+        for k in parents:
+            at = at[k]
+        at[last] = value
+        assert configuration_faults(bad) == [fault or path]
+    assert "families" in configuration_faults({})
+
+
+def test_splats_and_summary(spark):
+    from trailmark.operators.aggregates import merge_splats, record_summary
+
+    cols = "x double, y double, z double, scale array<double>, quat array<double>, color array<double>, opacity double, weight double"
+    rows = [(0.1, 0.2, 0.3, [1.0, 1.0, 1.0], [1.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0], 0.9, 1.0), (0.3, 0.2, 0.3, [3.0, 1.0, 1.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0], 0.1, 3.0), (-0.1, 5.0, 5.0, [1.0, 1.0, 1.0], [0.0, 0.0, 2.0, 0.0], [0.5, 0.5, 0.5], 0.2, 0.5)]
+    got = sorted(merge_splats(spark.createDataFrame(rows, cols), 1.0).collect(), key=lambda r: r.x)
+    assert [r.opacity for r in got] == [0.5, 2.5] and got[1].x == pytest.approx(0.25) and got[1].scale == [2.5, 1.0, 1.0]
+    assert got[1].quat == pytest.approx([1 / 10**0.5, 3 / 10**0.5, 0, 0]) and got[0].quat == [0, 0, 1, 0]
+    assert {r.opacity for r in merge_splats(spark.createDataFrame(rows, cols), 0.01).collect()} == {0.9, 0.1, 0.2}
+    none = record_summary(spark.createDataFrame([], "generated boolean, passed boolean, status string, rounds_used int, first_passed boolean, route string"), requested=5).first()
+    assert (none.requested, none.records, none.verifier_pass_rate, none.dual.pass_rate) == (5, 0, 0.0, 0.0)
+
+
+def test_worlds_and_records(spark, tmp_path):
+    from trailmark.sources import readers, sinks
+
+    (tmp_path / "m.json").write_text(json.dumps([{"video_path": "a.mp4", "caption": "x", "action": [1]}, {"video_path": "/abs/b.mp4", "image_cond": "i.png"}], indent=1))
+    got = [tuple(r) for r in readers.world_records(spark, str(tmp_path / "m.json"), "/data/").collect()]
+    assert got == [("/data/a.mp4", "x", None, None, [1], None), ("/abs/b.mp4", "", None, None, None, "/data/i.png")]
+    ids = spark.createDataFrame([("b",), ("c",), ("b",)], "k string")
+    sinks.materialize(spark.createDataFrame([("c", 1), ("a", 2), ("b", 3)], "k string, v int"), ids, "k", str(tmp_path / "out"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "out")).collect()] == [("b", 3), ("c", 1)]

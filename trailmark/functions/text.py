@@ -86,7 +86,7 @@ def condition(col: Column) -> Column:
     return F.struct(F.get(named, F.lit(0)).alias("weather"), F.coalesce(F.get(who, F.lit(0)), lookup(raw, OCCLUSION_TAXONOMY)).alias("occlusion"))
 
 
-def occlusion(text: Column, requested: Column) -> Column:
+def occlusion(text: Column) -> Column:
     """Vehicles first; a person only where the text names a place to stand."""
     low = F.lower(text)
     vehicle, person = mentions_any(low, VEHICLE_SURFACES), mentions_any(low, PERSON_SURFACES)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.functions import numbers as N
+
 
 def summary(df: DataFrame, group: str, values: tuple[str, ...], passed: str) -> DataFrame:
     """Count, passes and pass rate of every known group, zeros where it has no rows."""
@@ -103,6 +105,43 @@ def precompute_pending(service: Column, sizes: Column) -> Column:
     return F.when(sizes.isNull(), F.lit(-1).cast("long")).otherwise(rows)
 
 
+def record_summary(records: DataFrame, routes: tuple[str, ...] = ("global", "local", "dual"), errors: int = 0, requested: int | None = None) -> DataFrame:
+    """One row over records (generated, passed, status, rounds_used, first_passed, route): counts, pass rates, and a struct of counts for every route.
+
+    Only generated records pass; reflected ones took more than one round, improved ones passed after a first round that had not. Rates are
+    rounded to six places, 0 without generated records.
+    """
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    made, good = true("generated"), true("generated") & true("passed")
+    reflected = made & (F.coalesce("rounds_used", F.lit(0)) > 1)
+    rate = lambda a, b: F.coalesce(N.round_even(a / F.nullif(b, F.lit(0)), 6), F.lit(0.0))
+    counts = {"records": F.count("*"), "generated": F.count_if(made), "skipped": F.count_if(F.col("status") == "skipped"), "router_failed": F.count_if(F.col("status") == "router_failed"), "passed": F.count_if(good), "reflected": F.count_if(reflected), "reflection_improved": F.count_if(reflected & (F.col("first_passed") == F.lit(False)) & true("passed"))}
+    by = {f"{n}_{r}": F.count_if(c & (F.col("route") == r)) for r in routes for n, c in (("generated", made), ("passed", good))}
+    row = records.agg(*(c.alias(n) for n, c in (counts | by).items()))
+    stats = [F.struct(F.col(f"generated_{r}").alias("generated"), F.col(f"passed_{r}").alias("passed"), rate(F.col(f"passed_{r}"), F.col(f"generated_{r}")).alias("pass_rate")).alias(r) for r in routes]
+    return row.select(
+        (F.lit(requested) if requested is not None else F.col("records") + errors).cast("long").alias("requested"), "records", F.lit(errors).cast("long").alias("errors"), "generated", "skipped", "router_failed", "passed",
+        rate(F.col("passed"), F.col("generated")).alias("verifier_pass_rate"), "reflected", "reflection_improved", *stats,
+    )
+
+
+def merge_splats(splats: DataFrame, size: float) -> DataFrame:
+    """Splats (x, y, z, scale: 3 numbers, quat: 4, color: 3, opacity, weight) merged by cubes of a size, weighted means of each.
+
+    Quaternions are summed by weight and made unit again, the opacity is the weighted mean of the weights. Where no two splats share a cube, all stay as they are.
+    """
+    w = F.col("weight").cast("double")
+    cube = [F.floor(F.col(c) / size).alias(f"v{c}") for c in "xyz"]
+    parts = [(c, F.col(c), c) for c in "xyz"] + [(f"{n}{k}", F.col(n)[k], n) for n, size_ in (("scale", 3), ("quat", 4), ("color", 3)) for k in range(size_)]
+    sums = splats.groupBy(*cube).agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * w).alias("ww"), *(F.sum(v.cast("double") * w).alias(a) for a, v, _ in parts))
+    if not sums.where("n > 1").limit(1).count():
+        return splats.select("x", "y", "z", "scale", "quat", "color", "opacity")
+    total = F.greatest("w", F.lit(1e-8))
+    length = F.greatest(F.sqrt(sum((F.col(f"quat{k}") * F.col(f"quat{k}") for k in range(1, 4)), F.col("quat0") * F.col("quat0"))), F.lit(1e-8))
+    array = lambda n, k, by: F.array(*(F.col(f"{n}{i}") / by for i in range(k))).alias(n)
+    return sums.select(*((F.col(c) / total).alias(c) for c in "xyz"), array("scale", 3, total), array("quat", 4, length), array("color", 3, total), (F.col("ww") / total).alias("opacity"))
+
+
 def service_load(metrics: DataFrame, transfer: DataFrame, utilisation: float, most_pending: int) -> DataFrame:
     """Load and scores of every service from its instances' metrics (service, instance, gpu, pending, precompute), and whether it should grow.
 

@@ -141,3 +141,26 @@ def read_targets(spark: SparkSession, path: str) -> DataFrame:
     if file_digest(spark, path) != digest:
         raise ValueError("targets manifest changed while reading")
     return out.select("line", "raw", "sample_id", "missing", "faults")
+
+
+def result_faults(results: DataFrame) -> DataFrame:
+    """results of a matcher with the broken rules of its contract, none if they hold.
+
+    matched0, matched1, all0, all1: arrays of points (arrays of two numbers); desc0, desc1: arrays of descriptors, empty where a matcher
+    has none; confidences: an array of numbers, or null.
+    """
+    pairs = lambda c: F.forall(c, lambda p: F.coalesce(F.size(p) == 2, F.lit(False)))
+    even = lambda c: F.size(F.array_distinct(F.transform(c, F.size))) <= 1
+    rules = {f"{c}_missing": F.col(c).isNull() for c in ("matched0", "matched1", "all0", "all1", "desc0", "desc1")}
+    rules |= {f"{c}_not_pairs": ~pairs(c) for c in ("matched0", "matched1", "all0", "all1")}
+    rules["matches_differ_in_number"] = F.size("matched0") != F.size("matched1")
+    rules |= {f"desc{k}_uneven": ~even(f"desc{k}") for k in (0, 1)}
+    rules |= {f"desc{k}_differ_from_points": (F.size(f"desc{k}") != 0) & (F.size(f"desc{k}") != F.size(f"all{k}")) for k in (0, 1)}
+    rules["confidences_differ_from_matches"] = F.col("confidences").isNotNull() & (F.size("confidences") != F.size("matched0"))
+    return results.withColumn("faults", flags(**{k: F.coalesce(v, F.lit(False)) for k, v in rules.items()}))
+
+
+def declared(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """The declared fields of df in their order; those that df lacks are null, others are dropped."""
+    have = set(df.columns)
+    return df.select(*(F.col(c) if c in have else F.lit(None).alias(c) for c in fields))

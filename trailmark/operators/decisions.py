@@ -152,7 +152,7 @@ def normalise_decision(df: DataFrame) -> DataFrame:
     legal = T.mentions_any(F.col("_surface"), T.VEHICLE_SURFACES) | T.mentions_any(F.col("_surface"), T.PERSON_SURFACES)
     who = F.lower(F.trim("occlusion"))
     out = out.withColumns({
-        "_legal": legal, "_inferred": T.occlusion(F.col("_context"), who), "_route": T.route(F.col("route")), "_weather": T.weather(F.col("weather")),
+        "_legal": legal, "_inferred": T.occlusion(F.col("_context")), "_route": T.route(F.col("route")), "_weather": T.weather(F.col("weather")),
         "weather_score": N.round_even(N.score(F.col("weather_score"))), "occlusion_score": N.round_even(N.score(F.col("occlusion_score"))),
     })
     lift = F.lower(blank("force_occlusion")).isin("1", "true", "yes") & (F.col("_route") == "global") & (F.col("occlusion_score") >= 0.2) & F.col("_legal") & F.col("_inferred").isNotNull()

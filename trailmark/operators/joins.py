@@ -30,6 +30,41 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) ->
     return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_left = 1").drop("_left")
 
 
+def strict_prompt_faults(wanted: DataFrame, prompts: DataFrame, routes: tuple[str, ...] = ("global", "local", "dual")) -> DataFrame:
+    """(name, fault) of a strict selection: wanted (source_id) must each have one prompt (source_id, sample_id, route), with sample ids of their own, and all routes.
+
+    Faults name a source, a sample, or a route that none of the selected prompts has. No rows: the selection holds.
+    """
+    want = wanted.select("source_id").distinct()
+    met = want.join(prompts, "source_id", "left").withColumn("_there", F.col("route").isNotNull() | F.col("sample_id").isNotNull())
+    by = met.groupBy("source_id").agg(F.count_if("_there").alias("n"), F.count_if(F.col("_there") & (F.trim(F.coalesce("sample_id", F.lit(""))) == "")).alias("blank"))
+    source = by.select(F.col("source_id").alias("name"), F.when(F.col("n") == 0, "missing prompt").when(F.col("n") > 1, "more than one prompt").when(F.col("blank") > 0, "no sample_id").alias("fault"))
+    twice = met.where("sample_id IS NOT NULL").groupBy("sample_id").agg(F.countDistinct("source_id").alias("n")).where("n > 1").select(F.col("sample_id").alias("name"), F.lit("repeated sample_id").alias("fault"))
+    had = met.where("_there").agg(F.collect_set("route").alias("had"))  # a route is one of few
+    absent = had.select(F.explode(F.array_except(F.array(*map(F.lit, routes)), F.col("had"))).alias("name"), F.lit("route not covered").alias("fault"))
+    return source.where("fault IS NOT NULL").unionByName(twice).unionByName(absent)
+
+
+def missing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Keys of left that right lacks, null among them; none if every row of left finds its partner."""
+    wanted, had = left.select(key).distinct(), right.select(F.col(key).alias("_k")).distinct()
+    return wanted.join(had, F.equal_null(F.col(key), F.col("_k")) & F.col("_k").isNotNull(), "left_anti")
+
+
+def clearest_in_window(frames: DataFrame, targets: DataFrame, key: str, at: str, target: str, worth: str, reach: int) -> DataFrame:
+    """(key, target, clearest): the frame of most worth within reach of each target, the first of equals, else the nearest one.
+
+    frames (key, at, worth) are numbered from 0 without gaps, so the nearest frame of a target beyond a track is its last one. Targets spread over the
+    places of their window, an equi-join; null keys are a track of their own.
+    """
+    ends = frames.groupBy(key).agg(F.max(at).alias("_last"))
+    asked = targets.select(F.col(key).alias("_key"), target).join(ends, F.equal_null(F.col("_key"), F.col(key))).select("_key", target, "_last")
+    near = asked.select("*", F.explode(F.sequence(F.col(target) - reach, F.col(target) + reach)).alias("_at"))
+    found = near.join(frames.select(key, at, worth), F.equal_null(F.col("_key"), F.col(key)) & (F.col("_at") == F.col(at)), "left")
+    best = F.max_by(at, F.when(F.col(at).isNotNull(), F.struct(worth, -F.col(at))))
+    return found.groupBy(F.col("_key").alias(key), target).agg(F.coalesce(best, F.max("_last")).alias("clearest"))
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, width: float, closed: bool = False) -> DataFrame:
     """Points with the intervals of the key that hold them; buckets of `width` turn the range into an equi-join."""
     bucket = lambda c: F.floor(F.col(c) / width)
@@ -38,7 +73,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str, at: str, st
     return points.withColumn("_b", bucket(at)).join(spread, [key, "_b"]).where(inside).drop("_b")
 
 
-def nearest_bucket(df: DataFrame, value: Column, buckets: list[float], one_sided: bool = False) -> Column:
+def nearest_bucket(value: Column, buckets: list[float], one_sided: bool = False) -> Column:
     """Place of the nearest bucket in a short list; one_sided keeps to buckets on the value's own side of 1."""
     rows = []
     for k, b in enumerate(buckets):

@@ -371,3 +371,56 @@ def canonical_levels(masks: DataFrame) -> DataFrame:
     fault = F.when(~F.coalesce(F.col("mode").isin("1", "L"), F.lit(False)), "not a single channel").when((F.col("width") != F.col("want_width")) | (F.col("height") != F.col("want_height")), "size differs from the image").when(~(only(0, 1) | only(0, 255)), "not binary")
     front = F.aggregate(F.map_entries("levels"), F.lit(0).cast("long"), lambda s, e: s + F.when(e["key"] > 0, e["value"].cast("long")).otherwise(0))
     return masks.withColumns({"foreground": F.when(fault.isNull(), front), "fault": fault})
+
+
+#: The footprint of every family, and the maps that may weigh tokens.
+FAMILY_SHAPES = {
+    "parked_vehicle": "horizontal_compact", "construction_barrier": "horizontal_compact", "traffic_cones": "cone_triangle", "temporary_sign": "vertical_rectangle",
+    "vegetation": "compact_irregular_blob", "scaffolding": "facade_rectangle", "construction_tarp": "facade_rectangle",
+}
+WEIGHT_MAPS = ("raw_attention_map", "attention_map", "intervention_map", "fused_map")
+
+
+def configuration_faults(config: dict) -> list[str]:
+    """What keeps a candidate configuration from being used: names of settings that are out of their bounds. Empty if it holds."""
+    found: list[str] = []
+
+    def number(value, name: str, low: float, high: float) -> None:
+        if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value) or not low <= value <= high:
+            found.append(name)
+
+    def whole(value, name: str, low: int, high: int) -> None:
+        if type(value) is not int or not low <= value <= high:
+            found.append(name)
+
+    families, search, render = (config.get(k) or {} for k in ("families", "search", "render"))
+    found += [n for n, ok in (("schema_version", config.get("schema_version") == 1), ("families", set(families) == set(FAMILY_SHAPES)), ("weight_map", config.get("weight_map") in WEIGHT_MAPS), ("weighted_coverage_scope", config.get("weighted_coverage_scope") == "full_map"), ("weighted_coverage_thresholds", config.get("weighted_coverage_thresholds") == [0.3, 0.5, 0.7])) if not ok]
+    number(config.get("tau_target_precision"), "tau_target_precision", 0, 1)
+    offsets = search.get("center_offsets") or []
+    if not offsets or len(set(offsets)) != len(offsets):
+        found.append("center_offsets")
+    for x in offsets:
+        number(x, "center_offsets", -1, 1)
+    whole(search.get("roi_anchors"), "roi_anchors", 0, 32)
+    number(search.get("anchor_separation_tokens"), "anchor_separation_tokens", 0, 16)
+    for name, spec in families.items():
+        if spec.get("shape") != FAMILY_SHAPES.get(name):
+            found.append(f"{name}.shape")
+        low, high = spec.get("area_range") or (None, None)
+        number(low, f"{name}.area_range", 0.001, 0.3)
+        number(high, f"{name}.area_range", low if isinstance(low, (int, float)) else 0.001, 0.3)
+        whole(spec.get("area_samples"), f"{name}.area_samples", 2, 10)
+        aspects, angles = spec.get("aspect_ratios") or [], spec.get("angle_offsets_degrees") or []
+        if not aspects or not angles:
+            found.append(f"{name}.aspects_or_angles")
+        for a in aspects:
+            number(a, f"{name}.aspect_ratios", 0.2, 6)
+            if spec.get("shape") == "horizontal_compact" and a <= 1 or spec.get("shape") in ("vertical_rectangle", "cone_triangle") and a >= 1:
+                found.append(f"{name}.aspect_ratios")
+        for a in angles:
+            number(a, f"{name}.angle_offsets_degrees", -15, 15)
+    number(render.get("radius_fraction_of_short_side"), "radius_fraction_of_short_side", 0, 0.05)
+    number(render.get("max_added_area_ratio"), "max_added_area_ratio", 0, 1)
+    number(render.get("max_image_area_fraction"), "max_image_area_fraction", 0.001, 1)
+    whole(render.get("max_radius_pixels"), "max_radius_pixels", 0, 64)
+    return list(dict.fromkeys(found))

@@ -74,6 +74,27 @@ def round_robin(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return df.withColumn("slot", ((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) % n).cast("int"))
 
 
+def label_places(df: DataFrame, label: str, order: str) -> DataFrame:
+    """df with its place when rows are sorted by label, then order: counts by label give the starts, so no task sorts more than a label."""
+    n = df.groupBy(label).agg(F.count("*").alias("_n"))
+    starts = n.select(F.col(label).alias("_label"), (F.sum("_n").over(Window.orderBy(label)) - F.col("_n")).alias("_start"))  # a row by label
+    placed = df.withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1)
+    return placed.join(starts, F.equal_null(F.col(label), F.col("_label"))).withColumn("place", F.col("_k") + F.col("_start")).drop("_k", "_start", "_label")
+
+
+def unpermuted(df: DataFrame, place: str, own: str) -> DataFrame:
+    """Rows sorted by place carry their place in their own order again: the inverse of a permutation is a sort by what it moved."""
+    return df.drop(place).sort(own)
+
+
+def attempt_faults(df: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, fault) of attempts that can't stand: a round that comes twice, or one after a gap; rounds count from 1."""
+    w = Window.partitionBy(key).orderBy(order)
+    seen = df.select(key, order).withColumns({"_copies": F.count("*").over(Window.partitionBy(key, order)), "_before": F.lag(order).over(w)})
+    fault = F.when(F.col("_copies") > 1, "duplicate round").when(F.col(order) != F.coalesce(F.col("_before"), F.lit(0)) + 1, "round after a gap")
+    return seen.select(key, order, fault.alias("fault")).where("fault IS NOT NULL").distinct()
+
+
 def memory_frames(cur: Column, total: Column, memory: int = 20, recent: int = 12, clip: int = 4) -> Column:
     """Frames to remember before frame cur of total: the recent ones, the first clip, and clips of the history between at even steps, as many as fit.
 

@@ -275,10 +275,15 @@ def accepted_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.accepted(records).select("sample_id", "candidate", "s_geo")
 
 
-@query("sk5_output_paths", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'dual/' || o_orderkey || '__dual_rain_vehicle__final.jpg' ELSE 'rejected/dual/' || o_orderkey || '__dual_rain_vehicle__rejected.jpg' END AS path FROM orders")
+@query(
+    "sk5_output_paths",
+    """WITH r AS (SELECT o_orderkey, ['dual', 'global', 'local'][CAST(o_orderkey % 3 + 1 AS INT)] AS route, CASE WHEN o_orderkey % 3 < 2 THEN 'rain' WHEN o_orderkey % 2 = 0 THEN '' END AS w, CASE WHEN o_orderkey % 3 <> 1 THEN 'vehicle' END AS o, o_totalprice > 200000 AS ok FROM orders)
+SELECT o_orderkey, CASE WHEN ok THEN '' ELSE 'rejected/' END || route || '/' || o_orderkey || '__' || concat_ws('_', route, nullif(w, ''), o) || CASE WHEN ok THEN '__final.jpg' ELSE '__rejected.jpg' END AS path FROM r""",
+)
 def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
-    return o.select("o_orderkey", sinks.output_path(F.col("o_orderkey").cast("string"), F.lit("dual"), F.lit("rain"), F.lit("vehicle"), F.col("o_totalprice") > 200000).alias("path"))
+    """Paths by route, weather and occlusion, of which some are null or empty (SK5)."""
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "element_at(array('dual', 'global', 'local'), CAST(o_orderkey % 3 + 1 AS INT)) AS route", "CASE WHEN o_orderkey % 3 < 2 THEN 'rain' WHEN o_orderkey % 2 = 0 THEN '' END AS w", "CASE WHEN o_orderkey % 3 <> 1 THEN 'vehicle' END AS o")
+    return o.select("o_orderkey", sinks.output_path(F.col("o_orderkey").cast("string"), F.col("route"), F.col("w"), F.col("o"), F.col("o_totalprice") > 200000).alias("path"))
 
 
 @query("sk8_prefix_check", "SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 3 THEN 'not in the new list' ELSE 'changed' END AS reason FROM orders WHERE o_orderkey % 50 = 3 OR o_orderkey % 70 = 5")

@@ -94,7 +94,7 @@ _OUT_O = _SAID.format("event_id // 8 % 8", "'vehicle'", "NULL", "'person'", "NUL
     f"""WITH r AS (SELECT event_id, {_SQL_ROUTE.format(sql_pick(ROUTE_WORDS, 'event_id'), 'skip')} AS route, CASE WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 10 = 0 THEN 'fog' END ELSE {_OUT_W} END AS weather,
   CASE WHEN event_id % 7 = 0 THEN CASE WHEN event_id % 14 = 0 THEN 'person' END ELSE {_OUT_O} END AS occlusion, event_id % 9 = 0 AS empty FROM events)
 SELECT event_id, CASE WHEN route = 'skip' THEN 'skip' WHEN empty THEN 'prompt' WHEN (weather IS NOT NULL) <> (route IN ('global', 'dual')) OR (occlusion IS NOT NULL) <> (route IN ('local', 'dual')) THEN 'condition' END AS error,
-  CASE WHEN NOT empty AND route <> 'skip' AND (weather IS NOT NULL) = (route IN ('global', 'dual')) AND (occlusion IS NOT NULL) = (route IN ('local', 'dual')) THEN CASE route WHEN 'global' THEN 'IC-Light' WHEN 'local' THEN 'LightX2V-Local' ELSE 'LightX2V-Dual' END END AS selected_model FROM r""",
+  CASE WHEN NOT empty AND route <> 'skip' AND (weather IS NOT NULL) = (route IN ('global', 'dual')) AND (occlusion IS NOT NULL) = (route IN ('local', 'dual')) THEN CASE route WHEN 'global' THEN '{D.MODELS['global']}' WHEN 'local' THEN '{D.MODELS['local']}' ELSE '{D.MODELS['dual']}' END END AS selected_model FROM r""",
 )
 def released_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Route, weather and occlusion of released prompts by their truth table (PF6)."""
@@ -114,7 +114,7 @@ i AS (SELECT * REPLACE (CASE WHEN weather <> 'x' THEN weather END AS weather), C
 a AS (SELECT *, CASE WHEN forced AND route = 'global' AND os >= 0.2 AND who IS NOT NULL THEN CASE WHEN ws >= 0.6 AND weather IS NOT NULL THEN 'dual' ELSE 'local' END ELSE route END AS asked FROM i), d AS (SELECT *, asked IN ('local', 'dual') AND who IS NULL AS none FROM a)
 SELECT doc_id, CASE WHEN none THEN 'skip' ELSE asked END AS route, CASE WHEN asked = 'global' OR asked = 'dual' AND NOT none THEN coalesce(weather, 'rain') END AS weather, CASE WHEN asked IN ('local', 'dual') THEN who END AS occlusion,
   CASE WHEN said <> '' THEN said WHEN none THEN 'no_legal_vehicle_or_person_surface_for_' || asked || '_occlusion' WHEN asked = 'skip' THEN 'invalid_or_unsuitable_scene' ELSE '' END AS skip_reason,
-  CASE CASE WHEN none THEN 'skip' ELSE asked END WHEN 'skip' THEN 'None' WHEN 'global' THEN 'IC-Light' WHEN 'local' THEN 'LightX2V-Local' ELSE 'LightX2V-Dual' END AS selected_model, CAST(ws AS DOUBLE) AS weather_score, 'bad' AS street_scene_quality FROM d""",
+  CASE CASE WHEN none THEN 'skip' ELSE asked END WHEN 'skip' THEN 'None' WHEN 'global' THEN '{D.MODELS['global']}' WHEN 'local' THEN '{D.MODELS['local']}' ELSE '{D.MODELS['dual']}' END AS selected_model, CAST(ws AS DOUBLE) AS weather_score, 'bad' AS street_scene_quality FROM d""",
 )
 def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normal form of planner decisions: surfaces, demotion to skip, forced lifts (PF12, PF14)."""

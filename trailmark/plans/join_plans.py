@@ -79,7 +79,7 @@ SELECT p_partkey, CAST(arg_min(k, (abs(x - v), k)) AS INT) AS nearest, CAST(arg_
 def nearest_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest aspect bucket, free and on the value's own side of 1."""
     p = table(spark, sf_dir, "part", "p_partkey", "p_retailprice / 1000 * (1 + p_size / 50) AS x")
-    return p.select("p_partkey", J.nearest_bucket(p, F.col("x"), _RATIOS).alias("nearest"), J.nearest_bucket(p, F.col("x"), _RATIOS, True).alias("same_side"))
+    return p.select("p_partkey", J.nearest_bucket(F.col("x"), _RATIOS).alias("nearest"), J.nearest_bucket(F.col("x"), _RATIOS, True).alias("same_side"))
 
 
 @query(
@@ -92,13 +92,8 @@ def nearest_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Frames are numbered from 0 without gaps, so the nearest frame of a target beyond the track is its last one.
     """
-    track = Window.partitionBy("user_id")
-    e = table(spark, sf_dir, "events", "event_id", "user_id", "value").withColumn("idx", F.row_number().over(track.orderBy("event_id")).cast("bigint") - 1)
-    targets = e.select("user_id", (F.col("idx") * 10).alias("target"), F.max("idx").over(track).alias("last"))
-    near = targets.select("*", F.explode(F.sequence(F.col("target") - 3, F.col("target") + 3)).alias("idx")).alias("n")
-    found = near.join(e.select("user_id", "idx", "value").alias("e"), F.expr("n.user_id <=> e.user_id and n.idx = e.idx"), "left").select("n.user_id", "target", "last", "e.idx", "value")
-    best = F.max_by("idx", F.when(F.col("idx").isNotNull(), F.struct("value", -F.col("idx"))))
-    return found.groupBy("user_id", "target").agg(F.coalesce(best, F.max("last")).alias("clearest"))
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "value").withColumn("idx", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint") - 1)
+    return J.clearest_in_window(e, e.select("user_id", (F.col("idx") * 10).alias("target")), "user_id", "idx", "target", "value", 3)
 
 
 @query(
@@ -155,34 +150,34 @@ def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.resample(e.where("t % 4 <> 0").select("user_id", "t"), e.where("t % 4 = 0").select("user_id", "t", "value"), "user_id", "t", "value").withColumn("value", F.round("value", 6))
 
 
-_SIDES = """a AS (SELECT label, vec_id AS a, CAST(embedding AS DOUBLE[]) AS va FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT label, vec_id AS b, CAST(embedding AS DOUBLE[]) AS vb FROM embeddings WHERE vec_id % 2 = 1),
-d AS (SELECT label, a, b, sqrt(list_sum(list_transform(list_zip(va, vb), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d, list_sum(list_transform(list_zip(va, vb), lambda z: z[1] * z[2])) AS s FROM a JOIN b USING (label))"""
+_SIDES = """a AS (SELECT vec_id // 256 AS pair, vec_id AS a, CAST(embedding AS DOUBLE[]) AS va FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT vec_id // 256 AS pair, vec_id AS b, CAST(embedding AS DOUBLE[]) AS vb FROM embeddings WHERE vec_id % 2 = 1),
+d AS (SELECT pair, a, b, sqrt(list_sum(list_transform(list_zip(va, vb), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d, list_sum(list_transform(list_zip(va, vb), lambda z: z[1] * z[2])) AS s FROM a JOIN b USING (pair))"""
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The two images of each pair: descriptors of a label, by the parity of their id."""
-    e = table(spark, sf_dir, "embeddings", "vec_id AS id", "embedding AS v", "label")
+    """The two images of each pair by the parity of their descriptors' id; a pair holds 256 descriptors whatever the size of the table."""
+    e = table(spark, sf_dir, "embeddings", "vec_id AS id", "embedding AS v", "vec_id div 256 AS pair")
     return e.where("id % 2 = 0"), e.where("id % 2 = 1")
 
 
-@query("j12_ratio_matches", f"WITH {_SIDES}, r AS (SELECT *, row_number() OVER (PARTITION BY label, a ORDER BY d, b) AS k, lead(d) OVER (PARTITION BY label, a ORDER BY d, b) AS d2 FROM d) SELECT label, a, b, round(d, 6) AS d FROM r WHERE k = 1 AND d < 0.9 * d2")
+@query("j12_ratio_matches", f"WITH {_SIDES}, r AS (SELECT *, row_number() OVER (PARTITION BY pair, a ORDER BY d, b) AS k, lead(d) OVER (PARTITION BY pair, a ORDER BY d, b) AS d2 FROM d) SELECT pair, a, b, round(d, 6) AS d FROM r WHERE k = 1 AND d < 0.9 * d2")
 def ratio_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two nearest neighbours and the ratio test inside each image pair."""
-    return J.ratio_matches(*sides(spark, sf_dir), "label", 0.9).withColumn("d", F.round("d", 6))
+    return J.ratio_matches(*sides(spark, sf_dir), "pair", 0.9).withColumn("d", F.round("d", 6))
 
 
-@query("j13_mutual_matches", f"WITH {_SIDES}, u AS (SELECT *, row_number() OVER (PARTITION BY label, a ORDER BY s DESC, b) AS x, row_number() OVER (PARTITION BY label, b ORDER BY s DESC, a) AS y FROM d) SELECT label, a, b, round(s, 6) AS s FROM u WHERE x = 1 AND y = 1")
+@query("j13_mutual_matches", f"WITH {_SIDES}, u AS (SELECT *, row_number() OVER (PARTITION BY pair, a ORDER BY s DESC, b) AS x, row_number() OVER (PARTITION BY pair, b ORDER BY s DESC, a) AS y FROM d) SELECT pair, a, b, round(s, 6) AS s FROM u WHERE x = 1 AND y = 1")
 def mutual_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.mutual_matches(*sides(spark, sf_dir), "label").select("label", "a", "b", F.round("s", 6).alias("s"))
+    return J.mutual_matches(*sides(spark, sf_dir), "pair").select("pair", "a", "b", F.round("s", 6).alias("s"))
 
 
 @query(
     "j13_double_softmax",
-    f"WITH {_SIDES}, e AS (SELECT label, a, b, exp(s / 0.1) AS e FROM d), p AS (SELECT label, a, b, e / sum(e) OVER (PARTITION BY label, a) * e / sum(e) OVER (PARTITION BY label, b) AS p FROM e) SELECT label, a, arg_max(b, (p, -b)) AS b, round(max(p), 6) AS p FROM p GROUP BY label, a HAVING max(p) > 0.01",
+    f"WITH {_SIDES}, e AS (SELECT pair, a, b, exp(s / 0.1) AS e FROM d), p AS (SELECT pair, a, b, e / sum(e) OVER (PARTITION BY pair, a) * e / sum(e) OVER (PARTITION BY pair, b) AS p FROM e) SELECT pair, a, arg_max(b, (p, -b)) AS b, round(max(p), 6) AS p FROM p GROUP BY pair, a HAVING max(p) > 0.01",
 )
 def double_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-sided match by the product of both softmax shares at temperature 0.1."""
-    return J.double_softmax(*sides(spark, sf_dir), "label", 0.1, 0.01).withColumn("p", F.round("p", 6))
+    return J.double_softmax(*sides(spark, sf_dir), "pair", 0.1, 0.01).withColumn("p", F.round("p", 6))
 
 
 @query(

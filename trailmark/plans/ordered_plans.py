@@ -230,7 +230,7 @@ def view_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_tax DESC, l_quantity, l_partkey, l_linenumber, l_suppkey) AS k FROM lineitem WHERE l_returnflag <> 'R') SELECT l_orderkey, l_linenumber FROM r WHERE k = 1""",
 )
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best candidate by five keys among those without other reasons."""
+    """The best candidate by five keys among those without other reasons."""
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity", "l_partkey", "l_suppkey", "l_returnflag").where("l_returnflag <> 'R'")
     return O.best_per_key(li, "l_orderkey", F.desc("l_discount"), F.desc("l_tax"), F.asc("l_quantity"), F.asc("l_partkey"), F.asc("l_linenumber"), F.asc("l_suppkey")).select("l_orderkey", "l_linenumber")
 
@@ -263,10 +263,21 @@ def router_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t14_label_permutation", "SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 + (SELECT count(*) FROM embeddings x WHERE x.label < e.label) AS place FROM embeddings e")
 def label_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of rows sorted by label: counts by label give the starts, so no global sort in one task."""
-    e = table(spark, sf_dir, "embeddings", "label", "vec_id")
-    n = e.groupBy("label").agg(F.count("*").alias("n"))
-    starts = n.select("label", (F.sum("n").over(Window.orderBy("label")) - F.col("n")).alias("start"))  # a row by label
-    return e.join(starts, "label").select("label", "vec_id", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1 + F.col("start")).alias("place"))
+    return O.label_places(table(spark, sf_dir, "embeddings", "label", "vec_id"), "label", "vec_id")
+
+
+@query("t14_inverse", "SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS back FROM embeddings")
+def label_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permuted rows back in their own order."""
+    e = table(spark, sf_dir, "embeddings", "label", "vec_id", "vec_id AS at")
+    moved = O.label_places(e.select("label", "vec_id"), "label", "vec_id")
+    return O.unpermuted(moved.join(e.select("vec_id", "at"), "vec_id"), "place", "at").select("vec_id", "label", F.col("at").alias("back"))
+
+
+@query("t1_first_orders", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 100")
+def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred tasks in order (T1): a limit that tasks apply before the driver does."""
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_orderstatus").where("o_orderstatus = 'O'").orderBy("o_orderdate", "o_orderkey").limit(100).select("o_orderkey")
 
 
 @query(
@@ -285,7 +296,7 @@ def best_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t11_seeded_sample", "SELECT doc_id FROM documents WHERE CAST('0x' || substr(sha256('42|' || doc_id), 1, 8) AS BIGINT) % 10 < 3")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seeded sample of three tenths by a digest of the id; the same in any partitioning."""
+    """A seeded sample of three tenths by a digest of the id; the same in any partitioning."""
     return table(spark, sf_dir, "documents", "doc_id").where("CAST(conv(substring(sha2(concat('42|', doc_id), 256), 1, 8), 16, 10) AS BIGINT) % 10 < 3")
 
 

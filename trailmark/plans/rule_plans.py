@@ -137,7 +137,7 @@ SELECT doc_id, CASE WHEN v > 0 THEN 'vehicle' WHEN p > 0 THEN 'person' END AS oc
 def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places for vehicles and persons in whole texts, and crowding (PF13, PF14, PF16)."""
     low = placed(spark, sf_dir).select("doc_id", F.lower("text").alias("text"), F.when(F.col("doc_id") % 3 > 0, "local").otherwise("dual").alias("route"))
-    rows = low.withColumn("occlusion", T.occlusion(F.col("text"), F.lit(None)))
+    rows = low.withColumn("occlusion", T.occlusion(F.col("text")))
     return T.crowding(rows).select("doc_id", "occlusion", "crowded", F.array_join("reasons", "|").alias("reasons"))
 
 

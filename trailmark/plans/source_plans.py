@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.functions import geometry as G
+from trailmark.operators import aggregates as A
 from trailmark.operators import joins as J
 from trailmark.sources import readers, shards, sinks
 
@@ -115,24 +116,66 @@ def corner_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j12_hamming_matches",
-    """WITH v AS (SELECT label, vec_id, list_transform(range(4), lambda k: list_sum(list_transform(range(16), lambda i: CASE WHEN embedding[k * 16 + i + 1] > 0 THEN CAST(1 AS BIGINT) << i ELSE 0 END))) AS bits FROM embeddings),
-d AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(1, 5), lambda k: bit_count(xor(CAST(a.bits[k] AS BIGINT), CAST(b.bits[k] AS BIGINT))))) AS d FROM v a JOIN v b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY label, a ORDER BY d, b) AS k, lead(d) OVER (PARTITION BY label, a ORDER BY d, b) AS d2 FROM d) SELECT label, a, b, CAST(d AS DOUBLE) AS d FROM r WHERE k = 1 AND d < 0.95 * d2""",
+    """WITH v AS (SELECT vec_id // 256 AS pair, vec_id, list_transform(range(4), lambda k: list_sum(list_transform(range(16), lambda i: CASE WHEN embedding[k * 16 + i + 1] > 0 THEN CAST(1 AS BIGINT) << i ELSE 0 END))) AS bits FROM embeddings),
+d AS (SELECT a.pair, a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(1, 5), lambda k: bit_count(xor(CAST(a.bits[k] AS BIGINT), CAST(b.bits[k] AS BIGINT))))) AS d FROM v a JOIN v b ON a.pair = b.pair AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY pair, a ORDER BY d, b) AS k, lead(d) OVER (PARTITION BY pair, a ORDER BY d, b) AS d2 FROM d) SELECT pair, a, b, CAST(d AS DOUBLE) AS d FROM r WHERE k = 1 AND d < 0.95 * d2""",
 )
 def hamming_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ratio test on binary descriptors: signs of the numbers as bits."""
     bits = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.aggregate(F.transform(F.slice("embedding", k * 16 + 1, 16), lambda v, i: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, b: s + b))
-    v = table(spark, sf_dir, "embeddings", "vec_id AS id", "label", "embedding").select("id", "label", bits.alias("v"))
-    return J.ratio_matches(v.where("id % 2 = 0"), v.where("id % 2 = 1"), "label", 0.95, "hamming")
+    v = table(spark, sf_dir, "embeddings", "vec_id AS id", "vec_id div 256 AS pair", "embedding").select("id", "pair", bits.alias("v"))
+    return J.ratio_matches(v.where("id % 2 = 0"), v.where("id % 2 = 1"), "pair", 0.95, "hamming")
 
 
 @query(
     "j13_mutual_ratio",
-    """WITH d AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
-u AS (SELECT label, a, b, d FROM d QUALIFY row_number() OVER (PARTITION BY label, a ORDER BY d, b) = 1 AND d < 0.98 * lead(d) OVER (PARTITION BY label, a ORDER BY d, b)),
-w AS (SELECT label, a, b FROM d QUALIFY row_number() OVER (PARTITION BY label, b ORDER BY d, a) = 1 AND d < 0.98 * lead(d) OVER (PARTITION BY label, b ORDER BY d, a)) SELECT label, a, b, round(-d, 6) AS s FROM u JOIN w USING (label, a, b)""",
+    """WITH d AS (SELECT a.vec_id // 256 AS pair, a.vec_id AS a, b.vec_id AS b, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.vec_id // 256 = b.vec_id // 256 AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+u AS (SELECT pair, a, b, d FROM d QUALIFY row_number() OVER (PARTITION BY pair, a ORDER BY d, b) = 1 AND d < 0.98 * lead(d) OVER (PARTITION BY pair, a ORDER BY d, b)),
+w AS (SELECT pair, a, b FROM d QUALIFY row_number() OVER (PARTITION BY pair, b ORDER BY d, a) = 1 AND d < 0.98 * lead(d) OVER (PARTITION BY pair, b ORDER BY d, a)) SELECT pair, a, b, round(-d, 6) AS s FROM u JOIN w USING (pair, a, b)""",
 )
 def mutual_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mutual nearest neighbours that both pass the ratio test."""
-    e = table(spark, sf_dir, "embeddings", "vec_id AS id", "embedding AS v", "label")
-    return J.mutual_matches(e.where("id % 2 = 0"), e.where("id % 2 = 1"), "label", 0.98).withColumn("s", F.round("s", 6))
+    e = table(spark, sf_dir, "embeddings", "vec_id AS id", "embedding AS v", "vec_id div 256 AS pair")
+    return J.mutual_matches(e.where("id % 2 = 0"), e.where("id % 2 = 1"), "pair", 0.98).withColumn("s", F.round("s", 6))
+
+
+@query(
+    "ag1_record_summary",
+    """WITH r AS (SELECT o_orderstatus <> 'P' AND o_orderkey % 7 > 0 AS generated, o_totalprice > 100000 AS passed, CASE WHEN o_orderkey % 7 = 0 THEN 'skipped' WHEN o_orderstatus = 'P' THEN 'router_failed' ELSE 'done' END AS status, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 4 END AS rounds, o_custkey % 3 = 0 AS first, ['global', 'local', 'dual'][CAST(o_custkey % 3 + 1 AS INT)] AS route FROM orders)
+SELECT count(*) + 2 AS requested, count(*) AS records, count(*) FILTER (generated) AS generated, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'router_failed') AS router_failed, count(*) FILTER (generated AND passed) AS passed,
+  CAST(format('{:.6f}', count(*) FILTER (generated AND passed) / count(*) FILTER (generated)) AS DOUBLE) AS verifier_pass_rate, count(*) FILTER (generated AND coalesce(rounds, 0) > 1) AS reflected, count(*) FILTER (generated AND coalesce(rounds, 0) > 1 AND NOT first AND passed) AS reflection_improved,
+  count(*) FILTER (generated AND route = 'dual') AS dual_generated, CAST(format('{:.6f}', count(*) FILTER (generated AND passed AND route = 'dual') / count(*) FILTER (generated AND route = 'dual')) AS DOUBLE) AS dual_rate FROM r""",
+)
+def record_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and rates over all records (AG1)."""
+    r = table(spark, sf_dir, "orders", "o_orderstatus <> 'P' AND o_orderkey % 7 > 0 AS generated", "o_totalprice > 100000 AS passed", "CASE WHEN o_orderkey % 7 = 0 THEN 'skipped' WHEN o_orderstatus = 'P' THEN 'router_failed' ELSE 'done' END AS status", "CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 4 END AS rounds_used", "o_custkey % 3 = 0 AS first_passed", "element_at(array('global', 'local', 'dual'), CAST(o_custkey % 3 + 1 AS INT)) AS route")
+    return A.record_summary(r, errors=2).select("requested", "records", "generated", "skipped", "router_failed", "passed", "verifier_pass_rate", "reflected", "reflection_improved", F.col("dual.generated").alias("dual_generated"), F.col("dual.pass_rate").alias("dual_rate"))
+
+
+@query(
+    "ag20_merged_splats",
+    """WITH s AS (SELECT l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS z, l_extendedprice / 1000 AS c, 1 + l_linenumber AS q, l_linenumber / 10 AS w FROM lineitem),
+g AS (SELECT floor(x / 5) AS a, floor(y / 5) AS b, floor(z / 5) AS d, sum(w) AS w, sum(w * w) AS ww, sum(x * w) AS x, sum(c * w) AS c, sum(q * w) AS q, sum(2 * w) AS r FROM s GROUP BY ALL)
+SELECT round(x / greatest(w, 1e-8), 6) AS x, round(c / greatest(w, 1e-8), 6) AS red, round(q / sqrt(q * q + r * r), 6) AS q0, round(r / sqrt(q * q + r * r), 6) AS q3, round(ww / greatest(w, 1e-8), 6) AS opacity FROM g""",
+)
+def merged_splats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splats merged by cubes: unit quaternions, opacity from the weights (AG20, AG31)."""
+    s = table(
+        spark, sf_dir, "lineitem", "l_quantity AS x", "l_discount * 100 AS y", "l_tax * 100 AS z", "array(1D, 1D, 1D) AS scale", "array(CAST(1 + l_linenumber AS DOUBLE), 0D, 0D, 2D) AS quat", "array(l_extendedprice / 1000, 0D, 0D) AS color", "0.5D AS opacity", "l_linenumber / 10 AS weight",
+    )
+    out = A.merge_splats(s, 5.0)
+    return out.select(F.round("x", 6).alias("x"), F.round(F.col("color")[0], 6).alias("red"), F.round(F.col("quat")[0], 6).alias("q0"), F.round(F.col("quat")[3], 6).alias("q3"), F.round("opacity", 6).alias("opacity"))
+
+
+@query(
+    "j2_strict_prompts",
+    """WITH w AS (SELECT c_custkey AS source_id FROM customer WHERE c_custkey % 3 = 1), p AS (SELECT o_custkey AS source_id, CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE 's' || o_orderkey // 40 END AS sample_id, ['global', 'local'][CAST(o_orderkey % 2 + 1 AS INT)] AS route FROM orders WHERE o_orderkey % 8 = 0),
+m AS (SELECT w.source_id, p.sample_id, p.route FROM w LEFT JOIN p USING (source_id)), b AS (SELECT source_id, count(route) AS n, count(*) FILTER (trim(coalesce(sample_id, '')) = '' AND route IS NOT NULL) AS blank FROM m GROUP BY source_id)
+SELECT CAST(source_id AS VARCHAR) AS name, CASE WHEN n = 0 THEN 'missing prompt' WHEN n > 1 THEN 'more than one prompt' ELSE 'no sample_id' END AS fault FROM b WHERE n <> 1 OR blank > 0
+UNION ALL SELECT sample_id, 'repeated sample_id' FROM m WHERE sample_id IS NOT NULL GROUP BY sample_id HAVING count(DISTINCT source_id) > 1 UNION ALL SELECT r, 'route not covered' FROM (VALUES ('global'), ('local'), ('dual')) v(r) WHERE r NOT IN (SELECT route FROM m WHERE route IS NOT NULL)""",
+)
+def strict_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps a strict selection of prompts from being used."""
+    wanted = table(spark, sf_dir, "customer", "c_custkey").where("c_custkey % 3 = 1").selectExpr("CAST(c_custkey AS STRING) AS source_id")
+    prompts = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey").where("o_orderkey % 8 = 0").selectExpr("CAST(o_custkey AS STRING) AS source_id", "CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE concat('s', o_orderkey div 40) END AS sample_id", "element_at(array('global', 'local'), CAST(o_orderkey % 2 + 1 AS INT)) AS route")
+    return J.strict_prompt_faults(wanted, prompts)

@@ -108,6 +108,14 @@ def training_records(lines: DataFrame, folder: str) -> DataFrame:
     return read.select("line", resolve(F.col("_r.target_image")).alias("target_image"), F.trim("_r.prompt").alias("prompt"), F.transform(F.coalesce("_r.source_images", F.array().cast("array<string>")), resolve).alias("source_images"), fault.alias("fault"))
 
 
+def world_records(spark: SparkSession, path: str, root: str) -> DataFrame:
+    """(video_path, caption, w2c, intrinsic, action, image_cond) of a JSON list of videos; paths start at root, absent fields are null, an absent caption is empty."""
+    schema = "video_path string, caption string, w2c array<array<array<double>>>, intrinsic array<array<double>>, action array<int>, image_cond string"
+    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    below = lambda c: F.when(F.col(c).startswith("/"), F.col(c)).otherwise(F.concat(F.lit(f"{root.rstrip('/')}/"), c))
+    return raw.select(below("video_path").alias("video_path"), F.coalesce("caption", F.lit("")).alias("caption"), "w2c", "intrinsic", "action", below("image_cond").alias("image_cond"))
+
+
 def merged_settings(*layers: dict) -> dict:
     """Layers merged in order; later values win, nested tables merge."""
     out: dict = {}

@@ -69,3 +69,8 @@ def review_rows(df: DataFrame, lists: tuple[str, ...], blanks: tuple[str, ...])
 
 def write_review(df: DataFrame, path: str, lists: tuple[str, ...], blanks: tuple[str, ...]) -> None:
     review_rows(df, lists, blanks).write.mode("error").csv(path, header=True, emptyValue="", nullValue="")
+
+
+def materialize(records: DataFrame, ids: DataFrame, key: str, path: str) -> None:
+    """The records of the given ids as JSON lines sorted by key, over as many files as needed."""
+    write_lines(records.join(ids.select(key).distinct(), key, "left_semi"), path, key)
