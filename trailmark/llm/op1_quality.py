@@ -254,7 +254,7 @@ def _surest(docs: DataFrame, model: Model, text_col: str, lists: list[tuple[str,
     found = docs.mapInArrow(run, "list int, sure double, turn long, id long").groupBy("list", "id").agg(F.max("sure").alias("sure"), F.min("turn").alias("turn"))
     limits = docs.sparkSession.createDataFrame([(n, most) for n, (_, _, _, most) in enumerate(lists)], "list int, most int")
     place = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("sure"), "turn", "id"))
-    return [(r["list"], r["id"]) for r in found.withColumn("place", place).where(F.col("place") <= max(most for *_, most in lists)).join(F.broadcast(limits), "list").where("place <= most").orderBy("list", "place").select("list", "id").collect()]
+    return [(r["list"], r["id"]) for r in found.withColumn("place", place).where(F.col("place") <= max(most for *_, most in lists)).join(F.broadcast(limits), "list").where("place <= most").orderBy("place", "list").select("list", "id").collect()]
 
 
 def _collected(docs: DataFrame, text_col: str) -> tuple:
