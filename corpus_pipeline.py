@@ -10,7 +10,8 @@ next one. All but the last return the columns of documents.
 5.  tokens: the text becomes SentencePiece ids.
 
 Null texts count as empty and stay, as do null ids; of repeated rows with any words one stays; an empty table passes
-through every stage; extra columns pass all stages but the last.
+through every stage; extra columns pass all stages but the last. Columns that a stage makes for itself are its own: p_text, p_meta, p_quality,
+p_toxic and keep are replaced by quality, _trailmark_row is dropped. Texts of any length pass whole.
 """
 
 from __future__ import annotations

@@ -50,3 +50,10 @@ def test_proximity_and_empty(spark):
     assert exact.count() == 0 and [tuple(r) for r in near.collect()] == [(1, "7")]
     assert contamination(d.limit(0), b).count() == 0
     assert [r.n_hit for r in contamination(d, b.limit(0)).collect()] == [0, 0]
+
+
+def test_long_text(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    d = spark.createDataFrame([(1, "common words " * 100_000 + item + " end " * 1000), (2, "alpha " * 50_000)], "doc_id long, text string")
+    got = {r.id: (r.n_words, r.n_hit, r["items"]) for r in contamination(d, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got == {1: (201_011, 11, ["7"]), 2: (50_000, 0, [])}

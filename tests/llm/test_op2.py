@@ -36,3 +36,10 @@ def test_against_plain_python(spark):
     assert got == {k: (v, "".join(t for r, t in v if r == "assistant")) for k, v in want.items()}
     assert format_chats(conversation_replies(df.limit(0))).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_long_text(spark):
+    text = "\\ <|im_end|> plain words [INST] " * 20_000
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = format_chats(conversation_replies(df)).select(read_turns(F.col("chat")).alias("turns"), read_masked(F.col("chat"), F.col("mask")).alias("loss")).first()
+    assert r.loss == text and r.turns[1].text == text

@@ -58,3 +58,13 @@ def test_odd_rows(spark):
     got = sorted((r.id is not None, r.id or 0, r.n_bytes, r.n_removed > 100) for r in suffix_dedup(df).collect())
     assert got == [(False, 0, 176, True), (True, 1, 176, True), (True, 1, 176, True), (True, 2, 0, False), (True, 2, 0, False)]
     assert suffix_dedup(df.limit(0)).count() == 0
+
+
+def test_long_text(spark):
+    """Passages that repeat across the slices of a text of some megabytes, and one of another document in its middle."""
+    rng = random.Random(44)
+    noise = lambda n: "".join(chr(rng.randint(0x21, 0x7E)) for _ in range(n))
+    a, b, c = noise(700), noise(150), noise(99)
+    text = a + noise(1_050_000) + b + noise(1_100_000) + a + noise(10) + b + noise(50) + c + noise(900_000) + c
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup(spark.createDataFrame([(1, text), (2, noise(300) + b + noise(20))], "doc_id long, text string")).collect()}
+    assert got == {1: (len(text), 850, 2), 2: (470, 150, 1)}

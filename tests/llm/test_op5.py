@@ -49,3 +49,11 @@ def test_odd_rows(spark):
     assert got == [(None, 0, 2), (1, 2, 2), (1, 4, 2), (2, 6, 1)]
     blocks, _ = write_tokens(df.limit(0), PATH)
     assert read_tokens(blocks).count() == 0
+
+
+def test_long_text(spark):
+    text = "Some words, 42 of them; and a naïve end.\n" * 40_000
+    blocks, _ = write_tokens(spark.createDataFrame([(1, text), (2, "b")], "doc_id long, text string"), PATH)
+    ids = [*Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, 1]
+    got = [tuple(r) for r in read_tokens(blocks).orderBy("row").collect()]
+    assert got[0] == (1, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) and got[1][:2] == (2, len(ids))

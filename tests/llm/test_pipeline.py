@@ -41,3 +41,27 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES[1:]:
         docs = stage(spark, docs, D)
     assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in docs.collect()) == [(0, True), (2, False), (2, False), (3, False)]
+
+
+def test_every_stage_takes_odd_rows(spark):
+    """Nulls everywhere, repeated rows, long and empty texts, and columns that stages make themselves."""
+    labels = spark.read.parquet(f"{D}/labels.parquet")
+    some = spark.read.parquet(f"{D}/documents.parquet").join(labels.select("doc_id"), "doc_id").limit(60).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in some] + [(some[0].doc_id, some[0].text, some[0].lang, some[0].source, some[0].n_chars)]
+    rows += [(None, "the text of a row without an id", None, None, None), (-5, None, None, "s", 0), (-6, "", "en", None, -3), (-7, "words and words " * 30_000, "en", "src0", 480_000), (-8, "token = abcdefghijkl12345 and plain words after it", "xx", "new source", None)]
+    docs = spark.createDataFrame([(*r, 1, [2], 0.5, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _trailmark_row int, ids array<int>, p_text double, keep string")
+    docs = docs.withColumnRenamed("keep", "n_tokens")
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs.drop("_trailmark_row") if name != "quality" else docs, D)
+        assert name == "tokens" or set(docs.columns) >= {"doc_id", "text", "lang", "source", "n_chars", "ids", "p_text", "n_tokens"}
+        assert docs.count() <= before.count()
+        if name == "secrets":
+            assert all("abcdefghijkl12345" not in (r.text or "") for r in docs.collect())
+    assert set(docs.columns) >= {"doc_id", "n_tokens", "ids"}
+
+
+def test_empty_table(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, D)
+        assert docs.count() == 0

@@ -10,7 +10,7 @@
 Only DataFrame functions run here. Lists are joined per (window, row, start block), so a word that fills a long text
 makes no pairs beyond its neighbours. Null or empty texts have no words. Null ids come first and repeated ids are
 rows of their own, ties by text; windows that several items share count for each of them; a null item id
-counts as an empty one. Empty tables give no hits, or an empty result. Extra columns are ignored.
+counts as an empty one. Texts of any length are searched whole. Empty tables give no hits, or an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ reversibly: a backslash is doubled, and `\\:` goes after the first character of
 
 Only DataFrame functions run here. Null texts and roles count as empty. A parent that a thread lacks
 makes a node a root. Nodes on or below a cycle have no root and make no path. Repeated (thread, node) rows stay in their path,
-ordered by role and text. Ranks break ties by the smaller leaf. A null thread is a thread of its own. Empty tables
-give empty results; extra columns are ignored.
+ordered by role and text. Ranks break ties by the smaller leaf. A null thread is a thread of its own. Texts of any
+length are formatted whole. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations

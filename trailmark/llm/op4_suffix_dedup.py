@@ -17,7 +17,7 @@ form one run. Order among the other suffixes is induced from the samples:
 4.  Repeats are united to spans per document, and the rest of the text is kept.
 
 Null or empty texts count as empty and keep nothing. Repeated or null ids are ordered null first, ties by
-text, and each row is a document of its own. An empty table gives an empty result; extra columns are ignored.
+text, and each row is a document of its own. Texts of any length are treated whole, in slices that overlap. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ The lists are the ends of the documents in the block's id array, and the row key
 An Elias-Fano list of n values below u takes about n * (2 + log2(u / n)) bits: low bits packed, high bits in
 unary, and the place of every 256th set bit as a u32 directory for select, which every offset is read by.
 
-Null or empty texts are documents of the end id alone. Null ids sort first, repeated ids by text. An empty
+Null or empty texts are documents of the end id alone. Null ids sort first, repeated ids by text. Texts of any length are encoded whole. An empty
 table writes no block and gives an empty result; extra columns are ignored.
 """
 

@@ -16,7 +16,7 @@ Tokens common to many documents go last in the prefix order (counts are gathered
 shared passages do not make long lists; any order is exact, the counts only steer the cost.
 
 Null or empty texts have an empty set and are linked with nothing. Repeated ids and null ids are kept as
-rows of their own (null first, ties by text). An empty table gives an empty result. Extra columns are ignored.
+rows of their own (null first, ties by text). Sets are those of whole texts, whatever their length. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
