@@ -169,3 +169,32 @@ def test_long_keys_beside_a_null_stay_whole(spark):
     assert sorted((r.k or 0, r.ord) for r in got) == sorted((k or 0, i) for k in keys for i in (0, 2))
     runs = spark.createDataFrame([(k, 0, 0, 2) for k in keys], "k long, y long, x0 long, x1 long").repartition(1)
     assert {r.k for r in components8(runs, "k").collect()} == set(keys)
+
+
+def plain_motion(samples, fps, most):
+    """samples: (idx, motion, hist) in order."""
+    same = lambda a, b: (np.corrcoef(a, b)[0, 1] if np.std(a) * np.std(b) > 0 else 1.0) > 0.999
+    total = sum(m for _, m, _ in samples[1:])
+    limit, kept, moved = max(5.0, total / most), [samples[0]], 0.0
+    for s in samples[1:]:
+        moved += s[1] if s[1] >= 1 else 0
+        if (moved >= limit or s[0] - kept[-1][0] > 4 * fps) and not any(same(s[2], k[2]) for k in kept):
+            kept.append(s)
+            moved = 0.0
+    if samples[-1][0] != kept[-1][0] and not any(same(samples[-1][2], k[2]) for k in kept):
+        kept.append(samples[-1])
+    return [k[0] for k in kept]
+
+
+def test_motion_frames_against_a_plain_loop(spark):
+    from trailmark.operators.scheduler import motion_frames
+
+    rng = np.random.default_rng(9)
+    tracks = {k: [(int(i) * 3, float(m), rng.integers(0, 3, 4).astype(float).tolist()) for i, m in enumerate(rng.random(n) * (4, 0.9, 12)[k % 3])] for k, n in enumerate((60, 40, 80, 1, 2))}
+    tracks[None] = [(0, 9.0, [1.0, 1.0]), (1, 9.0, [1.0, 2.0]), (2, 0.0, [5.0, 6.0])]
+    rows = [(k, *s) for k, v in tracks.items() for s in v]
+    df = spark.createDataFrame(rows, "k long, idx long, motion double, hist array<double>").repartition(4)
+    got = {}
+    for r in motion_frames(df, "k", 5.0, 10).collect():
+        got.setdefault(r.k, []).append(r.idx)
+    assert {k: sorted(v) for k, v in got.items()} == {k: plain_motion(v, 5.0, 10) for k, v in tracks.items()}

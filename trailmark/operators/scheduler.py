@@ -10,6 +10,7 @@ from collections import namedtuple
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,3 +117,46 @@ def accumulate_select(df: DataFrame, key: str, order: str, amount: str, limit: f
     kind = lambda c: df.schema[c].dataType.simpleString()
     rows = df.select(key, order, F.coalesce(F.col(amount).cast("double"), F.lit(0.0)).alias(amount))
     return fold_rows(rows, key, order, lambda: [float("inf")], step, f"{key} {kind(key)}, {order} {kind(order)}")
+
+
+# Motion that counts as none, the least step, seconds after which a frame is due, and the likeness of a repeat.
+STILL, LEAST_STEP, DUE_SECONDS, SAME = 1.0, 5.0, 4.0, 0.999
+
+
+def _alike(hist: np.ndarray, others: list[np.ndarray]) -> bool:
+    """Whether a histogram is nearly one of the others by correlation (1 where one of the two has no variance)."""
+    a = hist - hist.mean()
+    for other in others:
+        b = other - other.mean()
+        size = float((a * a).sum() * (b * b).sum())
+        if (float((a * b).sum()) / size**0.5 if size > 2.0**-52 else 1.0) > SAME:
+            return True
+    return False
+
+
+def motion_frames(samples: DataFrame, key: str, fps: float, most: int) -> DataFrame:
+    """(key, idx) of the frames to keep of each track: (key, idx, motion: since the sample before, hist: array of numbers).
+
+    A frame is due when the motion since the last kept one reaches its share of the track's motion (5 at least; motion under 1 counts as none), or four seconds
+    have passed; it is kept unless its histogram repeats that of a kept one. The first frame is kept, and the last one if it is no repeat.
+    """
+    ends = samples.groupBy(key).agg(F.min("idx").alias("_first"), F.max("idx").alias("_last"), F.sum(F.coalesce("motion", F.lit(0.0))).alias("_all"), F.min_by("motion", "idx").alias("_own"))
+    share = (F.col("_all") - F.coalesce("_own", F.lit(0.0))) / most if most > 0 else F.col("_all") - F.coalesce("_own", F.lit(0.0))
+    ends = ends.select(F.col(key).alias("_key"), "_first", "_last", F.greatest(F.lit(STILL * LEAST_STEP), share).alias("_step"))
+    rows = samples.join(ends, F.equal_null(F.col(key), F.col("_key"))).select(key, "idx", F.coalesce("motion", F.lit(0.0)).alias("motion"), F.col("hist").cast("array<double>").alias("hist"), F.col("_last").alias("last"), F.col("_step").alias("step"))
+
+    def step(state: dict, row) -> tuple | None:
+        hist = np.array(row.hist, float)
+        if not state["hists"]:
+            state.update(hists=[hist], at=row.idx)
+            return getattr(row, key), row.idx
+        state["moved"] += row.motion if row.motion >= STILL else 0.0
+        due = state["moved"] >= row.step or row.idx - state["at"] > DUE_SECONDS * fps
+        if (due or row.idx == row.last) and not _alike(hist, state["hists"]):
+            state["hists"].append(hist)
+            state.update(moved=0.0, at=row.idx)
+            return getattr(row, key), row.idx
+        return None
+
+    kind = lambda c: samples.schema[c].dataType.simpleString()
+    return fold_rows(rows, key, "idx", lambda: {"hists": [], "moved": 0.0, "at": 0}, step, f"{key} {kind(key)}, idx {kind('idx')}")

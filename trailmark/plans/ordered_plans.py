@@ -11,7 +11,7 @@ from trailmark.operators import ordered as O
 from trailmark.operators import rules
 from trailmark.operators import selection as S
 from trailmark.operators import views as V
-from trailmark.operators.scheduler import WEATHER_ORDER, accumulate_select, schedule
+from trailmark.operators.scheduler import WEATHER_ORDER, accumulate_select, motion_frames, schedule
 from trailmark.plans.registry import query, sql_list, table
 from trailmark.streaming.streams import fold_table, segments, tumbling
 
@@ -119,6 +119,14 @@ def accumulated_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accumulate_select(table(spark, sf_dir, "events", "user_id", "event_id", "value"), "user_id", "event_id", "value", 150.0)
 
 
+@query("w9_motion_frames")
+def kept_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames by accumulated motion, time and likeness to those kept (W9); lists of histograms as state, so SQL can't state it (tests hold it against a plain loop)."""
+    p = places(spark, sf_dir, "value")
+    hist = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.pmod(F.col("event_id") * (k + 3), F.lit(11)).cast("double"))
+    return motion_frames(p.select("user_id", F.col("pos").alias("idx"), (F.col("value") / 20).alias("motion"), hist.alias("hist")), "user_id", 2.0, 12)
+
+
 @query(
     "w10_evenly_spaced",
     f"""WITH p AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM ({_PLACES})) SELECT user_id, event_id FROM p WHERE n <= 9 OR pos IN (SELECT CAST(round_even(i * (n - 1) / 8, 0) AS BIGINT) FROM range(9) r(i))""",
