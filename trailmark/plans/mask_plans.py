@@ -83,3 +83,26 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.transform("roi", lambda t: F.struct(F.floor(t / 16).alias("y"), (t % 16).cast("long").alias("x"), F.element_at("weights", t + 1).alias("weight")))
     taken = M.spread_anchors(tokens, 3, 2.0)
     return _samples(spark, sf_dir).select("sample", F.transform(taken, lambda p: p["y"] * 16 + p["x"]).alias("anchors"))
+
+
+@query(
+    "ag9_roi_coverage",
+    f"""WITH r AS ({_RUNS}), i AS (SELECT DISTINCT mask, 8 + mask % 13 AS h, 92 + mask % 7 AS w, mask % 5 AS m FROM r),
+px AS (SELECT i.mask, h, w, m, y, unnest(range(x0, x1)) AS x FROM r JOIN i USING (mask)), t AS (SELECT *, (y * 16 // h) * 16 + x * 16 // w AS token FROM px),
+grid AS (SELECT mask, h, w, m, (y * 16 // h) * 16 + x * 16 // w AS token, x, y FROM i, range(20) AS p(y), range(98) AS q(x) WHERE y < h AND x < w),
+area AS (SELECT mask, token, count(*) AS cells FROM grid GROUP BY ALL), c AS (SELECT mask, m, token, count(*) AS n FROM t GROUP BY ALL),
+s AS (SELECT c.mask, sum(n) AS area, sum(n / cells * (token % 9)) AS got, sum(n / cells * (token % 9)) FILTER (token % 7 = m) AS got_roi, coalesce(sum(n) FILTER (token % 7 = m), 0) AS shared FROM c JOIN area USING (mask, token) GROUP BY c.mask),
+roi AS (SELECT mask, count(*) AS pixels, avg(x) + 0.5 AS rx, avg(y) + 0.5 AS ry FROM grid WHERE token % 7 = m GROUP BY mask), o AS (SELECT mask, avg(x) + 0.5 AS cx, avg(y) + 0.5 AS cy FROM px GROUP BY mask),
+k AS (SELECT m, sum(token % 9) FILTER (token % 7 = m) AS all_roi FROM range(256) AS a(token), range(5) AS b(m) GROUP BY m)
+SELECT s.mask, CAST(area AS BIGINT) AS area, round(shared / area, 6) AS precision, round(got / (SELECT sum(token % 9) FROM range(256) AS a(token)), 6) AS coverage, round(coalesce(got_roi, 0) / all_roi, 6) AS roi_coverage, round(shared / pixels, 6) AS binary,
+  round(sqrt((cx - rx) * (cx - rx) + (cy - ry) * (cy - ry)) / sqrt(h * h + w * w), 6) AS away FROM s JOIN roi USING (mask) JOIN o USING (mask) JOIN i USING (mask) JOIN k ON k.m = i.m""",
+)
+def roi_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of a region of interest at native resolution, with the distance of the centroids (AG9, J9, J10, J11)."""
+    r = runs(spark, sf_dir)
+    roi = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda t: t % 7 == F.col("mask") % 5)
+    weights = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda t: (t % 9).cast("double"))
+    images = r.select("mask").distinct().select("mask", (8 + F.col("mask") % 13).alias("height"), (92 + F.col("mask") % 7).alias("width"), roi.alias("roi"), weights.alias("weights"))
+    out = M.roi_coverage(r, images)
+    six = {"target_precision": "precision", "weighted_coverage": "coverage", "roi_weighted_coverage": "roi_coverage", "binary_roi_coverage": "binary", "centroid_distance_normalized": "away"}
+    return out.select("mask", "area", *(F.round(a, 6).alias(b) for a, b in six.items()))
