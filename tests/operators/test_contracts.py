@@ -137,8 +137,8 @@ def test_policies_rewrite_rows(spark):
     got = {r.id: r for r in rules.enforce_bad_image_policy(spark.createDataFrame(rows, cols)).collect()}
     short = {i: (r.route, r.weather, r.occlusion, r.original_route, r.skip_reason, r.downgrade_reason) for i, r in got.items()}
     assert short[1] == ("skip", None, None, "local", "no_valid_street_surface_for_occlusion", None)
-    assert short[2] == ("global", "night", None, "dual", None, "lightx2v_risk_high_weather_feasible")
-    assert short[3] == ("global", "rain", None, "dual", None, "lightx2v_risk_high_weather_feasible")
+    assert short[2] == ("global", "night", None, "dual", None, rules.DOWNGRADE_REASON)
+    assert short[3] == ("global", "rain", None, "dual", None, rules.DOWNGRADE_REASON)
     assert short[4] == ("skip", None, None, "local", "local_or_dual_risk_too_high", None)
     assert short[5] == ("skip", None, None, "global", "bad_image_requires_direct_skip", None) and got[5].bad_image
     assert short[6] == ("skip", None, None, "local", "given", None)

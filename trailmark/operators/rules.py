@@ -52,6 +52,7 @@ HIGH_SKIP_REASONS = {
     "foreground_foliage_may_confuse_occluder": "occlusion_would_be_unreliable_or_edge_artifact",
     "night_vehicle_high_hallucination_risk": "vehicle_occlusion_high_hallucination_risk_and_weather_not_feasible",
 }
+DOWNGRADE_REASON = "lightx2v_risk_high_weather_feasible"
 SCENE_TEXT = ("city", "position", "prompt", "reason", "skip_reason", "street_scene_quality", "weather_feasibility")
 VEGETATION_TERMS = ("tree", "trees", "vegetation", "foliage", "bush", "bushes", "park", "greenery", "roadside scene dominated by vegetation", "dense green")
 BILLBOARD_TERMS = ("billboard", "advertisement", "advertising", "signboard", "roadside sign")
@@ -119,7 +120,7 @@ def enforce_bad_image_policy(df: DataFrame) -> DataFrame:
     new = {
         "original_route": F.when(skip | down, F.col("route")),
         "skip_reason": F.when(F.col("_bad"), F.coalesce(given, F.lit("bad_image_requires_direct_skip"))).when(skip, risk).otherwise(F.col("skip_reason")),
-        "downgrade_reason": F.when(down, "lightx2v_risk_high_weather_feasible"),
+        "downgrade_reason": F.when(down, DOWNGRADE_REASON),
         "weather": F.when(down, F.coalesce(T.weather(F.col("weather")), F.lit("rain"))).when(~skip, F.col("weather")),
         "occlusion": F.when(~skip & ~down, F.col("occlusion")),
         "bad_image": F.col("_bad"),

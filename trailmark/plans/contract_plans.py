@@ -91,7 +91,7 @@ d AS (SELECT *, NOT bad AND placed AND len(flags) >= 2 AS risky, list_has_any(fl
     f"""WITH {_RISK} SELECT doc_id, CASE WHEN bad OR risky AND hard THEN 'skip' WHEN risky THEN 'global' ELSE route END AS route, CASE WHEN bad OR risky THEN route END AS original_route,
   CASE WHEN bad OR risky AND hard THEN NULL WHEN risky THEN CASE WHEN weather IN ('rain', 'night') THEN weather WHEN weather = 'Rainy Night' THEN 'rainy_night' ELSE 'rain' END ELSE weather END AS weather, CASE WHEN NOT bad AND NOT risky THEN occlusion END AS occlusion,
   CASE WHEN bad THEN CASE WHEN given IS NULL THEN 'bad_image_requires_direct_skip' ELSE 'why' END WHEN risky AND hard THEN CASE WHEN list_contains(flags, 'occlusion_implausible') THEN 'no_valid_street_surface_for_occlusion' WHEN list_contains(flags, 'foreground_foliage_may_confuse_occluder') THEN 'occlusion_would_be_unreliable_or_edge_artifact'
-    WHEN list_contains(flags, 'night_vehicle_high_hallucination_risk') THEN 'vehicle_occlusion_high_hallucination_risk_and_weather_not_feasible' ELSE 'local_or_dual_risk_too_high' END ELSE given END AS skip_reason, CASE WHEN risky AND NOT hard THEN 'lightx2v_risk_high_weather_feasible' END AS downgrade_reason FROM d""",
+    WHEN list_contains(flags, 'night_vehicle_high_hallucination_risk') THEN 'vehicle_occlusion_high_hallucination_risk_and_weather_not_feasible' ELSE 'local_or_dual_risk_too_high' END ELSE given END AS skip_reason, CASE WHEN risky AND NOT hard THEN '{rules.DOWNGRADE_REASON}' END AS downgrade_reason FROM d""",
 )
 def policy_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows rewritten by the bad-image policies (PF17, PF18)."""
