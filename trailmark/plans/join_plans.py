@@ -198,7 +198,7 @@ _LORA = """l AS (SELECT p_partkey AS k, 'b' || p_partkey || '.lora_up.weight' AS
 
 @query(
     "j20_pairing_residue",
-    f"""WITH {_LORA}, s AS (SELECT l.*, regexp_replace(key, '\.(lora_up\.weight|lora_down\.weight|alpha)$', '') AS stem, regexp_extract(key, '\.(lora_up\.weight|lora_down\.weight|alpha)$', 1) AS part FROM l),
+    f"""WITH {_LORA}, s AS (SELECT l.*, regexp_replace(key, '\\.(lora_up\\.weight|lora_down\\.weight|alpha)$', '') AS stem, regexp_extract(key, '\\.(lora_up\\.weight|lora_down\\.weight|alpha)$', 1) AS part FROM l),
 u AS (SELECT u.stem, u.key, u.shape AS up, d.shape AS down, w.shape AS base FROM s u LEFT JOIN s d ON d.stem = u.stem AND d.part = 'lora_down.weight' LEFT JOIN w ON w.key = u.stem || '.weight' WHERE u.part = 'lora_up.weight')
 SELECT key, CASE WHEN down IS NULL OR base IS NULL THEN 'unmatched' ELSE 'shape' END AS fault FROM u WHERE down IS NULL OR base IS NULL OR up[2] <> down[1] OR base <> [up[1], down[2]]
 UNION ALL SELECT key, 'unused' FROM s WHERE part = '' OR (part <> 'lora_up.weight' AND stem NOT IN (SELECT stem FROM u))""",
