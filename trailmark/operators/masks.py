@@ -82,10 +82,11 @@ def _best_place(runs: list[dict], width: int, height: int, spans: list[dict], ar
     places = (grid(ymax)[:, None] * (width + 1) + grid(xmax)).ravel()
     tried = [(min(max(np.rint(c[1] - cy), 0), ymax), min(max(np.rint(c[0] - cx), 0), xmax)) for c in [centre, *((c["cx"], c["cy"]) for c in centres)]]
     places = np.unique(np.append(places, [int(y) * (width + 1) + int(x) for y, x in tried]))
-    order = ranked(places)[2][:refine]
-    fine = [np.arange(max(0, y - stride), min(ymax, y + stride) + 1)[:, None] * (width + 1) + np.arange(max(0, x - stride), min(xmax, x + stride) + 1) for y, x in zip(*np.divmod(places[order], width + 1))]
-    places = np.unique(np.concatenate([places, *(f.ravel() for f in fine)]))
     shared, away, order = ranked(places)
+    fine = [] if stride == 1 else [np.arange(max(0, y - stride), min(ymax, y + stride) + 1)[:, None] * (width + 1) + np.arange(max(0, x - stride), min(xmax, x + stride) + 1) for y, x in zip(*np.divmod(places[order[:refine]], width + 1))]
+    if fine:  # a grid of single pixels has every place already
+        places = np.unique(np.concatenate([places, *(f.ravel() for f in fine)]))
+        shared, away, order = ranked(places)
     best = order[0]
     y, x = divmod(int(places[best]), width + 1)
     return int(x), int(y), int(shared[best]), float(away[best]), len(places), bool(shared[best] / area >= least)
