@@ -118,6 +118,16 @@ def test_pose_actions(spark):
         assert got["t", i] == step(rel[2, 3], 0.1) * 27 + step(rel[0, 3], 0.1) * 9 + step(rel[1, 3], 0.1) * 3 + step(math.atan2(rel[0, 2], rel[2, 2]), 0.05)
 
 
+def test_turns_of_just_the_limit_go_by_the_heading(spark):
+    turns = [(k, round(k * 0.37, 2) / 10 + d) for k in range(300) for d in (0.0, 0.5)]
+    rows = [(k, i, a, math.cos(a), math.sin(a)) for i, (k, a) in enumerate(turns)]
+    f = spark.createDataFrame(rows, "k long, i long, a double, c double, s double").selectExpr("k", "i", "a", "array(c, 0D, s, 0D, 0D, 1D, 0D, 0D, -s, 0D, c, 0D, 0D, 0D, 0D, 1D) AS pose")
+    got = {r.i: r.action for r in V.pose_actions(f, "k", "i", move=0.5, turn=0.5, heading="a").collect()}
+    for i in range(1, 600, 2):
+        d = turns[i][1] - turns[i - 1][1]
+        assert got[i - 1] == 0 and got[i] == 39 + (2 if math.atan2(math.sin(d), math.cos(d)) > 0.5 else 1)
+
+
 def test_depth_points_project_back(spark):
     rng = np.random.default_rng(9)
     m, d = rigid(rng), rng.random((4, 6)) * 5
