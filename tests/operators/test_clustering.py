@@ -166,3 +166,11 @@ def test_best_overlap_against_all_pairs(spark):
             ratios.append(((p[:, 2] > 0.1) & (p[:, 2] < 30) & (u >= 0) & (u <= 1280) & (v >= 0) & (v <= 720)).mean())
         want = (int(np.argmax(ratios)) + 1, max(ratios)) if ratios else (0, 0.0)
         assert got[t, i][0] == want[0] and abs(got[t, i][1] - want[1]) < 0.05
+
+
+def test_views_meet_without_broadcasts(spark):
+    """Small shuffles grow by cells and points after them, so no join may choose a broadcast by their bytes."""
+    f = spark.range(400).selectExpr("id % 8 AS track", "id div 8 AS idx", "CAST(id % 5 AS DOUBLE) AS x").select("track", "idx", P.yaw_pose(F.col("x") / 9, [F.col("x"), F.lit(0.0), F.lit(1.0)]).alias("pose")).repartition(4)
+    out = V.best_overlaps(f, f.select("track", "idx", F.col("idx").alias("before")), side=3)
+    assert out.where("best > 0").count() == 8 * 48
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
