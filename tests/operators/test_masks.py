@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trailmark.operators import masks as M
 from trailmark.operators.grouped import component_rows, components8
@@ -200,3 +201,13 @@ def test_candidates_against_pixels(spark):
         most = min(n + math.floor(n * 0.4), math.floor(h * w * 0.25))
         radius = max(k for k in range(asked + 1) if (away <= k * k).sum() <= most)
         assert r.render_radius == radius and r.render_area == (away <= radius**2).sum() and (wide == (away <= radius**2)).all()
+
+
+def test_candidates_are_drawn_in_many_tasks(spark):
+    """Samples are few bytes and much work: however they come, footprints are drawn all over the cluster."""
+    s = spark.range(40).coalesce(1).selectExpr("id AS sample", "48 AS height", "64 AS width", "array(17, 18, 34) AS roi", "array_repeat(1D, 256) AS weights", "0D AS angle")
+    f = spark.createDataFrame([("sign", "facade_rectangle", 0.03, 0.05, 1, [1.5], [0.0])], "family string, shape string, area_low double, area_high double, area_samples int, aspects array<double>, angles array<double>")
+    search = {"center_offsets": (0.0,), "roi_anchors": 0, "anchor_separation_tokens": 2.0}
+    render = {"radius_fraction_of_short_side": 0.02, "max_radius_pixels": 2, "max_added_area_ratio": 0.35, "max_image_area_fraction": 0.25}
+    out = M.candidates(s, f, search, render).select("sample", F.spark_partition_id().alias("task")).collect()
+    assert len({r.sample for r in out}) == 40 and len({r.task for r in out}) > 3

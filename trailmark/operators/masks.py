@@ -184,8 +184,8 @@ def _token_edge(k: Column, size: Column) -> Column:
     return F.ceil(k * size / GRID)
 
 
-def candidate_centres(samples: DataFrame, offsets: tuple[float, ...], anchors: int, apart: float) -> DataFrame:
-    """(sample, height, width, x, y): centres to try for the region of interest of each sample.
+def candidate_centres(samples: DataFrame, offsets: tuple[float, ...], anchors: int, apart: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(sample, height, width, x, y) and the columns to keep: centres to try for the region of interest of each sample.
 
     samples: (sample, height, width, roi: tokens y * 16 + x, weights: 256). Centres lie on a frame around the region's
     centroid, in the middle of its box, and in the middle of spread, heavy tokens; those outside the image go.
@@ -205,7 +205,7 @@ def candidate_centres(samples: DataFrame, offsets: tuple[float, ...], anchors: i
     frame = F.flatten(F.transform(steps, lambda oy: F.transform(steps, lambda ox: point(N.round_even(F.col("cx") + ox * (F.col("x1") - F.col("x0")), 6), N.round_even(F.col("cy") + oy * (F.col("y1") - F.col("y0")), 6)))))
     middle = F.array(point((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2))
     heavy = F.transform(spread_anchors(F.col("cells"), anchors, apart), lambda a: point((edge(a["x"], "width") + edge(a["x"] + 1, "width")) / 2, (edge(a["y"], "height") + edge(a["y"] + 1, "height")) / 2))
-    out = s.select("sample", "height", "width", F.explode(F.array_distinct(F.concat(frame, middle, heavy))).alias("c")).select("sample", "height", "width", "c.x", "c.y")
+    out = s.select("sample", "height", "width", *keep, F.explode(F.array_distinct(F.concat(frame, middle, heavy))).alias("c")).select("sample", "height", "width", *keep, "c.x", "c.y")
     return out.where("x >= 0 AND x < width AND y >= 0 AND y < height")
 
 
@@ -288,39 +288,75 @@ def dilate(core: np.ndarray, radius: int) -> np.ndarray:
     return wide
 
 
-def _runs(pixels: np.ndarray, top: int, left: int) -> list[dict]:
-    edge = np.diff(np.pad(pixels.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    (y, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-    return [{"y": int(r) + top, "x0": int(p) + left, "x1": int(q) + left} for r, p, q in zip(y, a, b)]
+def _runs(pixels: np.ndarray, top: int, left: int) -> np.ndarray:
+    """Rows (y, x0, x1) of the runs of pixels."""
+    h, w = pixels.shape
+    edge = np.zeros((h, w + 2), np.int8)
+    edge[:, 1:-1] = pixels
+    y, x = np.nonzero(edge[:, 1:] != edge[:, :-1])  # by rows, every start before its end
+    return np.stack([y[::2] + top, x[::2] + left, x[1::2] + left], axis=1)
 
 
 def _footprint(r: dict, settings: dict) -> tuple:
-    """Runs of a candidate, its pixels by token, pixels cut off, and its widened form with the radius that the area bounds allow."""
+    """Runs of a candidate, its pixels by token, their number, sums of x and y, pixels cut off, and its widened form with its pixels and the radius that the area bounds allow."""
     h, w = r["height"], r["width"]
     core, top, left, cut = raster(r["shape"], h, w, r["x"], r["y"], r["area_fraction"], r["aspect"], r["angle"], r["phase"])
     ys, xs = np.nonzero(core)
     tokens = np.bincount((ys + top) * GRID // h * GRID + (xs + left) * GRID // w, minlength=GRID * GRID)
     asked = min(settings["max_radius_pixels"], round(min(h, w) * settings["radius_fraction_of_short_side"]))
-    area, cap = len(ys), math.floor(h * w * settings["max_image_area_fraction"])
+    area, cap, runs = len(ys), math.floor(h * w * settings["max_image_area_fraction"]), _runs(core, top, left)
+    sums = (area, int(xs.sum()) + left * area, int(ys.sum()) + top * area, cut)
     if not area or area > cap:
-        return _runs(core, top, left), tokens.tolist(), cut, _runs(core, top, left), 0, "empty_core" if not area else "core_exceeds_render_area_cap"
+        return runs, tokens, *sums, runs, area, 0, "empty_core" if not area else "core_exceeds_render_area_cap"
     most = min(area + math.floor(area * settings["max_added_area_ratio"]), cap)
     for radius in range(asked, -1, -1):
         wide = dilate(core, radius)[max(0, radius - top) :, max(0, radius - left) :]
         wide = wide[: h - max(0, top - radius), : w - max(0, left - radius)]
-        if wide.sum() <= most:
+        added = int(wide.sum())
+        if added <= most:
             break
-    return _runs(core, top, left), tokens.tolist(), cut, _runs(wide, max(0, top - radius), max(0, left - radius)), radius, "bounded" if radius < asked else "expanded"
+    return runs, tokens, *sums, _runs(wide, max(0, top - radius), max(0, left - radius)), added, radius, "bounded" if radius < asked else "expanded"
 
 
-def _draw(settings: dict):
+def _numbers(lists: pa.Array, size: int) -> np.ndarray:
+    """Lists of `size` numbers as rows; what is absent is nan."""
+    out = np.full((len(lists), size), np.nan)
+    parts = lists.flatten()
+    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    held = at < size
+    out[row[held], at[held]] = parts.to_numpy(zero_copy_only=False)[held]
+    return out
+
+
+def _run_lists(rows: list[np.ndarray]) -> pa.Array:
+    """Rows (y, x0, x1) of many shapes as lists of runs."""
+    ends = np.cumsum([0, *map(len, rows)])
+    all_ = np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(all_[:, k], pa.int32()) for k in range(3)], names=["y", "x0", "x1"]))
+
+
+_DRAWN = f"core {RUNS}, render {RUNS}, area long, sx long, sy long, clipped_pixels long, render_area long, render_radius int, render_status string, inside long, got double, got_roi double"
+
+
+def _draw(settings: dict, keep: list[str]):
+    """Footprints of rows, with the sums of their coverage: pixels in the region, and shares of tokens times weights."""
+    asked = ["height", "width", "shape", "x", "y", "area_fraction", "aspect", "angle", "phase"]
+
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = pa.list_(pa.struct([("y", pa.int32()), ("x0", pa.int32()), ("x1", pa.int32())]))
-        kinds = [runs, pa.list_(pa.int32()), pa.int64(), runs, pa.int32(), pa.string()]
-        for batch in batches:
-            got = [_footprint(r, settings) for r in batch.to_pylist()]
-            new = [pa.array([g[k] for g in got], t) for k, t in enumerate(kinds)]
-            yield pa.record_batch([*batch.columns, *new], names=[*batch.schema.names, "core", "tokens", "clipped_pixels", "render", "render_radius", "render_status"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                got = [_footprint(r, settings) for r in batch.select(asked).to_pylist()]
+                core, tokens, n, sx, sy, cut, render, added, radius, status = zip(*got)
+                tokens, cells, weights = np.array(tokens), _numbers(batch.column("sizes"), GRID * GRID), _numbers(batch.column("weights"), GRID * GRID)
+                roi = _numbers(batch.column("in_roi"), GRID * GRID) > 0
+                part = tokens / cells * weights
+                total = lambda v: np.cumsum(v, axis=1)[:, -1]  # noqa: E731  one by one, in the order of tokens
+                new = [_run_lists(core), _run_lists(render), *(pa.array(v, pa.int64()) for v in (n, sx, sy, cut, added)), pa.array(radius, pa.int32()), pa.array(status, pa.string()), pa.array((tokens * roi).sum(1), pa.int64()), pa.array(total(part)), pa.array(total(np.where(roi, part, 0.0)))]
+                names = ["core", "render", "area", "sx", "sy", "clipped_pixels", "render_area", "render_radius", "render_status", "inside", "got", "got_roi"]
+                yield pa.record_batch([*(batch.column(c) for c in keep), *new], names=[*keep, *names])
 
     return draw
 
@@ -328,37 +364,41 @@ def _draw(settings: dict):
 def candidates(samples: DataFrame, families: DataFrame, search: dict, render: dict, seed: int = 0) -> DataFrame:
     """Every configured footprint of every sample, with runs (core, render), geometry and coverage; none is dropped or preferred.
 
-    samples: (sample, height, width, roi, weights, angle: facade angle in degrees); families: (family, shape, area_low, area_high, area_samples, aspects,
+    samples: (sample, height, width, roi, weights, angle: facade angle in degrees), a row per sample; families: (family, shape, area_low, area_high, area_samples, aspects,
     angles), a row per family. search: center_offsets, roi_anchors, anchor_separation_tokens; render: radius and area bounds.
     Coverage keeps each token's weight whatever its pixels; it is null where all weights are zero. A sample without region makes no candidates.
+    Samples are dealt over all shuffle partitions, whatever their bytes, and carry their maps into the tasks that draw: footprints are never shuffled or joined.
     """
-    centres = candidate_centres(samples, tuple(search["center_offsets"]), search["roi_anchors"], search["anchor_separation_tokens"])
+    dealt = samples.where("size(roi) > 0").repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sample")  # a fixed number: small rows, much work
+    grid = F.sequence(F.lit(0), F.lit(GRID * GRID - 1))
+    side = lambda k, size: _token_edge(k + 1, F.col(size)) - _token_edge(k, F.col(size))
+    dealt = dealt.withColumns({
+        "weights": F.col("weights").cast("array<double>"), "facade": F.coalesce("angle", F.lit(0.0)), "in_roi": F.transform(grid, lambda t: F.array_contains(F.col("roi").cast("array<int>"), t).cast("int")),
+        "sizes": F.transform(grid, lambda t: (side(F.floor(t / GRID), "height") * side(t % GRID, "width")).cast("int")),
+    })
+    added = lambda a, b: a + b
+    dealt = dealt.withColumns({
+        "total": F.nullif(F.aggregate("weights", F.lit(0.0), added), F.lit(0.0)), "total_roi": F.nullif(F.aggregate(F.zip_with("weights", "in_roi", lambda w, i: F.when(i > 0, w).otherwise(0.0)), F.lit(0.0), added), F.lit(0.0)),
+        "roi_pixels": F.aggregate(F.zip_with("sizes", "in_roi", lambda c, i: c * i), F.lit(0), added),
+    })
+    known = ("weights", "in_roi", "sizes", "facade", "total", "total_roi", "roi_pixels")
+    centres = candidate_centres(dealt, tuple(search["center_offsets"]), search["roi_anchors"], search["anchor_separation_tokens"], known)
     step = (F.col("area_high") - F.col("area_low")) / F.greatest(F.col("area_samples") - 1, F.lit(1))
     areas = F.transform(F.sequence(F.lit(0), F.col("area_samples") - 1), lambda k: F.when((k == F.col("area_samples") - 1) & (k > 0), F.col("area_high")).otherwise(F.col("area_low") + k * step))
     shapes = families.withColumn("area_fraction", F.explode(areas)).withColumn("aspect", F.explode(F.array_distinct("aspects"))).withColumn("offset", F.explode(F.array_distinct("angles"))).select("family", "shape", "area_fraction", "aspect", "offset")
-    tried = centres.join(F.broadcast(shapes)).join(samples.select("sample", F.coalesce("angle", F.lit(0.0)).alias("facade")), "sample")  # a configuration's families, some hundred rows
+    tried = centres.join(F.broadcast(shapes))  # a configuration's families, some hundred rows
     tried = tried.withColumns({"angle": F.col("offset") + F.when(F.col("shape") == "facade_rectangle", F.col("facade")).otherwise(0.0), "phase": _phase(seed, F.col("sample"), F.col("family"))}).drop("facade", "offset")
     said = F.concat_ws("|", F.lit(str(seed)), "sample", "family", "shape", *(F.format_string("%.12g", c) for c in ("area_fraction", "aspect", "angle", "x", "y")))
     tried = tried.withColumn("candidate_id", F.substring(F.sha2(said, 256), 1, 24))
-    drawn = tried.mapInArrow(_draw(render), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tried.schema) + f", core {RUNS}, tokens array<int>, clipped_pixels long, render {RUNS}, render_radius int, render_status string")
-    cells = F.transform(F.sequence(F.lit(0), F.lit(GRID * GRID - 1)), lambda t: ((_token_edge(F.floor(t / GRID) + 1, F.col("height")) - _token_edge(F.floor(t / GRID), F.col("height"))) * (_token_edge(t % GRID + 1, F.col("width")) - _token_edge(t % GRID, F.col("width")))).cast("int"))
-    in_roi = F.transform(F.sequence(F.lit(0), F.lit(GRID * GRID - 1)), lambda t: F.array_contains(F.col("roi").cast("array<int>"), t))
-    known = samples.where("size(roi) > 0").select("sample", F.col("weights").cast("array<double>").alias("weights"), in_roi.alias("in_roi"), cells.alias("cells"))
-    d = drawn.join(known, "sample").withColumn("s", _sums(F.col("core")))
-    both = F.zip_with(F.zip_with("tokens", "cells", lambda n, c: F.struct(n.alias("n"), (n / c).alias("part"))), F.zip_with("weights", "in_roi", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda a, b: F.struct(a["n"].alias("n"), a["part"].alias("part"), b["w"].alias("w"), b["i"].alias("i")))
-    d = d.withColumn("t", both)
-    add = lambda f: F.aggregate("t", F.lit(0.0), lambda acc, t: acc + f(t))
-    roi = lambda f: add(lambda t: F.when(t["i"], f(t)).otherwise(0.0))
-    total, total_roi = F.nullif(add(lambda t: t["w"]), F.lit(0.0)), F.nullif(roi(lambda t: t["w"]), F.lit(0.0))
-    area = F.nullif(F.col("s.n"), F.lit(0))
-    d = d.withColumns({
-        "area_pixels": F.col("s.n"), "area_fraction_drawn": F.col("s.n") / (F.col("height") * F.col("width")),
-        "target_precision": F.when(area > 0, roi(lambda t: t["n"].cast("double")) / area).otherwise(0.0),
-        "weighted_coverage": add(lambda t: t["part"] * t["w"]) / total, "roi_weighted_coverage": roi(lambda t: t["part"] * t["w"]) / total_roi,
-        "binary_roi_coverage": roi(lambda t: t["n"].cast("double")) / F.aggregate(F.zip_with("cells", "in_roi", lambda c, i: F.when(i, c).otherwise(0)), F.lit(0), lambda a, b: a + b),
-        "cx": F.when(area > 0, F.col("s.sx") / area + 0.5), "cy": F.when(area > 0, F.col("s.sy") / area + 0.5), "render_area": _sums(F.col("render"))["n"],
-    })
-    return d.drop("s", "t", "weights", "in_roi", "cells", "tokens", "phase", "height", "width").withColumnRenamed("x", "center_x").withColumnRenamed("y", "center_y")
+    keep = [f for f in tried.schema if f.name not in ("weights", "in_roi", "sizes", "phase")]
+    d = tried.mapInArrow(_draw(render, [f.name for f in keep]), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + f", {_DRAWN}")
+    area = F.nullif(F.col("area"), F.lit(0))
+    return d.select(
+        "sample", F.col("x").alias("center_x"), F.col("y").alias("center_y"), "family", "shape", "area_fraction", "aspect", "angle", "candidate_id", "core", "clipped_pixels", "render", "render_radius", "render_status",
+        F.col("area").alias("area_pixels"), (F.col("area") / (F.col("height") * F.col("width"))).alias("area_fraction_drawn"), F.when(area > 0, F.col("inside") / area).otherwise(0.0).alias("target_precision"),
+        (F.col("got") / F.col("total")).alias("weighted_coverage"), (F.col("got_roi") / F.col("total_roi")).alias("roi_weighted_coverage"), (F.col("inside").cast("double") / F.col("roi_pixels")).alias("binary_roi_coverage"),
+        F.when(area > 0, F.col("sx") / area + 0.5).alias("cx"), F.when(area > 0, F.col("sy") / area + 0.5).alias("cy"), "render_area",
+    )
 
 
 def _facade_angle(height: int, width: int, values: list[float]) -> tuple[float, str, float]:
