@@ -211,3 +211,20 @@ def test_candidates_are_drawn_in_many_tasks(spark):
     render = {"radius_fraction_of_short_side": 0.02, "max_radius_pixels": 2, "max_added_area_ratio": 0.35, "max_image_area_fraction": 0.25}
     out = M.candidates(s, f, search, render).select("sample", F.spark_partition_id().alias("task")).collect()
     assert len({r.sample for r in out}) == 40 and len({r.task for r in out}) > 3
+
+
+def test_masks_of_one_size_are_searched_together(spark):
+    rng = np.random.default_rng(11)
+    masks = rng.random((40, 9, 30)) < 0.4
+    runs = [r for m in range(40) for r in to_runs(m, masks[m])]
+    of, y, x0, x1 = np.array(runs).T
+    seen = M._prefixes(of, y, x0, x1, 40, 30, 9)
+    spans = np.array([[0, 1, 4], [1, 0, 5], [2, 1, 4]])
+    mx, my = rng.random(40) * 30, rng.random(40) * 9
+    got = list(zip(*(v.tolist() for v in M._best_places(seen, (*spans.T, 2.5, 1.5), mx, my)[:3])))
+    for m in range(40):
+        places = [(-sum(int(masks[m, y + d, x + a : x + b].sum()) for d, a, b in spans), (x + 2.5 - mx[m]) ** 2 + (y + 1.5 - my[m]) ** 2, y, x) for y in range(7) for x in range(26)]
+        n, _, y, x = min(places)
+        assert got[m] == (x, y, -n)
+    plan = M.adapt_masks(spark.createDataFrame(runs, "mask long, y long, x0 long, x1 long"), spark.range(40).selectExpr("id AS mask", "30 AS width", "9 AS height")).select("mask", "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # components are not made where nobody asks for them

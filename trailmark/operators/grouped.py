@@ -64,37 +64,38 @@ def suppress(boxes: DataFrame, key: str, limit: float = 0.5) -> DataFrame:
     return per_group(boxes.select(key, "id", "x0", "y0", "x1", "y1", "score"), key, one, "id long")
 
 
+def components(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> list[tuple]:
+    """(n, cx, cy) of the 8-connected components of one mask's runs: pixels and centroid of each."""
+    rows = sorted(zip(y.tolist(), x0.tolist(), x1.tolist()))
+    root = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    above: list[int] = []  # runs of the row before, and of this one
+    same: list[int] = []
+    for i, (row, a, b) in enumerate(rows):
+        if same and rows[same[0]][0] != row:
+            above, same = (same if rows[same[0]][0] == row - 1 else []), []
+        for j in above + same:
+            if rows[j][1] <= b and a <= rows[j][2]:  # touching at a corner counts
+                root[find(i)] = find(j)
+        same.append(i)
+    size: dict[int, list[int]] = {}
+    for i, (row, a, b) in enumerate(rows):
+        s = size.setdefault(find(i), [0, 0, 0])
+        s[0] += b - a
+        s[1] += (a + b - 1) * (b - a) // 2
+        s[2] += row * (b - a)
+    return [(n, sx / n + 0.5, sy / n + 0.5) for n, sx, sy in size.values()]
+
+
 def component_rows(runs: DataFrame, key: str) -> DataFrame:
     """(key, n, cx, cy) of the 8-connected components of masks given as run-length rows (y, x0, x1): pixels and centroid of each."""
-
-    def one(c: dict[str, np.ndarray]) -> list[tuple]:
-        rows = sorted(zip(c["y"].tolist(), c["x0"].tolist(), c["x1"].tolist()))
-        root = list(range(len(rows)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        above: list[int] = []  # runs of the row before, and of this one
-        same: list[int] = []
-        for i, (y, a, b) in enumerate(rows):
-            if same and rows[same[0]][0] != y:
-                above, same = (same if rows[same[0]][0] == y - 1 else []), []
-            for j in above + same:
-                if rows[j][1] <= b and a <= rows[j][2]:  # touching at a corner counts
-                    root[find(i)] = find(j)
-            same.append(i)
-        size: dict[int, list[int]] = {}
-        for i, (y, a, b) in enumerate(rows):
-            s = size.setdefault(find(i), [0, 0, 0])
-            s[0] += b - a
-            s[1] += (a + b - 1) * (b - a) // 2
-            s[2] += y * (b - a)
-        return [(n, sx / n + 0.5, sy / n + 0.5) for n, sx, sy in size.values()]
-
-    return per_group(runs.select(key, "y", "x0", "x1"), key, one, "n long, cx double, cy double")
+    return per_group(runs.select(key, "y", "x0", "x1"), key, lambda c: components(c["y"], c["x0"], c["x1"]), "n long, cx double, cy double")
 
 
 def components8(runs: DataFrame, key: str) -> DataFrame:

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import numbers as N
 
-from .grouped import component_rows
+from .grouped import component_rows, components
 
 # Fixed values.
 ASPECTS = (1.0, 0.75, 4 / 3, 0.5, 2.0)
-LEAST_RATIO, MOST_RATIO, CENTRES = 0.04, 0.08, 32
+LEAST_RATIO, MOST_RATIO, CENTRES, BROADCAST_SIZES = 0.04, 0.08, 32, 2000
 SHAPES = ("horizontal_compact", "vertical_rectangle", "facade_rectangle", "cone_triangle", "compact_irregular_blob")
 GRID = 16
 
@@ -60,13 +60,34 @@ def ellipses(sizes: DataFrame) -> DataFrame:
     return s.select("w", "h", "spans", n.alias("area"), (F.col("s.sx") / n + 0.5).alias("cx"), (F.col("s.sy") / n + 0.5).alias("cy"), _compactness(n, *(F.col(f"s.{c}") for c in ("sx", "sy", "ss"))).alias("compactness"))
 
 
-def _best_place(runs: list[dict], width: int, height: int, spans: list[dict], area: int, cx: float, cy: float, centre: tuple, centres: list[dict], stride: int, refine: int, least: float) -> tuple:
-    """Best place of one shape over one mask: on a grid and at the given centres, then pixel by pixel around the best of them."""
-    seen = np.zeros((height, width + 1), np.int64)
-    for r in runs:
-        seen[r["y"], r["x0"] + 1 : r["x1"] + 1] += 1
-    seen = np.cumsum(seen, axis=1)  # row prefix sums
-    dy, left, right = (np.array([s[c] for s in spans]) for c in ("y", "x0", "x1"))
+def _prefixes(of: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, many: int, width: int, height: int) -> np.ndarray:
+    """Row prefix sums (mask, y, x) of masks of one size; `of` tells which mask a run belongs to."""
+    size = width + 2
+    line = (of * height + y) * size + 1
+    ends = (np.clip(x, 0, width) for x in (x0, x1))
+    starts, stops = (np.bincount(line + e, minlength=many * height * size) for e in ends)
+    covered = np.cumsum((starts - stops).reshape(many, height, size), axis=2, dtype=np.int32)
+    return np.cumsum(covered, axis=2, dtype=np.int32)[:, :, : width + 1]
+
+
+def _best_places(seen: np.ndarray, shape: tuple, mx: np.ndarray, my: np.ndarray) -> tuple:
+    """Best place of one shape over each of many masks of one size, at every pixel: (x, y, overlap, away, places tried)."""
+    dy, left, right, cx, cy = shape
+    ny, nx = seen.shape[1] - int(dy.max()), seen.shape[2] - int(right.max())
+    shared = np.zeros((len(seen), ny, nx), np.int32)
+    for d, a, b in zip(dy, left, right):
+        shared += seen[:, d : d + ny, b : b + nx] - seen[:, d : d + ny, a : a + nx]
+    away = ((np.arange(nx) + cx - mx[:, None]) ** 2)[:, None, :] + ((np.arange(ny) + cy - my[:, None]) ** 2)[:, :, None]
+    shared, away = shared.reshape(len(seen), -1), away.reshape(len(seen), -1)
+    most = shared.max(axis=1)
+    at = np.where(shared == most[:, None], away, np.inf).argmin(axis=1)  # the first of equals: least y, then x
+    return at % nx, at // nx, most, away[np.arange(len(seen)), at], ny * nx
+
+
+def _best_place(seen: np.ndarray, shape: tuple, centre: tuple, centres: list[tuple], stride: int, refine: int) -> tuple:
+    """Best place of one shape over one mask, given by row prefix sums: on a grid and at the given centres, then pixel by pixel around the best of them."""
+    dy, left, right, cx, cy = shape
+    height, width = seen.shape[0], seen.shape[1] - 1
     tw, th = int(right.max()), int(dy.max()) + 1
     xmax, ymax = width - tw, height - th
 
@@ -80,31 +101,67 @@ def _best_place(runs: list[dict], width: int, height: int, spans: list[dict], ar
 
     grid = lambda most: np.unique(np.append(np.arange(0, most + 1, stride), most))
     places = (grid(ymax)[:, None] * (width + 1) + grid(xmax)).ravel()
-    tried = [(min(max(np.rint(c[1] - cy), 0), ymax), min(max(np.rint(c[0] - cx), 0), xmax)) for c in [centre, *((c["cx"], c["cy"]) for c in centres)]]
+    tried = [(min(max(np.rint(c[1] - cy), 0), ymax), min(max(np.rint(c[0] - cx), 0), xmax)) for c in [centre, *centres]]
     places = np.unique(np.append(places, [int(y) * (width + 1) + int(x) for y, x in tried]))
     shared, away, order = ranked(places)
-    fine = [] if stride == 1 else [np.arange(max(0, y - stride), min(ymax, y + stride) + 1)[:, None] * (width + 1) + np.arange(max(0, x - stride), min(xmax, x + stride) + 1) for y, x in zip(*np.divmod(places[order[:refine]], width + 1))]
-    if fine:  # a grid of single pixels has every place already
-        places = np.unique(np.concatenate([places, *(f.ravel() for f in fine)]))
-        shared, away, order = ranked(places)
+    fine = [np.arange(max(0, y - stride), min(ymax, y + stride) + 1)[:, None] * (width + 1) + np.arange(max(0, x - stride), min(xmax, x + stride) + 1) for y, x in zip(*np.divmod(places[order[:refine]], width + 1))]
+    places = np.unique(np.concatenate([places, *(f.ravel() for f in fine)]))
+    shared, away, order = ranked(places)
     best = order[0]
     y, x = divmod(int(places[best]), width + 1)
-    return int(x), int(y), int(shared[best]), float(away[best]), len(places), bool(shared[best] / area >= least)
-
-
-def _search(stride: int | None, refine: int, least: float):
-    names = ["mask", "w", "h", "x", "y", "overlap", "away", "evaluated", "fits"]
+    return x, y, shared[best], away[best], len(places)
+
+
+_PLACES = "array<struct<x: int, y: int, overlap: bigint, away: double, evaluated: bigint>>"
+
+
+def _search(stride: int | None, refine: int, keep: list[str]):
+    """The best place of every chosen shape of every mask; masks of one size are searched together where every pixel is tried."""
+
+    def places(batch: pa.RecordBatch) -> pa.Array:
+        runs, chosen = batch.column("runs"), batch.column("chosen")
+        number = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        width, height, mx, my = (number(c) for c in ("width", "height", "mx", "my"))
+        row_of = lambda lists: np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        flat, run_row, asked, asked_row = runs.flatten(), row_of(runs), chosen.flatten(), row_of(chosen)
+        y, x0, x1 = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+        w, h, cx, cy = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("w", "h", "cx", "cy"))
+        spans = asked.field("spans")
+        found = [np.zeros(len(asked), t) for t in (np.int32, np.int32, np.int64, np.float64, np.int64)]
+        order = np.lexsort((h, w, asked_row, height[asked_row], width[asked_row]))
+        start = 0
+        while start < len(order):  # masks of one size, some million pixels at most at once
+            first = asked_row[order[start]]
+            wide, high = int(width[first]), int(height[first])
+            part = order[start : start + max(1, 2_000_000 // (wide * high))]
+            part = part[(width[asked_row[part]] == wide) & (height[asked_row[part]] == high)]
+            start += len(part)
+            rows, at = np.unique(asked_row[part], return_inverse=True)
+            place = np.full(batch.num_rows, -1)
+            place[rows] = np.arange(len(rows))
+            mine = place[run_row] >= 0
+            seen = _prefixes(place[run_row[mine]], y[mine], x0[mine], x1[mine], len(rows), wide, high)
+            step = stride or max(1, min(wide, high) // 32)
+            for size in np.unique(np.stack([w[part], h[part]]), axis=1).T:
+                same = np.flatnonzero((w[part] == size[0]) & (h[part] == size[1]))
+                one = part[same[0]]
+                shape = (*(spans[int(one)].values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)), cx[one], cy[one])
+                if step == 1:
+                    got = _best_places(seen[at[same]], shape, mx[rows[at[same]]], my[rows[at[same]]])
+                    for out, v in zip(found, got):
+                        out[part[same]] = v
+                    continue
+                for k in same:
+                    r, own = rows[at[k]], run_row == rows[at[k]]
+                    parts = [p[1:] for p in sorted(components(y[own], x0[own], x1[own]), reverse=True)[:CENTRES]]
+                    for out, v in zip(found, _best_place(seen[at[k]], shape, (mx[r], my[r]), parts, step, refine)):
+                        out[part[k]] = v
+        ends = np.append(0, np.cumsum(chosen.value_lengths().to_numpy(zero_copy_only=False)))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(f) for f in found], names=["x", "y", "overlap", "away", "evaluated"]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                step = stride or max(1, min(r["width"], r["height"]) // 32)
-                got = _best_place(r["runs"], r["width"], r["height"], r["spans"], r["area"], r["cx"], r["cy"], (r["mx"], r["my"]), r["centres"], step, refine, least)
-                out.append((r["w"], r["h"], *got))
-            kinds = [pa.int32()] * 4 + [pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
-            cols = [pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]
-            yield pa.record_batch([batch.column("mask"), *cols], names=names)
+            yield pa.record_batch([*(batch.column(c) for c in keep), places(batch)], names=[*keep, "places"])
 
     return search
 
@@ -120,39 +177,55 @@ def adapt_masks(runs: DataFrame, images: DataFrame, ratio: float = 0.06, least_o
         raise ValueError("ratio, overlap, tolerance or gain out of range")
     if refine < 1 or not aspects or any(not 0.5 <= a <= 2 for a in aspects) or (stride is not None and stride < 1):
         raise ValueError("refine, aspects or stride out of range")
-    packed = runs.groupBy("mask").agg(F.collect_list(F.struct(*(F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")))).alias("runs"))  # one image's runs
-    parts = component_rows(runs, "mask").groupBy("mask").agg(F.count("*").alias("components"), F.sort_array(F.collect_list(F.struct("n", "cx", "cy")), asc=False).alias("parts"))
-    m = images.select("mask", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height")).join(packed, "mask", "left").join(parts, "mask", "left")
+    a, b, y = (F.col(c).cast("int").cast("long") for c in ("x0", "x1", "y"))
+    below = lambda k: (k - 1) * k * (2 * k - 1) / 6  # noqa: E731  squares below k
+    packed = runs.groupBy("mask").agg(  # one image's runs
+        F.collect_list(F.struct(*(F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")))).alias("runs"), F.sum(b - a).alias("n"), F.sum(((a + b - 1) * (b - a) / 2).cast("long")).alias("sx"),
+        F.sum(y * (b - a)).alias("sy"), F.sum(y * y * (b - a) + (below(b) - below(a)).cast("long")).alias("ss"),
+    )
+    sized = images.select("mask", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"))
+    m = sized.join(packed, "mask", "left")
     pixels = F.col("width").cast("double") * F.col("height")
-    m = m.withColumns({"runs": F.coalesce("runs", F.array().cast(RUNS)), "components": F.coalesce("components", F.lit(0))})
-    m = m.withColumn("s", _sums(F.col("runs"))).withColumns({"target": F.lit(ratio) * pixels, "n": F.col("s.n"), "some": F.nullif(F.col("s.n"), F.lit(0))})
-    m = m.withColumns({
+    m = m.withColumns({"runs": F.coalesce("runs", F.array().cast(RUNS)), "n": F.coalesce("n", F.lit(0)), "some": F.nullif(F.col("n"), F.lit(0)), "target": F.lit(ratio) * pixels})
+    bounds = {
         "least": F.greatest(F.lit(1), F.ceil(F.greatest(LEAST_RATIO * pixels, F.col("target") * (1 - tolerance)))),
         "most": F.floor(F.least(MOST_RATIO * pixels, F.col("target") * (1 + tolerance))),
-        "mx": F.col("s.sx") / F.col("some") + 0.5, "my": F.col("s.sy") / F.col("some") + 0.5,
-        "before": _compactness(F.col("some"), *(F.col(f"s.{c}") for c in ("sx", "sy", "ss"))),
-    })
+    }
+    m = m.withColumns({**bounds, "mx": F.col("sx") / F.col("some") + 0.5, "my": F.col("sy") / F.col("some") + 0.5, "before": _compactness(F.col("some"), *map(F.col, ("sx", "sy", "ss")))})
     early = F.when(F.col("n") == 0, "empty_vulnerability_mask").when(F.col("most") < F.col("least"), "no_integer_area_in_requested_tolerance").when(F.col("n") < F.ceil(least_overlap * F.col("least")), "insufficient_vulnerability_area_for_required_overlap")
     m = m.withColumn("early", early)
 
+    # What may be placed depends on the image's size alone; a mask takes the first of each aspect that is compact enough.
+    order = sorted(set(aspects))
     wide, high = F.rint(F.sqrt(4 * F.col("target") * F.col("aspect") / math.pi)).cast("int"), F.rint(F.sqrt(4 * F.col("target") / (F.col("aspect") * math.pi))).cast("int")
     near = lambda c, most: F.explode(F.sequence(F.greatest(F.lit(1), c - 2), F.greatest(F.greatest(F.lit(1), c - 2), F.least(most, c + 2))))
-    sized = m.where("early IS NULL").select("mask", "width", "height", "target", "least", "most", "before", F.explode(F.array(*map(F.lit, sorted(set(aspects))))).alias("aspect"))
-    sized = sized.withColumn("w", near(wide, F.col("width"))).withColumn("h", near(high, F.col("height")))
-    sized = sized.where((F.col("w") <= F.col("width")) & (F.col("h") <= F.col("height")) & (F.col("w") / F.col("h")).between(0.5, 2.0))
-    shapes = ellipses(sized.select("w", "h"))
-    fit = sized.join(shapes.drop("spans", "cx", "cy"), ["w", "h"]).where((F.col("area") >= F.col("least")) & (F.col("area") <= F.col("most")) & (F.col("compactness") + 1e-12 >= F.col("before") + least_gain))
-    chosen = fit.groupBy("mask", "aspect").agg(F.min(F.struct(F.abs(F.col("area") - F.col("target")), F.abs(F.col("w") / F.col("h") - F.col("aspect")), "w", "h")).alias("c")).select("mask", "c.w", "c.h")
-
-    placed = chosen.join(m.select("mask", "width", "height", "runs", "mx", "my", F.slice(F.coalesce("parts", F.array().cast("array<struct<n: bigint, cx: double, cy: double>>")), 1, CENTRES).alias("centres")), "mask").join(shapes, ["w", "h"])
-    kind = runs.schema["mask"].dataType.simpleString()
-    found = placed.mapInArrow(_search(stride, refine, least_overlap), f"mask {kind}, w int, h int, x int, y int, overlap long, away double, evaluated long, fits boolean").join(shapes.drop("cx", "cy"), ["w", "h"])
+    sizes = sized.select("width", "height").distinct().withColumn("target", F.lit(ratio) * pixels).withColumns(bounds)
+    sizes = sizes.withColumn("aspect", F.explode(F.array(*map(F.lit, order)))).withColumn("w", near(wide, F.col("width"))).withColumn("h", near(high, F.col("height")))
+    sizes = sizes.where((F.col("w") <= F.col("width")) & (F.col("h") <= F.col("height")) & (F.col("w") / F.col("h")).between(0.5, 2.0))
+    fit = sizes.join(ellipses(sizes.select("w", "h")), ["w", "h"]).where((F.col("area") >= F.col("least")) & (F.col("area") <= F.col("most")))
+    fit = fit.select("width", "height", F.struct("aspect", F.abs(F.col("area") - F.col("target")).alias("off"), F.abs(F.col("w") / F.col("h") - F.col("aspect")).alias("bent"), "w", "h", "area", "cx", "cy", "compactness", "spans").alias("f"))
+    fit = fit.groupBy("width", "height").agg(F.array_sort(F.collect_list("f")).alias("f"))  # 25 an aspect at most
+    fit = fit.select("width", "height", F.array(*(F.filter("f", lambda f: f["aspect"] == v) for v in order)).alias("by_aspect"))  # noqa: B023  called at once
+    if fit.limit(BROADCAST_SIZES + 1).count() <= BROADCAST_SIZES:
+        fit = F.broadcast(fit)
+    compact = lambda f: f["compactness"] + 1e-12 >= F.col("before") + least_gain
+    kind = "array<struct<w: int, h: int, area: bigint, cx: double, cy: double, compactness: double, spans: " + RUNS + ">>"
+    chosen = F.transform(F.filter(F.transform("by_aspect", lambda fs: F.get(F.filter(fs, compact), F.lit(0))), lambda f: f.isNotNull()), lambda f: F.struct(*(f[c].alias(c) for c in ("w", "h", "area", "cx", "cy", "compactness", "spans"))))
+    m = m.join(fit, ["width", "height"], "left").withColumn("chosen", F.coalesce(F.when(F.col("early").isNull(), chosen), F.array()).cast(kind))
+    m = m.select("mask", "width", "height", "runs", "n", "mx", "my", "before", "least", "most", "target", "early", "chosen")
+    keep = [f for f in m.schema if f.name not in ("runs", "mx", "my")]
+    m = m.mapInArrow(_search(stride, refine, [f.name for f in keep]), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + f", places {_PLACES}")
     # Six keys; what does not fit comes after all that does, so the least rank tells whether anything fits.
-    share = F.col("overlap") / F.col("area")
-    found = found.join(m.select("mask", "target"), "mask").withColumn("rank", F.struct((~F.col("fits")).alias("no"), (-share).alias("r"), F.col("away").alias("d"), F.abs(F.col("area") - F.col("target")).alias("a"), (-F.col("compactness")).alias("c"), F.col("y").alias("ry"), F.col("x").alias("rx")))
-    best = found.groupBy("mask").agg(F.min_by(F.struct("w", "h", "x", "y", "overlap", "away", "area", "compactness", "spans", "fits"), "rank").alias("b"), F.sum("evaluated").alias("evaluated"), F.max(share).alias("best_overlap"))
-    out = m.join(best, "mask", "left")
-    failure = F.coalesce("early", F.when(F.col("b").isNull(), "no_template_meets_area_size_and_compactness_constraints").when(~F.col("b.fits"), "no_compact_candidate_meets_overlap_in_configured_search"))
+    def ranked(f: Column, p: Column) -> Column:
+        share = p["overlap"] / f["area"]
+        keys = {"no": share < least_overlap, "r": -share, "d": p["away"], "a": F.abs(f["area"] - F.col("target")), "c": -f["compactness"], "y": p["y"], "x": p["x"]}
+        return F.struct(*(v.alias(k) for k, v in keys.items()), *(f[c].alias(c) for c in ("w", "h", "area", "compactness", "spans")), p["overlap"].alias("overlap"), p["away"].alias("away"))
+
+    m = m.withColumn("b", F.array_min(F.zip_with("chosen", "places", ranked)))
+    m = m.withColumns({"fits": ~F.col("b.no"), "best_overlap": -F.col("b.r"), "evaluated": F.aggregate("places", F.lit(0).cast("long"), lambda s, p: s + p["evaluated"])})
+    parts = component_rows(runs, "mask").groupBy("mask").agg(F.count("*").alias("components"))  # not made where nobody asks for it
+    out = m.join(parts, "mask", "left").withColumn("components", F.coalesce("components", F.lit(0)))
+    failure = F.coalesce("early", F.when(F.col("b").isNull(), "no_template_meets_area_size_and_compactness_constraints").when(~F.col("fits"), "no_compact_candidate_meets_overlap_in_configured_search"))
     ok = lambda c: F.when(failure.isNull(), c)
     return out.select(
         "mask", F.when(failure.isNull(), "success").otherwise("failure").alias("status"), failure.alias("failure_reason"),
