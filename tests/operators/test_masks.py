@@ -228,3 +228,13 @@ def test_masks_of_one_size_are_searched_together(spark):
         assert got[m] == (x, y, -n)
     plan = M.adapt_masks(spark.createDataFrame(runs, "mask long, y long, x0 long, x1 long"), spark.range(40).selectExpr("id AS mask", "30 AS width", "9 AS height")).select("mask", "x")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1  # components are not made where nobody asks for them
+
+
+def test_coverage_never_sorts_maps(spark):
+    """Rows with 256 weights stream past the runs; sorted they took thousands of MB of a task."""
+    r = spark.range(60).selectExpr("id % 20 AS mask", "id div 20 AS y", "id % 7 AS x0", "id % 7 + 5 AS x1")
+    i = spark.range(20).selectExpr("id AS mask", "16 AS height", "32 AS width", "array(0, 1, 2) AS roi", "array_repeat(1D, 256) AS weights")
+    out = M.roi_coverage(r, i)
+    assert [(x.area, x.weighted_coverage) for x in out.collect()] == [(15, 7.5 / 256)] * 20
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan

@@ -289,27 +289,31 @@ def roi_coverage(runs: DataFrame, images: DataFrame) -> DataFrame:
     each token keeps its weight whatever its pixels. Coverage is null where weights are all zero, what the region gives is null without one. Runs are cut at token borders.
     """
     i = images.select("mask", F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"), F.col("roi").cast("array<int>").alias("roi"), F.col("weights").cast("array<double>").alias("weights"))
-    at = lambda v, size: F.floor(v * GRID / F.col(size))
-    cut = runs.select("mask", "y", "x0", "x1").where("x1 > x0").join(i, "mask").withColumn("col", F.explode(F.sequence(at(F.col("x0"), "width"), at(F.col("x1") - 1, "width"))))
-    n = F.least(F.col("x1"), _token_edge(F.col("col") + 1, F.col("width"))) - F.greatest(F.col("x0"), _token_edge(F.col("col"), F.col("width")))
-    token = (at(F.col("y"), "height") * GRID + F.col("col")).cast("int")
-    side = lambda k, size: _token_edge(k + 1, F.col(size)) - _token_edge(k, F.col(size))
-    cells = cut.groupBy("mask", token.alias("token")).agg(F.sum(n).alias("n")).join(i, "mask")
-    part = F.col("n") / (side(F.floor(F.col("token") / GRID), "height") * side(F.col("token") % GRID, "width")) * F.element_at("weights", F.col("token") + 1)
-    inside = F.array_contains("roi", F.col("token"))
-    sums = cells.groupBy("mask").agg(F.sum(part).alias("got"), F.sum(F.when(inside, part).otherwise(0.0)).alias("got_roi"), F.sum(F.when(inside, F.col("n")).otherwise(0)).alias("shared"))
+    length = F.col("x1") - F.col("x0")
+    packed = runs.where("x1 > x0").groupBy("mask").agg(  # one image's runs
+        F.collect_list(F.struct("y", "x0", "x1")).alias("runs"), F.sum(length).alias("area"),
+        (F.sum((F.col("x0") + F.col("x1")) * length / 2) / F.sum(length)).alias("cx"), (F.sum((F.col("y") + 0.5) * length) / F.sum(length)).alias("cy"),
+    )
     box = F.transform("roi", lambda t: F.struct(F.floor(t / GRID).alias("y"), (t % GRID).alias("x")))
     edges = F.transform(box, lambda b: F.struct(_token_edge(b["x"], F.col("width")).alias("a"), _token_edge(b["x"] + 1, F.col("width")).alias("b"), _token_edge(b["y"], F.col("height")).alias("t"), _token_edge(b["y"] + 1, F.col("height")).alias("u")))
     add = lambda f: F.aggregate("edges", F.lit(0.0), lambda acc, e: acc + f(e))
     size = F.nullif(add(lambda e: ((e["b"] - e["a"]) * (e["u"] - e["t"])).cast("double")), F.lit(0.0))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, w: a + w)
-    known = i.withColumn("edges", edges).select(
-        "mask", "height", "width", size.alias("roi_pixels"), F.nullif(total(F.col("weights")), F.lit(0.0)).alias("all_"), F.nullif(total(F.transform(F.array_distinct("roi"), lambda t: F.element_at("weights", t + 1))), F.lit(0.0)).alias("all_roi"),
+    # Maps of weights are long, so they stream past hash maps of runs: they are never sorted, nor copied by run.
+    known = i.join(packed.hint("shuffle_hash"), "mask").withColumn("edges", edges).select(
+        "mask", "height", "width", "roi", "weights", "runs", "area", "cx", "cy", size.alias("roi_pixels"), F.nullif(total(F.col("weights")), F.lit(0.0)).alias("all_"), F.nullif(total(F.transform(F.array_distinct("roi"), lambda t: F.element_at("weights", t + 1))), F.lit(0.0)).alias("all_roi"),
         (add(lambda e: (e["u"] - e["t"]) * (e["b"] - e["a"]) * (e["a"] + e["b"]) / 2.0) / size).alias("rx"), (add(lambda e: (e["b"] - e["a"]) * (e["u"] - e["t"]) * (e["t"] + e["u"]) / 2.0) / size).alias("ry"),
     )
-    length = F.col("x1") - F.col("x0")
-    shape = runs.where("x1 > x0").groupBy("mask").agg(F.sum(length).alias("area"), (F.sum((F.col("x0") + F.col("x1")) * length / 2) / F.sum(length)).alias("cx"), (F.sum((F.col("y") + 0.5) * length) / F.sum(length)).alias("cy"))
-    return shape.join(sums, "mask").join(known, "mask").select(
+    at = lambda v, size: F.floor(v * GRID / F.col(size))
+    own = ("height", "width", "area", "cx", "cy", "roi_pixels", "all_", "all_roi", "rx", "ry")
+    cut = known.select("mask", "roi", "weights", *own, F.inline("runs")).withColumn("col", F.explode(F.sequence(at(F.col("x0"), "width"), at(F.col("x1") - 1, "width"))))
+    n = F.least(F.col("x1"), _token_edge(F.col("col") + 1, F.col("width"))) - F.greatest(F.col("x0"), _token_edge(F.col("col"), F.col("width")))
+    token = (at(F.col("y"), "height") * GRID + F.col("col")).cast("int")
+    side = lambda k, size: _token_edge(k + 1, F.col(size)) - _token_edge(k, F.col(size))
+    part = n / (side(at(F.col("y"), "height"), "height") * side(F.col("col"), "width")) * F.element_at("weights", token + 1)
+    inside = F.array_contains("roi", token)
+    sums = cut.groupBy("mask").agg(F.sum(part).alias("got"), F.sum(F.when(inside, part).otherwise(0.0)).alias("got_roi"), F.sum(F.when(inside, n).otherwise(0)).alias("shared"), *(F.first(c).alias(c) for c in own))
+    return sums.select(
         "mask", "area", (F.col("shared") / F.col("area")).alias("target_precision"), (F.col("got") / F.col("all_")).alias("weighted_coverage"), (F.col("got_roi") / F.col("all_roi")).alias("roi_weighted_coverage"),
         (F.col("shared") / F.col("roi_pixels")).alias("binary_roi_coverage"), (F.hypot(F.col("cx") - F.col("rx"), F.col("cy") - F.col("ry")) / F.hypot(F.col("height").cast("double"), F.col("width").cast("double"))).alias("centroid_distance_normalized"),
     )
