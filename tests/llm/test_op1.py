@@ -1,6 +1,6 @@
 import numpy as np
 
-from trailmark.llm.op1_quality import classify, fit, text_features
+from trailmark.llm.op1_quality import _matrix, classify, fit, text_features
 
 D = "/root/testdata/sf0.1"
 
@@ -65,3 +65,11 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(1, "plain words " * 150_000, "en", "s", 1_800_000), (2, "x", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
     assert classify(docs, fit(docs, labels)).count() == 2
+
+
+def test_rows_of_a_view_go_into_the_room_given():
+    words, owner = np.array([3, 5, 5, 9], np.uint64), np.array([0, 0, 1, 2])
+    style, known, cuts = np.array([[0.1], [0.5], [0.9]]), np.array([3, 9], np.uint64), np.array([[0.3, 0.6]])
+    room = np.zeros((5, 5), np.float32)
+    got = _matrix(words, owner, style, known, cuts, 3, room[1:4])
+    assert np.shares_memory(got, room) and (room[1:4] == _matrix(words, owner, style, known, cuts, 3)).all() and not room[[0, 4]].any()

@@ -152,9 +152,10 @@ def _binned(style: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.column_stack([np.searchsorted(c, style[:, j], side="right") + j * (cuts.shape[1] + 1) for j, c in enumerate(cuts)])
 
 
-def _matrix(words, owner, style, known, cuts, n) -> np.ndarray:
+def _matrix(words, owner, style, known, cuts, n, x: np.ndarray | None = None) -> np.ndarray:
+    """Rows of a view, into the zeros x if they are given."""
     bins = cuts.shape[0] * (cuts.shape[1] + 1)
-    x = np.zeros((n, len(known) + bins), np.float32)
+    x = np.zeros((n, len(known) + bins), np.float32) if x is None else x
     if len(known) and len(words):
         at = np.minimum(np.searchsorted(known, words), len(known) - 1)
         hit = known[at] == words
@@ -305,7 +306,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     by_id = marked.set_index("id")
     y = {t: np.array([-1 if (v := by_id[t].get(int(i))) is None or v != v else int(v > 0) for i in ids], np.int64) for t in ("quality", "toxic")}
     known = np.unique(np.concatenate([_telling(words, owner, v, WORDS // 2) for v in y.values()])) if len(ids) else words
-    x = (_matrix(words, owner, style, known, cuts, len(ids)), _slots(meta))
+    # One matrix with room for what is marked later: its pages are taken as they are written, so rounds make no copies of it. Texts' words go as soon as they are in it.
+    room = np.zeros((len(ids) + pool, len(known) + cuts.shape[0] * (cuts.shape[1] + 1)), np.float32)
+    x = (_matrix(words, owner, style, known, cuts, len(ids), room[: len(ids)]), _slots(meta))
+    del words, owner, style, meta
     place, learners = {int(i): k for k, i in enumerate(ids)}, {t: _CoTraining(v) for t, v in y.items()}
     model = lambda last: Model(known, cuts, {t: c.target(x, last) for t, c in learners.items()})
     n_marks = marks.count()
@@ -320,7 +324,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         left -= len(fresh)
         if fresh:
             new, words, owner, style, meta = features(fresh)
-            x = tuple(np.concatenate(both) for both in zip(x, (_matrix(words, owner, style, known, cuts, len(new)), _slots(meta))))
+            end = len(x[0]) + len(new)
+            _matrix(words, owner, style, known, cuts, len(new), room[len(x[0]) : end])
+            x = (room[:end], np.concatenate((x[1], _slots(meta))))
+            del words, owner, style, meta
             place |= {int(i): len(place) + k for k, i in enumerate(new)}
         for n, i in found:
             t, view, value, _ = lists[n]
@@ -328,7 +335,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 learners[t].marks[1 - view].setdefault(place[i], value)
         if not fresh:
             break
-    return model(True)
+    out = model(True)
+    del x, room
+    pa.default_memory_pool().release_unused()  # later stages share the driver
+    return out
 
 
 _ADDED = ("p_text", "p_meta", "p_quality", "p_toxic", "keep")
