@@ -73,3 +73,23 @@ def test_rows_of_a_view_go_into_the_room_given():
     room = np.zeros((5, 5), np.float32)
     got = _matrix(words, owner, style, known, cuts, 3, room[1:4])
     assert np.shares_memory(got, room) and (room[1:4] == _matrix(words, owner, style, known, cuts, 3)).all() and not room[[0, 4]].any()
+
+
+def test_words_of_the_sample_stay_off_the_driver(spark, monkeypatch):
+    """Only the places of known words are gathered, and they give the model that counting on the driver gave."""
+    import trailmark.llm.op1_quality as op
+
+    docs = spark.createDataFrame([(i, ("fine words here " if i % 2 else "bad $$$ junk ") + " ".join(f"w{i}x{k}" for k in range(500)), "en", "s", 15) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    sizes, whole = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: sizes.append((got := whole(df)).nbytes) or got)
+    model = op.fit(docs, labels)
+    assert 0 < sum(sizes) < 60_000  # every text has over 500 words of its own
+    texts = [r.text.encode() for r in docs.where("doc_id < 40").orderBy("doc_id").collect()]
+    words, owner, _ = text_features(texts)
+    kinds, index = np.unique(words, return_inverse=True)
+    seen = np.bincount(index).astype(float)
+    pos = np.bincount(index, weights=owner % 2 == 1)
+    chi = np.where(seen >= 3, (pos - seen / 2) ** 2 / (seen / 2) * 2, -1)
+    best = np.argsort(-chi, kind="stable")[: op.WORDS // 2]
+    assert np.array_equal(model.words, np.sort(kinds[best[chi[best] > 0]]))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checked_broadcast
+from .common import bound_batches, checked_broadcast, give_back, save
 from .rolling import Poly, join_texts, mix, text_slices
 
 ROUNDS, SURE, ROUND_SHARE = 3, 0.97, 0.15
@@ -164,17 +164,21 @@ def _matrix(words, owner, style, known, cuts, n, x: np.ndarray | None = None) ->
     return x
 
 
-def _telling(words, owner, y, count) -> np.ndarray:
-    """Sorted prints of the words whose presence differs most between the classes (chi-square)."""
-    kinds, index = np.unique(words, return_inverse=True)
-    inside = y[owner] >= 0
-    pos = np.bincount(index[inside], weights=y[owner][inside] == 1, minlength=len(kinds))
-    all_ = np.bincount(index[inside], minlength=len(kinds)).astype(float)
-    n, n1 = (y >= 0).sum(), (y == 1).sum()
-    want = all_ * n1 / max(n, 1)
-    chi = np.where(all_ >= 3, (pos - want) ** 2 / np.maximum(want, 1e-9) + (all_ - pos - (all_ - want)) ** 2 / np.maximum(all_ - want, 1e-9), -1)
-    best = np.argsort(-chi, kind="stable")[:count]
-    return kinds[best[chi[best] > 0]]
+def _telling(sample: DataFrame, rows: DataFrame, target: str, y: np.ndarray, count: int) -> np.ndarray:
+    """Prints of the words whose presence differs most between the classes (chi-square); rows: at and class of the sample's documents."""
+    n, n1 = int((y >= 0).sum()), int((y == 1).sum())
+    kinds = sample.join(F.broadcast(rows.where(F.col(target) >= 0)), "at").select(F.explode("words").alias("word"), target)
+    seen = kinds.groupBy("word").agg(F.count("*").cast("double").alias("all"), F.sum(target).cast("double").alias("pos")).where("all >= 3")
+    want = F.col("all") * F.lit(float(n1)) / F.lit(float(max(n, 1)))
+    off, other = F.col("pos") - want, F.col("all") - F.col("pos") - (F.col("all") - want)
+    chi = off * off / F.greatest(want, F.lit(1e-9)) + other * other / F.greatest(F.col("all") - want, F.lit(1e-9))
+    best = seen.select("word", chi.alias("chi")).where("chi > 0").orderBy(F.desc("chi"), F.col("word") < 0, "word").limit(count)  # prints are unsigned
+    return best.select("word").toArrow().column(0).to_numpy().view(np.uint64)
+
+
+def _rows(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of a view in the precision of the fit; views themselves hold a byte for a cell."""
+    return x[at].astype(np.float32)
 
 
 class _CoTraining:
@@ -195,8 +199,8 @@ class _CoTraining:
         marked = np.array(list(self.marks[k]), np.int64)
         use = np.concatenate((self.train, marked))
         label = np.concatenate((self.y[self.train], np.array(list(self.marks[k].values()), np.int64))).astype(float)
-        w = _fit(x[use], label, np.where(np.arange(len(use)) < len(self.train), 1.0, 0.3))
-        raw = x[self.held] @ w[:-1].astype(x.dtype) + w[-1]
+        w = _fit(_rows(x, use), label, np.where(np.arange(len(use)) < len(self.train), 1.0, 0.3))
+        raw = _rows(x, self.held) @ w[:-1].astype(np.float32) + w[-1]
         scale = _fit(raw[:, None].astype(float), self.y[self.held].astype(float), np.ones(len(self.held)), l2=1e-3, rounds=300)
         return w, np.array([max(scale[0], 0.0), scale[1]])
 
@@ -206,7 +210,7 @@ class _CoTraining:
         (wt, st), (wm, sm) = (self.fitted(k, x[k]) for k in (0, 1))
         mixed = np.array([0.5, 0.5, 0.0])
         if last:
-            both = np.column_stack([s[0] * (v[self.held] @ w[:-1].astype(v.dtype) + w[-1]) + s[1] for v, w, s in zip(x, (wt, wm), (st, sm))])
+            both = np.column_stack([s[0] * (_rows(v, self.held) @ w[:-1].astype(np.float32) + w[-1]) + s[1] for v, w, s in zip(x, (wt, wm), (st, sm))])
             mixed = _fit(both, self.y[self.held].astype(float), np.ones(len(self.held)), l2=1e-3, rounds=300)
         return Target(wt, wm, np.array([st, sm]), np.array([max(mixed[0], 0.0), max(mixed[1], 0.0), mixed[2]]))
 
@@ -258,23 +262,53 @@ def _surest(docs: DataFrame, model: Model, text_col: str, lists: list[tuple[str,
     return [(r["list"], r["id"]) for r in found.withColumn("place", place).where(F.col("place") <= max(most for *_, most in lists)).join(F.broadcast(limits), "list").where("place <= most").orderBy("place", "list").select("list", "id").collect()]
 
 
-def _collected(docs: DataFrame, text_col: str) -> tuple:
-    """Ids, features and metadata of the bounded fitting sample, gathered by tasks."""
+def _features(docs: DataFrame, text_col: str, known: np.ndarray | None = None) -> DataFrame:
+    """Ids, features and metadata of documents, made by tasks; words: prints, or the places in known of those that are in it."""
     schema = pa.schema([("id", pa.int64()), ("words", pa.list_(pa.int64())), ("style", pa.list_(pa.float64())), ("meta", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             for a, b, texts in text_slices(batch.column(text_col), 300_000):
                 words, owner, style = text_features(texts)
+                words, owner = _places(words, owner, known)
                 meta = meta_features(*(batch.column(c).slice(a, b - a).to_pylist() for c in ("source", "lang", "n_chars")))
                 ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=b - a))))
                 yield pa.record_batch([batch.column("id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.view(np.int64))), pa.array(style.tolist(), pa.list_(pa.float64())), pa.array(meta.tolist(), pa.list_(pa.int64()))], schema=schema)
 
-    return docs.mapInArrow(run, "id long, words array<long>, style array<double>, meta array<long>").toArrow()
+    return docs.mapInArrow(run, "id long, words array<long>, style array<double>, meta array<long>")
+
+
+def _places(words: np.ndarray, owner: np.ndarray, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    if known is None or not len(words):
+        return words, owner
+    at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+    hit = known[at] == words if len(known) else np.zeros(len(words), bool)
+    return at[hit], owner[hit]
+
+
+def _known_words(sample: DataFrame, known: np.ndarray) -> pa.Table:
+    """at and places in known of the words of the sample's documents."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("words")
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            words, owner = _places(lists.flatten().to_numpy().view(np.uint64), owner, known)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(lists)))))
+            yield pa.record_batch([batch.column("at"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.astype(np.int64)))], names=["at", "words"])
+
+    return sample.select("at", "words").mapInArrow(run, "at long, words array<long>").toArrow()
+
+
+def _list_parts(column: pa.ChunkedArray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values of the lists of some rows, in their order; the position in rows of each)."""
+    lists = column.take(pa.array(rows)).combine_chunks()
+    ends = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[ends[0] : ends[-1]], np.repeat(np.arange(len(rows)), np.diff(ends))
 
 
 def _slots(meta: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(meta), META_SLOTS), np.float32)
+    x = np.zeros((len(meta), META_SLOTS), np.uint8)
     x[np.arange(len(meta))[:, None], meta] = 1
     return x
 
@@ -286,30 +320,45 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     bound_batches(spark)
 
-    def features(wanted: list[int]) -> tuple:
-        """(ids in the wanted order, words, owner, style, meta) of documents; the first row of a repeated id."""
-        some = spark.createDataFrame([(int(i),) for i in wanted], "id long")  # at most labelled or pool ids
-        got = _collected(plain.join(F.broadcast(some), "id", "left_semi"), text_col)
-        ids = got.column("id").to_numpy()
-        place = {int(i): k for k, i in enumerate(wanted)}
-        first = np.array(sorted(np.unique(ids, return_index=True)[1], key=lambda k: place[int(ids[k])]), np.int64)
-        got, ids = got.take(pa.array(first)), ids[first]
-        if not len(ids):
-            return ids, np.zeros(0, np.uint64), np.zeros(0, np.int64), text_features([b""])[2][:0], np.zeros((0, 3), np.int64)
-        lists = got.column("words").combine_chunks()
-        owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
-        words = lists.values.to_numpy().view(np.uint64)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
-        return ids, words, owner, np.array(got.column("style").to_pylist(), float), np.array(got.column("meta").to_pylist(), np.int64).reshape(-1, 3)
-
-    ids, words, owner, style, meta = features(marked["id"].tolist())
+    def wanted(ids: list[int]) -> DataFrame:
+        some = spark.createDataFrame([(int(i),) for i in ids], "id long")  # at most labelled or pool ids
+        return plain.join(F.broadcast(some), "id", "left_semi")
+
+    def firsts(got: pa.Table, ids: list[int]) -> np.ndarray:
+        """Rows of got in the order of ids; the first row of a repeated id."""
+        found, place = got.column("id").to_numpy(), {int(i): k for k, i in enumerate(ids)}
+        return np.array(sorted(np.unique(found, return_index=True)[1], key=lambda k: place[int(found[k])]), np.int64)
+
+    def dense(got: pa.Table, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(rows):
+            return text_features([b""])[2][:0], np.zeros((0, 3), np.int64)
+        some = got.select(["style", "meta"]).take(pa.array(rows))
+        return np.array(some.column("style").to_pylist(), float), np.array(some.column("meta").to_pylist(), np.int64).reshape(-1, 3)
+
+    # The sample's words stay in the shared folder: they are counted there, and only those that the model knows come to the driver.
+    names = [int(i) for i in marked["id"]]
+    sample = save(_features(wanted(names), text_col).withColumn("at", F.monotonically_increasing_id()), "op1-sample", True)
+    got = sample.select("id", "at", "style", "meta").toArrow().sort_by("at")
+    rows = firsts(got, names)
+    ids, ats, (style, meta) = got.column("id").to_numpy()[rows], got.column("at").to_numpy()[rows], dense(got, rows)
     cuts = np.quantile(style if len(style) else text_features([b""])[2], np.linspace(0.1, 0.9, 9), axis=0).T
     by_id = marked.set_index("id")
     y = {t: np.array([-1 if (v := by_id[t].get(int(i))) is None or v != v else int(v > 0) for i in ids], np.int64) for t in ("quality", "toxic")}
-    known = np.unique(np.concatenate([_telling(words, owner, v, WORDS // 2) for v in y.values()])) if len(ids) else words
-    # One matrix with room for what is marked later: its pages are taken as they are written, so rounds make no copies of it. Texts' words go as soon as they are in it.
-    room = np.zeros((len(ids) + pool, len(known) + cuts.shape[0] * (cuts.shape[1] + 1)), np.float32)
-    x = (_matrix(words, owner, style, known, cuts, len(ids), room[: len(ids)]), _slots(meta))
-    del words, owner, style, meta
+    known = np.zeros(0, np.uint64)
+    if len(ids):
+        classes = spark.createDataFrame([(int(a), int(q), int(s)) for a, q, s in zip(ats, y["quality"], y["toxic"])], "at long, quality int, toxic int")
+        known = np.unique(np.concatenate([_telling(sample, classes, t, v, WORDS // 2) for t, v in y.items()]))
+    # One matrix of bytes with room for what is marked later: its pages are taken as they are written, so rounds make no copies of it.
+    room = np.zeros((len(ids) + pool, len(known) + cuts.shape[0] * (cuts.shape[1] + 1)), np.uint8)
+    x = (_matrix(known[:0], np.zeros(0, np.int64), style, known, cuts, len(ids), room[: len(ids)]), _slots(meta))
+    if len(ids):
+        words = _known_words(sample, known)
+        at = words.column("at").to_numpy()
+        order = np.argsort(at, kind="stable")
+        column, owner = _list_parts(words.column("words"), order[np.searchsorted(at[order], ats)])
+        x[0][owner, column] = 1
+        del words, column, owner
+    del got, style, meta
     place, learners = {int(i): k for k, i in enumerate(ids)}, {t: _CoTraining(v) for t, v in y.items()}
     model = lambda last: Model(known, cuts, {t: c.target(x, last) for t, c in learners.items()})
     n_marks = marks.count()
@@ -323,11 +372,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         fresh = list(dict.fromkeys(i for _, i in found if i not in place))[:left]
         left -= len(fresh)
         if fresh:
-            new, words, owner, style, meta = features(fresh)
+            got = _features(wanted(fresh), text_col, known).toArrow()
+            rows = firsts(got, fresh)
+            new, (style, meta), (column, owner) = got.column("id").to_numpy()[rows], dense(got, rows), _list_parts(got.column("words"), rows)
             end = len(x[0]) + len(new)
-            _matrix(words, owner, style, known, cuts, len(new), room[len(x[0]) : end])
+            _matrix(known[:0], owner[:0], style, known, cuts, len(new), room[len(x[0]) : end])[owner, column] = 1
             x = (room[:end], np.concatenate((x[1], _slots(meta))))
-            del words, owner, style, meta
+            del got, style, meta, column, owner
             place |= {int(i): len(place) + k for k, i in enumerate(new)}
         for n, i in found:
             t, view, value, _ = lists[n]
@@ -337,7 +388,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             break
     out = model(True)
     del x, room
-    pa.default_memory_pool().release_unused()  # later stages share the driver
+    give_back()  # later stages share the driver
     return out
 
 
