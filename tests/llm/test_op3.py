@@ -121,3 +121,24 @@ def test_texts_longer_than_the_window():
         assert own.ids(MARK + text) == library.encode(text)
         spans = PIECES.search_merged(text)
         assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_known_stretches_are_looked_up_without_a_miss(monkeypatch):
+    """Stops, letters beyond ASCII and repeated blanks are cut before the lookup, not in a miss that comes again with every text."""
+    own, texts = _Stretches(PATH, own=True), ["Naïve words, and more. ñandú: ß! éou", "two  blanks\n\nand 世界 q\x00", "plain words. Only (these)"]
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    first = [own.encode(t) for t in texts]
+    assert [list(memoryview(x).cast("H")) for x in first] == [library.encode(t) for t in texts]
+    missed = []
+    monkeypatch.setattr(_Stretches, "__missing__", lambda self, s: missed.append(s) or b"")
+    assert [own.encode(t) for t in texts] == first and not missed
+
+
+def test_boundaries_without_places(monkeypatch):
+    """Characters beyond the table's bound are told apart where they are missed."""
+    import trailmark.llm.op3_sentencepiece as op3
+
+    texts = ["Naïve words, and more.\nñandú: ß!  éou", "Привет, мир. éèê"]
+    want = [_Stretches(PATH, own=True).encode(t) for t in texts]
+    monkeypatch.setattr(op3, "MOST_PLACES", 20)
+    assert [_Stretches(PATH, own=True).encode(t) for t in texts] == want

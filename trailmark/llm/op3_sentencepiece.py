@@ -21,6 +21,7 @@ holds no more than its window and its ids. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections import defaultdict
@@ -40,6 +41,7 @@ CACHE_PAIRS = 300_000
 _ENTRY = 200  # bytes of a remembered stretch beside its characters and ids
 _SLICE = 2_000_000
 MARK = "▁"
+MOST_PLACES = 2_000  # characters whose boundaries are looked up in a table of all their pairs
 SHORT_STRETCH = 128  # characters up to which merges are found by plain scans
 #: Fixed value: what an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
@@ -245,7 +247,7 @@ class Pieces:
 
 
 class _Stretches(dict):
-    """Ids by stretch; own: those of the model's kind, otherwise always by the highest sum of scores."""
+    """Ids by stretch, with blanks for marks; own: those of the model's kind, otherwise always by the highest sum of scores."""
 
     def __init__(self, path: str, own: bool = False, limit: int = CACHE_BYTES):
         super().__init__()
@@ -253,8 +255,27 @@ class _Stretches(dict):
         self.pieces = Pieces(path)
         self.merges = own and self.pieces.merges
         self.held, self.older = 0, {}  # bytes of the newer generation, and the older one
+        self.place, self.cut = self.boundaries()
+        self.wide = math.isqrt(len(self.cut))
         self.kind, self.code = ("<u2", "H") if self.pieces.size <= 1 << 16 else ("<u4", "I")
 
+    def boundaries(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place of a code point, whether a boundary lies between two places); a character that no piece holds beside another is at 0."""
+        chars = sorted(c for c in {c for pair in self.pieces.inner for c in pair} if c != MARK)[: MOST_PLACES - 1]
+        place = np.zeros(max([32, *map(ord, chars)]) + 2, np.int64)
+        place[list(map(ord, chars))] = np.arange(1, len(chars) + 1)
+        if not place[32]:  # stands for the mark
+            place[32] = len(chars) + 1
+        n = len(chars) + 2
+        at, cut = {MARK: place[32]} | {c: k for k, c in enumerate(chars, 1)}, np.ones((n, n), bool)
+        for x, y in self.pieces.inner:
+            if x in at and y in at:
+                cut[at[x], at[y]] = False
+        for x, y in self.pieces.inner:  # what has no place of its own is told apart where it is missed
+            if x not in at or y not in at:
+                cut[at.get(x, 0), at.get(y, 0)] = False
+        return place, cut.ravel()
+
     def ids(self, s: str) -> list[int]:
         p, out = self.pieces, []
         known = p.id.get
@@ -269,11 +290,11 @@ class _Stretches(dict):
     def __missing__(self, s: str) -> bytes:
         got = self.older.pop(s, None)
         if got is None:
-            inner = self.pieces.inner
-            cuts = [k for k in range(1, len(s)) if s[k - 1 : k + 1] not in inner]
+            inner, marked = self.pieces.inner, s.replace(" ", MARK)
+            cuts = [k for k in range(1, len(s)) if marked[k - 1 : k + 1] not in inner]
             if cuts:
                 return b"".join(self[s[a:b]] for a, b in zip([0, *cuts], [*cuts, len(s)]))
-            got = array(self.code, self.ids(s)).tobytes() if s else b""
+            got = array(self.code, self.ids(marked)).tobytes() if s else b""
             if len(s) > 1024:  # hardly comes again
                 return got
         self.held += _ENTRY + 2 * len(s) + len(got)
@@ -293,13 +314,22 @@ class _Stretches(dict):
         if not self.pieces.splits:
             parts = (MARK + text.replace(" ", MARK) if k == 0 else text.replace(" ", MARK) for k, text in enumerate(text.split(MARK)))
             return self.literal().join(np.array(self.ids(p), self.kind).tobytes() for p in parts)
-        if MARK in text or "\x1f" in text or "  " in text or text[0] == " ":
-            parts = re.findall(rf"{MARK}|\n| +[^ \n{MARK}]*|[^ \n{MARK}]+", " " + text)
-            out = b"".join(self.literal() if p == MARK else self[p.replace(" ", MARK)] for p in parts)
-        else:
-            marked = (MARK + text.replace(" ", f"\x1f{MARK}")).replace("\n", "\x1f\n\x1f")
-            out = b"".join(map(self.__getitem__, marked.split("\x1f")))
-        return out
+        text = " " + text
+        if MARK in text or "\x1f" in text:
+            parts = re.findall(rf"{MARK}|\n| +[^ \n{MARK}]*|[^ \n{MARK}]+", text)
+            return b"".join(self.literal() if p == MARK else self[p] for p in parts)
+        # A separator goes into every boundary, so that the stretches are cut and looked up without a step of Python for each.
+        code, kind = ("ascii", np.uint8) if text.isascii() else ("utf-32-le", np.uint32)
+        raw = np.frombuffer(text.encode(code, "surrogatepass"), kind)
+        at = self.place.take(raw, mode="clip")
+        pair = at[:-1] * self.wide + at[1:]
+        cuts = np.flatnonzero(self.cut[pair])
+        to = np.arange(len(cuts)) + cuts + 1  # of the separators
+        out = np.empty(len(raw) + len(cuts), raw.dtype)
+        there = np.ones(len(out), bool)
+        there[to] = False
+        out[to], out[there] = 0x1F, raw
+        return b"".join(map(self.__getitem__, out.tobytes().decode(code, "surrogatepass").split("\x1f")))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces.text.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
