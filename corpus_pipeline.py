@@ -27,7 +27,7 @@ from trailmark.llm.op7_jaccard import jaccard_components
 from trailmark.llm.op9_secrets import redact
 from trailmark.llm.op10_decontaminate import contamination
 
-#: Bytes of stretches that a task of the last stage remembers: its Python workers still hold what earlier stages left in them.
+#: Bytes of stretches that a task of the last stage remembers, and forgets at its end: the same Python workers serve the other stages of later runs.
 TOKEN_CACHE = 48 << 20
 
 
@@ -60,7 +60,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts = docs.select("doc_id", "lang", "source", "text")
-    out = encode_ids(texts, public_tokenizers.path("piece_bpe_32k.model"), keep_text=False, cache_bytes=TOKEN_CACHE)
+    out = encode_ids(texts, public_tokenizers.path("piece_bpe_32k.model"), keep_text=False, cache_bytes=TOKEN_CACHE, forget=True)
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.test_op7 import brute as components
 from tests.llm.test_op10 import brute as hits
+from trailmark.llm.common import READ_ROWS, table
 from trailmark.llm.op3_sentencepiece import MARK
 from trailmark.llm.op9_secrets import find_secrets
 
@@ -65,3 +67,42 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, D)
         assert docs.count() == 0
+
+
+def test_workers_forget_the_stretches_of_the_last_stage(spark):
+    """The workers that made tokens serve other stages next: neither the model's tables nor the stretches stay in them."""
+    docs = spark.range(0, 800, 1, 8).selectExpr("id AS doc_id", "'en' AS lang", "'s' AS source", "concat('some words of text ', id) AS text")
+    assert corpus_pipeline.tokens(spark, docs, D).where("n_tokens = 0").count() == 0
+
+    def left(batches):
+        import gc
+
+        from trailmark.llm.op3_sentencepiece import _Stretches
+
+        for _ in batches:
+            pass
+        yield pa.record_batch([pa.array([sum(type(x) is _Stretches and x.limit == corpus_pipeline.TOKEN_CACHE for x in gc.get_objects())], pa.int64())], names=["n"])
+
+    assert [r.n for r in spark.range(0, 8, 1, 8).mapInArrow(left, "n long").collect()] == [0] * 8
+
+
+def test_quality_starts_no_workers_of_another_kind(spark, monkeypatch):
+    """Rows of the driver that go through parallelize need Python workers of their own, beside those of mapInArrow."""
+
+    def refused(*_, **__):
+        raise AssertionError("rows went through a Python RDD")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    kept = corpus_pipeline.quality(spark, docs, D)
+    assert 0 < kept.count() <= docs.count()
+
+
+def test_parquet_batches_are_bounded_but_for_a_user_s_own(spark):
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    session = spark.newSession()
+    table(session, D, "documents")
+    assert session.conf.get(name) == READ_ROWS
+    session.conf.set(name, "77")
+    table(session, D, "documents")
+    assert session.conf.get(name) == "77"

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checked_broadcast, give_back, save
+from .common import bound_batches, checked_broadcast, give_back, local_rows, save
 from .rolling import Poly, join_texts, mix, text_slices
 
 ROUNDS, SURE, ROUND_SHARE = 3, 0.97, 0.15
@@ -257,7 +257,7 @@ def _surest(docs: DataFrame, model: Model, text_col: str, lists: list[tuple[str,
             yield pa.record_batch([pa.array(np.full(len(s), n, np.int32)), pa.array(s), pa.array(t), pa.array(i)], schema=schema)
 
     found = docs.mapInArrow(run, "list int, sure double, turn long, id long").groupBy("list", "id").agg(F.max("sure").alias("sure"), F.min("turn").alias("turn"))
-    limits = docs.sparkSession.createDataFrame([(n, most) for n, (_, _, _, most) in enumerate(lists)], "list int, most int")
+    limits = local_rows(docs.sparkSession, list=pa.array(range(len(lists)), pa.int32()), most=pa.array([most for *_, most in lists], pa.int32()))
     place = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("sure"), "turn", "id"))
     return [(r["list"], r["id"]) for r in found.withColumn("place", place).where(F.col("place") <= max(most for *_, most in lists)).join(F.broadcast(limits), "list").where("place <= most").orderBy("place", "list").select("list", "id").collect()]
 
@@ -321,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bound_batches(spark)
 
     def wanted(ids: list[int]) -> DataFrame:
-        some = spark.createDataFrame([(int(i),) for i in ids], "id long")  # at most labelled or pool ids
+        some = local_rows(spark, id=pa.array(ids, pa.int64()))  # at most labelled or pool ids
         return plain.join(F.broadcast(some), "id", "left_semi")
 
     def firsts(got: pa.Table, ids: list[int]) -> np.ndarray:
@@ -346,7 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = {t: np.array([-1 if (v := by_id[t].get(int(i))) is None or v != v else int(v > 0) for i in ids], np.int64) for t in ("quality", "toxic")}
     known = np.zeros(0, np.uint64)
     if len(ids):
-        classes = spark.createDataFrame([(int(a), int(q), int(s)) for a, q, s in zip(ats, y["quality"], y["toxic"])], "at long, quality int, toxic int")
+        classes = local_rows(spark, at=pa.array(ats, pa.int64()), quality=pa.array(y["quality"], pa.int32()), toxic=pa.array(y["toxic"], pa.int32()))
         known = np.unique(np.concatenate([_telling(sample, classes, t, v, WORDS // 2) for t, v in y.items()]))
     # One matrix of bytes with room for what is marked later: its pages are taken as they are written, so rounds make no copies of it.
     room = np.zeros((len(ids) + pool, len(known) + cuts.shape[0] * (cuts.shape[1] + 1)), np.uint8)

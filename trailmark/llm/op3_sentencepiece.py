@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, give_back
 from .rolling import in_slices
 
 CACHE_BYTES = 160 << 20  # about what the remembered stretches of a task may take
@@ -340,17 +340,22 @@ def _stretches(path: str, limit: int = CACHE_BYTES) -> _Stretches:
     return _Stretches(path, own=True, limit=limit)
 
 
-def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids", keep_text: bool = True, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids", keep_text: bool = True, cache_bytes: int = CACHE_BYTES, forget: bool = False) -> DataFrame:
     """docs with out_col array<int> appended (a column of that name is replaced); keep_text: whether the text stays.
 
-    cache_bytes bounds the stretches that a task remembers: fewer cost time, never ids.
+    cache_bytes bounds the stretches that a task remembers: fewer cost time, never ids. forget: the model's tables and the stretches go
+    with the task, for jobs that have other uses for their workers' memory; otherwise a worker keeps them for its next task.
     """
     bound_batches(docs.sparkSession)
     kept = docs.drop(out_col)
     names = [c for c in kept.columns if keep_text or c != text_col]
 
     def run(batches):
-        known = _stretches(path, cache_bytes)
+        yield from encoded(_Stretches(path, own=True, limit=cache_bytes) if forget else _stretches(path, cache_bytes), batches)
+        if forget:
+            give_back()
+
+    def encoded(known, batches):
         for whole in batches:
             for batch in in_slices(whole, text_col, _SLICE):
                 done, ends = [], [0]
