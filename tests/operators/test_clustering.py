@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from trailmark.functions import poses as P
 from trailmark.operators import views as V
 from trailmark.operators.clustering import codebook, kmeans
+from trailmark.plans import ordered_plans  # noqa: F401
+from trailmark.plans.registry import ORACLES, QUERIES
 
 
 def plain_kmeans(x, c, metric, rounds, bound):
@@ -174,3 +177,21 @@ def test_views_meet_without_broadcasts(spark):
     out = V.best_overlaps(f, f.select("track", "idx", F.col("idx").alias("before")), side=3)
     assert out.where("best > 0").count() == 8 * 48
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlap_of_repeated_poses_equals_sql(spark, tmp_path):
+    """Frames of one pose see each other's edges: the last digit decides, in angles as in sums."""
+    odd = [6.9, 13.2] + [k * 0.37 for k in range(400)]
+    rows = [(7 * i + 450 * 1000 * copy, user, odd[(31 * i + user) % len(odd)]) for copy in range(6) for i in range(60) for user in range(3)]
+    spark.createDataFrame([(e * 3 + u, u, "view", v) for e, u, v in rows], "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {tuple(r) for r in QUERIES["j18_view_overlap"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert len(got) == 3 * 36 and got == set(con.execute(ORACLES["j18_view_overlap"]).fetchall())
+
+
+def test_turns_have_the_digits_of_the_system(spark):
+    angles = [k * 0.001 for k in range(-20_000, 20_000)]
+    df = spark.createDataFrame([(a,) for a in [*angles, None, math.inf]], "a double").select("a", P.turned("a").alias("t"))
+    for r in df.collect():
+        assert (r.t.cos, r.t.sin) == ((None, None) if r.a is None or math.isinf(r.a) else (math.cos(r.a), math.sin(r.a)))
