@@ -213,6 +213,35 @@ def test_candidates_are_drawn_in_many_tasks(spark):
     assert len({r.sample for r in out}) == 40 and len({r.task for r in out}) > 3
 
 
+def test_footprints_of_like_size_are_drawn_together(monkeypatch):
+    """One by one a footprint took more than a millisecond; some hundred are a few array steps, and equal those drawn alone."""
+    rng = np.random.default_rng(8)
+    n, calls, plain = 240, [], M._drawn
+    settings = {"radius_fraction_of_short_side": 0.05, "max_radius_pixels": 4, "max_added_area_ratio": 0.5, "max_image_area_fraction": 0.2}
+    shapes, tried = M.SHAPES, []
+    for _ in range(n):
+        tried.append([{"family": s, "shape": s, "area_fraction": a, "aspect": 1.4, "angle": t, "phase": float(rng.random() * 6)} for s in shapes for a, t in ((0.04, 0.0), (0.15, 0.0), (0.06, 20.0), (0.3, -5.0))])
+    h, w = rng.choice([40, 56], n), rng.choice([48, 64], n)
+    x, y = rng.random(n) * w, rng.random(n) * h
+    one = np.ones(n)
+    batch = M.pa.record_batch({"sample": np.arange(n), "height": h, "width": w, "x": x, "y": y, "weights": M.pa.array(rng.random((n, 256)).tolist()), "roi": M.pa.array([[1, 2, 18, None, 300]] * n, M.pa.list_(M.pa.int32())), "tried": M.pa.array(tried), "ids": M.pa.array([["i"] * 20] * n), "total": one})
+    monkeypatch.setattr(M, "_drawn", lambda *a: calls.append(len(a[1])) or plain(*a))
+    got = [r for b in M._draw(settings, ["sample", "height", "width", "x", "y", "total"], True)(iter([batch])) for r in b.to_pylist()]
+    assert len(got) == sum(calls) == n * 20 and len(calls) < n
+    status = set()
+    for k, r in enumerate(got):
+        phase = tried[k // 20][k % 20]["phase"]
+        kept, top, left, cut = M.raster(r["shape"], r["height"], r["width"], r["x"], r["y"], r["area_fraction"], r["aspect"], r["angle"], phase)
+        core = np.zeros((r["height"], r["width"]), bool)
+        core[top : top + kept.shape[0], left : left + kept.shape[1]] = kept
+        assert (to_pixels(r["core"], *core.shape) == core).all() and (r["area"], r["clipped_pixels"]) == (core.sum(), cut)
+        rr = r["render_radius"]
+        wide = M.dilate(core, rr)[rr : rr + core.shape[0], rr : rr + core.shape[1]]
+        assert (to_pixels(r["render"], *core.shape) == wide).all() and r["render_area"] == wide.sum()
+        status.add(r["render_status"])
+    assert len(status) >= 3
+
+
 def test_masks_of_one_size_are_searched_together(spark):
     rng = np.random.default_rng(11)
     masks = rng.random((40, 9, 30)) < 0.4

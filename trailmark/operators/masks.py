@@ -1,7 +1,7 @@
 """Masks as run-length rows (y, x0, x1): compact ellipses in their place, and candidate footprints with their coverage.
 
 Parameters, template sizes, geometry and choices are columns; only what walks over pixels (overlap of a shape at many places, rasters,
-dilation) is a helper that sees one mask's runs or one candidate's box, and gives runs or sums back. Pixels are never rows.
+dilation) is a helper that sees one mask's runs or some candidates' boxes, and gives runs or sums back. Pixels are never rows.
 """
 
 from __future__ import annotations
@@ -325,74 +325,135 @@ def _phase(seed: int, sample: Column, family: Column) -> Column:
     return F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(2.0**64) * F.lit(2 * math.pi)
 
 
-def raster(shape: str, height: int, width: int, cx: float, cy: float, fraction: float, aspect: float, angle: float, phase: float) -> tuple[np.ndarray, int, int, int]:
-    """Pixels of a footprint whose centres lie inside it: (part inside the image, its first row and column, pixels cut off by the image)."""
+def _inside(shape: str, x: np.ndarray, y: np.ndarray, half_w: np.ndarray, half_h: np.ndarray, cos: np.ndarray, sin: np.ndarray, phase: np.ndarray) -> np.ndarray:
+    """[shapes, rows, columns]: which pixel centres (x [shapes, 1, columns], y [shapes, rows, 1] from the middle) lie inside; without turns, u depends on columns and v on rows alone."""
+    u, v = (cos * x + sin * y if sin.any() else cos * x) / half_w, (cos * y - sin * x if sin.any() else cos * y) / half_h
+    if shape == "horizontal_compact":
+        return u**4 + v**4 <= 1
+    if shape == "cone_triangle":
+        return (abs(v) <= 1) & (abs(u) <= (v + 1) / 2)
+    if shape == "compact_irregular_blob":
+        square = u**2 + v**2
+        inside = square < 0.7  # its edge lies between 0.84 and 1.16
+        near = np.nonzero(~inside & (square < 1.4))
+        u, v, phase = np.broadcast_to(u, square.shape)[near], np.broadcast_to(v, square.shape)[near], phase[near[0], 0, 0]
+        turn = np.arctan2(v, u)
+        inside[near] = np.hypot(u, v) <= 1 + 0.1 * np.cos(3 * turn + phase) + 0.06 * np.sin(5 * turn - phase)
+        return inside
+    return (abs(u) <= 1) & (abs(v) <= 1)
+
+
+def _frames(shape: str, height: np.ndarray, width: np.ndarray, cx: np.ndarray, cy: np.ndarray, fraction: np.ndarray, aspect: np.ndarray, angle: np.ndarray) -> tuple:
+    """Half sides, cosines and sines of some footprints, and their boxes: first column, first row, columns, rows, not cut by the image."""
     fill = {"horizontal_compact": math.gamma(1.25) ** 2 / math.gamma(1.5), "cone_triangle": 0.5, "compact_irregular_blob": math.pi / 4 * (1 + (0.1**2 + 0.06**2) / 2)}.get(shape, 1.0)
     area = height * width * fraction / fill
-    half_w, half_h = math.sqrt(area * aspect) / 2, math.sqrt(area / aspect) / 2
-    cos, sin = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+    half_w, half_h = np.sqrt(area * aspect) / 2, np.sqrt(area / aspect) / 2
+    angles, which = np.unique(np.radians(angle), return_inverse=True)
+    cos, sin = (np.array([f(a) for a in angles.tolist()])[which] for f in (math.cos, math.sin))
     room = 1.17 if shape == "compact_irregular_blob" else 1.0
     reach_x, reach_y = room * (abs(cos) * half_w + abs(sin) * half_h), room * (abs(sin) * half_w + abs(cos) * half_h)
-    x = np.arange(math.floor(cx - reach_x) - 1, math.ceil(cx + reach_x) + 1)
-    y = np.arange(math.floor(cy - reach_y) - 1, math.ceil(cy + reach_y) + 1)[:, None]
-    u, v = (cos * (x + 0.5 - cx) + sin * (y + 0.5 - cy)) / half_w, (cos * (y + 0.5 - cy) - sin * (x + 0.5 - cx)) / half_h
-    if shape == "horizontal_compact":
-        inside = u**4 + v**4 <= 1
-    elif shape == "cone_triangle":
-        inside = (abs(v) <= 1) & (abs(u) <= (v + 1) / 2)
-    elif shape == "compact_irregular_blob":
-        turn = np.arctan2(v, u)
-        inside = np.hypot(u, v) <= 1 + 0.1 * np.cos(3 * turn + phase) + 0.06 * np.sin(5 * turn - phase)
-    else:
-        inside = (abs(u) <= 1) & (abs(v) <= 1)
-    rows, cols = (y[:, 0] >= 0) & (y[:, 0] < height), (x >= 0) & (x < width)
-    kept = inside[rows][:, cols]
-    top, left = (int(y[rows][0, 0]) if rows.any() else 0), (int(x[cols][0]) if cols.any() else 0)
-    return kept, top, left, int(inside.sum()) - int(kept.sum())
+    left, top = np.floor(cx - reach_x).astype(np.int64) - 1, np.floor(cy - reach_y).astype(np.int64) - 1
+    return half_w, half_h, cos, sin, left, top, np.ceil(cx + reach_x).astype(np.int64) + 1 - left, np.ceil(cy + reach_y).astype(np.int64) + 1 - top
 
 
-def dilate(core: np.ndarray, radius: int) -> np.ndarray:
-    """Pixels at most radius from one of core (Euclidean), on a frame wider by radius on every side: every row widened by what the circle leaves at its distance."""
-    h, w = core.shape
-    wide = np.zeros((h + 2 * radius, w + 2 * radius), bool)
-    run = np.zeros((h, w + 4 * radius + 1), np.int64)
-    run[:, 2 * radius + 1 : 2 * radius + 1 + w] = np.cumsum(core, axis=1)
-    run[:, 2 * radius + 1 + w :] = run[:, 2 * radius + w : 2 * radius + w + 1]
-    at = np.arange(w + 2 * radius) + radius
-    for d in range(-radius, radius + 1):
-        e = math.isqrt(radius * radius - d * d)
-        wide[radius + d : radius + d + h] |= run[:, at + e + 1] > run[:, at - e]
+def _rasters(shape: str, cx: np.ndarray, cy: np.ndarray, frames: tuple, phase: np.ndarray) -> np.ndarray:
+    """[footprints, rows, columns]: pixels whose centres lie inside, from each one's first row and column on."""
+    half_w, half_h, cos, sin, left, top, cols, rows = frames
+    of = lambda v: v[:, None, None]
+    x, y = of(left) + np.arange(cols.max(initial=0)) + 0.5 - of(cx), of(top) + np.arange(rows.max(initial=0))[:, None] + 0.5 - of(cy)
+    return _inside(shape, x, y, of(half_w), of(half_h), of(cos), of(sin), of(phase))
+
+
+def raster(shape: str, height: int, width: int, cx: float, cy: float, fraction: float, aspect: float, angle: float, phase: float) -> tuple[np.ndarray, int, int, int]:
+    """Pixels of a footprint whose centres lie inside it: (part inside the image, its first row and column, pixels cut off by the image)."""
+    one = lambda v: np.array([v])
+    frames = _frames(shape, *map(one, (height, width, cx, cy, fraction, aspect, float(angle))))
+    inside, left, top = _rasters(shape, one(cx), one(cy), frames, one(phase))[0], int(frames[4][0]), int(frames[5][0])
+    kept = inside[max(0, -top) : max(0, height - top), max(0, -left) : max(0, width - left)]
+    return kept, max(0, top), max(0, left), int(inside.sum()) - int(kept.sum())
+
+
+def _widened(core: np.ndarray, radius: int) -> np.ndarray:
+    """[masks, rows, columns] with the pixels at most radius from one of core (Euclidean), on frames wider by radius on every side: every row widened by what the circle leaves at its distance."""
+    n, h, w = core.shape
+    wide, row = (np.zeros((n, h + more, w + 2 * radius), bool) for more in (2 * radius, 0))
+    row[:, :, radius : radius + w] = core
+    reached = 0
+    for d in range(radius, -1, -1):  # the nearer the row, the farther it reaches to the sides
+        for reached in range(reached + 1, math.isqrt(radius * radius - d * d) + 1):
+            for at in (radius - reached, radius + reached):
+                row[:, :, at : at + w] |= core
+        for at in {radius - d, radius + d}:
+            wide[:, at : at + h] |= row
     return wide
 
 
-def _runs(pixels: np.ndarray, top: int, left: int) -> np.ndarray:
-    """Rows (y, x0, x1) of the runs of pixels."""
-    h, w = pixels.shape
-    edge = np.zeros((h, w + 2), np.int8)
-    edge[:, 1:-1] = pixels
-    y, x = np.nonzero(edge[:, 1:] != edge[:, :-1])  # by rows, every start before its end
-    return np.stack([y[::2] + top, x[::2] + left, x[1::2] + left], axis=1)
-
-
-def _footprint(r: dict, settings: dict) -> tuple:
-    """Runs of a candidate, its pixels by token, their number, sums of x and y, pixels cut off, and its widened form with its pixels and the radius that the area bounds allow."""
-    h, w = r["height"], r["width"]
-    core, top, left, cut = raster(r["shape"], h, w, r["x"], r["y"], r["area_fraction"], r["aspect"], r["angle"], r["phase"])
-    ys, xs = np.nonzero(core)
-    tokens = np.bincount((ys + top) * GRID // h * GRID + (xs + left) * GRID // w, minlength=GRID * GRID)
-    asked = min(settings["max_radius_pixels"], round(min(h, w) * settings["radius_fraction_of_short_side"]))
-    area, cap, runs = len(ys), math.floor(h * w * settings["max_image_area_fraction"]), _runs(core, top, left)
-    sums = (area, int(xs.sum()) + left * area, int(ys.sum()) + top * area, cut)
-    if not area or area > cap:
-        return runs, tokens, *sums, runs, area, 0, "empty_core" if not area else "core_exceeds_render_area_cap"
-    most = min(area + math.floor(area * settings["max_added_area_ratio"]), cap)
-    for radius in range(asked, -1, -1):
-        wide = dilate(core, radius)[max(0, radius - top) :, max(0, radius - left) :]
-        wide = wide[: h - max(0, top - radius), : w - max(0, left - radius)]
-        added = int(wide.sum())
-        if added <= most:
-            break
-    return runs, tokens, *sums, _runs(wide, max(0, top - radius), max(0, left - radius)), added, radius, "bounded" if radius < asked else "expanded"
+def _pixels(masks: np.ndarray) -> np.ndarray:
+    """How many pixels each mask has."""
+    return np.bitwise_count(np.packbits(masks.reshape(len(masks), -1), axis=1)).sum(1, dtype=np.int64)
+
+
+def dilate(core: np.ndarray, radius: int) -> np.ndarray:
+    """One mask widened."""
+    return _widened(core[None], radius)[0]
+
+
+def _run_lists(masks: np.ndarray, top: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(of which mask, rows (y, x0, x1)) of the runs of masks, by mask, row and place."""
+    edge = np.zeros((*masks.shape[:2], masks.shape[2] + 2), bool)
+    edge[:, :, 1:-1] = masks
+    of, y, x = np.nonzero(edge[:, :, 1:] != edge[:, :, :-1])  # by rows, every start before its end
+    of = of[::2]
+    return of, np.stack([y[::2] + top[of], x[::2] + left[of], x[1::2] + left[of]], axis=1)
+
+
+def _drawn(shape: str, height: np.ndarray, width: np.ndarray, cx: np.ndarray, cy: np.ndarray, frames: tuple, phase: np.ndarray, settings: dict, runs: bool) -> dict:
+    """Of some footprints of one shape: area, sums of x and y, pixels cut off, pixels by token, and of the widened form its pixels and the radius that the area bounds allow; runs of both on demand."""
+    left, top = frames[4], frames[5]
+    core = _rasters(shape, cx, cy, frames, phase)
+    whole = _pixels(core)
+    x, y = left[:, None] + np.arange(core.shape[2]), top[:, None] + np.arange(core.shape[1])
+    core &= ((x >= 0) & (x < width[:, None]))[:, None] & ((y >= 0) & (y < height[:, None]))[:, :, None]
+    # Pixels by token from sums over all pixels above and left of the tokens' corners.
+    sums = np.zeros((len(core), core.shape[1] + 1, core.shape[2] + 1), np.int32)
+    np.cumsum(core, axis=1, out=sums[:, 1:, 1:])
+    np.cumsum(sums, axis=2, out=sums)
+    by_col, by_row, area = np.diff(sums[:, -1]).astype(np.int64), np.diff(sums[:, :, -1]).astype(np.int64), sums[:, -1, -1].astype(np.int64)
+    corner = np.arange(GRID + 1)
+    at_x, at_y = (np.clip(-(-corner * size[:, None] // GRID) - first[:, None], 0, most) for size, first, most in ((width, left, core.shape[2]), (height, top, core.shape[1])))
+    corners = sums[np.arange(len(core))[:, None, None], at_y[:, :, None], at_x[:, None, :]]
+    tokens = np.diff(np.diff(corners, axis=1), axis=2).reshape(len(core), GRID * GRID)
+    # The widest form within the bounds, tried from the asked radius down; radius 0 is the core itself.
+    short = np.minimum(height, width)
+    radius = np.minimum(settings["max_radius_pixels"], np.round(short * settings["radius_fraction_of_short_side"]).astype(np.int64))
+    cap = np.floor(height * width * settings["max_image_area_fraction"]).astype(np.int64)
+    status = np.select([area == 0, area > cap], ["empty_core", "core_exceeds_render_area_cap"], "expanded").astype(object)
+    most = np.minimum(area + np.floor(area * settings["max_added_area_ratio"]).astype(np.int64), cap)
+    open_ = np.flatnonzero(status == "expanded")
+    radius[status != "expanded"] = 0
+    added, lists = area.copy(), []
+    said = lambda masks, of, r: lists.append((of, *_run_lists(masks, top[of] - r, left[of] - r)))
+    if runs:
+        said(core[rest := np.flatnonzero(status != "expanded")], rest, 0)
+    while len(open_):
+        r = int(radius[open_].max())
+        now = open_[radius[open_] == r]
+        wide = _widened(core[now], r)
+        x, y = left[now, None] - r + np.arange(wide.shape[2]), top[now, None] - r + np.arange(wide.shape[1])
+        wide &= ((x >= 0) & (x < width[now, None]))[:, None] & ((y >= 0) & (y < height[now, None]))[:, :, None]
+        n = _pixels(wide)
+        fits = (n <= most[now]) | (r == 0)
+        added[now[fits]] = n[fits]
+        if runs:
+            said(wide[fits], now[fits], r)
+        radius[now[~fits]] = r - 1
+        status[now[~fits]] = "bounded"
+        open_ = open_[radius[open_] < r]
+    out = {"area": area, "sx": (by_col * np.arange(core.shape[2])).sum(1) + left * area, "sy": (by_row * np.arange(core.shape[1])).sum(1) + top * area, "clipped_pixels": whole - area, "render_area": added, "render_radius": radius, "render_status": status, "tokens": tokens}
+    if runs:
+        out["core"] = _run_lists(core, top, left)
+        out["render"] = (np.concatenate([of[k] for of, k, _ in lists]), np.concatenate([rows for _, _, rows in lists]))
+    return out
 
 
 def _numbers(lists: pa.Array, size: int) -> np.ndarray:
@@ -407,50 +468,96 @@ def _numbers(lists: pa.Array, size: int) -> np.ndarray:
     return out
 
 
-def _run_lists(rows: list[np.ndarray]) -> pa.Array:
-    """Rows (y, x0, x1) of many shapes as lists of runs."""
-    ends = np.cumsum([0, *map(len, rows)])
-    all_ = np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(all_[:, k], pa.int32()) for k in range(3)], names=["y", "x0", "x1"]))
+def _as_lists(of: np.ndarray, rows: np.ndarray, many: int) -> pa.Array:
+    """Runs (y, x0, x1) of `many` shapes as lists; each shape's lie together, in order."""
+    order = np.argsort(of, kind="stable")
+    ends = np.cumsum(np.bincount(of, minlength=many))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.StructArray.from_arrays([pa.array(rows[order, k], pa.int32()) for k in range(3)], names=["y", "x0", "x1"]))
 
 
-_DRAWN = f"core {RUNS}, render {RUNS}, area long, sx long, sy long, clipped_pixels long, render_area long, render_radius int, render_status string, inside long, got double, got_roi double"
+_DRAWN = "area long, sx long, sy long, clipped_pixels long, render_area long, render_radius int, render_status string, inside long, got double, got_roi double"
+_TRIED = "family string, shape string, area_fraction double, aspect double, angle double, candidate_id string"
+_TRIES, _PIXELS = 4096, 1 << 18  # footprints whose tokens are held at once, and pixels of boxes that are drawn at once
 
 
-def _draw(settings: dict, keep: list[str]):
-    """Footprints of rows, with the sums of their coverage: pixels in the region, and shares of tokens times weights."""
-    asked = ["height", "width", "shape", "x", "y", "area_fraction", "aspect", "angle", "phase"]
+def _draw(settings: dict, keep: list[str], runs: bool):
+    """All tried footprints of rows of centres, with the sums of their coverage: pixels in the region, and shares of tokens times weights."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                got = [_footprint(r, settings) for r in batch.select(asked).to_pylist()]
-                core, tokens, n, sx, sy, cut, render, added, radius, status = zip(*got)
-                tokens, cells, weights = np.array(tokens), _numbers(batch.column("sizes"), GRID * GRID), _numbers(batch.column("weights"), GRID * GRID)
-                roi = _numbers(batch.column("in_roi"), GRID * GRID) > 0
-                part = tokens / cells * weights
-                total = lambda v: np.cumsum(v, axis=1)[:, -1]  # noqa: E731  one by one, in the order of tokens
-                new = [_run_lists(core), _run_lists(render), *(pa.array(v, pa.int64()) for v in (n, sx, sy, cut, added)), pa.array(radius, pa.int32()), pa.array(status, pa.string()), pa.array((tokens * roi).sum(1), pa.int64()), pa.array(total(part)), pa.array(total(np.where(roi, part, 0.0)))]
-                names = ["core", "render", "area", "sx", "sy", "clipped_pixels", "render_area", "render_radius", "render_status", "inside", "got", "got_roi"]
-                yield pa.record_batch([*(batch.column(c) for c in keep), *new], names=[*keep, *names])
+            step = max(1, _TRIES // max(1, len(whole.column("tried")[0]) if whole.num_rows else 1))  # every row tries the same families
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                tried, ids = batch.column("tried"), batch.column("ids").flatten()
+                centre = np.repeat(np.arange(batch.num_rows), tried.value_lengths().to_numpy(zero_copy_only=False))
+                tried = dict(zip((f.name for f in tried.type.value_type), tried.flatten().flatten(), strict=True))
+                if len(centre):
+                    yield pa.record_batch(*_covered(batch, centre, tried, ids))
+
+    def _covered(batch: pa.RecordBatch, centre: np.ndarray, tried: dict, ids: pa.Array) -> tuple:
+        number = lambda c: c.to_numpy(zero_copy_only=False)
+        h, w = (number(batch.column(c)).astype(np.int64) for c in ("height", "width"))
+        height, width, cx, cy = h[centre], w[centre], number(batch.column("x"))[centre], number(batch.column("y"))[centre]
+        fraction, aspect, angle, phase = (number(tried[c]) for c in ("area_fraction", "aspect", "angle", "phase"))
+        shapes, which = np.unique(number(tried["shape"]).astype(str), return_inverse=True)
+        out, lists = {}, {"core": [], "render": []}
+        for i, shape in enumerate(shapes.tolist()):
+            mine = np.flatnonzero(which == i)
+            size = lambda at, shape=shape: _frames(shape, height[at], width[at], cx[at], cy[at], fraction[at], aspect[at], angle[at])
+            frames = size(mine)
+            order = np.lexsort((frames[6], frames[7], frames[3] != 0))  # boxes of like sizes together, straight ones apart
+            mine, frames = mine[order], tuple(f[order] for f in frames)
+            lo = 0
+            while lo < len(mine):
+                # As many boxes as fit when all take the largest of them.
+                pixels = np.maximum.accumulate(frames[6][lo:]) * np.maximum.accumulate(frames[7][lo:]) * np.arange(1, len(mine) - lo + 1)
+                turned = (frames[3][lo:] != 0) != (frames[3][lo] != 0)
+                hi = lo + max(1, int(np.argmax(np.append((pixels > _PIXELS) | turned, True))))
+                at = mine[lo:hi]
+                got = _drawn(shape, height[at], width[at], cx[at], cy[at], tuple(f[lo:hi] for f in frames), phase[at], settings, runs)
+                for name in lists:
+                    if runs:
+                        of, rows = got.pop(name)
+                        lists[name].append((at[of], rows))
+                for name, v in got.items():
+                    out.setdefault(name, np.empty((len(centre), *v.shape[1:]), v.dtype))[at] = v
+                lo = hi
+        weights, roi, cells = _numbers(batch.column("weights"), GRID * GRID), np.zeros((batch.num_rows, GRID * GRID), bool), np.zeros((batch.num_rows, GRID * GRID))
+        region = batch.column("roi")
+        t, of = region.flatten().fill_null(-1).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(region)), region.value_lengths().to_numpy(zero_copy_only=False))
+        known = (t >= 0) & (t < GRID * GRID)
+        roi[of[known], t[known]] = True
+        corner = np.arange(GRID + 1)
+        sides = [np.diff(-(-corner * side[:, None] // GRID), axis=1) for side in (h, w)]
+        cells = (sides[0][:, :, None] * sides[1][:, None, :]).reshape(len(h), GRID * GRID)
+        tokens, roi = out.pop("tokens"), roi[centre]
+        part = tokens / cells[centre] * weights[centre]
+        total = lambda v: np.cumsum(v, axis=1)[:, -1]  # noqa: E731  one by one, in the order of tokens
+        out |= {"inside": (tokens * roi).sum(1, dtype=np.int64), "got": total(part), "got_roi": total(np.where(roi, part, 0.0))}
+        take = pa.array(centre)
+        made = {c: batch.column(c).take(take) for c in keep} | {c: v for c, v in tried.items() if c != "phase"} | {"candidate_id": ids}
+        made |= {name: pa.array(out[name], {"render_radius": pa.int32(), "render_status": pa.string()}.get(name)) for name in (d.split()[0] for d in _DRAWN.split(", "))}
+        if runs:
+            made |= {name: _as_lists(*map(np.concatenate, zip(*lists[name])), len(centre)) for name in lists}
+        return list(made.values()), list(made)
 
     return draw
 
 
-def candidates(samples: DataFrame, families: DataFrame, search: dict, render: dict, seed: int = 0) -> DataFrame:
-    """Every configured footprint of every sample, with runs (core, render), geometry and coverage; none is dropped or preferred.
+def candidates(samples: DataFrame, families: DataFrame, search: dict, render: dict, seed: int = 0, runs: bool = True) -> DataFrame:
+    """Every configured footprint of every sample, with runs (core, render; on demand), geometry and coverage; none is dropped or preferred.
 
     samples: (sample, height, width, roi, weights, angle: facade angle in degrees), a row per sample; families: (family, shape, area_low, area_high, area_samples, aspects,
     angles), a row per family. search: center_offsets, roi_anchors, anchor_separation_tokens; render: radius and area bounds.
     Coverage keeps each token's weight whatever its pixels; it is null where all weights are zero. A sample without region makes no candidates.
-    Samples are dealt over all shuffle partitions, whatever their bytes, and carry their maps into the tasks that draw: footprints are never shuffled or joined.
+    Samples are dealt over all shuffle partitions, whatever their bytes, and carry their maps into the tasks that draw, once for each centre; there
+    footprints of one shape and like size are drawn together, as arrays. Footprints are never shuffled or joined.
     """
     dealt = samples.where("size(roi) > 0").repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sample")  # a fixed number: small rows, much work
     grid = F.sequence(F.lit(0), F.lit(GRID * GRID - 1))
     side = lambda k, size: _token_edge(k + 1, F.col(size)) - _token_edge(k, F.col(size))
     dealt = dealt.withColumns({
-        "weights": F.col("weights").cast("array<double>"), "facade": F.coalesce("angle", F.lit(0.0)), "in_roi": F.transform(grid, lambda t: F.array_contains(F.col("roi").cast("array<int>"), t).cast("int")),
+        "roi": F.col("roi").cast("array<int>"), "weights": F.col("weights").cast("array<double>"), "facade": F.coalesce("angle", F.lit(0.0)), "in_roi": F.transform(grid, lambda t: F.array_contains(F.col("roi").cast("array<int>"), t).cast("int")),
         "sizes": F.transform(grid, lambda t: (side(F.floor(t / GRID), "height") * side(t % GRID, "width")).cast("int")),
     })
     added = lambda a, b: a + b
@@ -458,20 +565,25 @@ def candidates(samples: DataFrame, families: DataFrame, search: dict, render: di
         "total": F.nullif(F.aggregate("weights", F.lit(0.0), added), F.lit(0.0)), "total_roi": F.nullif(F.aggregate(F.zip_with("weights", "in_roi", lambda w, i: F.when(i > 0, w).otherwise(0.0)), F.lit(0.0), added), F.lit(0.0)),
         "roi_pixels": F.aggregate(F.zip_with("sizes", "in_roi", lambda c, i: c * i), F.lit(0), added),
     })
-    known = ("weights", "in_roi", "sizes", "facade", "total", "total_roi", "roi_pixels")
-    centres = candidate_centres(dealt, tuple(search["center_offsets"]), search["roi_anchors"], search["anchor_separation_tokens"], known)
     step = (F.col("area_high") - F.col("area_low")) / F.greatest(F.col("area_samples") - 1, F.lit(1))
     areas = F.transform(F.sequence(F.lit(0), F.col("area_samples") - 1), lambda k: F.when((k == F.col("area_samples") - 1) & (k > 0), F.col("area_high")).otherwise(F.col("area_low") + k * step))
     shapes = families.withColumn("area_fraction", F.explode(areas)).withColumn("aspect", F.explode(F.array_distinct("aspects"))).withColumn("offset", F.explode(F.array_distinct("angles"))).select("family", "shape", "area_fraction", "aspect", "offset")
-    tried = centres.join(F.broadcast(shapes))  # a configuration's families, some hundred rows
-    tried = tried.withColumns({"angle": F.col("offset") + F.when(F.col("shape") == "facade_rectangle", F.col("facade")).otherwise(0.0), "phase": _phase(seed, F.col("sample"), F.col("family"))}).drop("facade", "offset")
-    said = F.concat_ws("|", F.lit(str(seed)), "sample", "family", "shape", *(F.format_string("%.12g", c) for c in ("area_fraction", "aspect", "angle", "x", "y")))
-    tried = tried.withColumn("candidate_id", F.substring(F.sha2(said, 256), 1, 24))
-    keep = [f for f in tried.schema if f.name not in ("weights", "in_roi", "sizes", "phase")]
-    d = tried.mapInArrow(_draw(render, [f.name for f in keep]), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + f", {_DRAWN}")
+    # A configuration's families, some hundred rows, go with every sample as one list; what names a footprint is written once a sample or centre, not once a footprint.
+    dealt = dealt.join(F.broadcast(shapes.agg(F.collect_list(F.struct(*shapes.columns)).alias("shapes"))))
+    turn = lambda s: s["offset"] + F.when(s["shape"] == "facade_rectangle", F.col("facade")).otherwise(0.0)
+    written = lambda c: F.format_string("%.12g", c)
+    dealt = dealt.withColumn("tried", F.transform("shapes", lambda s: F.struct(s["family"].alias("family"), s["shape"].alias("shape"), s["area_fraction"].alias("area_fraction"), s["aspect"].alias("aspect"), turn(s).alias("angle"), _phase(seed, F.col("sample"), s["family"]).alias("phase"))))
+    dealt = dealt.withColumn("said", F.transform("tried", lambda s: F.concat_ws("|", F.lit(str(seed)), F.col("sample").cast("string"), s["family"], s["shape"], *(written(s[c]) for c in ("area_fraction", "aspect", "angle")))))
+    known = ("weights", "roi", "tried", "said", "total", "total_roi", "roi_pixels")
+    centres = candidate_centres(dealt, tuple(search["center_offsets"]), search["roi_anchors"], search["anchor_separation_tokens"], known)
+    place = F.concat_ws("|", written(F.col("x")), written(F.col("y")))
+    centres = centres.withColumn("place", place).withColumn("ids", F.transform("said", lambda s: F.substring(F.sha2(F.concat_ws("|", s, F.col("place")), 256), 1, 24))).drop("said", "place")
+    keep = [f for f in centres.schema if f.name not in ("weights", "roi", "tried", "ids")]
+    drawn = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in keep), _TRIED, _DRAWN, *([f"core {RUNS}, render {RUNS}"] if runs else [])])
+    d = centres.mapInArrow(_draw(render, [f.name for f in keep], runs), drawn)
     area = F.nullif(F.col("area"), F.lit(0))
     return d.select(
-        "sample", F.col("x").alias("center_x"), F.col("y").alias("center_y"), "family", "shape", "area_fraction", "aspect", "angle", "candidate_id", "core", "clipped_pixels", "render", "render_radius", "render_status",
+        "sample", F.col("x").alias("center_x"), F.col("y").alias("center_y"), "family", "shape", "area_fraction", "aspect", "angle", "candidate_id", *(["core"] if runs else []), "clipped_pixels", *(["render"] if runs else []), "render_radius", "render_status",
         F.col("area").alias("area_pixels"), (F.col("area") / (F.col("height") * F.col("width"))).alias("area_fraction_drawn"), F.when(area > 0, F.col("inside") / area).otherwise(0.0).alias("target_precision"),
         (F.col("got") / F.col("total")).alias("weighted_coverage"), (F.col("got_roi") / F.col("total_roi")).alias("roi_weighted_coverage"), (F.col("inside").cast("double") / F.col("roi_pixels")).alias("binary_roi_coverage"),
         F.when(area > 0, F.col("sx") / area + 0.5).alias("cx"), F.when(area > 0, F.col("sy") / area + 0.5).alias("cy"), "render_area",

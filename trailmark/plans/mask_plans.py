@@ -66,7 +66,7 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every configured footprint of every sample with its coverage (U8, T5, AG9); rasters of five shapes, so SQL can't state it (tests hold it against pixels)."""
     families = spark.createDataFrame(list(_FAMILIES), "family string, shape string, area_low double, area_high double, area_samples int, aspects array<double>, angles array<double>")
-    out = M.candidates(_samples(spark, sf_dir), families, _SEARCH, _RENDER)
+    out = M.candidates(_samples(spark, sf_dir), families, _SEARCH, _RENDER, runs=False)
     return out.select("sample", "family", "candidate_id", "center_x", "center_y", "angle", "area_pixels", "clipped_pixels", "target_precision", "weighted_coverage", "roi_weighted_coverage", "render_area", "render_radius", "render_status")
 
 
