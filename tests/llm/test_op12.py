@@ -81,6 +81,24 @@ def test_pruned_model_sums_to_one(spark):
     assert len(model.keys[0]) < 2000
 
 
+def test_large_models_are_whole(spark, monkeypatch):
+    """Beyond the grams that go to all tasks a model is joined: the same predictions and entropies as with all grams there."""
+    rng = random.Random(21)
+    made = {"a": "aabcdefgh", "b": "hgfedcbba", "c": "abcdxyz\u00e9\U0001d400"}
+    rows = [(i % 350, prose(rng, made["abc"[i % 3]], rng.randint(0, 50)) + rng.choice(["", " \u65e5\u672c", " " + "abcd" * 30]), None if i % 11 == 0 else "abc"[i % 3]) for i in range(400)]
+    df = spark.createDataFrame([*rows, (None, None, "a"), (None, "", "b"), (401, "qq qq", None)], "doc_id long, text string, lang string").repartition(4)
+    key = lambda r: (str(r.id), r.held_out, r.lang_pred, -1.0 if r.entropy is None else round(r.entropy, 5))
+    want = sorted(identify(df).collect(), key=key)
+    for bound, words in ((0, 300_000), (400, 300_000), (1500, 20)):
+        monkeypatch.setattr(op12_language, "HELD_WORDS", words)
+        monkeypatch.setattr(op12_language, "_SLICE", 3000)
+        got = sorted(identify(df, max_grams=bound).collect(), key=key)
+        assert [(*key(r), r.score, r.rejected) for r in got] == [(*key(r), r.score, r.rejected) for r in want]
+        assert all(abs((r.entropy or 0) - (w.entropy or 0)) < 1e-9 for r, w in zip(got, want, strict=True))
+    lengths = [len(m.keys[0]) for m in (Models(gram_model(df.where("lang = 'a'").select("lang", "text"), 5, bound).toArrow(), 5) for bound in (None, 1500))]
+    assert lengths[0] > lengths[1]  # the bound would have cut this model
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     got = identify(docs).join(docs.select(F.col("doc_id").alias("id"), "lang"), "id").collect()
